@@ -25,10 +25,11 @@ class Merges:
         self.rank = rank
         self.automaton = ahocorasick.Automaton()
         for token, i in tokens.items():
-            self.automaton.add_word(token, (len(token), i, token))
+            self.automaton.add_word(token, (len(token), i))
         self.automaton.make_automaton()
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._alone: dict[str, bool] = {}
+        self.names = {i: token for token, i in tokens.items()}
+        self.pairs: dict[int, bool] = {}  # by left << 32 | right
+        self._alone: dict[int, bool] = {}
 
     def remerge(self, text: str) -> list[str]:
         """Greedy merging of a short text, one best pair at a time."""
@@ -44,18 +45,20 @@ class Merges:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def alone(self, token: str) -> bool:
+    def alone(self, token: int) -> bool:
         """Whether the token re-merges to itself."""
         known = self._alone.get(token)
         if known is None:
-            known = self._alone[token] = self.remerge(token) == [token]
+            name = self.names[token]
+            known = self._alone[token] = self.remerge(name) == [name]
         return known
 
-    def beside(self, left: str, right: str) -> bool:
+    def beside(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are next to each other."""
-        known = self._pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
-            if len(self._pairs) >= self.MEMO:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self.remerge(left + right) == [left, right]
+            if len(self.pairs) >= self.MEMO:
+                self.pairs.clear()
+            a, b = self.names[left], self.names[right]
+            known = self.pairs[left << 32 | right] = self.remerge(a + b) == [a, b]
         return known

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -21,14 +22,43 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 
 
+def word_pattern(pieces) -> re.Pattern:
+    """The parts of a text that no piece joins: words, and runs of letters and of other characters where pieces allow it."""
+    alpha = "".join(chr(c) for c in range(0x110000) if chr(c).isalpha())
+    letters, start = "", 0
+    for i in range(1, len(alpha) + 1):
+        if i == len(alpha) or ord(alpha[i]) != ord(alpha[i - 1]) + 1:
+            letters += f"{re.escape(alpha[start])}-{re.escape(alpha[i - 1])}"
+            start = i
+    bare = (p.lstrip(SPACE) for p in pieces)
+    if any(a.isalpha() != b.isalpha() for p in bare for a, b in zip(p, p[1:])):
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    return re.compile(f"{SPACE}*[{letters}]+|{SPACE}*[^{SPACE}{letters}]+|{SPACE}+")
+
+
+class _Words(dict):
+    """word -> ids, remembered up to a bound; the bound changes speed only."""
+
+    LIMIT, LONGEST = 300_000, 64
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.encode(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class PieceCodec:
     """Encoder and decoder for a SentencePiece BPE model with identity normalization, a dummy prefix and byte fallback.
 
     The library is used to read the model file only. A model of another kind raises ValueError.
     """
 
-    REMEMBER = 300_000
-
     def __init__(self, path: str):
         import sentencepiece
 
@@ -44,7 +74,7 @@ class PieceCodec:
         self.byte_id = {int(names[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.merges = Merges(plain, lambda a, b: score.get(a + b))
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.words = word_pattern(plain)
         # what a piece shows when decoded: None where only the bytes around it tell
         self.shown: list[str | None] = [n.replace(SPACE, " ") for n in names]
         for b, i in self.byte_id.items():
@@ -55,17 +85,17 @@ class PieceCodec:
         self.shown[self.unknown] = " ⁇ "
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.digits = [str(i) for i in range(size)]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Words(self.encode_word)
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         n = len(word)
-        at: list[list[tuple[int, int, str]]] = [[] for _ in range(n)]
+        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, entry in self.merges.automaton.iter(word):
             at[end + 1 - entry[0]].append(entry)  # by rising end, so the longest is last
         ids: list[int] = []
         begin = 0
-        for i in range(n):  # characters without a piece never merge: they split the word
-            if not at[i] or at[i][0][0] != 1:
+        for i, entries in enumerate(at):  # characters without a piece never merge: they split the word
+            if not entries or entries[0][0] != 1:
                 if i > begin:
                     ids += self._run(at, begin, i)
                 ids += [self.byte_id.get(b, self.unknown) for b in word[i].encode("utf-8")] if self.byte_id else [self.unknown]
@@ -74,48 +104,44 @@ class PieceCodec:
             ids += self._run(at, begin, n)
         return tuple(ids)
 
-    def _run(self, at, begin: int, end: int) -> list[int]:
-        beside, alone = self.merges.beside, self.merges.alone
-        open_ = (1 << (end - begin + 1)) - 1  # bit p: position begin + p has not failed
-        kept: list[tuple[int, int]] = []  # (position, index of the entry tried there)
-        left: list[str] = []
-        pos, k = begin, len(at[begin]) - 1
+    def _run(self, at: list[list[tuple[int, int]]], begin: int, end: int) -> list[int]:
+        pairs, beside, alone = self.merges.pairs, self.merges.beside, self.merges.alone
+        failed = 0  # bit p: no encoding goes on from position begin + p
+        tried: list[int] = []  # the index of the entry kept at each step
+        ids: list[int] = []
+        pos, left = begin, -1
+        entries = at[pos]
+        k = len(entries) - 1
         while True:
-            entries = at[pos]
             while k >= 0:
-                length, _, token = entries[k]
+                length, i = entries[k]
                 to = pos + length
-                if to <= end and open_ >> (to - begin) & 1 and (beside(left[-1], token) if left else alone(token)):
-                    break
+                if to <= end and not failed >> (to - begin) & 1:
+                    fits = alone(i) if left < 0 else pairs.get(left << 32 | i)
+                    if fits or fits is None and beside(left, i):
+                        break
                 k -= 1
             if k >= 0:
-                kept.append((pos, k))
-                left.append(token)
+                ids.append(i)
                 if to == end:
-                    return [at[p][j][1] for p, j in kept]
-                pos, k = to, len(at[to]) - 1
+                    return ids
+                tried.append(k)
+                pos, left, entries = to, i, at[to]
+                k = len(entries) - 1
             else:
-                open_ &= ~(1 << (pos - begin))
-                pos, k = kept.pop()
-                left.pop()
+                failed |= 1 << (pos - begin)
+                k = tried.pop()
+                pos -= len(self.merges.names[ids.pop()])
+                left = ids[-1] if ids else -1
+                entries = at[pos]
                 k -= 1
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of the whole text as the library gives them, without begin or end ids; null and empty texts have none."""
         if not text:
             return []
-        ids: list[int] = []
-        known, add = self.known, ids.extend
-        for word in self.words.findall(SPACE + text.replace(" ", SPACE)):
-            got = known.get(word)
-            if got is None:
-                got = self.encode_word(word)
-                if len(word) <= 64:
-                    if len(known) >= self.REMEMBER:
-                        known.clear()
-                    known[word] = got
-            add(got)
-        return ids
+        words = self.words.findall(SPACE + text.replace(" ", SPACE))
+        return list(chain.from_iterable(map(self.known.__getitem__, words)))
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, as the library decodes them: bytes that are no UTF-8 become U+FFFD one by one."""

@@ -8,7 +8,7 @@ Counts, truncation and budget questions are then look-ups; nothing is encoded ag
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
+import re
 from functools import lru_cache
 
 import regex
@@ -28,14 +28,37 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(free)) for b in range(256)]
 
 
+def latin_split() -> re.Pattern:
+    """The splitting pattern with its classes spelled out for characters up to U+024F, for texts that have no others."""
+    chars = [chr(c) for c in range(0x250)]
+    kind = {k: "".join(c for c in chars if regex.fullmatch(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    letter, number, space = (re.escape(kind[k]) for k in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+class _Counts(dict):
+    """chunk -> tokens, remembered up to a bound; the bound changes speed only."""
+
+    LIMIT, LONGEST = 300_000, 64
+
+    def __init__(self, table):
+        self.table = table
+
+    def __missing__(self, chunk: str) -> int:
+        n = self.table(chunk)[0][-1]
+        if len(chunk) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[chunk] = n
+        return n
+
+
 class ByteTokenCounter:
     """Exact counts for one byte-level BPE file of the ``tokenizers`` JSON format.
 
     Special strings of the file count as one token each, as that library does by default.
     """
 
-    REMEMBER = 500_000
-
     def __init__(self, path: str):
         import public_tokenizers
 
@@ -49,36 +72,29 @@ class ByteTokenCounter:
         self.split = regex.compile(public_tokenizers.PATTERN)
         self.merges = Merges({t: i for t, i in vocab.items() if t not in self.special_ids}, lambda a, b: ranks.get((a, b)))
         self.latin = {b: c for b, c in enumerate(byte_alphabet())}
-        self.known: dict[str, int] = {}
+        self.latin_split, self.above = latin_split(), re.compile("[^\x00-\u024f]")
+        self.known = _Counts(self.table)
 
-    def table(self, chunk: str) -> tuple[list[int], list[str]]:
+    def table(self, chunk: str) -> tuple[list[int], list[int]]:
         """Counts and last tokens at every byte prefix of one chunk (index 0: the empty prefix)."""
         s = chunk.encode("utf-8").decode("latin-1").translate(self.latin)
         n = len(s)
-        count, last = [-1] * (n + 1), [""] * (n + 1)
-        count[0] = 0
-        m = self.merges
-        for end, (length, _, token) in m.automaton.iter(s):
-            e = end + 1
-            if count[e] >= 0:
-                continue
-            b = e - length
-            if b == 0:
-                if m.alone(token):
-                    count[e], last[e] = 1, token
-            elif count[b] > 0 and m.beside(last[b], token):
-                count[e], last[e] = count[b] + 1, token
+        count, last = [0] * (n + 1), [-1] * (n + 1)
+        pairs, beside, alone = self.merges.pairs, self.merges.beside, self.merges.alone
+        for end, (length, token) in self.merges.automaton.iter(s):
+            end += 1
+            if not count[end]:
+                left = last[end - length]
+                if left >= 0:
+                    fits = pairs.get(left << 32 | token)
+                    if fits or fits is None and beside(left, token):
+                        count[end], last[end] = count[end - length] + 1, token
+                elif length == end and alone(token):
+                    count[end], last[end] = 1, token
         return count, last
 
-    def chunk_count(self, chunk: str) -> int:
-        n = self.known.get(chunk)
-        if n is None:
-            n = self.table(chunk)[0][-1]
-            if len(chunk) <= 64:
-                if len(self.known) >= self.REMEMBER:
-                    self.known.clear()
-                self.known[chunk] = n
-        return n
+    def chunks(self, piece: str) -> list[str]:
+        return (self.split if self.above.search(piece) else self.latin_split).findall(piece)
 
     def pieces(self, text: str) -> list[str]:
         """Parts between special strings, and these strings."""
@@ -88,15 +104,8 @@ class ByteTokenCounter:
         """Tokens of the whole text; 0 for null."""
         if not text:
             return 0
-        total, known, split = 0, self.known, self.split
-        for piece in self.pieces(text):
-            if piece in self.special_ids:
-                total += 1
-                continue
-            for chunk in split.findall(piece):
-                n = known.get(chunk)
-                total += self.chunk_count(chunk) if n is None else n
-        return total
+        known = self.known
+        return sum(1 if p in self.special_ids else sum(map(known.__getitem__, self.chunks(p))) for p in self.pieces(text))
 
     def prefix_counts(self, text: str) -> list[int]:
         """Entry i: the tokens of text[:i] (characters), each exactly as if that prefix were encoded by itself.
@@ -108,7 +117,7 @@ class ByteTokenCounter:
         chunks: list[tuple[int, int, str, bool]] = []
         at = 0
         for piece in self.pieces(text):
-            for chunk in [piece] if piece in self.special_ids else self.split.findall(piece):
+            for chunk in [piece] if piece in self.special_ids else self.chunks(piece):
                 chunks.append((at, at + len(chunk), chunk, piece in self.special_ids))
                 at += len(chunk)
         done: list[int] = []  # tokens before each chunk
