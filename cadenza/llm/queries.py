@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, piece_codec, quality, shards, tag_paths, token_counts
+from . import language_id, line_dedup, ngram_join, piece_codec, quality, shards, tag_paths, token_counts
 from .common import table
 
 
@@ -20,6 +20,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -32,5 +40,8 @@ def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tag_path_extraction, op2_piece_codec, op4_token_counts, op7_robust_outliers, op8_language_id, op9_lpt_shards)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_tag_path_extraction, op2_piece_codec, op4_token_counts, op5_line_dedup, op6_ngram_jaccard_join, op7_robust_outliers, op8_language_id, op9_lpt_shards)
+}
 ORACLE_SQL: dict[str, str] = {}
