@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, ngram_join, piece_codec, quality, shards, tag_paths, token_counts
+from . import decontamination, language_id, line_dedup, ngram_join, piece_codec, quality, sentence_spans, shards, tag_paths, token_counts
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_texts(table(spark, sf_dir, "documents"))
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.dedup_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -40,8 +44,12 @@ def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_tag_path_extraction, op2_piece_codec, op4_token_counts, op5_line_dedup, op6_ngram_jaccard_join, op7_robust_outliers, op8_language_id, op9_lpt_shards)
+    for f in (op1_tag_path_extraction, op2_piece_codec, op3_sentence_spans, op4_token_counts, op5_line_dedup, op6_ngram_jaccard_join, op7_robust_outliers, op8_language_id, op9_lpt_shards, op10_decontamination)
 }
 ORACLE_SQL: dict[str, str] = {}
