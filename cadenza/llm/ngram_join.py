@@ -92,7 +92,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     members = survey.where(~F.coalesce(is_bucket, F.lit(False)))
     classes = members.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    rows = members.join(classes, ["k1", "k2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep"))
+    rows = members.join(classes, ["k1", "k2"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     reps = classes.select(F.col("rep").alias("id"))
 
     def prefixes():
