@@ -1,7 +1,8 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters, one verification per pair.
 
 Documents with equal sets form one class, stood for by its smallest id, so copies cost nothing. The others are joined on
-the shingles of their prefixes. A shingle's rarity comes from counts in hashed buckets over all documents; any order that
+the shingles of their prefixes; what the filters leave is compared by sketches (a lossless bound of the distance, an
+eighth of a byte a shingle) and verified by the whole texts. A shingle's rarity comes from counts in hashed buckets over all documents; any order that
 all documents share is exact, a rarity order makes it quick.
 
 The join runs in two rounds, because a large group of near copies would otherwise meet in all its pairs. First every
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, map_arrow, stored
+from .common import WordHash, map_arrow, release, stored
 from .components import components
 
 BUCKETS = 1 << 18
@@ -46,25 +47,52 @@ def shingles(text: str | None, n: int, words: WordHash) -> np.ndarray:
     return np.unique(out)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each of at least as many places as the set has shingles: whether an odd number of them falls there."""
+    bits = 1 << max(6, int(len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Places where two sketches differ, the longer one folded; two sets differ in as many shingles, at least."""
+    x, y, n, m = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a), 8 * len(b)
+    while n > m:
+        n >>= 1
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    while m > n:
+        m >>= 1
+        y = (y >> m) ^ (y & ((1 << m) - 1))
+    return (x ^ y).bit_count()
+
+
+#: Shingles whose buckets are counted at once.
+CHUNK = 1 << 20
+
+
 def _survey(n: int):
-    """Per document its set's size and key; at a partition's end its counts of shingles by bucket (id null, k1 bucket)."""
+    """Per document its set's size, key and sketch; at a partition's end its counts of shingles by bucket (id null, k1 bucket)."""
 
     def run(batches):
-        words, counts, names = WordHash(), np.zeros(BUCKETS, dtype=np.int64), ["id", "n", "k1", "k2"]
+        words, counts, names = WordHash(), np.zeros(BUCKETS, dtype=np.int64), ["id", "n", "k1", "k2", "sketch"]
         for batch in batches:
-            size, k1, k2 = [], [], []
+            size, k1, k2, bits, sets, held = [], [], [], [], [], 0
             for text in batch.column(1).to_pylist():
                 s = shingles(text, n, words)
                 size.append(len(s))
                 a, b = struct.unpack("<qq", blake2b(s.tobytes(), digest_size=16).digest()) if len(s) else (None, None)
                 k1.append(a)
                 k2.append(b)
-                counts += np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(s) > BUCKETS // 64 else 0
-                if len(s) <= BUCKETS // 64:
-                    np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=names)
+                bits.append(sketch(s) if len(s) else None)
+                sets.append((s & np.uint64(BUCKETS - 1)).astype(np.int32))
+                held += len(s)
+                if held >= CHUNK:
+                    counts += np.bincount(np.concatenate(sets), minlength=BUCKETS)
+                    sets, held = [], 0
+            if held:
+                counts += np.bincount(np.concatenate(sets), minlength=BUCKETS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary())], names=names)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(counts[at]), pa.array(at), pa.array(np.full(len(at), -1))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(counts[at]), pa.array(at), pa.array(np.full(len(at), -1)), pa.nulls(len(at), pa.binary())], names=names)
 
     return run
 
@@ -82,7 +110,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    survey = stored(texts.mapInArrow(_survey(n), "id long, n long, k1 long, k2 long"))
+    survey = stored(texts.mapInArrow(_survey(n), "id long, n long, k1 long, k2 long, sketch binary"))
     # a bucket's row has k2 = -1, a key below BUCKETS and no id; a document's row without an id has either a hash or nulls there
     is_bucket = F.col("id").isNull() & (F.col("k2") == -1) & F.col("k1").between(0, BUCKETS - 1)
     sums = survey.where(is_bucket).groupBy("k1").agg(F.sum("n").alias("n")).toPandas()
@@ -94,6 +122,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = members.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     rows = members.join(classes, ["k1", "k2"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     reps = classes.select(F.col("rep").alias("id"))
+    sketches = members.where("n > 0 and id is not null").select("id", "n", "sketch")
 
     def prefixes():
         words, counts = WordHash(), often.value
@@ -128,7 +157,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     led = stored(entries.join(leaders, "s"))
     first = entries.select("s", F.col("id").alias("leader"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("ranges").alias("ranges2"))
     first = led.where("id <> leader").join(first, ["s", "leader"]).where(_possible(percent)).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = verify(texts, stored(first), n, percent)
+    links = verify(texts, _likely(stored(first), sketches, percent), n, percent)
     labels = components(links)
 
     with_label = led.join(labels.withColumnRenamed("v", "id").withColumnRenamed("c", "label"), "id", "left")
@@ -140,7 +169,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = (F.col("label") != F.col("label2")) & (F.col("id2") != F.col("leader")) & (F.col("led2") | (F.col("id") < F.col("id2")))
     right = right.join(left.select("s").distinct(), "s", "left_semi")
     second = left.drop("leader").join(right, "s").where(apart & _possible(percent)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    second = stored(second)
+    second = _likely(stored(second), sketches, percent)
     if not second.isEmpty():
         more = verify(texts, second, n, percent)
         labels = components(labels.select(F.col("v").alias("a"), F.col("c").alias("b")).union(more))
@@ -148,39 +177,54 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _possible(percent: int):
-    """Length, positional and suffix filter of two entries (id, n, i, ranges) and (n2, i2, ranges2) of one shingle."""
+    """Length, positional and suffix filter of two entries (n, i, ranges) and (n2, i2, ranges2) of one shingle.
+
+    Sets that link share a shingle before either's last ``least - 1``; entries behind these prefixes need not meet.
+    """
     n, m, i, j = F.col("n"), F.col("n2"), F.col("i"), F.col("i2")
-    least = percent * (n + m)  # overlap * (100 + percent) must reach it
-    place = F.least(i, j) + 1 + F.least(n - 1 - i, m - 1 - j)
+    least = F.floor((percent * (n + m) + (99 + percent)) / (100 + percent))
     apart = F.lit(0)
     for k in range(RANGES):
         byte = [F.shiftrightunsigned(F.col(c), 8 * k).bitwiseAND(F.lit(255)) for c in ("ranges", "ranges2")]
         apart = apart + F.abs(byte[0] - byte[1])
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (place * (100 + percent) >= least) & ((n + m - apart) * (100 + percent) >= 2 * least)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (i <= n - least) & (j <= m - least) & (apart <= n + m - 2 * least)
 
 
-def verify(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole shingle sets link."""
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches do not differ in more places than their sets may."""
+
+    def check(batches):
+        for batch in batches:
+            n, m, x, y = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+            keep = [sketch_distance(p, q) <= i + j - 2 * ceil_share(percent, 100 + percent, i + j) for i, j, p, q in zip(n, m, x, y)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    out = stored(both.mapInArrow(check, "a long, b long"))
+    release(pairs)
+    return out
 
-    def sets():
-        words = WordHash()
-        return lambda ids, found: (ids, [shingles(t, n, words).view(np.int64) for t in found])
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    full = stored(map_arrow(texts.join(ids, "id", "left_semi"), ["id", "text"], sets, "id long, s array<long>"))
-    left, right = (full.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
+def verify(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole shingle sets link."""
 
     def check(batches):
+        words, known = WordHash(), {}
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
             keep = []
-            for x, y in zip(a, b):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
+            for a, p, q in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x = known.get(a)
+                if x is None or x[0] != p:  # rows of one leader stand together
+                    known = {a: (p, shingles(p, n, words))}
+                    x = known[a]
+                x, y = x[1], shingles(q, n, words)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(check, "a long, b long"))
+    left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
