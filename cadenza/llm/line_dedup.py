@@ -1,55 +1,47 @@
 """Line dedup as an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its lower-cased words. Lines with equal sets form one class; a class keeps its first occurrence.
-Classes are joined on the rarest tokens of their sets (prefix filter) under length and positional bounds, candidates are
-verified by their whole sets, and a class with an earlier class of Jaccard similarity ``percent`` / 100 or more goes
-altogether. "Earlier" is by document id, then by the document's text where ids repeat, then by line.
+Classes are joined on the rarest tokens of their sets (prefix filter) under length, positional and parity bounds,
+candidates are verified by their whole sets, and a class with an earlier class of Jaccard similarity ``percent`` / 100 or
+more goes altogether. "Earlier" is by document id, then by the document's text where ids repeat, then by line.
 
-Rarity is the rank of a token's bucket among ``BUCKETS`` buckets, counted over all lines. The rank replaces the bucket's
-bits in the token's hash, so that sorting the numbers sorts by rarity and nothing is lost.
+Lines are cut into words once; the numbers of their words are written to the shared folder, and everything after that
+reads them. Rarity is the rank of a token's bucket among ``BUCKETS`` buckets, counted over all lines. The rank replaces
+the bucket's bits in the token's hash, so that sorting the numbers sorts by rarity and nothing is lost.
 
-As in the document join, every class first meets the earliest class of each of its prefix tokens; only classes that this
-did not settle meet the others, so a large group of near copies does not meet in all its pairs.
+Every class first meets the earliest class of each of its prefix tokens; only classes that this did not settle meet the
+others, so a large group of near copies does not meet in all its pairs. Both rounds read one table of prefix entries that
+stays dealt out and sorted by token.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 BITS = 14
 BUCKETS = 1 << BITS
-#: Candidates whose lines may be fetched by a broadcast of their places; more are fetched by a shuffled join.
-BROADCAST_ROWS = 1_000_000
+#: Candidates whose lines may be fetched by a broadcast of their places (40 bytes each); more are fetched by a shuffled join.
+BROADCAST_ROWS = 500_000
 
 
 def words(line: Column) -> Column:
     """Lower-cased words, set apart by ASCII white space."""
-    return F.filter(F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, t, pos, line) of every line; t tells rows apart that share an id."""
-    return docs.select("id", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """(id, t, pos, w) of every line with words, w the distinct hashes of its words; t tells rows apart that share an id."""
+    lines = docs.select("id", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("id", "t", "pos", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("w")).where(F.size("w") > 0)
 
 
-def _tokens(line: Column, ranks: Column) -> Column:
-    """Distinct tokens as numbers that sort by rarity."""
-
-    def packed(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.element_at(ranks, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"))
-        return F.shiftleft(rank, 64 - BITS).bitwiseOR(F.shiftrightunsigned(h, BITS))
-
-    return F.sort_array(F.array_distinct(F.transform(words(line), packed)))
-
-
-def _ranks(docs: DataFrame) -> Column:
-    """The rank of each bucket by how many tokens of all lines fall into it, as one array of BUCKETS numbers."""
-    token = docs.select(F.explode(words(F.translate(F.col("text"), "\n", " "))).alias("w"))
-    often = token.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+def _ranks(lines: DataFrame) -> Column:
+    """The rank of each bucket by how many lines have a token in it, as one array of BUCKETS numbers."""
+    often = lines.select(F.explode("w").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     count = {r["b"]: r["n"] for r in often.collect()}
     order = sorted(range(BUCKETS), key=lambda b: (count.get(b, 0), b))
     rank = [0] * BUCKETS
@@ -58,57 +50,83 @@ def _ranks(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")  # folded to a constant
 
 
-def _ceil(a: Column, b: int) -> Column:
-    return F.floor((a + (b - 1)) / b)
+def _by_rarity(w: Column, ranks: Column) -> Column:
+    """The tokens as numbers that sort by rarity, sorted."""
+
+    def packed(h: Column) -> Column:
+        rank = F.element_at(ranks, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"))
+        return F.shiftleft(rank, 64 - BITS).bitwiseOR(F.shiftrightunsigned(h, BITS))
+
+    return F.sort_array(F.transform(w, packed))
+
+
+def _parity(w: Column) -> Column:
+    """64 bits; each tells whether an odd number of tokens falls on it. Two sets differ in as many tokens as bits, at least."""
+    return F.aggregate(w, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
+
+
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """Tokens that sets of n and m must share: the least whole number from percent * (n + m) / (100 + percent) on."""
+    return F.floor((percent * (n + m) + (99 + percent)) / (100 + percent))
 
 
 def _possible(percent: int) -> Column:
-    """Length and positional bounds of entries (n, i) and (n2, i2) of one token."""
+    """Length, positional and parity bounds of entries (n, i, par) and (n2, i2, par2) of one token.
+
+    Similar sets share a token in the prefixes that leave less than the needed overlap behind them; entries behind these
+    prefixes need not meet.
+    """
     n, m, i, j = F.col("n"), F.col("n2"), F.col("i"), F.col("i2")
-    place = F.least(i, j) + 1 + F.least(n - 1 - i, m - 1 - j)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (place * (100 + percent) >= percent * (n + m))
+    least = _overlap(n, m, percent)
+    apart = F.bit_count(F.col("par").bitwiseXOR(F.col("par2")))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (i <= n - least) & (j <= m - least) & (apart <= n + m - 2 * least)
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ranks: Column, percent: int) -> DataFrame:
+def _verified(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(c) of the classes of the pairs (a, b) that have an earlier class similar to them."""
-    ids = stored(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "id", "t", "pos"), "c"))
-    places = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    lines = _lines(docs).alias("l")
+    ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    places = stored(classes.select("c", "id", "t", "pos").join(ids, "c", "left_semi"))
+    near = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
     same = F.col("l.id").eqNullSafe(F.col("p.id")) & (F.col("l.t") == F.col("p.t")) & (F.col("l.pos") == F.col("p.pos"))
-    found = lines.join(places.alias("p"), same).select("c", F.struct("p.id", "p.t", "p.pos").alias("at"), "line").dropDuplicates(["c"])
-    sets = stored(found.select("c", "at", _tokens(F.col("line"), ranks).alias("s")))
-    a, b = (sets.select(F.col("c").alias(x), F.col("at").alias(f"at_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    near = pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both))
-    return near.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("c")).distinct()
-
-
-def _classes(docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
-    """(c, id, t, pos, n, prefix): one row per distinct token set, with its first occurrence and its rarest tokens."""
-    lines = _lines(docs).withColumn("s", _tokens(F.col("line"), ranks)).where(F.size("s") > 0)
+    found = lines.alias("l").join(near.alias("p"), same).select("c", F.struct("p.id", "p.t", "p.pos").alias("at"), "w")
+    sets = stored(found.dropDuplicates(["c"]))
+    a, b = (sets.select(F.col("c").alias(x), F.col("at").alias(f"at_{x}"), F.col("w").alias(f"w_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("w_a", "w_b"))
+    near = pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("w_a") + F.size("w_b") - both))
+    out = stored(near.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("c")).distinct())
+    release(places, sets)
+    return out
+
+
+def _classes(lines: DataFrame, ranks: Column, percent: int) -> DataFrame:
+    """(c, id, t, pos, n, par, prefix): one row per distinct token set, with its first occurrence and its rarest tokens."""
+    sets = lines.select("id", "t", "pos", _by_rarity(F.col("w"), ranks).alias("s"), _parity(F.col("w")).alias("par"))
     n = F.size("s")
     # a token in a prefix is cut to 40 bits: two that meet by chance only make one more candidate
     prefix = F.transform(F.slice("s", 1, n - F.ceil(percent * n / 100).cast("int") + 1), lambda x: F.shiftrightunsigned(F.xxhash64(x), 24))
-    lines = lines.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.struct("id", "t", "pos").alias("at"), n.alias("n"), prefix.alias("prefix"))
-    first = lines.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    return stored(first.select(F.monotonically_increasing_id().alias("c"), "at.id", "at.t", "at.pos", "n", "prefix"))
+    sets = sets.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.struct("id", "t", "pos").alias("at"), n.alias("n"), "par", prefix.alias("prefix"))
+    first = sets.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("par").alias("par"), F.first("prefix").alias("prefix"))
+    return stored(first.select(F.monotonically_increasing_id().alias("c"), "at.id", "at.t", "at.pos", "n", "par", "prefix"))
 
 
-def _gone(docs: DataFrame, classes: DataFrame, ranks: Column, percent: int) -> DataFrame:
+def _gone(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(c) of the classes that an earlier similar class removes."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = classes.select(F.col("id").alias("o"), "c", "n", F.posexplode("prefix").alias("i", "s")).repartition(parts, "s")
-    lead = entries.groupBy("s").agg(F.min(F.struct("o", "c", "n", "i")).alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    met = entries.join(lead, "s").where("c <> lead.c").select("s", "c", "n", "i", F.col("lead.c").alias("a"), F.col("lead.n").alias("n2"), F.col("lead.i").alias("i2"))
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = classes.select(F.col("id").alias("o"), "c", "n", "par", F.posexplode("prefix").alias("i", "s"))
+    entries = entries.repartition(parts, "s").sortWithinPartitions("s").persist(StorageLevel.MEMORY_AND_DISK)
+    lead = entries.groupBy("s").agg(F.min(F.struct("o", "c", "n", "i", "par")).alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    met = entries.join(lead, "s").where("c <> lead.c").select("c", "n", "i", "par", F.col("lead.c").alias("a"), F.col("lead.n").alias("n2"), F.col("lead.i").alias("i2"), F.col("lead.par").alias("par2"))
     pairs = stored(met.where(_possible(percent)).select("a", F.col("c").alias("b")).distinct())
-    settled = stored(_verified(docs, classes, pairs, ranks, percent))
-    known = F.broadcast(settled) if settled.count() <= BROADCAST_ROWS else settled
-    open_ = entries.join(known, "c", "left_anti")
-    other = entries.select("s", F.col("o").alias("o2"), F.col("c").alias("a"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    settled = _verified(lines, classes, pairs, percent)
+    open_ = classes.join(settled, "c", "left_anti").select(F.col("id").alias("o"), "c", "n", "par", F.posexplode("prefix").alias("i", "s"))
+    other = entries.select("s", F.col("o").alias("o2"), F.col("c").alias("a"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("par").alias("par2"))
     before = (F.col("a") != F.col("c")) & (F.coalesce(F.col("o2") <= F.col("o"), F.col("o2").isNull()))
     more = open_.join(other, "s").where(before & _possible(percent)).select("a", F.col("c").alias("b")).distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"))
-    return settled.union(_verified(docs, classes, more, ranks, percent)).distinct()
+    entries.unpersist()
+    out = stored(settled.union(_verified(lines, classes, more, percent)).distinct())
+    release(pairs, settled, more)
+    return out
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -120,11 +138,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     by their text. Exactness rests on 64-bit token hashes: two words that collide count as one.
     """
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(7), id_col, text_col).alias("t"), F.col(text_col).alias("text"))
-    ranks = _ranks(docs)
-    classes = _classes(docs, ranks, percent)
-    gone = stored(_gone(docs, classes, ranks, percent))
+    lines = stored(_lines(docs), **{"parquet.dictionary.page.size": 8 << 20})
+    ranks = _ranks(lines)
+    classes = _classes(lines, ranks, percent)
+    gone = _gone(lines, classes, percent)
     kept = classes.join(gone, "c", "left_anti").groupBy("id", "t").agg(F.collect_list("pos").alias("_kept"))
-    kept = kept.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "_kept")
+    kept = stored(kept.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "_kept"))
+    release(lines, classes, gone)
     others = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     rows = df.select(*others, F.xxhash64(F.lit(7), id_col, text_col).alias("_t2"))
     rows = rows.join(kept, rows["_t2"].eqNullSafe(kept["_t"]) & rows[id_col].eqNullSafe(kept["_id"]), "left")
