@@ -16,6 +16,8 @@ stays dealt out and sorted by token.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,9 @@ BROADCAST_ROWS = 500_000
 
 def words(line: Column) -> Column:
     """Lower-cased words, set apart by ASCII white space."""
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " "), "")
+    low = F.lower(line)
+    odd = reduce(lambda c, x: c | x, [F.contains(line, F.lit(x)) for x in "\t\r\x0b\x0c"])
+    return F.array_remove(F.split(F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low), " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -103,7 +107,7 @@ def _classes(lines: DataFrame, ranks: Column, percent: int) -> DataFrame:
     sets = lines.select("id", "t", "pos", _by_rarity(F.col("w"), ranks).alias("s"), _parity(F.col("w")).alias("par"))
     n = F.size("s")
     # a token in a prefix is cut to 40 bits: two that meet by chance only make one more candidate
-    prefix = F.transform(F.slice("s", 1, n - F.ceil(percent * n / 100).cast("int") + 1), lambda x: F.shiftrightunsigned(F.xxhash64(x), 24))
+    prefix = F.transform(F.slice("s", 1, n - F.ceil(percent * n / 100).cast("int") + 1), lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))
     sets = sets.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.struct("id", "t", "pos").alias("at"), n.alias("n"), "par", prefix.alias("prefix"))
     first = sets.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("par").alias("par"), F.first("prefix").alias("prefix"))
     return stored(first.select(F.monotonically_increasing_id().alias("c"), "at.id", "at.t", "at.pos", "n", "par", "prefix"))
@@ -118,7 +122,10 @@ def _gone(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     met = entries.join(lead, "s").where("c <> lead.c").select("c", "n", "i", "par", F.col("lead.c").alias("a"), F.col("lead.n").alias("n2"), F.col("lead.i").alias("i2"), F.col("lead.par").alias("par2"))
     pairs = stored(met.where(_possible(percent)).select("a", F.col("c").alias("b")).distinct())
     settled = _verified(lines, classes, pairs, percent)
-    open_ = classes.join(settled, "c", "left_anti").select(F.col("id").alias("o"), "c", "n", "par", F.posexplode("prefix").alias("i", "s"))
+    if settled.count() <= 4 * BROADCAST_ROWS:
+        open_ = entries.join(F.broadcast(settled), "c", "left_anti")  # stays dealt out by token
+    else:
+        open_ = classes.join(settled, "c", "left_anti").select(F.col("id").alias("o"), "c", "n", "par", F.posexplode("prefix").alias("i", "s"))
     other = entries.select("s", F.col("o").alias("o2"), F.col("c").alias("a"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("par").alias("par2"))
     before = (F.col("a") != F.col("c")) & (F.coalesce(F.col("o2") <= F.col("o"), F.col("o2").isNull()))
     more = open_.join(other, "s").where(before & _possible(percent)).select("a", F.col("c").alias("b")).distinct()
