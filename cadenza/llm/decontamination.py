@@ -6,20 +6,20 @@ distance fall into step again after each edit, so their strings differ in few pl
 a walk of its own and compares ``SAMPLES`` of its places; ``REPEATS`` repeats bring the chance that an item at the largest
 distance is met in any of them to the target. What is met is verified by the exact edit distance.
 
-Before the walk a lossless count filter drops windows with more words outside the items' vocabulary than the edits allow.
+Before the walk two lossless count filters drop windows with more words outside the items' vocabulary, or more pairs of
+neighbouring words that no item has, than the edits allow.
 Items go to the executors in blocks of at most ``BLOCK_WORDS`` words, one pass over the documents for each block.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, resident
 
 #: Edits allowed, as a share of the item's words (rounded down, and at least one from MIN_WORDS words on).
 SHARE = 0.1
@@ -29,7 +29,7 @@ SAMPLES = 3
 BLOCK_WORDS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 #: Words of documents that are embedded at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 20
 
 
 def word_list(text: str | None) -> list[str]:
@@ -49,6 +49,9 @@ class Index:
         self.vocab = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in self.items for w in ws))}
         self.other = len(self.vocab)  # every word that no item has; also stands for places behind a document's end
         self.codes = [np.array([self.vocab[w] for w in ws], dtype=np.int32) for _, ws in self.items]
+        self.pairs = np.zeros(1 << 20, dtype=bool)  # hashes of the items' neighbouring words
+        for c in self.codes:
+            self.pairs[self.pair_hash(c)] = True
         self.lengths = sorted({len(c) for c in self.codes})
         self.most = max((edits(m) for m in self.lengths), default=0)
         rng = np.random.default_rng(seed)
@@ -66,6 +69,9 @@ class Index:
                 order = np.argsort(keys, kind="stable")
                 self.walks[m].append((places, bits, keys[order], np.array(own)[order]))
 
+    def pair_hash(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes[:-1].astype(np.int64) * 1_000_003 + codes[1:]) * 40_503 >> 3) & (len(self.pairs) - 1)
+
     def windows(self, text: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
         """The windows as rows, each followed by as many marks of its end as a walk of 3/2 m steps can reach."""
         out = np.full((len(starts), -(-5 * m // 2) + 1), self.other + 1, dtype=np.int32)
@@ -88,11 +94,14 @@ class Index:
 
     def candidates(self, text: np.ndarray, outside: np.ndarray):
         """Pairs (start, item index) over one coded stretch of documents; ``outside`` sums words without code."""
+        odd = np.concatenate(([0], np.cumsum(~self.pairs[self.pair_hash(text)])))
         for m in self.lengths:
             if len(text) < m:
                 continue
             # of a stretch within k edits and the words behind it, up to the item's length, at most k are in no item
             starts = np.flatnonzero(outside[m:] - outside[:-m] <= edits(m))
+            # an edit makes at most two pairs of neighbours that the item does not have
+            starts = starts[odd[starts + m - 1] - odd[starts] <= 2 * edits(m)]
             if not len(starts):
                 continue
             met, rows = [], self.windows(text, starts, m)
@@ -107,10 +116,9 @@ class Index:
                 yield divmod(int(pair), len(self.items))
 
 
-@lru_cache(maxsize=2)
 def _index(items: tuple) -> Index:
     """Built once per worker and block."""
-    return Index(list(items))
+    return resident(("items", items), lambda: Index(list(items)))
 
 
 def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -218,7 +226,7 @@ def _pass(docs: DataFrame, block: list, id_col: str, text_col: str, schema: str)
 
         return batch
 
-    return map_arrow(docs, [id_col, text_col], make, schema)
+    return map_arrow(docs, [id_col, text_col], make, schema, 4096)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
