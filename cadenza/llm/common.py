@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,12 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., list]], schema: str) -> DataFrame:
+SLICE = 512
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, build: Callable):
+    """What ``build`` made for ``key``: a Python worker holds one such object at a time, so stages do not add up in memory."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def map_arrow(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., list]], schema: str, rows: int = SLICE) -> DataFrame:
     """Map batches of ``columns`` to the columns of ``schema``.
 
-    ``make`` runs once per task and returns the function applied to each batch; it takes one Python list per input
-    column and returns one list per output column. Batches keep memory bounded: nothing is kept between them but
-    what ``make`` holds.
+    ``make`` runs once per task and returns the function applied to each slice of ``rows`` rows; it takes one Python
+    list per input column and returns one list per output column. Slices keep memory bounded: nothing is kept between
+    them but what ``make`` holds.
     """
     out = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,8 +42,8 @@ def map_arrow(df: DataFrame, columns: list[str], make: Callable[[], Callable[...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            cols = fn(*[batch.column(i).to_pylist() for i in range(len(columns))])
+        for part in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
+            cols = fn(*[part.column(i).to_pylist() for i in range(len(columns))])
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, out)

@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame
 
 from .bpe import Merges
-from .common import map_arrow
+from .common import map_arrow, resident
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -173,11 +172,11 @@ def _is_char(raw: bytearray) -> bool:
         return False
 
 
-@lru_cache(maxsize=4)
 def codec(path: str | None = None) -> PieceCodec:
     import public_tokenizers
 
-    return PieceCodec(path or public_tokenizers.path(MODEL))
+    path = path or public_tokenizers.path(MODEL)
+    return resident(("pieces", path), lambda: PieceCodec(path))
 
 
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

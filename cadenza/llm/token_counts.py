@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
 
 from .bpe import Merges
-from .common import map_arrow
+from .common import map_arrow, resident
 
 MODEL = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -147,11 +146,11 @@ class ByteTokenCounter:
         return text[: over - 1]
 
 
-@lru_cache(maxsize=4)
 def counter(path: str | None = None) -> ByteTokenCounter:
     import public_tokenizers
 
-    return ByteTokenCounter(path or public_tokenizers.path(MODEL))
+    path = path or public_tokenizers.path(MODEL)
+    return resident(("bytes", path), lambda: ByteTokenCounter(path))
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = LIMIT) -> DataFrame:
