@@ -16,7 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 DIVISIONS, BEATS, BEAT_TYPE = 4, 4, 4
-BPM = F.lit(60) + F.col("doc") % 120
+
+
+def bpm():
+    return F.lit(60) + F.col("doc") % 120
 
 
 def note_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,15 +67,15 @@ def spans(n: DataFrame) -> DataFrame:
 
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = notes(spark, sf_dir)
-    return score.timed_notes(n, spans(n), BPM, F.lit(DIVISIONS))
+    return score.timed_notes(n, spans(n), bpm(), F.lit(DIVISIONS))
 
 
 def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, measure_index, start_ms, song_end): measure starts of the documents that have sounding notes."""
     n = notes(spark, sf_dir)
     s = spans(n)
-    end = score.timed_notes(n, s, BPM, F.lit(DIVISIONS)).groupBy("doc").agg(F.max("end_at").alias("song_end"))
-    at = F.round(F.col("start_div") * ((F.lit(60000.0) / BPM) / F.lit(DIVISIONS))).cast("long")
+    end = score.timed_notes(n, s, bpm(), F.lit(DIVISIONS)).groupBy("doc").agg(F.max("end_at").alias("song_end"))
+    at = F.round(F.col("start_div") * ((F.lit(60000.0) / bpm()) / F.lit(DIVISIONS))).cast("long")
     return s.join(end, "doc").select("doc", "measure_index", at.alias("start_ms"), "song_end")
 
 

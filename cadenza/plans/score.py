@@ -10,19 +10,10 @@ from ..operators import playback as pb
 from ..operators import score as sc
 from ..sources import catalog
 from . import adapters as ad
+from .registry import registry
 
 N, T = ad.NOTES_SQL, ad.TIMED_SQL
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def joined(c):
@@ -143,7 +134,7 @@ def q211_note_heads(spark, d):
 
 @query(T + " SELECT doc, measure_index, note_seq, CASE WHEN duration_ms / (60000.0::DOUBLE / (60 + doc % 120)) <= 0.32 THEN 2 WHEN duration_ms / (60000.0::DOUBLE / (60 + doc % 120)) <= 0.62 THEN 1 ELSE 0 END flags FROM timed")
 def q212_flags(spark, d):
-    return ad.timed(spark, d).select("doc", "measure_index", "note_seq", music.flags_by_ratio(F.col("duration_ms"), ad.BPM).alias("flags"))
+    return ad.timed(spark, d).select("doc", "measure_index", "note_seq", music.flags_by_ratio(F.col("duration_ms"), ad.bpm()).alias("flags"))
 
 
 FL = T + ", fl AS (SELECT doc, staff, start_ms, measure_index, note_seq, CASE WHEN duration_ms / (60000.0::DOUBLE / (60 + doc % 120)) <= 0.32 THEN 2 WHEN duration_ms / (60000.0::DOUBLE / (60 + doc % 120)) <= 0.62 THEN 1 ELSE 0 END flags FROM timed)"
@@ -151,7 +142,7 @@ FL = T + ", fl AS (SELECT doc, staff, start_ms, measure_index, note_seq, CASE WH
 
 def flagged(spark, d):
     n = ad.timed(spark, d)
-    return n.withColumn("flags", music.flags_by_ratio(F.col("duration_ms"), ad.BPM))
+    return n.withColumn("flags", music.flags_by_ratio(F.col("duration_ms"), ad.bpm()))
 
 
 @query(FL + " SELECT doc, staff, count(*) n FROM (SELECT *, lead(flags) OVER (PARTITION BY doc, staff ORDER BY start_ms, measure_index, note_seq) nf FROM fl) WHERE flags >= 2 AND nf >= 2 GROUP BY ALL")
@@ -283,7 +274,7 @@ def q213_key_feedback(spark, d):
 def q210_viewport(spark, d):
     n = ad.timed(spark, d)
     met = ad.probes(n).join(n, "doc").where("start_ms + duration_ms >= t and start_ms <= t + 4000")
-    return met.groupBy("doc", "t").agg(F.count_if("start_ms <= t + 3000").alias("waterfall"), F.count(F.lit(1)).alias("staff_view"))
+    return met.groupBy("doc", "t").agg(F.count_if(F.expr("start_ms <= t + 3000")).alias("waterfall"), F.count(F.lit(1)).alias("staff_view"))
 
 
 @query("SELECT level, CAST(count(*) AS BIGINT) n, string_agg(id, ',' ORDER BY id) ids FROM (VALUES ('ode', 'beginner'), ('twinkle', 'beginner'), ('minuet', 'intermediate'), ('arabesque', 'intermediate'), ('prelude', 'advanced')) v(id, level) GROUP BY level")
