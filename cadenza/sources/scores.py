@@ -10,15 +10,15 @@ import io
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 EVENTS = (
     "doc string, measure_index int, note_seq int, kind string, staff int, voice int, dur long, step string, octave int, alter int, is_rest boolean, note_type string, dots int,"
     " tie_start boolean, tie_stop boolean, slur_start boolean, slur_stop boolean, actual int, sign string, line int, text string, error string"
 )
-_NAMES = [c.split()[0] for c in EVENTS.split(",")]
 
 
 def _int(e: ET.Element | None, path: str, old: int) -> int:
@@ -105,15 +105,15 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 def parse_scores(files: DataFrame) -> DataFrame:
     """EVENTS of the files (doc, content)."""
 
-    def run(frames):
-        for pdf in frames:
-            for doc, content in zip(pdf["doc"], pdf["content"]):
-                out = pd.DataFrame(list(parse(doc, content)), columns=_NAMES)
-                for name in ("staff", "voice", "dur", "octave", "alter", "dots", "actual", "line"):
-                    out[name] = out[name].astype("Int64")
-                yield out
+    schema = files.sparkSession.createDataFrame([], EVENTS).schema
+    arrow = to_arrow_schema(schema)
 
-    return files.select("doc", "content").mapInPandas(run, EVENTS)
+    def run(batches):
+        for batch in batches:
+            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_pylist(list(parse(doc, content or b"")), schema=arrow)
+
+    return files.select("doc", "content").mapInArrow(run, schema)
 
 
 def documents(events: DataFrame) -> DataFrame:
