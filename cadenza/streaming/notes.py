@@ -1,7 +1,7 @@
 """Keyed state over event streams: held notes and rate limits.
 
-Both run on arrival order within a micro-batch by the given sequence; state is one small row per key. Keys without events
-for ``IDLE`` of processing time lose their state, which bounds the store (our choice: the rules themselves never expire).
+Both run on arrival order within a micro-batch by the given sequence; state is one small row per key and is kept, since the
+rules themselves never expire: the store grows with the number of keys.
 """
 
 from __future__ import annotations
@@ -12,16 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-IDLE_MS = 24 * 3600 * 1000
-
 
 def held_notes(events: DataFrame) -> DataFrame:
     """(stream, seq, held) after each micro-batch of decoded events (stream, seq, kind, pitch): update mode."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         pitches = set(state.get[0]) if state.exists else set()
         rows = pd.concat(list(frames)).sort_values("seq")
         for kind, pitch in zip(rows["kind"], rows["pitch"]):
@@ -30,10 +25,9 @@ def held_notes(events: DataFrame) -> DataFrame:
             elif kind == "off":
                 pitches.discard(int(pitch))
         state.update((sorted(pitches),))
-        state.setTimeoutDuration(IDLE_MS)
         yield pd.DataFrame({"stream": [key[0]], "seq": [int(rows["seq"].max())], "held": [sorted(pitches)]})
 
-    return events.groupBy("stream").applyInPandasWithState(step, "stream long, seq long, held array<int>", "held array<int>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("stream").applyInPandasWithState(step, "stream long, seq long, held array<int>", "held array<int>", "update", GroupStateTimeout.NoTimeout)
 
 
 def rate_limit(hits: DataFrame, most: int, ttl_s: int) -> DataFrame:
@@ -43,9 +37,6 @@ def rate_limit(hits: DataFrame, most: int, ttl_s: int) -> DataFrame:
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         start, n = state.get if state.exists else (None, 0)
         rows = pd.concat(list(frames)).sort_values("seq")
         allowed = []
@@ -55,7 +46,6 @@ def rate_limit(hits: DataFrame, most: int, ttl_s: int) -> DataFrame:
             n += 1
             allowed.append(n <= most)
         state.update((int(start), int(n)))
-        state.setTimeoutDuration(max(IDLE_MS, ttl_s * 1000))
         yield pd.DataFrame({"key": [key[0]] * len(rows), "seq": rows["seq"].tolist(), "allowed": allowed})
 
-    return hits.groupBy("key").applyInPandasWithState(step, "key long, seq long, allowed boolean", "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy("key").applyInPandasWithState(step, "key long, seq long, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)

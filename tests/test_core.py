@@ -128,11 +128,11 @@ def test_streams(spark, tmp_path):
     held.write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(held.schema).parquet(str(tmp_path / "in"))
     query = stream_notes.held_notes(source).writeStream.outputMode("update").format("memory").queryName("held").trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query.awaitTermination(30)
     assert [tuple(r["held"]) for r in spark.table("held").collect()][-1] == (64, 67)
     hits = held.selectExpr("stream as key", "seq", "seq * 10 as second")
     hits.write.parquet(str(tmp_path / "hits"))
     source = spark.readStream.schema(hits.schema).parquet(str(tmp_path / "hits"))
     query = stream_notes.rate_limit(source, 2, 25).writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query.awaitTermination(30)
     assert [r["allowed"] for r in spark.table("limited").orderBy("seq").collect()] == [True, True, False, True]
