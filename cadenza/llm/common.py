@@ -22,12 +22,18 @@ _RESIDENT: dict = {}
 def resident(key: tuple, build: Callable):
     """What ``build`` made for ``key``: a Python worker holds one such object at a time, so stages do not add up in memory."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
-        gc.collect()
+        vacate()
         _RESIDENT[key] = build()
     return _RESIDENT[key]
 
 
+def vacate() -> None:
+    """Forget the object an earlier stage left in this Python worker; tasks with large tables of their own begin with it."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+
+
 def map_arrow(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., list]], schema: str, rows: int = SLICE) -> DataFrame:
     """Map batches of ``columns`` to the columns of ``schema``.
 

@@ -30,6 +30,8 @@ BLOCK_WORDS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 #: Words of documents that are embedded at once.
 CHUNK = 1 << 20
+#: Cells of the windows that walk at once.
+CELLS = 1 << 22
 
 
 def word_list(text: str | None) -> list[str]:
@@ -55,16 +57,18 @@ class Index:
         self.lengths = sorted({len(c) for c in self.codes})
         self.most = max((edits(m) for m in self.lengths), default=0)
         rng = np.random.default_rng(seed)
+        # the random bits of each repeat by step and word; windows of all lengths share them, as they never meet
+        steps = -(-3 * max(self.lengths, default=0) // 2)
+        self.bits = [rng.integers(0, 2, size=(steps, self.other + 2), dtype=np.int8) for _ in range(REPEATS)]
         self.walks: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
         for m in self.lengths:
             own = [k for k, c in enumerate(self.codes) if len(c) == m]
             text = np.concatenate([self.codes[k] for k in own])
             starts = np.arange(len(own), dtype=np.int64) * m
             self.walks[m] = []
-            for _ in range(REPEATS):
+            for bits in self.bits:
                 steps = -(-3 * m // 2)  # further on most walks have left the window
                 places = np.sort(rng.choice(steps, size=min(SAMPLES, steps), replace=False))
-                bits = rng.integers(0, 2, size=(int(places[-1]) + 1, self.other + 2), dtype=np.int32)
                 keys = self.walk(self.windows(text, starts, m), places, bits)
                 order = np.argsort(keys, kind="stable")
                 self.walks[m].append((places, bits, keys[order], np.array(own)[order]))
@@ -104,16 +108,22 @@ class Index:
             starts = starts[odd[starts + m - 1] - odd[starts] <= 2 * edits(m)]
             if not len(starts):
                 continue
-            met, rows = [], self.windows(text, starts, m)
-            for places, bits, keys, own in self.walks[m]:
-                found = self.walk(rows, places, bits)
-                low, high = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
-                hit = np.flatnonzero(high > low)
-                for k in range(int((high - low).max(initial=0))):
-                    more = hit[low[hit] + k < high[hit]]
-                    met.append(starts[more] * len(self.items) + own[low[more] + k])
-            for pair in np.unique(np.concatenate(met)) if met else ():
-                yield divmod(int(pair), len(self.items))
+            step = max(1, CELLS // (5 * m // 2 + 2))
+            for at in range(0, len(starts), step):
+                for pair in self._met(text, starts[at : at + step], m):
+                    yield divmod(int(pair), len(self.items))
+
+    def _met(self, text: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+        """Sorted numbers start * items + item of the windows and items that meet in any repeat."""
+        met, rows = [np.zeros(0, dtype=np.int64)], self.windows(text, starts, m)
+        for places, bits, keys, own in self.walks[m]:
+            found = self.walk(rows, places, bits)
+            low, high = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
+            hit = np.flatnonzero(high > low)
+            for k in range(int((high - low).max(initial=0))):
+                more = hit[low[hit] + k < high[hit]]
+                met.append(starts[more] * len(self.items) + own[low[more] + k])
+        return np.unique(np.concatenate(met))
 
 
 def _index(items: tuple) -> Index:

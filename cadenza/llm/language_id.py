@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, vacate
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -60,6 +60,7 @@ def buckets_of(text: str | None):
 def _count_partition(batches):
     import pyarrow as pa
 
+    vacate()
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -111,6 +112,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str],
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        vacate()
         langs, matrix = shared.value
 
         def batch(texts, *kept):

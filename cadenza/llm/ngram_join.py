@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, map_arrow, release, stored
+from .common import WordHash, map_arrow, release, stored, vacate
 from .components import components
 
 BUCKETS = 1 << 18
@@ -73,6 +73,7 @@ def _survey(n: int):
     """Per document its set's size, key and sketch; at a partition's end its counts of shingles by bucket (id null, k1 bucket)."""
 
     def run(batches):
+        vacate()
         words, counts, names = WordHash(), np.zeros(BUCKETS, dtype=np.int64), ["id", "n", "k1", "k2", "sketch"]
         for batch in batches:
             size, k1, k2, bits, sets, held = [], [], [], [], [], 0
@@ -125,6 +126,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = members.where("n > 0 and id is not null").select("id", "n", "sketch")
 
     def prefixes():
+        vacate()
         words, counts = WordHash(), often.value
 
         def batch(ids, found):
