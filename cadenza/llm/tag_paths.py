@@ -1,8 +1,11 @@
 """Main text of HTML pages by tag-path ratios.
 
-Every text node belongs to the path of tags from the root to it. Text length and punctuation are summed per path over
-the page, divided by the nodes on the path, smoothed over similar paths, fused to one score and cut at a threshold of
-the page's own spread. Paths through elements that never hold the article (menus, forms, scripts and the like) score 0.
+Every text block belongs to the path of tags from the root to it; a block that is mostly link text has a path of its own.
+Text length and punctuation are averaged per path over the page, smoothed over similar paths and fused to one score with
+the share of text outside links and with the landmarks (``<article>``, ``<main>``). The scores of every page are cut at a
+threshold of the page's own spread; a landmark alone keeps nothing. Headings and plain lists, tables and quotations that
+stand beside chosen text follow it. Paths through elements that never hold the article (menus, forms, scripts and the
+like) score 0.
 """
 
 from __future__ import annotations
@@ -21,6 +24,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SKIP = frozenset("script style noscript template iframe object svg math head title select option textarea button canvas audio video".split())
 OUTSIDE = frozenset("nav footer aside form dialog menu".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Without a class or id of their own, these follow the text they stand in.
+FLOW = frozenset("ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption p".split())
+#: What a path outside the landmarks of its page keeps of its score.
+OFF_LANDMARK = 0.5
 #: A start tag of the left closes an open element of the right, up to the nearest of the third.
 CLOSES = {
     **{t: (frozenset({"p"}), frozenset()) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()},
@@ -42,10 +50,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("path", "text", "block", "out", "main")
+    __slots__ = ("path", "text", "block", "out", "main", "link")
 
-    def __init__(self, path, text, block, out, main):
-        self.path, self.text, self.block, self.out, self.main = path, text, block, out, main
+    def __init__(self, path, text, block, out, main, link):
+        self.path, self.text, self.block, self.out, self.main, self.link = path, text, block, out, main, link
 
 
 class Reader(HTMLParser):
@@ -55,7 +63,7 @@ class Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, label in the path, skipped, outside, in the main part
+        self.stack: list[tuple[str, str, bool, bool, bool, bool]] = []  # tag, label in the path, skipped, outside, in the main part, in a link
         self.nodes: list[Node] = []
         self.block = 0
 
@@ -75,7 +83,7 @@ class Reader(HTMLParser):
                 if self.stack[k][0] in limit or not limit and self.stack[k][0] not in INLINE:
                     break
         marks = {k: (v or "") for k, v in attrs}
-        _, _, skip, out, main = self.stack[-1] if self.stack else ("", "", False, False, False)
+        _, _, skip, out, main, link = self.stack[-1] if self.stack else ("", "", False, False, False, False)
         named = f"{marks.get('class', '')} {marks.get('id', '')}".lower().strip()
         main = main or tag in MAIN or marks.get("role", "").lower() == "main"
         out = out or tag in OUTSIDE or tag == "header" and not main or marks.get("role", "").lower() in ROLES
@@ -83,7 +91,7 @@ class Reader(HTMLParser):
         skip = skip or tag in SKIP or "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "").lower()
         if tag not in INLINE:
             self.block += 1
-        self.stack.append((tag, tag + ("." + named.split()[0] if named else ""), skip, out, main))
+        self.stack.append((tag, tag + ("." + named.split()[0] if named else ""), skip, out, main, link or tag == "a"))
 
     def handle_endtag(self, tag):
         if tag == "p" and not any(x[0] == "p" for x in self.stack):
@@ -103,8 +111,8 @@ class Reader(HTMLParser):
     def _add(self, data):
         if not self.stack or not self.stack[-1][2]:
             path = tuple(x[1] for x in self.stack if x[0] not in INLINE)
-            _, _, _, out, main = self.stack[-1] if self.stack else ("", "", False, False, False)
-            self.nodes.append(Node(path, data, self.block, out, main))
+            _, _, _, out, main, link = self.stack[-1] if self.stack else ("", "", False, False, False, False)
+            self.nodes.append(Node(path, data, self.block, out, main, link))
 
 
 def alike(a: tuple[str, ...], b: tuple[str, ...]) -> float:
@@ -113,26 +121,52 @@ def alike(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return n / max(len(a), len(b), 1)
 
 
+def split_links(nodes: list[Node]) -> None:
+    """Give blocks that are mostly link text a path of their own, so that link lists are not averaged with plain ones."""
+    size: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+    for x in nodes:
+        if not x.out:
+            size[x.block, x.path][x.link] += len(x.text.strip())
+    for x in nodes:
+        plain, linked = size.get((x.block, x.path), (0, 0))
+        if linked > plain:
+            x.path = (*x.path, "a")
+
+
 def scores(nodes: list[Node]) -> dict[tuple[str, ...], float]:
-    """Fused, smoothed ratio of each path."""
-    chars, marks, often = defaultdict(int), defaultdict(int), defaultdict(int)
+    """Fused ratio of each path: its own and the smoothed one, so that neighbours alone do not lift a short path."""
+    chars, linked, marks, inside = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
+    blocks = defaultdict(set)
     for x in nodes:
         text = x.text.strip()
         if text and not x.out:
             chars[x.path] += len(text)
+            linked[x.path] += len(text) * x.link
+            inside[x.path] += len(text) * x.main
             marks[x.path] += len(PUNCT.findall(text))
-            often[x.path] += 1
-    ratio = {p: (chars[p] / often[p], marks[p] / often[p]) for p in chars}
+            blocks[x.path].add(x.block)
+    ratio = {p: (chars[p] / len(blocks[p]), marks[p] / len(blocks[p])) for p in chars}
+    landmark = any(inside.values())
     smooth: dict[tuple[str, ...], float] = {}
     for p in ratio:
         weight = {q: math.exp(-(((1 - alike(p, q)) / 0.2) ** 2)) for q in ratio}
         total = sum(weight.values())
         text = sum(weight[q] * ratio[q][0] for q in ratio) / total
         punct = sum(weight[q] * ratio[q][1] for q in ratio) / total
-        smooth[p] = math.sqrt(text * (1 + punct))
+        term = OFF_LANDMARK + (1 - OFF_LANDMARK) * inside[p] / chars[p] if landmark else 1.0
+        own = ratio[p][0] * (1 + ratio[p][1])
+        smooth[p] = math.sqrt(math.sqrt(own * text * (1 + punct))) * (1 - linked[p] / chars[p]) * term
     return smooth
 
 
+def container(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path of what a heading, list, table, quotation or paragraph stands in."""
+    n = len(path)
+    while n and (path[n - 1] in FLOW or path[n - 1].split(".")[0] in HEADINGS):
+        n -= 1
+    return path[:n]
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by an empty line; empty for null or where nothing is left."""
     if not html:
@@ -141,6 +175,7 @@ def main_text(html: str | None) -> str:
     reader.feed(html)
     reader.close()
     nodes = reader.nodes
+    split_links(nodes)
     score = scores(nodes)
     if not score:
         return ""
@@ -148,11 +183,9 @@ def main_text(html: str | None) -> str:
     middle = sum(values) / len(values)
     spread = math.sqrt(sum((v - middle) ** 2 for v in values) / len(values))
     threshold = min(spread, 0.5 * values[-1])
-    mains = {p for p in {x.path for x in nodes if x.main and not x.out} if p in score}
-    kept = mains or {p for p, v in score.items() if v >= threshold}
-    if not mains:  # headings and short parts beside the chosen paths
-        roots = {p[:-1] for p in kept}
-        kept |= {p for p in score if p[:-1] in roots}
+    kept = {p for p, v in score.items() if v >= threshold}
+    roots = {container(p) for p in kept}
+    kept |= {p for p in score if p[-1:] != ("a",) and container(p) != p and container(p) in roots}
     blocks: dict[int, list[str]] = defaultdict(list)
     for x in nodes:
         if not x.out and (x.path in kept or not x.text.strip()):

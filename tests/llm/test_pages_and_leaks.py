@@ -36,6 +36,24 @@ def test_a_page_without_landmarks():
     assert text.split("\n\n") == [f"Paragraph {k} of the story, which has some length, some commas, and an end." for k in range(6)]
 
 
+STORY = [f"Paragraph {k} of the story, which has some length, some commas, and an end." for k in range(6)]
+LINKS = "".join(f'<li><a href="/{k}">Another story to read, number {k}</a></li>' for k in range(20))
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div role='main'", "div class='x'"])
+def test_paths_are_scored_inside_landmarks_too(tag):
+    body = "".join(f"<p>{p}</p>" for p in STORY)
+    extra = "<div><div>Sign up</div><div>Share it</div></div><div><span>By us</span></div>"
+    html = f"<html><body><{tag}><h1>The headline</h1>{body}<ul><li>a plain point</li></ul><ul>{LINKS}</ul>{extra}</{tag.split()[0]}></body></html>"
+    assert tag_paths.main_text(html).split("\n\n") == ["The headline", *STORY, "a plain point"]
+
+
+def test_a_landmark_does_not_outweigh_the_text_beside_it():
+    body = "".join(f"<p>{p}</p>" for p in STORY)
+    html = f"<html><body><article>Teaser</article><div class='story'>{body}</div></body></html>"
+    assert tag_paths.main_text(html).split("\n\n") == STORY
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "&amp", "<!-- open", "<p>a<p>b</b></i>", "</div></div>", "<script>x", "<" * 2000, "<div>" * 3000 + "deep", "\x00<p>\x00</p>"])
 def test_broken_markup_is_no_crash(html):
     assert isinstance(tag_paths.main_text(html), str)
