@@ -4,8 +4,9 @@ Every text block belongs to the path of tags from the root to it; a block that i
 Text length and punctuation are averaged per path over the page, smoothed over similar paths and fused to one score with
 the share of text outside links and with the landmarks (``<article>``, ``<main>``). The scores of every page are cut at a
 threshold of the page's own spread; a landmark alone keeps nothing. Headings and plain lists, tables and quotations that
-stand beside chosen text follow it. Paths through elements that never hold the article (menus, forms, scripts and the
-like) score 0.
+stand beside chosen text follow it. Elements that never hold the article (menus, forms, scripts and the like) score 0.
+Class names and ids such as ``sidebar`` or ``header`` only lower the score of the paths below them, and not where the
+element holds the landmark or most of the page's text.
 """
 
 from __future__ import annotations
@@ -40,20 +41,35 @@ CLOSES = {
     "th": (frozenset({"td", "th"}), frozenset({"table"})),
 }
 NOT_CONTENT = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|"
-    r"comments?|respond|replies|reply|disqus|reader-?comments?|side-?bar|widgets?|related|recommend(?:ed|ations)?|share|sharing|social|"
-    r"menu|nav(?:bar|igation)?|breadcrumbs?|pagination|pager|toc|header|masthead|footer|legal|copyright|login|search|tags|hidden)(?:$|[^a-z])"
+    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|popup|modal|newsletter|subscribe|"
+    r"comments?|respond|replies|reply|disqus|reader-?comments?|side-?bar|widgets?|related|recommend(?:ed|ations)?|"
+    r"menu|nav(?:bar|igation)?|breadcrumbs?|pagination|pager|toc|footer|copyright|login|hidden)(?:$|[^a-z])"
 )
+#: Words that the article's own parts carry too.
+SELDOM_CONTENT = re.compile(r"(?:^|[^a-z])(?:banner|notices?|alert|share|sharing|social|header|masthead|legal|search|tags)(?:$|[^a-z])")
+#: What a path keeps of its score below an element of such a name, by the mark at the end of the element's label.
+NAMED = {"!": 0.2, "^": 0.6}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 PUNCT = re.compile(r"[.,;:!?。、，！？；：…]")
 SPACE = re.compile(r"\s+")
 
 
+class Element:
+    __slots__ = ("tag", "label", "name", "parent", "skip", "out", "main", "link", "size", "inside", "direct", "path")
+
+    def __init__(self, tag, label="", name="", parent=None, skip=False, out=False, main=False, link=False):
+        self.tag, self.label, self.name, self.parent = tag, label, name, parent
+        self.skip, self.out, self.main, self.link = skip, out, main, link
+        self.size = self.inside = self.direct = 0
+        self.path = None
+
+
 class Node:
-    __slots__ = ("path", "text", "block", "out", "main", "link")
+    __slots__ = ("at", "path", "text", "block", "out", "main", "link")
 
-    def __init__(self, path, text, block, out, main, link):
-        self.path, self.text, self.block, self.out, self.main, self.link = path, text, block, out, main, link
+    def __init__(self, at, text, block):
+        self.at, self.text, self.block = at, text, block
+        self.out, self.main, self.link = at.out, at.main, at.link
 
 
 class Reader(HTMLParser):
@@ -63,7 +79,9 @@ class Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool, bool, bool]] = []  # tag, label in the path, skipped, outside, in the main part, in a link
+        self.root = Element("")
+        self.elements: list[Element] = []
+        self.stack: list[Element] = []
         self.nodes: list[Node] = []
         self.block = 0
 
@@ -77,42 +95,76 @@ class Reader(HTMLParser):
         if tag in CLOSES:
             closed, limit = CLOSES[tag]
             for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] in closed:
+                if self.stack[k].tag in closed:
                     del self.stack[k:]
                     break
-                if self.stack[k][0] in limit or not limit and self.stack[k][0] not in INLINE:
+                if self.stack[k].tag in limit or not limit and self.stack[k].tag not in INLINE:
                     break
         marks = {k: (v or "") for k, v in attrs}
-        _, _, skip, out, main, link = self.stack[-1] if self.stack else ("", "", False, False, False, False)
+        at = self.stack[-1] if self.stack else self.root
         named = f"{marks.get('class', '')} {marks.get('id', '')}".lower().strip()
-        main = main or tag in MAIN or marks.get("role", "").lower() == "main"
-        out = out or tag in OUTSIDE or tag == "header" and not main or marks.get("role", "").lower() in ROLES
-        out = out or tag not in ("html", "body") and tag not in MAIN and bool(named) and NOT_CONTENT.search(named) is not None
-        skip = skip or tag in SKIP or "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "").lower()
+        main = at.main or tag in MAIN or marks.get("role", "").lower() == "main"
+        out = at.out or tag in OUTSIDE or tag == "header" and not main or marks.get("role", "").lower() in ROLES
+        name = ""
+        if named and tag not in ("html", "body") and tag not in MAIN:
+            name = "!" if NOT_CONTENT.search(named) else "^" if SELDOM_CONTENT.search(named) else ""
+        skip = at.skip or tag in SKIP or "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "").lower()
         if tag not in INLINE:
             self.block += 1
-        self.stack.append((tag, tag + ("." + named.split()[0] if named else ""), skip, out, main, link or tag == "a"))
+        new = Element(tag, tag + ("." + named.split()[0] if named else ""), name, at, skip, out, main, at.link or tag == "a")
+        self.stack.append(new)
+        self.elements.append(new)
 
     def handle_endtag(self, tag):
-        if tag == "p" and not any(x[0] == "p" for x in self.stack):
+        if tag == "p" and not any(x.tag == "p" for x in self.stack):
             self.block += 1
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
+            if self.stack[k].tag == tag:
                 if tag not in INLINE:
                     self.block += 1
                 del self.stack[k:]
                 return
-            if tag in INLINE and self.stack[k][0] not in INLINE:
+            if tag in INLINE and self.stack[k].tag not in INLINE:
                 return  # a stray end tag does not close the block around it
 
     def handle_data(self, data):
         self._add(data)
 
     def _add(self, data):
-        if not self.stack or not self.stack[-1][2]:
-            path = tuple(x[1] for x in self.stack if x[0] not in INLINE)
-            _, _, _, out, main, link = self.stack[-1] if self.stack else ("", "", False, False, False, False)
-            self.nodes.append(Node(path, data, self.block, out, main, link))
+        at = self.stack[-1] if self.stack else self.root
+        if not at.skip:
+            self.nodes.append(Node(at, data, self.block))
+
+    def close(self):
+        super().close()
+        self._weigh()
+        for x in self.nodes:
+            if x.at.path is None:
+                path, e = [], x.at
+                while e is not self.root:
+                    if e.name or e.tag not in INLINE:
+                        path.append(e.label + e.name)
+                    e = e.parent
+                x.at.path = tuple(reversed(path))
+            x.path = x.at.path
+
+    def _weigh(self):
+        """Take back the names of elements that hold the landmark, or most of the text in blocks below their own."""
+        for x in self.nodes:
+            if not x.out:
+                n = len(x.text.strip())
+                x.at.size += n
+                x.at.inside += n * x.main
+                e = x.at
+                while e.tag in INLINE:
+                    e = e.parent
+                e.direct += n
+        for e in reversed(self.elements):  # children stand after their parents
+            e.parent.size += e.size
+            e.parent.inside += e.inside
+        for e in self.elements:
+            if e.name and e.tag not in INLINE and (2 * (e.size - e.direct) > self.root.size or not e.parent.main and 2 * e.inside > self.root.inside):
+                e.name = ""
 
 
 def alike(a: tuple[str, ...], b: tuple[str, ...]) -> float:
@@ -155,18 +207,37 @@ def scores(nodes: list[Node]) -> dict[tuple[str, ...], float]:
         punct = sum(weight[q] * ratio[q][1] for q in ratio) / total
         term = OFF_LANDMARK + (1 - OFF_LANDMARK) * inside[p] / chars[p] if landmark else 1.0
         own = ratio[p][0] * (1 + ratio[p][1])
+        term *= min((NAMED.get(label[-1:], 1.0) for label in p), default=1.0)
         smooth[p] = math.sqrt(math.sqrt(own * text * (1 + punct))) * (1 - linked[p] / chars[p]) * term
     return smooth
 
 
+def tag_of(label: str) -> str:
+    return label.rstrip("^").split(".")[0]
+
+
 def container(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path of what a heading, list, table, quotation or paragraph stands in."""
-    n = len(path)
-    while n and (path[n - 1] in FLOW or path[n - 1].split(".")[0] in HEADINGS):
+    """The path of what a heading, list, table, quotation or paragraph stands in; a heading stands beside its header."""
+    n, heading = len(path), False
+    while n and (path[n - 1] in FLOW or path[n - 1][-1] != "!" and tag_of(path[n - 1]) in HEADINGS):
+        n -= 1
+        heading = heading or path[n] not in FLOW
+    while heading and n and (path[n - 1][-1] == "^" or tag_of(path[n - 1]) in ("header", "hgroup")):
         n -= 1
     return path[:n]
 
 
+def follows(path: tuple[str, ...], roots: set[tuple[str, ...]]) -> bool:
+    """Whether a path stands beside chosen text; a title may also stand in a box beside the box of the text."""
+    at = container(path)
+    if at == path or path[-1] == "a":
+        return False
+    if at in roots:
+        return True
+    boxed = len(at) == len(path) - 1 and tag_of(path[-1]) == "h1" and at and at[-1][-1] not in NAMED
+    return bool(boxed) and any(x not in ("html", "body") for x in at[:-1]) and any(r[: len(at) - 1] == at[:-1] for r in roots)
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by an empty line; empty for null or where nothing is left."""
     if not html:
@@ -182,10 +253,11 @@ def main_text(html: str | None) -> str:
     values = sorted(score.values())
     middle = sum(values) / len(values)
     spread = math.sqrt(sum((v - middle) ** 2 for v in values) / len(values))
-    threshold = min(spread, 0.5 * values[-1])
-    kept = {p for p, v in score.items() if v >= threshold}
+    half = 0.5 * values[-1]
+    threshold = min(spread, half)
+    kept = {p for p, v in score.items() if v >= (half if any(label[-1:] == "!" for label in p) else threshold)}
     roots = {container(p) for p in kept}
-    kept |= {p for p in score if p[-1:] != ("a",) and container(p) != p and container(p) in roots}
+    kept |= {p for p in score if follows(p, roots)}
     blocks: dict[int, list[str]] = defaultdict(list)
     for x in nodes:
         if not x.out and (x.path in kept or not x.text.strip()):

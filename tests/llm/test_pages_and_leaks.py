@@ -48,6 +48,21 @@ def test_paths_are_scored_inside_landmarks_too(tag):
     assert tag_paths.main_text(html).split("\n\n") == ["The headline", *STORY, "a plain point"]
 
 
+@pytest.mark.parametrize("name", ["site has-sidebar", "no-sidebar", "content with-sidebar", "header-fixed", "comments-open"])
+@pytest.mark.parametrize("tag", ["main", "article", "div role='main'", "div"])
+def test_a_name_does_not_remove_the_wrapper_of_the_story(name, tag):
+    body = "".join(f"<p>{p}</p>" for p in STORY)
+    page = f"<div class='{name}'><div class='top'>Site</div><{tag}>{body}<div class='related'>Other stories</div></{tag.split()[0]}></div>"
+    assert tag_paths.main_text(f"<html><body>{page}</body></html>").split("\n\n") == STORY
+
+
+def test_names_do_not_remove_parts_of_the_story():
+    body = ["".join(f"<p>{p}</p>" for p in part) for part in (STORY[:4], STORY[4:])]
+    for head in ("<div class='entry-header'><h1>The headline</h1></div>", "<header class='post-header'><h1>The headline</h1></header>", "<div class='top'><h1>The headline</h1></div>"):
+        html = f"<html><body><article>{head}{body[0]}<section class='legal-news'>{body[1]}</section><section id='comments'><p>Well said, all of it, I think.</p></section></article></body></html>"
+        assert tag_paths.main_text(html).split("\n\n") == ["The headline", *STORY]
+
+
 def test_a_landmark_does_not_outweigh_the_text_beside_it():
     body = "".join(f"<p>{p}</p>" for p in STORY)
     html = f"<html><body><article>Teaser</article><div class='story'>{body}</div></body></html>"
