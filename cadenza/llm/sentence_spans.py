@@ -3,8 +3,11 @@
 From every sentence starts a span: the shortest run of at least ``RUN`` sentences and ``WORDS`` words. Spans are hashed and
 joined over all documents; sentences that lie in any span which is not that span's first occurrence are removed. "First"
 is by document id, then by the document's text where ids repeat, then by place. Sentences end at ``.``, ``!`` or ``?`` before
-white space and at line ends; those longer than ``CUT`` words are cut after every CUT words, so that a passage of over 50
-words holds a span whatever its punctuation.
+white space and at line ends. In every ``PLACES`` places between words on end without a sentence end, the place with the least
+hash of its two words is a cut. Each window of PLACES places thus holds a sentence end or a cut that its own words decide, and
+what stands before or behind a passage can add cuts only before its first and behind its last such place. A passage of
+over 50 words has at least 50 places and so four boundaries that every copy shares: it holds a span whatever its
+punctuation and wherever it begins.
 """
 
 from __future__ import annotations
@@ -13,38 +16,71 @@ import re
 from hashlib import blake2b
 from struct import unpack
 
-from pyspark.sql import DataFrame
+import numpy as np
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import map_arrow
 
 RUN = 3
 WORDS = 12
-CUT = 16
-_SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*(?:[.!?]+(?=\s|$)[^\S\n]*|\n|$)\s*")
+PLACES = 12
 _WORD = re.compile(r"\S+\s*")
 
 
-def sentences(text: str | None) -> list[str]:
-    """The text in order as sentences with the white space after each; they join to the text."""
-    out: list[str] = []
-    for s in _SENTENCE.findall(text or ""):
-        if not s:
-            continue
-        if not s.strip() and out:
-            out[-1] += s
-            continue
-        words = _WORD.findall(s) if s.count(" ") >= CUT else ()
-        if len(words) <= CUT:
-            out.append(s)
-            continue
-        lead = s[: len(s) - sum(map(len, words))]
-        parts = ["".join(words[i : i + CUT]) for i in range(0, len(words), CUT)]
-        parts[0] = lead + parts[0]
-        out += parts
+class Marks(dict):
+    """Lower-cased word -> 64-bit hash, its last bit telling whether the word ends a sentence; the bound changes speed only."""
+
+    LIMIT = 400_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1 | (word[-1] in ".!?")
+        return h
+
+
+def boundaries(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a sentence or a piece of one ends behind each word, given the marks of the words and where sentences end."""
+    if len(marks) <= PLACES:  # no window of places between words
+        return ends
+    h = (marks[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (marks[1:] >> np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(32)
+    h = h * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
+    h[ends[:-1]] = 0
+    least, wide = h, 1  # of the ``wide`` places from each on
+    while wide < PLACES:
+        step = min(wide, PLACES - wide)
+        least, wide = np.minimum(least[: len(least) - step], least[step:]), wide + step
+    # A place is chosen where it is the least of any window that holds it: the greatest of those windows' minima is its own.
+    most, wide = np.zeros(len(least) + 2 * (PLACES - 1), np.uint64), 1
+    most[PLACES - 1 : PLACES - 1 + len(least)] = least
+    while wide < PLACES:
+        step = min(wide, PLACES - wide)
+        most, wide = np.maximum(most[: len(most) - step], most[step:]), wide + step
+    out = ends.copy()
+    out[:-1] |= most == h
     return out
 
 
+def sentences(text: str | None, marks: Marks | None = None) -> list[str]:
+    """The text in order as sentences and pieces of them with the white space after each; they join to the text."""
+    text = text or ""
+    parts = _WORD.findall(text)
+    if not parts:
+        return [text] if text else []
+    found = np.array([*map((Marks() if marks is None else marks).__getitem__, text.lower().split())], np.uint64)
+    ends = (found & np.uint64(1)).astype(bool)
+    if "\n" in text:
+        ends |= np.array(["\n" in p for p in parts])
+    bounds = (np.flatnonzero(boundaries(found, ends)) + 1).tolist()
+    if not bounds or bounds[-1] != len(parts):
+        bounds.append(len(parts))
+    parts[0] = text[: len(text) - sum(map(len, parts))] + parts[0]
+    return ["".join(parts[a:b]) for a, b in zip([0, *bounds], bounds)]
+
+
 def spans(parts: list[str], run: int = RUN, least: int = WORDS) -> list[tuple[int, int, int, int]]:
     """(h1, h2, first sentence, sentences) of every span; cases and the width of white space do not count."""
     words = [p.lower().split() for p in parts]
@@ -68,10 +104,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, t, pos, n) of every span of ``docs`` (id, t, text) that is not its first occurrence."""
 
     def make():
+        marks = Marks()
+
         def batch(ids, ts, texts):
             out = [[] for _ in range(6)]
             for key, t, text in zip(ids, ts, texts):
-                for h1, h2, pos, n in spans(sentences(text)):
+                for h1, h2, pos, n in spans(sentences(text, marks)):
                     for column, value in zip(out, (key, t, h1, h2, pos, n)):
                         column.append(value)
             return out
@@ -79,10 +117,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return batch
 
     kind = docs.schema["id"].dataType.simpleString()
-    found = stored(map_arrow(docs, ["id", "t", "text"], make, f"id {kind}, t long, h1 long, h2 long, pos int, n int"))
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "t", "pos")).alias("first"), F.count(F.lit(1)).alias("many"))
-    first = first.where("many > 1").drop("many")
-    return found.join(first, ["h1", "h2"]).where(F.struct("id", "t", "pos") != F.col("first")).select("id", "t", "pos", "n")
+    found = map_arrow(docs, ["id", "t", "text"], make, f"id {kind}, t long, h1 long, h2 long, pos int, n int")
+    order = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id", "t", "pos"))
+    return found.withColumn("order", order).where("order > 1").select("id", "t", "pos", "n")
 
 
 def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,10 +136,12 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.join(places, F.col("id").eqNullSafe(F.col("_id")) & F.col("t").eqNullSafe(F.col("_t")), "left")
 
     def make():
+        marks = Marks()
+
         def batch(ids, texts, places):
             n, gone, out = [], [], []
             for text, at in zip(texts, places):
-                parts = sentences(text)
+                parts = sentences(text, marks)
                 drop = {k for x in at or () for k in range(x["pos"], x["pos"] + x["n"])}
                 n.append(len(parts))
                 gone.append(len(drop))

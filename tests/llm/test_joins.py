@@ -174,6 +174,33 @@ def test_a_passage_of_over_fifty_words_is_found_whatever_its_punctuation(spark):
         assert "p40" not in out[k] and "Own words" in out[k]
 
 
+@pytest.mark.parametrize("gap", [" ", "\t", "\u00a0"])
+@pytest.mark.parametrize("ends", [0.0, 0.05, 0.3])
+def test_passages_of_over_fifty_words_share_a_span_wherever_they_begin(gap, ends):
+    rng = random.Random(7)
+    words = lambda n: [f"s{rng.randrange(3000)}" + ("." if rng.random() < ends else "") for _ in range(n)]
+    for _ in range(200):
+        passage = words(rng.randrange(51, 61))
+        found = []
+        for _ in range(2):
+            text = gap.join(words(rng.randrange(40)) + passage + words(rng.randrange(40)))
+            parts = sentence_spans.sentences(text)
+            assert "".join(parts) == text
+            found.append({"".join(parts[i : i + n]).rstrip() for _, _, i, n in sentence_spans.spans(parts)})
+        shared = found[0] & found[1]
+        assert any(x in gap.join(passage) for x in shared)
+
+
+def test_passages_in_the_middle_of_sentences_are_removed(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"s{rng.randrange(3000)}" for _ in range(n)]
+    passage = words(55)
+    rows = [(k, " ".join(words(rng.randrange(40)) + passage + words(rng.randrange(40)))) for k in range(12)]
+    out = sorted(map(tuple, sentence_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert sorted(out, key=str) == brute_spans(rows)
+    assert [r[2] > 0 for r in out] == [False] + [True] * 11
+
+
 def test_sentences_join_to_the_text():
     for text in ["", "a. b! c?\n\nd", "1.5 is no end. Yes", "x " * 100, "...", " lead. Then", "no end\n \n\tthen"]:
         assert "".join(sentence_spans.sentences(text)) == text
