@@ -92,6 +92,11 @@ def q307_message_payload(spark, d):
     return ad.messages(spark, d).where("commit_s is not null").join(ad.payloads(spark, d), "id", "left").select("id", "name")
 
 
+@query(Q + " SELECT m.id, p.name FROM msgs m LEFT JOIN payloads p ON p.id = m.id")
+def q307_payload_of_every_message(spark, d):
+    return ad.messages(spark, d).join(ad.payloads(spark, d), "id", "left").select("id", "name")
+
+
 @query(Q + " SELECT channel, max_by(id, struct_pack(a := created_at, b := id)) tail_id FROM msgs m WHERE after_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM msgs k WHERE k.after_id = m.id) GROUP BY channel")
 def q311_chain_tails(spark, d):
     return q.tails(ad.messages(spark, d))

@@ -173,6 +173,16 @@ def q324_keyboard_range(spark, d):
     return r.select("doc", low.alias("low"), high.alias("high"))
 
 
+@query(
+    N.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", r0 AS (SELECT doc, min(pitch) lo, max(pitch) hi FROM a_notes WHERE NOT is_rest GROUP BY doc), gr AS (SELECT doc, lo, hi, lo - lo % 12 a, hi + (12 - hi % 12) % 12 b, false done FROM r0 UNION ALL SELECT doc, lo, hi, CASE WHEN b - a < 24 AND b + 12 > 108 AND a - 12 >= 21 THEN a - 12 ELSE a END, CASE WHEN b - a < 24 AND b + 12 <= 108 THEN b + 12 ELSE b END, b - a >= 24 OR (b + 12 > 108 AND a - 12 < 21) FROM gr WHERE NOT done) SELECT doc, CAST(least(greatest(a, 21), lo) AS INT) low, CAST(greatest(least(b, 108), hi) AS INT) high FROM gr WHERE done"
+)
+def q324_keyboard_range_of_all_notes(spark, d):
+    r = ad.note_events(spark, d).where("not is_rest").groupBy("doc").agg(F.min("pitch").alias("lo"), F.max("pitch").alias("hi"))
+    low, high = music.auto_range(F.col("lo"), F.col("hi"))
+    return r.select("doc", low.alias("low"), high.alias("high"))
+
+
 @query(T + " SELECT doc, round(max(end_at), 4) song_end FROM timed GROUP BY doc")
 def q321_song_end(spark, d):
     return ad.timed(spark, d).groupBy("doc").agg(F.round(F.max("end_at"), 4).alias("song_end"))
@@ -237,6 +247,12 @@ def q350_first_notes(spark, d):
     return ad.timed(spark, d).select("doc", "pitch", "start_ms", rank.alias("rank")).where("rank <= 20")
 
 
+@query(T + " SELECT doc, pitch, start_ms, row_number() OVER (PARTITION BY doc ORDER BY start_ms, measure_index, note_seq) rank FROM timed")
+def q350_sorted_notes(spark, d):
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy("start_ms", "measure_index", "note_seq"))
+    return ad.timed(spark, d).select("doc", "pitch", "start_ms", rank.alias("rank"))
+
+
 @query(T + ", spn AS (SELECT doc, t from_ms, t + 500 to_ms FROM probes), on_ AS (SELECT s.doc, from_ms, list_sort(list(DISTINCT pitch)) x FROM spn s JOIN timed n ON n.doc = s.doc AND start_ms >= from_ms AND start_ms < to_ms GROUP BY ALL), of_ AS (SELECT s.doc, from_ms, list_sort(list(DISTINCT pitch)) x FROM spn s JOIN timed n ON n.doc = s.doc AND start_ms <= from_ms AND from_ms < start_ms + duration_ms WHERE NOT EXISTS (SELECT 1 FROM timed k WHERE k.doc = s.doc AND k.pitch = n.pitch AND k.start_ms <= to_ms AND to_ms < k.start_ms + k.duration_ms) GROUP BY ALL) SELECT s.doc, s.from_ms, s.to_ms, coalesce(array_to_string(a.x, ','), '') starts, coalesce(array_to_string(b.x, ','), '') stops FROM spn s LEFT JOIN on_ a ON a.doc = s.doc AND a.from_ms = s.from_ms LEFT JOIN of_ b ON b.doc = s.doc AND b.from_ms = s.from_ms")
 def q503_note_edges(spark, d):
     n = ad.timed(spark, d)
@@ -250,6 +266,12 @@ def q504_beats_crossed(spark, d):
     return b.groupBy("doc").agg(F.count(F.lit(1)).alias("beats"), F.count_if("accent").alias("accents"), F.round(F.sum("time_ms"), 2).alias("total_ms"))
 
 
+@query(T + ", sx AS (SELECT *, (coalesce(lead(start_ms) OVER (PARTITION BY doc ORDER BY measure_index), song_end) - start_ms) / 4 step FROM starts), bt AS (SELECT doc, k, start_ms + k * step time_ms FROM sx, range(0, 4) r(k) WHERE step > 0) SELECT doc, CAST(floor(time_ms / 30000) AS BIGINT) * 30000 from_ms, count(*) beats, count(*) FILTER (k = 0) accents, round(sum(time_ms), 2) total_ms FROM bt GROUP BY ALL")
+def q504_beats_of_whole_scores(spark, d):
+    b = pb.beats(ad.starts(spark, d), 4).withColumn("from_ms", F.floor(F.col("time_ms") / 30000) * 30000)
+    return b.groupBy("doc", "from_ms").agg(F.count(F.lit(1)).alias("beats"), F.count_if("accent").alias("accents"), F.round(F.sum("time_ms"), 2).alias("total_ms"))
+
+
 @query(T + ", ons AS (SELECT p.doc, p.t, list_sort(list(DISTINCT pitch)) x FROM probes p JOIN timed n ON n.doc = p.doc AND abs(start_ms - t) <= 1 GROUP BY ALL), nx AS (SELECT p.doc, p.t, min(start_ms) FILTER (start_ms > t + 1) nt FROM probes p JOIN timed n USING (doc) GROUP BY ALL), nxs AS (SELECT nx.doc, nx.t, list_sort(list(DISTINCT pitch)) x FROM nx JOIN timed n ON n.doc = nx.doc AND abs(start_ms - nt) <= 1 GROUP BY ALL) SELECT p.doc, p.t, coalesce(array_to_string(ons.x, ','), array_to_string(nxs.x, ','), '') pitches FROM probes p LEFT JOIN ons ON ons.doc = p.doc AND ons.t = p.t LEFT JOIN nxs ON nxs.doc = p.doc AND nxs.t = p.t")
 def q317_expected_keys(spark, d):
     n = ad.timed(spark, d)

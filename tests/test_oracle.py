@@ -49,3 +49,13 @@ def test_query(spark, duck, module, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert rows == sorted(tuple(plain(r[i]) for i in order) for r in found.fetchall())
+
+
+def test_whole_jobs(spark):
+    """The queries beside the ones that take a part: every note, message and beat comes back."""
+    notes, ad = score.ad.timed(spark, DATA), score.ad
+    assert score.QUERIES["q350_sorted_notes"](spark, DATA).count() == notes.count()
+    assert queue.QUERIES["q307_payload_of_every_message"](spark, DATA).count() == ad.table(spark, DATA, "orders").count()
+    assert sum(r["beats"] for r in score.QUERIES["q504_beats_of_whole_scores"](spark, DATA).collect()) == score.pb.beats(ad.starts(spark, DATA), 4).count()
+    outside = notes.join(score.QUERIES["q324_keyboard_range_of_all_notes"](spark, DATA), "doc").where("pitch < low or pitch > high")
+    assert outside.isEmpty()
