@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,19 +57,36 @@ def map_arrow(df: DataFrame, columns: list[str], make: Callable[[], Callable[...
     return df.select(*columns).mapInArrow(run, out)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(df: DataFrame, **own: Column) -> DataFrame:
+    """``df`` as one column ``_row`` beside the columns ``own``, so that no name of a table clashes with an operator's."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("_row"), *[c.alias(k) for k, c in own.items()])
+
+
+def restored(rows: DataFrame, df: DataFrame, new: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
+    """The columns of ``df`` out of ``rows``; those of ``new`` replace columns of their name or come last."""
+    own = {c.lower(): c for c in new}
+    old = [new[own[c.lower()]].alias(c) if c.lower() in own else F.col("_row").getField(c).alias(c) for c in df.columns]
+    have = {c.lower() for c in df.columns}
+    return rows.select(*old, *[v.alias(c) for c, v in new.items() if c.lower() not in have])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares; a local one is set only where none is configured, as in tests."""
+    """The folder that every executor shares, as the session names it; an own one only in a single local process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
     found = spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    import tempfile
-
-    path = tempfile.mkdtemp(prefix="corpus-checkpoints-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("corpus operators need a folder that all executors share: set spark.checkpoint.dir")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpus-checkpoints-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 #: Lets Spark delete the shuffle files of a query as soon as its result is written.

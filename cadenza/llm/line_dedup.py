@@ -10,55 +10,57 @@ reads them. Rarity is the rank of a token's bucket among ``BUCKETS`` buckets, co
 the bucket's bits in the token's hash, so that sorting the numbers sorts by rarity and nothing is lost.
 
 Every class first meets the earliest class of each of its prefix tokens; only classes that this did not settle meet the
-others, so a large group of near copies does not meet in all its pairs. Both rounds read one table of prefix entries that
-stays dealt out and sorted by token.
+others, so a large group of near copies does not meet in all its pairs. One sorted pass over the prefix entries finds the
+earliest class of each token, and only the entries of tokens that three classes or more share are kept for the others.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import carried, release, restored, stored
 
-BITS = 14
+BITS = 18
 BUCKETS = 1 << BITS
 #: Candidates whose lines may be fetched by a broadcast of their places (40 bytes each); more are fetched by a shuffled join.
 BROADCAST_ROWS = 500_000
+#: Sets of more tokens have a parity of ``WIDE`` times 64 bits besides the one of 64, which tells little about them.
+LONG = 48
+WIDE = 4
 
 
-def words(line: Column) -> Column:
-    """Lower-cased words, set apart by ASCII white space."""
-    low = F.lower(line)
-    odd = reduce(lambda c, x: c | x, [F.contains(line, F.lit(x)) for x in "\t\r\x0b\x0c"])
-    return F.array_remove(F.split(F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low), " "), "")
+def _plain(text: Column) -> Column:
+    """Lower case, with spaces for the other white space inside lines."""
+    odd = reduce(lambda c, x: c | x, [F.contains(text, F.lit(x)) for x in "\t\r\x0b\x0c"])
+    return F.when(odd, F.translate(F.lower(text), "\t\r\x0b\x0c", "    ")).otherwise(F.lower(text))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, t, pos, w) of every line with words, w the distinct hashes of its words; t tells rows apart that share an id."""
-    lines = docs.select("id", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("id", "t", "pos", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("w")).where(F.size("w") > 0)
+    lines = docs.select("id", "t", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("pos", "line"))
+    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
+    return lines.select("id", "t", "pos", F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))).alias("w")).where(F.size("w") > 0)
 
 
 def _ranks(lines: DataFrame) -> Column:
     """The rank of each bucket by how many lines have a token in it, as one array of BUCKETS numbers."""
     often = lines.select(F.explode("w").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    count = {r["b"]: r["n"] for r in often.collect()}
-    order = sorted(range(BUCKETS), key=lambda b: (count.get(b, 0), b))
-    rank = [0] * BUCKETS
-    for i, b in enumerate(order):
-        rank[b] = i - BUCKETS // 2
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")  # folded to a constant
+    every = lines.sparkSession.range(BUCKETS).withColumnRenamed("id", "b").join(often, "b", "left")
+    # BUCKETS rows whatever the input, so that one task may number them
+    rank = F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "b")) - 1 - BUCKETS // 2
+    row = every.select("b", rank.alias("rank")).agg(F.sort_array(F.collect_list(F.struct("b", "rank"))).alias("x"))
+    text = row.select(F.array_join(F.transform("x", lambda x: x["rank"].cast("string")), ",").alias("ranks")).first()["ranks"]
+    return F.split(F.lit(text), ",").cast("array<int>")  # folded to a constant
 
 
 def _by_rarity(w: Column, ranks: Column) -> Column:
     """The tokens as numbers that sort by rarity, sorted."""
 
     def packed(h: Column) -> Column:
-        rank = F.element_at(ranks, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"))
+        rank = F.element_at(ranks, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")).cast("long")
         return F.shiftleft(rank, 64 - BITS).bitwiseOR(F.shiftrightunsigned(h, BITS))
 
     return F.sort_array(F.transform(w, packed))
@@ -66,7 +68,12 @@ def _by_rarity(w: Column, ranks: Column) -> Column:
 
 def _parity(w: Column) -> Column:
     """64 bits; each tells whether an odd number of tokens falls on it. Two sets differ in as many tokens as bits, at least."""
-    return F.aggregate(w, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
+    return F.aggregate(w, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 56).cast("int"))))
+
+
+def _wide_parity(w: Column) -> Column:
+    """The parities of the tokens by their first two bits, together WIDE times 64 bits."""
+    return F.array(*[_parity(F.filter(w, lambda h, k=k: F.shiftrightunsigned(h, 62) == k)) for k in range(WIDE)])
 
 
 def _overlap(n: Column, m: Column, percent: int) -> Column:
@@ -86,6 +93,21 @@ def _possible(percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (i <= n - least) & (j <= m - least) & (apart <= n + m - 2 * least)
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """Places where two wide parities differ."""
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(WIDE)), F.lit(0))
+
+
+def _likely(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, n, n2) whose wide parities, where both are long, do not differ in more places than their sets may."""
+    long = (F.col("n") > LONG) & (F.col("n2") > LONG)
+    wide = classes.where(F.col("n") > LONG)
+    a, b = (wide.select(F.col("c").alias(x), F.col("wide").alias(f"w_{x}")) for x in "ab")
+    near = _apart(F.col("w_a"), F.col("w_b")) <= F.col("n") + F.col("n2") - 2 * _overlap(F.col("n"), F.col("n2"), percent)
+    both = pairs.where(long).join(a, "a").join(b, "b").where(near)
+    return pairs.where(~long).select("a", "b").union(both.select("a", "b"))
+
+
 def _verified(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(c) of the classes of the pairs (a, b) that have an earlier class similar to them."""
     ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
@@ -103,34 +125,38 @@ def _verified(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
 
 
 def _classes(lines: DataFrame, ranks: Column, percent: int) -> DataFrame:
-    """(c, id, t, pos, n, par, prefix): one row per distinct token set, with its first occurrence and its rarest tokens."""
-    sets = lines.select("id", "t", "pos", _by_rarity(F.col("w"), ranks).alias("s"), _parity(F.col("w")).alias("par"))
+    """(c, id, t, pos, n, par, wide, prefix): one row per distinct token set, with its first occurrence and its rarest tokens.
+
+    The prefix is null where a set is so small that no other can be similar.
+    """
+    sets = lines.select("id", "t", "pos", _by_rarity(F.col("w"), ranks).alias("s"), _parity(F.col("w")).alias("par"), F.when(F.size("w") > LONG, _wide_parity(F.col("w"))).alias("wide"))
     n = F.size("s")
     # a token in a prefix is cut to 40 bits: two that meet by chance only make one more candidate
     prefix = F.transform(F.slice("s", 1, n - F.ceil(percent * n / 100).cast("int") + 1), lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))
-    sets = sets.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.struct("id", "t", "pos").alias("at"), n.alias("n"), "par", prefix.alias("prefix"))
-    first = sets.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("par").alias("par"), F.first("prefix").alias("prefix"))
-    return stored(first.select(F.monotonically_increasing_id().alias("c"), "at.id", "at.t", "at.pos", "n", "par", "prefix"))
+    alone = 100 * n < percent * (n + 1)  # not even similar to a set with one token more, the nearest that there is
+    sets = sets.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.struct("id", "t", "pos").alias("at"), F.struct(n.alias("n"), "par", "wide", F.when(~alone, prefix).alias("prefix")).alias("set"))
+    first = sets.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("set").alias("set"))
+    return stored(first.select(F.monotonically_increasing_id().alias("c"), "at.*", "set.*"))
 
 
 def _gone(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(c) of the classes that an earlier similar class removes."""
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = classes.select(F.col("id").alias("o"), "c", "n", "par", F.posexplode("prefix").alias("i", "s"))
-    entries = entries.repartition(parts, "s").sortWithinPartitions("s").persist(StorageLevel.MEMORY_AND_DISK)
-    lead = entries.groupBy("s").agg(F.min(F.struct("o", "c", "n", "i", "par")).alias("lead"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    met = entries.join(lead, "s").where("c <> lead.c").select("c", "n", "i", "par", F.col("lead.c").alias("a"), F.col("lead.n").alias("n2"), F.col("lead.i").alias("i2"), F.col("lead.par").alias("par2"))
-    pairs = stored(met.where(_possible(percent)).select("a", F.col("c").alias("b")).distinct())
+    token = Window.partitionBy("s").orderBy(F.col("o").asc_nulls_first(), "c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    entries = entries.withColumn("lead", F.first(F.struct("c", "n", "i", "par")).over(token)).withColumn("many", F.count(F.lit(1)).over(token))
+    met = F.col("c") != F.col("lead.c")
+    lead = {"n2": "lead.n", "i2": "lead.i", "par2": "lead.par"}
+    entries = entries.select("s", "o", "c", "n", "i", "par", "many", F.col("lead.c").alias("a"), *[F.col(v).alias(k) for k, v in lead.items()], met.alias("met")).where("many > 1")
+    entries = stored(entries.withColumn("pair", F.col("met") & _possible(percent)).where("pair or many > 2"))
+    pairs = stored(_likely(classes, entries.where("pair").select("a", F.col("c").alias("b"), "n", "n2").distinct(), percent))
     settled = _verified(lines, classes, pairs, percent)
-    if settled.count() <= 4 * BROADCAST_ROWS:
-        open_ = entries.join(F.broadcast(settled), "c", "left_anti")  # stays dealt out by token
-    else:
-        open_ = classes.join(settled, "c", "left_anti").select(F.col("id").alias("o"), "c", "n", "par", F.posexplode("prefix").alias("i", "s"))
-    other = entries.select("s", F.col("o").alias("o2"), F.col("c").alias("a"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("par").alias("par2"))
+    many = entries.where("many > 2")
+    asks = many.where("met").select("s", "o", "c", "n", "i", "par", F.col("a").alias("lead")).join(settled, "c", "left_anti")
+    other = many.where("met").select("s", F.col("o").alias("o2"), F.col("c").alias("a"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("par").alias("par2"))
     before = (F.col("a") != F.col("c")) & (F.coalesce(F.col("o2") <= F.col("o"), F.col("o2").isNull()))
-    more = open_.join(other, "s").where(before & _possible(percent)).select("a", F.col("c").alias("b")).distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"))
-    entries.unpersist()
+    more = asks.join(other, "s").where(before & _possible(percent)).select("a", F.col("c").alias("b"), "n", "n2").distinct()
+    more = stored(_likely(classes, more, percent).join(pairs, ["a", "b"], "left_anti"))
+    release(entries)
     out = stored(settled.union(_verified(lines, classes, more, percent)).distinct())
     release(pairs, settled, more)
     return out
@@ -142,23 +168,23 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     Kept are the first occurrence of each class without an earlier similar class, and lines without words (blank ones).
     A null text stays null with 0 lines, an empty one is one blank line. A null id comes before all others. Rows that
     repeat both id and text are one document and get the same result each; rows that share only the id are told apart
-    by their text. Exactness rests on 64-bit token hashes: two words that collide count as one.
+    by their text. Further columns of any name are carried along. Exactness rests on 64-bit token hashes: two words that
+    collide count as one.
     """
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(7), id_col, text_col).alias("t"), F.col(text_col).alias("text"))
     lines = stored(_lines(docs), **{"parquet.dictionary.page.size": 8 << 20})
     ranks = _ranks(lines)
     classes = _classes(lines, ranks, percent)
     gone = _gone(lines, classes, percent)
-    kept = classes.join(gone, "c", "left_anti").groupBy("id", "t").agg(F.collect_list("pos").alias("_kept"))
-    kept = stored(kept.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "_kept"))
-    release(lines, classes, gone)
-    others = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    rows = df.select(*others, F.xxhash64(F.lit(7), id_col, text_col).alias("_t2"))
-    rows = rows.join(kept, rows["_t2"].eqNullSafe(kept["_t"]) & rows[id_col].eqNullSafe(kept["_id"]), "left")
-    lines = F.split(F.col(text_col), "\n")
-    blank = F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: F.trim(F.translate(F.element_at(F.col("_l"), i + 1), "\t\r\x0b\x0c", "    ")) == "")
-    rows = rows.withColumn("_l", lines).withColumn("_at", F.sort_array(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank)))
-    text = F.when(F.col(text_col).isNotNull(), F.array_join(F.transform("_at", lambda i: F.element_at(F.col("_l"), i + 1)), "\n"))
-    n = F.when(F.col(text_col).isNotNull(), F.size("_l")).otherwise(0).cast("long")
-    left = F.when(F.col(text_col).isNotNull(), F.size("_at")).otherwise(0)
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in others], n.alias("n_lines"), (n - left).alias("n_removed"))
+    release(lines)
+    kept = classes.join(gone, "c", "left_anti").groupBy(F.col("id").alias("k_id"), F.col("t").alias("k_t")).agg(F.collect_list("pos").alias("kept"))
+    kept = stored(kept)
+    release(classes, gone)
+    rows = carried(df, id=F.col(id_col), t=F.xxhash64(F.lit(7), id_col, text_col), text=F.col(text_col))
+    rows = rows.join(kept, rows["t"].eqNullSafe(kept["k_t"]) & rows["id"].eqNullSafe(kept["k_id"]), "left").withColumn("l", F.split("text", "\n"))
+    blank = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.trim(F.translate(F.element_at(F.col("l"), i + 1), "\t\r\x0b\x0c", "    ")) == "")
+    rows = rows.withColumn("at", F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blank)))
+    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform("at", lambda i: F.element_at(F.col("l"), i + 1)), "\n"))
+    n = F.when(F.col("text").isNotNull(), F.size("l")).otherwise(0).cast("long")
+    left = F.when(F.col("text").isNotNull(), F.size("at")).otherwise(0)
+    return restored(rows, df, {text_col: text, "n_lines": n, "n_removed": n - left})
