@@ -108,9 +108,30 @@ def stored(df: DataFrame, **options) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """Write ``df`` as a table dealt out and sorted by ``keys`` and read it back: joins on them need no exchange.
+
+    The table lies in the shared folder; the warehouse only knows its name.
+    """
+    spark = df.sparkSession
+    name, path = f"corpus_{uuid.uuid4().hex}", f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.bucketBy(parts, *keys).sortBy(*keys).options(compression="zstd", path=path).format("parquet").saveAsTable(name)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.table(name)
+    out._stored_path, out._stored_name = path, name
+    return out
+
+
 def release(*frames: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in frames:
+        if name := getattr(df, "_stored_name", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._stored_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

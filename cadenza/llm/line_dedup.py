@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, release, restored, stored
+from .common import bucketed, carried, release, restored, stored
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -73,7 +73,11 @@ def _parity(w: Column) -> Column:
 
 def _wide_parity(w: Column) -> Column:
     """The parities of the tokens by their first two bits, together WIDE times 64 bits."""
-    return F.array(*[_parity(F.filter(w, lambda h, k=k: F.shiftrightunsigned(h, 62) == k)) for k in range(WIDE)])
+
+    def part(k: int) -> Column:
+        return _parity(F.filter(w, lambda h: F.shiftrightunsigned(h, 62) == k))
+
+    return F.array(*map(part, range(WIDE)))
 
 
 def _overlap(n: Column, m: Column, percent: int) -> Column:
@@ -143,18 +147,18 @@ def _gone(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(c) of the classes that an earlier similar class removes."""
     entries = classes.select(F.col("id").alias("o"), "c", "n", "par", F.posexplode("prefix").alias("i", "s"))
     token = Window.partitionBy("s").orderBy(F.col("o").asc_nulls_first(), "c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    entries = entries.withColumn("lead", F.first(F.struct("c", "n", "i", "par")).over(token)).withColumn("many", F.count(F.lit(1)).over(token))
-    met = F.col("c") != F.col("lead.c")
-    lead = {"n2": "lead.n", "i2": "lead.i", "par2": "lead.par"}
-    entries = entries.select("s", "o", "c", "n", "i", "par", "many", F.col("lead.c").alias("a"), *[F.col(v).alias(k) for k, v in lead.items()], met.alias("met")).where("many > 1")
-    entries = stored(entries.withColumn("pair", F.col("met") & _possible(percent)).where("pair or many > 2"))
-    pairs = stored(_likely(classes, entries.where("pair").select("a", F.col("c").alias("b"), "n", "n2").distinct(), percent))
+    entries = entries.withColumn("lead", F.first(F.struct("c", "n", "i", "par")).over(token)).withColumn("many", F.count(F.lit(1)).over(token)).where("many > 1")
+    entries = entries.withColumns({"a": F.col("lead.c"), "n2": F.col("lead.n"), "i2": F.col("lead.i"), "par2": F.col("lead.par")})
+    pair = (F.col("c") != F.col("a")) & _possible(percent)
+    # kept dealt out and sorted by token, so that the second round needs no exchange
+    entries = bucketed(entries.select("s", "o", "c", "n", "i", "par", ((F.col("many") > 2) & (F.col("c") != F.col("a"))).alias("more"), F.when(pair, F.col("a")).alias("a"), F.when(pair, F.col("n2")).alias("n2")).where("more or a is not null"), "s")
+    pairs = stored(_likely(classes, entries.where("a is not null").select("a", F.col("c").alias("b"), "n", "n2").distinct(), percent))
     settled = _verified(lines, classes, pairs, percent)
-    many = entries.where("many > 2")
-    asks = many.where("met").select("s", "o", "c", "n", "i", "par", F.col("a").alias("lead")).join(settled, "c", "left_anti")
-    other = many.where("met").select("s", F.col("o").alias("o2"), F.col("c").alias("a"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("par").alias("par2"))
+    asks = entries.where("more").select("s", "o", "c", "n", "i", "par")
+    other = asks.select("s", F.col("o").alias("o2"), F.col("c").alias("a"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("par").alias("par2"))
+    asks = asks.join(F.broadcast(settled) if settled.count() <= 4 * BROADCAST_ROWS else settled, "c", "left_anti")
     before = (F.col("a") != F.col("c")) & (F.coalesce(F.col("o2") <= F.col("o"), F.col("o2").isNull()))
-    more = asks.join(other, "s").where(before & _possible(percent)).select("a", F.col("c").alias("b"), "n", "n2").distinct()
+    more = asks.hint("merge").join(other, "s").where(before & _possible(percent)).select("a", F.col("c").alias("b"), "n", "n2").distinct()
     more = stored(_likely(classes, more, percent).join(pairs, ["a", "b"], "left_anti"))
     release(entries)
     out = stored(settled.union(_verified(lines, classes, more, percent)).distinct())

@@ -127,6 +127,28 @@ def test_lines(spark, seed):
     assert sorted(map(tuple, out.select("doc_id", "n_lines", "n_removed", "text").collect()), key=str) == brute_lines(rows, 80)
 
 
+def test_long_lines(spark):
+    """Lines of over line_dedup.LONG words, near the limit of similarity from both sides."""
+    rng = random.Random(11)
+    vocab = [f"t{k}" for k in range(900)]
+    base = [rng.sample(vocab, n) for n in (45, 49, 60, 90, 150, 300)]
+    rows = []
+    for i in range(90):
+        words = list(rng.choice(base))
+        for at in rng.sample(range(len(words)), rng.randrange(0, len(words) // 6)):
+            words[at] = rng.choice(vocab)
+        rows.append((i, " ".join(words)))
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.select("doc_id", "n_lines", "n_removed", "text").collect()), key=str) == brute_lines(rows, 80)
+
+
+def test_lines_beside_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x", 1, 2, 3), (2, "a b c d e f", "y", 4, 5, 6)], "doc_id long, text string, _row string, k_id int, at int, `a.b` int")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a b c d e f", "x", 1, 2, 3, 1, 0), (2, "", "y", 4, 5, 6, 1, 1)]
+
+
 def test_lines_of_repeated_rows_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a b c\nd e f"), (1, "a b c\nd e f"), (2, "a b c"), (2, "g h i\na b c")], "doc_id long, text string")
     out = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(df).collect())
