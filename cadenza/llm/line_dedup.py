@@ -5,8 +5,8 @@ Classes are joined on the rarest tokens of their sets (prefix filter) under leng
 candidates are verified by their whole sets, and a class with an earlier class of Jaccard similarity ``percent`` / 100 or
 more goes altogether. "Earlier" is by document id, then by the document's text where ids repeat, then by line.
 
-Lines are cut into words once; the numbers of their words are written to the shared folder, and everything after that
-reads them. Rarity is the rank of a token's bucket among ``BUCKETS`` buckets, counted over all lines. The rank replaces
+Lines are cut into words once; the numbers of their words are written to the shared folder and read for the counts and
+for the classes. Only lines of candidate pairs are cut again, when their sets are verified. Rarity is the rank of a token's bucket among ``BUCKETS`` buckets, counted over all lines. The rank replaces
 the bucket's bits in the token's hash, so that sorting the numbers sorts by rarity and nothing is lost.
 
 Every class first meets the earliest class of each of its prefix tokens; only classes that this did not settle meet the
@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, carried, release, restored, stored
 
-BITS = 18
+BITS = 17
 BUCKETS = 1 << BITS
 #: Candidates whose lines may be fetched by a broadcast of their places (40 bytes each); more are fetched by a shuffled join.
 BROADCAST_ROWS = 500_000
-#: Sets of more tokens have a parity of ``WIDE`` times 64 bits besides the one of 64, which tells little about them.
-LONG = 48
-WIDE = 4
+#: Sets of more tokens have two parities of 64 bits, as a single one tells little about them.
+LONG = 64
 
 
 def _plain(text: Column) -> Column:
@@ -38,11 +37,14 @@ def _plain(text: Column) -> Column:
     return F.when(odd, F.translate(F.lower(text), "\t\r\x0b\x0c", "    ")).otherwise(F.lower(text))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(id, t, pos, w) of every line with words, w the distinct hashes of its words; t tells rows apart that share an id."""
-    lines = docs.select("id", "t", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("pos", "line"))
-    hashes = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
-    return lines.select("id", "t", "pos", F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))).alias("w")).where(F.size("w") > 0)
+def _split(docs: DataFrame) -> DataFrame:
+    """(id, t, pos, line) of every line; t tells rows apart that share an id."""
+    return docs.select("id", "t", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("pos", "line"))
+
+
+def _tokens(line: Column) -> Column:
+    """The distinct hashes of a line's words."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _ranks(lines: DataFrame) -> Column:
@@ -71,55 +73,32 @@ def _parity(w: Column) -> Column:
     return F.aggregate(w, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 56).cast("int"))))
 
 
-def _wide_parity(w: Column) -> Column:
-    """The parities of the tokens by their first two bits, together WIDE times 64 bits."""
-
-    def part(k: int) -> Column:
-        return _parity(F.filter(w, lambda h: F.shiftrightunsigned(h, 62) == k))
-
-    return F.array(*map(part, range(WIDE)))
-
-
 def _overlap(n: Column, m: Column, percent: int) -> Column:
     """Tokens that sets of n and m must share: the least whole number from percent * (n + m) / (100 + percent) on."""
     return F.floor((percent * (n + m) + (99 + percent)) / (100 + percent))
 
 
 def _possible(percent: int) -> Column:
-    """Length, positional and parity bounds of entries (n, i, par) and (n2, i2, par2) of one token.
+    """Length, positional and parity bounds of entries (n, i, par, half) and (n2, i2, par2, half2) of one token.
 
     Similar sets share a token in the prefixes that leave less than the needed overlap behind them; entries behind these
-    prefixes need not meet.
+    prefixes need not meet. ``half`` is the parity of the tokens with a negative hash, of long sets only.
     """
     n, m, i, j = F.col("n"), F.col("n2"), F.col("i"), F.col("i2")
     least = _overlap(n, m, percent)
-    apart = F.bit_count(F.col("par").bitwiseXOR(F.col("par2")))
+    whole, half = F.col("par").bitwiseXOR(F.col("par2")), F.coalesce(F.col("half").bitwiseXOR(F.col("half2")), F.lit(0).cast("long"))
+    apart = F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (i <= n - least) & (j <= m - least) & (apart <= n + m - 2 * least)
 
 
-def _apart(a: Column, b: Column) -> Column:
-    """Places where two wide parities differ."""
-    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(WIDE)), F.lit(0))
-
-
-def _likely(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b, n, n2) whose wide parities, where both are long, do not differ in more places than their sets may."""
-    long = (F.col("n") > LONG) & (F.col("n2") > LONG)
-    wide = classes.where(F.col("n") > LONG)
-    a, b = (wide.select(F.col("c").alias(x), F.col("wide").alias(f"w_{x}")) for x in "ab")
-    near = _apart(F.col("w_a"), F.col("w_b")) <= F.col("n") + F.col("n2") - 2 * _overlap(F.col("n"), F.col("n2"), percent)
-    both = pairs.where(long).join(a, "a").join(b, "b").where(near)
-    return pairs.where(~long).select("a", "b").union(both.select("a", "b"))
-
-
-def _verified(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(c) of the classes of the pairs (a, b) that have an earlier class similar to them."""
     ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     places = stored(classes.select("c", "id", "t", "pos").join(ids, "c", "left_semi"))
     near = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
     same = F.col("l.id").eqNullSafe(F.col("p.id")) & (F.col("l.t") == F.col("p.t")) & (F.col("l.pos") == F.col("p.pos"))
-    found = lines.alias("l").join(near.alias("p"), same).select("c", F.struct("p.id", "p.t", "p.pos").alias("at"), "w")
-    sets = stored(found.dropDuplicates(["c"]))
+    found = _split(docs).alias("l").join(near.alias("p"), same).select("c", F.struct("p.id", "p.t", "p.pos").alias("at"), "line")
+    sets = stored(found.dropDuplicates(["c"]).select("c", "at", _tokens(F.col("line")).alias("w")))
     a, b = (sets.select(F.col("c").alias(x), F.col("at").alias(f"at_{x}"), F.col("w").alias(f"w_{x}")) for x in "ab")
     both = F.size(F.array_intersect("w_a", "w_b"))
     near = pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("w_a") + F.size("w_b") - both))
@@ -129,39 +108,43 @@ def _verified(lines: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
 
 
 def _classes(lines: DataFrame, ranks: Column, percent: int) -> DataFrame:
-    """(c, id, t, pos, n, par, wide, prefix): one row per distinct token set, with its first occurrence and its rarest tokens.
+    """(c, id, t, pos, n, par, half, prefix): one row per distinct token set, with its first occurrence and rarest tokens.
 
     The prefix is null where a set is so small that no other can be similar.
     """
-    sets = lines.select("id", "t", "pos", _by_rarity(F.col("w"), ranks).alias("s"), _parity(F.col("w")).alias("par"), F.when(F.size("w") > LONG, _wide_parity(F.col("w"))).alias("wide"))
+    w = F.col("w")
+    half = F.when(F.size(w) > LONG, _parity(F.filter(w, lambda h: h < 0)))
+    sets = lines.select("id", "t", "pos", _by_rarity(w, ranks).alias("s"), _parity(w).alias("par"), half.alias("half"))
     n = F.size("s")
     # a token in a prefix is cut to 40 bits: two that meet by chance only make one more candidate
     prefix = F.transform(F.slice("s", 1, n - F.ceil(percent * n / 100).cast("int") + 1), lambda x: x.bitwiseAND(F.lit((1 << 40) - 1)))
     alone = 100 * n < percent * (n + 1)  # not even similar to a set with one token more, the nearest that there is
-    sets = sets.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.struct("id", "t", "pos").alias("at"), F.struct(n.alias("n"), "par", "wide", F.when(~alone, prefix).alias("prefix")).alias("set"))
+    sets = sets.select(F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"), F.struct("id", "t", "pos").alias("at"), F.struct(n.alias("n"), "par", "half", F.when(~alone, prefix).alias("prefix")).alias("set"))
     first = sets.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("set").alias("set"))
     return stored(first.select(F.monotonically_increasing_id().alias("c"), "at.*", "set.*"))
 
 
-def _gone(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _gone(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(c) of the classes that an earlier similar class removes."""
-    entries = classes.select(F.col("id").alias("o"), "c", "n", "par", F.posexplode("prefix").alias("i", "s"))
+    own = ["c", "n", "i", "par", "half"]
+    entries = classes.select(F.col("id").alias("o"), "c", "n", "par", "half", F.posexplode("prefix").alias("i", "s"))
     token = Window.partitionBy("s").orderBy(F.col("o").asc_nulls_first(), "c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    entries = entries.withColumn("lead", F.first(F.struct("c", "n", "i", "par")).over(token)).withColumn("many", F.count(F.lit(1)).over(token)).where("many > 1")
-    entries = entries.withColumns({"a": F.col("lead.c"), "n2": F.col("lead.n"), "i2": F.col("lead.i"), "par2": F.col("lead.par")})
+    entries = entries.withColumn("lead", F.first(F.struct(*own)).over(token)).withColumn("many", F.count(F.lit(1)).over(token)).where("many > 1")
+    entries = entries.withColumns({"a": F.col("lead.c")} | {f"{x}2": F.col(f"lead.{x}") for x in own[1:]})
     pair = (F.col("c") != F.col("a")) & _possible(percent)
     # kept dealt out and sorted by token, so that the second round needs no exchange
-    entries = bucketed(entries.select("s", "o", "c", "n", "i", "par", ((F.col("many") > 2) & (F.col("c") != F.col("a"))).alias("more"), F.when(pair, F.col("a")).alias("a"), F.when(pair, F.col("n2")).alias("n2")).where("more or a is not null"), "s")
-    pairs = stored(_likely(classes, entries.where("a is not null").select("a", F.col("c").alias("b"), "n", "n2").distinct(), percent))
-    settled = _verified(lines, classes, pairs, percent)
-    asks = entries.where("more").select("s", "o", "c", "n", "i", "par")
-    other = asks.select("s", F.col("o").alias("o2"), F.col("c").alias("a"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("par").alias("par2"))
+    entries = entries.select("s", "o", *own, ((F.col("many") > 2) & (F.col("c") != F.col("a"))).alias("more"), F.when(pair, F.col("a")).alias("a"))
+    entries = bucketed(entries.where("more or a is not null"), "s")
+    pairs = stored(entries.where("a is not null").select("a", F.col("c").alias("b")).distinct())
+    settled = _verified(docs, classes, pairs, percent)
+    asks = entries.where("more").select("s", "o", *own)
+    other = asks.select("s", F.col("o").alias("o2"), F.col("c").alias("a"), *[F.col(x).alias(f"{x}2") for x in own[1:]])
     asks = asks.join(F.broadcast(settled) if settled.count() <= 4 * BROADCAST_ROWS else settled, "c", "left_anti")
     before = (F.col("a") != F.col("c")) & (F.coalesce(F.col("o2") <= F.col("o"), F.col("o2").isNull()))
-    more = asks.hint("merge").join(other, "s").where(before & _possible(percent)).select("a", F.col("c").alias("b"), "n", "n2").distinct()
-    more = stored(_likely(classes, more, percent).join(pairs, ["a", "b"], "left_anti"))
+    more = asks.hint("merge").join(other, "s").where(before & _possible(percent)).select("a", F.col("c").alias("b")).distinct()
+    more = stored(more.join(pairs, ["a", "b"], "left_anti"))
     release(entries)
-    out = stored(settled.union(_verified(lines, classes, more, percent)).distinct())
+    out = stored(settled.union(_verified(docs, classes, more, percent)).distinct())
     release(pairs, settled, more)
     return out
 
@@ -176,11 +159,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     collide count as one.
     """
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(7), id_col, text_col).alias("t"), F.col(text_col).alias("text"))
-    lines = stored(_lines(docs), **{"parquet.dictionary.page.size": 8 << 20})
-    ranks = _ranks(lines)
-    classes = _classes(lines, ranks, percent)
-    gone = _gone(lines, classes, percent)
+    lines = _split(docs).select("id", "t", "pos", _tokens(F.col("line")).alias("w")).where(F.size("w") > 0)
+    lines = stored(lines, **{"parquet.dictionary.page.size": 8 << 20})
+    classes = _classes(lines, _ranks(lines), percent)
     release(lines)
+    gone = _gone(docs, classes, percent)
     kept = classes.join(gone, "c", "left_anti").groupBy(F.col("id").alias("k_id"), F.col("t").alias("k_t")).agg(F.collect_list("pos").alias("kept"))
     kept = stored(kept)
     release(classes, gone)
