@@ -1,8 +1,15 @@
 """Quality rules: base counts of a text, and robust multivariate outliers per language and source.
 
-Location and scatter of each group are minimum-covariance-determinant estimates: concentration steps that keep the
-``KEEP`` share of the group's rows nearest to the present estimate and take their mean and covariance. A step is one
-pass that adds up moments by group and distance bin, so it needs neither a sample nor a group's rows in one place.
+Location and scatter of each (language, source) are minimum-covariance-determinant estimates. Each of ``STARTS`` starts
+(median and median deviation, and random elemental subsets of one row more than there are features) takes concentration
+steps, which keep the ``KEEP`` share of the group's rows nearest to the present estimate and take their mean and
+covariance, until the determinant stops falling; the least determinant of all starts is kept. A step is one pass that
+adds up moments by group, start and distance bin, so it needs neither a sample nor a group's rows in one place; of the
+bin that holds the last row kept, a share counts.
+
+One law holds for groups of all sizes: the estimate is drawn towards the one of the language, and that towards the one of
+all rows, as if ``WEIGHT`` rows of those had been seen. A group of a few rows is judged almost by its language, a large one by
+itself.
 """
 
 from __future__ import annotations
@@ -12,19 +19,21 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import map_arrow, release, stored
 
 MIN_WORDS = 20
 WINDOW = 8
 KEEP = 0.75
-STEPS = 4
+STARTS = 5
+#: A determinant that falls by less than this share has stopped falling.
+STILL = 1e-3
+#: Rows of the next wider group that a group's own rows are weighed against.
+WEIGHT = 30
 #: Share of clean rows that the cut-off leaves in, were they normal.
 CUT = 0.99999
-#: Groups with fewer fitted rows share one estimate.
-LEAST_ROWS = 100
 FEATURES = ("f_words", "f_length", "f_distinct", "f_punct", "f_symbols")
 #: Least standard deviation of each feature: a group in which a feature is constant does not reject every other value.
 FLOOR = (0.25, 0.08, 0.10, 0.10, 0.15)
@@ -95,7 +104,7 @@ def base_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", g
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, _group string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, " + ", ".join(f"{f} double" for f in FEATURES)
-    return map_arrow(df.withColumn("_group", group), [id_col, text_col, "_group"], make, schema)
+    return map_arrow(df.select(F.col(id_col), F.col(text_col), group.alias("_group")), [id_col, text_col, "_group"], make, schema)
 
 
 def chi2_cdf(x: float, dof: int) -> float:
@@ -124,15 +133,25 @@ def _inverse_root(cov: np.ndarray) -> np.ndarray:
 
 P = len(FEATURES)
 _TRIANGLE = [(i, j) for i in range(P) for j in range(i + 1)]
-_FIT = "_key string, " + ", ".join([f"m{i} double" for i in range(P)] + [f"l{i}{j} double" for i, j in _TRIANGLE])
+_NAMES = ["_key", "start", "h", "det", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in _TRIANGLE], *[f"l{i}{j}" for i, j in _TRIANGLE]]
+#: An estimate: rows it rests on, log determinant, mean, covariance, and the root of the inverse covariance.
+_FIT = "_key string, start int, " + ", ".join(f"{x} double" for x in _NAMES[2:])
 
 
-def _row(key: str, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+def _row(key: str, start: int, h: float, mean: np.ndarray, cov: np.ndarray) -> list:
+    cov = cov + np.diag(np.maximum(np.array(FLOOR) ** 2 - np.diag(cov), 0) + 1e-9)
     root = _inverse_root(cov)
-    return pd.DataFrame([[key, *mean, *[root[i, j] for i, j in _TRIANGLE]]])
+    return [key, start, h, float(np.linalg.slogdet(cov)[1]), *mean, *[cov[i, j] for i, j in _TRIANGLE], *[root[i, j] for i, j in _TRIANGLE]]
 
 
-def _first(pdf: pd.DataFrame) -> pd.DataFrame:
+def _square(values) -> np.ndarray:
+    out = np.zeros((P, P))
+    for (i, j), x in zip(_TRIANGLE, values):
+        out[i, j] = out[j, i] = x
+    return out
+
+
+def _median_start(pdf: pd.DataFrame) -> pd.DataFrame:
     """Median and median deviation of each feature, from the counts of its grid cells."""
     mean, scale = np.zeros(P), np.zeros(P)
     for f, part in pdf.groupby("f"):
@@ -144,68 +163,119 @@ def _first(pdf: pd.DataFrame) -> pd.DataFrame:
 
         mean[f] = median(cell)
         scale[f] = 1.4826 * median(np.abs(cell - mean[f]))
-    out = _row(pdf["_key"].iloc[0], mean, np.diag(np.maximum(scale, FLOOR) ** 2))
-    out.columns = [c.split()[0] for c in _FIT.split(", ")]
-    return out
+    return pd.DataFrame([_row(pdf["_key"].iloc[0], 0, 0.0, mean, np.diag(scale**2))], columns=_NAMES)
+
 
+def _subset_start(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Mean and covariance of the few rows drawn."""
+    x = pdf[list(FEATURES)].to_numpy(dtype=np.float64)
+    return pd.DataFrame([_row(pdf["_key"].iloc[0], int(pdf["start"].iloc[0]), 0.0, x.mean(axis=0), np.cov(x.T, bias=True).reshape(P, P))], columns=_NAMES)
 
-def _step(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Mean and covariance of the nearest bins that hold at least KEEP of the rows."""
+
+def _concentrated(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Mean and covariance of the nearest KEEP of the rows, the last bin by the share that is needed of it."""
     pdf = pdf.sort_values("bin")
-    n = pdf["n"].cumsum().to_numpy()
-    part = pdf.iloc[: int(np.searchsorted(n, KEEP * n[-1])) + 1]
-    h = float(part["n"].sum())
-    mean = np.array([part[f"s{i}"].sum() for i in range(P)]) / h
-    cov = np.zeros((P, P))
-    for i, j in _TRIANGLE:
-        cov[i, j] = cov[j, i] = part[f"q{i}{j}"].sum() / h - mean[i] * mean[j]
-    share = h / float(n[-1])
-    if share < 1:  # what the nearest share of a normal sample lacks in spread
-        cov *= share / chi2_cdf(chi2_quantile(share, P), P + 2)
-    cov += np.diag(np.maximum(np.array(FLOOR) ** 2 - np.diag(cov), 0) + 1e-9)
-    out = _row(pdf["_key"].iloc[0], mean, cov)
-    out.columns = [c.split()[0] for c in _FIT.split(", ")]
-    return out
+    n = pdf["n"].to_numpy(dtype=np.float64)
+    total, h = n.sum(), max(1.0, KEEP * n.sum())
+    weight = np.clip((h - (np.cumsum(n) - n)) / n, 0.0, 1.0)
+    mean = np.array([(weight * pdf[f"s{i}"]).sum() for i in range(P)]) / h
+    cov = _square([(weight * pdf[f"q{i}{j}"]).sum() / h - mean[i] * mean[j] for i, j in _TRIANGLE])
+    cov *= (h / total) / chi2_cdf(chi2_quantile(h / total, P), P + 2) if h < total else 1.0  # what the nearest share of a normal sample lacks in spread
+    return pd.DataFrame([_row(pdf["_key"].iloc[0], int(pdf["start"].iloc[0]), h, mean, cov)], columns=_NAMES)
 
 
-def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """``rows`` with _d2, the squared Mahalanobis distance from the estimate of their _key (null without one)."""
+def _distance(rows: DataFrame, fit: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """``rows`` with _d2, the squared Mahalanobis distance from their estimate (null without one), and what ``on`` adds."""
     total = None
     for i in range(P):
         z = sum((F.col(f"l{i}{j}") * (F.col(FEATURES[j]) - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0))
         total = z * z if total is None else total + z * z
-    return rows.join(fit, "_key", "left").withColumn("_d2", total).select(*rows.columns, "_d2")
-
+    return rows.join(fit, "_key", how).select(*dict.fromkeys([*rows.columns, *on]), total.alias("_d2"))
 
-def outliers(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """``rows`` (with _key, features and base_failed) with _d2 from their group's estimate.
 
-    Only rows that pass the base rules are fitted; all get a distance.
-    """
-    fitted = rows.where(~F.col("base_failed"))
+def determinant_fits(fitted: DataFrame) -> DataFrame:
+    """The estimate of least determinant of each _key among ``fitted`` (_key, features). The driver learns counts only."""
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.round(F.col(c) * GRID).cast("int").alias("cell")) for i, c in enumerate(FEATURES)])).alias("x")
     grid = fitted.select("_key", cells).groupBy("_key", "x.f", "x.cell").agg(F.count(F.lit(1)).alias("n"))
-    fit = stored(grid.groupBy("_key").applyInPandas(_first, _FIT))
-    for _ in range(steps):
-        near = _distance(fitted, fit).withColumn("bin", F.least(F.lit(BINS - 1), F.floor(16 * F.log2(1 + F.col("_d2")))).cast("int"))
-        sums = [F.sum(FEATURES[i]).alias(f"s{i}") for i in range(P)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in _TRIANGLE]
-        fit = stored(near.groupBy("_key", "bin").agg(F.count(F.lit(1)).alias("n"), *sums).groupBy("_key").applyInPandas(_step, _FIT))
-    return _distance(rows, fit)
+    drawn = fitted.withColumn("start", F.explode(F.array(*map(F.lit, range(1, STARTS))))).withColumn("by", F.xxhash64("start", *FEATURES))
+    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("_key", "start").orderBy("by"))).where(f"k <= {P + 1}")
+    moving = stored(grid.groupBy("_key").applyInPandas(_median_start, _FIT).union(drawn.drop("by", "k").groupBy("_key", "start").applyInPandas(_subset_start, _FIT)))
+    sums = [F.sum(FEATURES[i]).alias(f"s{i}") for i in range(P)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in _TRIANGLE]
+    settled = []
+    while True:
+        # 16 bins for each doubling, the bins of all rows behind 2^16 together
+        near = _distance(fitted, moving, ["start"], "inner").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(16 * F.log2(1 + F.col("_d2")))).cast("int"))
+        after = near.groupBy("_key", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *sums).groupBy("_key", "start").applyInPandas(_concentrated, _FIT)
+        was = moving.select("_key", "start", F.when(F.col("h") > 0, F.col("det")).alias("before"))
+        after = stored(after.join(was, ["_key", "start"]))
+        falls = F.col("before").isNull() | (F.col("det") < F.col("before") - STILL)
+        settled.append(stored(after.where(~falls).select(*_NAMES)))
+        release(moving)
+        moving = stored(after.where(falls).select(*_NAMES))
+        release(after)
+        if moving.isEmpty():
+            break
+    release(moving)
+    ends = settled[0]
+    for x in settled[1:]:
+        ends = ends.union(x)
+    best = stored(ends.groupBy("_key").agg(F.min_by(F.struct(*_NAMES[1:]), F.struct("det", "start")).alias("x")).select("_key", "x.*"))
+    release(*settled)
+    return best
+
+
+def _shrunk(fits: DataFrame) -> DataFrame:
+    """The estimates drawn towards those of their language, and these towards the one of all rows."""
+    moments = [(F.col("h") * F.col(f"m{i}")).alias(f"a{i}") for i in range(P)] + [(F.col("h") * (F.col(f"c{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}"))).alias(f"b{i}{j}") for i, j in _TRIANGLE]
+    names = ["h", *[f"a{i}" for i in range(P)], *[f"b{i}{j}" for i, j in _TRIANGLE]]
+    wide = F.to_json(F.slice(F.from_json("_key", "array<string>"), 1, 1))
+    fits = fits.withColumn("_wide", wide)
+    sums = fits.select("_wide", "h", *moments).groupBy("_wide").agg(*[F.sum(x).alias(f"w_{x}") for x in names])
+    every = sums.agg(*[F.sum(f"w_{x}") for x in names]).first()
+
+    def estimate(v):
+        h, mean = max(v[0], 1e-9), np.array(v[1 : P + 1], dtype=np.float64) / max(v[0], 1e-9)
+        return h, mean, _square(np.array(v[P + 1 :], dtype=np.float64) / h) - np.outer(mean, mean)
+
+    def drawn(own, wider):
+        (h, m, c), (_, n, d) = own, wider
+        return h, (h * m + WEIGHT * n) / (h + WEIGHT), (h * c + WEIGHT * d) / (h + WEIGHT)
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.to_dict("records"):
+                own = r["h"], np.array([r[f"m{i}"] for i in range(P)]), _square([r[f"c{i}{j}"] for i, j in _TRIANGLE])
+                language = drawn(estimate([r[f"w_{x}"] for x in names]), estimate(list(every)))
+                h, mean, cov = drawn(own, language)
+                out.append(_row(r["_key"], int(r["start"]), h, mean, cov))
+            yield pd.DataFrame(out, columns=_NAMES)
+
+    if every is None or every[0] is None:
+        return fits.select(*_NAMES)
+    return fits.join(sums, "_wide").mapInPandas(run, _FIT)
+
+
+def outliers(rows: DataFrame) -> DataFrame:
+    """``rows`` (with _key, a JSON list of language and source, features and base_failed) with _d2 from their estimate.
+
+    Only rows that pass the base rules are fitted; all get a distance, null where a group has no fitted row.
+    """
+    fits = determinant_fits(rows.where(~F.col("base_failed")).select("_key", *FEATURES))
+    shrunk = stored(_shrunk(fits))
+    release(fits)
+    return _distance(rows, shrunk, [])
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), cut: float = CUT) -> DataFrame:
     """(id, counts, base_failed, distance2, kept) of every row.
 
-    Nulls: a null text has no words and fails the base rules; a null language or source is a value of its own. A group
-    with under LEAST_ROWS fitted rows is judged by one estimate over all such groups. Repeated rows stay and count.
-    Where nothing could be fitted, the base rules alone decide.
+    Nulls: a null text has no words and fails the base rules; a null language or source is a value of its own. Repeated
+    rows stay and count. Texts are counted whole. Where nothing could be fitted, the base rules alone decide.
     """
-    rows = stored(base_counts(df, id_col, text_col, group_cols))
-    sizes = rows.where(~F.col("base_failed")).groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
-    key = F.when(F.col("_n") >= LEAST_ROWS, F.col("_group")).otherwise(F.lit("small groups"))
-    keyed = stored(rows.join(sizes, "_group", "left").withColumn("_key", key).drop("_n", "_group"))
+    rows = stored(base_counts(df, id_col, text_col, group_cols).withColumnRenamed("_group", "_key"))
     limit = chi2_quantile(cut, P)
-    return outliers(keyed).select(
+    return outliers(rows).select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.col("_d2").alias("distance2"),
         (~F.col("base_failed") & (F.coalesce(F.col("_d2"), F.lit(0.0)) <= limit)).alias("kept"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
 
+import numpy as np
+
 from cadenza.llm import language_id, quality, shards
 
 
@@ -54,6 +57,55 @@ def test_outliers(spark):
     assert quality.quality(df.limit(0)).count() == 0
 
 
+def plain_determinant(x: np.ndarray) -> float:
+    """Least log determinant by a plain version: exact concentration steps from many random subsets."""
+    rng, best = np.random.default_rng(3), math.inf
+    h = int(quality.KEEP * len(x))
+    scale = quality.KEEP / quality.chi2_cdf(quality.chi2_quantile(quality.KEEP, quality.P), quality.P + 2)
+    floor = np.array(quality.FLOOR) ** 2
+    for _ in range(60):
+        rows, last = x[rng.choice(len(x), quality.P + 1, replace=False)], math.inf
+        factor = 1.0
+        while True:
+            mean, cov = rows.mean(axis=0), np.cov(rows.T, bias=True) * factor
+            cov = cov + np.diag(np.maximum(floor - np.diag(cov), 0) + 1e-9)
+            det = float(np.linalg.slogdet(cov)[1])
+            if factor > 1 and det >= last - 1e-9:
+                break
+            last, factor = (det if factor > 1 else math.inf), scale
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            rows = x[np.argsort(d)[:h]]
+        best = min(best, last)
+    return best
+
+
+def test_least_determinants_against_a_plain_version(spark):
+    rng, groups = np.random.default_rng(1), {}
+    for k, n in enumerate((40, 120, 400)):
+        mix = rng.normal(size=(quality.P, quality.P)) / 2 + np.eye(quality.P)
+        x = rng.normal(size=(n, quality.P)) @ mix
+        x[: n // 5] = rng.normal(size=(n // 5, quality.P)) * 0.3 + 8  # a tight knot of outliers that drags a plain mean
+        groups[f'["l{k}","s"]'] = x
+    rows = [(key, *map(float, r)) for key, x in groups.items() for r in x]
+    fits = quality.determinant_fits(spark.createDataFrame(rows, "_key string, " + ", ".join(f"{f} double" for f in quality.FEATURES))).collect()
+    assert {r["_key"] for r in fits} == set(groups)
+    for r in fits:
+        x = groups[r["_key"]]
+        assert abs(r["det"] - plain_determinant(x)) < 0.35, (r["_key"], r["det"], plain_determinant(x))
+        clean = x[len(x) // 5 :].mean(axis=0)
+        assert all(abs(r[f"m{i}"] - clean[i]) < 0.7 for i in range(quality.P))
+
+
+def test_a_small_group_is_judged_by_its_language(spark):
+    rows = [r for r in corpus(600)] + [(9000, rows_text(), "xx", "tiny"), (9001, "$#%&* " * 100, "xx", "tiny")]
+    out = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert out[9000]["kept"] and not out[9001]["kept"]
+
+
+def rows_text() -> str:
+    return corpus(3)[2][1]
+
+
 def test_a_constant_feature_is_no_crash(spark):
     df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(30)), "a", "b") for i in range(150)], "doc_id long, text string, lang string, source string")
     assert all(r["kept"] for r in quality.quality(df).collect())
