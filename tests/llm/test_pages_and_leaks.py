@@ -132,6 +132,34 @@ def test_leaks_by_brute_force(spark, seed):
     assert all(x in found for x, d in truth.items() if d == 0)
 
 
+@pytest.mark.parametrize("words", [10, 30, 42, 43, 60, 120, 250, 500, 1000])
+@pytest.mark.parametrize("kind", ["substitutions", "moves"])
+def test_recall_at_the_largest_distance(words, kind):
+    rng = random.Random(words)
+    vocab = [f"q{k}" for k in range(4000)]
+    n = 120 if words <= 250 else 40
+    items = [(k, [rng.choice(vocab) for _ in range(words)]) for k in range(n)]
+    texts = []
+    for _, item in items:
+        out = list(item)
+        for e, at in enumerate(sorted(rng.sample(range(words), dc.edits(words)), reverse=True)):
+            if kind == "substitutions":
+                out[at] = rng.choice(vocab)
+            elif e % 2:
+                del out[at]
+            else:
+                out.insert(at, rng.choice(vocab))
+        texts.append(" ".join([rng.choice(vocab) for _ in range(30)] + out + [rng.choice(vocab) for _ in range(30)]))
+    index = dc.Index([(k, " ".join(w)) for k, w in items])
+    found = {(i, k) for i, k, *_ in dc.scan(index, list(range(n)), texts)}
+    assert sum((k, k) in found for k in range(n)) >= 0.95 * n
+
+
+def test_memory_does_not_follow_the_longest_item():
+    index = dc.Index([(0, " ".join(f"w{k}" for k in range(20000)))])
+    assert max(index.lengths) <= dc.PIECE and sum(x.nbytes for x in index.random) == 8 * dc.REPEATS * 20002
+
+
 def test_leaks_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "A b, c d e!", 1), (1, "a b c d e", 1), (None, "z a b c d e", 1), (2, None, 1), (3, "", 1)], "doc_id long, text string, item_id long")
     bench = spark.createDataFrame([("i", "a b c d e"), ("i", "a b c d e"), ("n", None), ("e", " .")], "item_id string, text string")
