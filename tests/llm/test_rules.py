@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from cadenza.llm import language_id, quality, shards
 
@@ -132,6 +133,35 @@ def test_language(spark):
     assert [r["lang_pred"] for r in language_id.identify(df.withColumn("lang", language_id.F.lit(None).cast("string")).limit(3)).collect()] == ["und"] * 3
 
 
+def test_language_against_plain_naive_bayes(spark):
+    """Counts, priors and argmax in plain Python over the same hashed n-grams."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(WORDS[lang].split()) for _ in range(rng.randrange(1, 6))), lang) for i, lang in enumerate(rng.choices(list(WORDS), weights=[8, 1, 1], k=300))]
+    langs, matrix, prior = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    grams, documents = {lang: {} for lang in WORDS}, dict.fromkeys(WORDS, 0)
+    for _, text, lang in rows:
+        documents[lang] += 1
+        for h in language_id.buckets_of(text):
+            for b in h.tolist():
+                grams[lang][b] = grams[lang].get(b, 0) + 1
+    assert langs == sorted(WORDS)
+    for text in [r[1] for r in rows[:80]] + ["haus", "x", "the la", "der of la " * 50]:
+        best = {}
+        for lang in langs:
+            size = sum(grams[lang].values()) + language_id.SMOOTHING * language_id.BUCKETS
+            best[lang] = math.log(documents[lang] / len(rows)) + sum(math.log((grams[lang].get(b, 0) + language_id.SMOOTHING) / size) for h in language_id.buckets_of(text) for b in h.tolist())
+        top = max(best.values())
+        assert best[language_id.score(text, langs, matrix, prior)[0]] > top - 1e-3
+    both = list(language_id.scores([r[1] for r in rows] + [None, "", "12"], langs, matrix, prior))
+    assert both == [language_id.score(t, langs, matrix, prior) for t in [r[1] for r in rows] + [None, "", "12"]]
+
+
+def test_too_many_labels_are_refused_before_gathering(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.train(spark.createDataFrame([(k, "text", f"l{k}") for k in range(5)], "doc_id long, text string, lang string"))
+
+
 def test_language_slices_equal_the_whole_text():
     text = "wasser und haus " * 30
     model = (["a", "b"], language_id.np.log(language_id.np.random.default_rng(1).random((language_id.BUCKETS, 2))).astype("float32"))
