@@ -11,6 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,25 +38,26 @@ def vacate() -> None:
         gc.collect()
 
 
-def map_arrow(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., list]], schema: str, rows: int = SLICE) -> DataFrame:
-    """Map batches of ``columns`` to the columns of ``schema``.
+def map_arrow(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., list]], schema: str, rows: int = SLICE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Map batches of ``columns`` to the columns of ``schema``, behind the columns ``keep``, which pass as they are.
 
     ``make`` runs once per task and returns the function applied to each slice of ``rows`` rows; it takes one Python
     list per input column and returns one list per output column. Slices keep memory bounded: nothing is kept between
     them but what ``make`` holds.
     """
-    out = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(out)
+    new = df.sparkSession.createDataFrame([], schema).schema
+    out = StructType([*[df.schema[c] for c in keep], *new.fields])
+    n, arrow = len(columns), to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for part in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
-            cols = fn(*[part.column(i).to_pylist() for i in range(len(columns))])
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
+            passed = [part.column(n + i) for i in range(len(keep))]
+            made = fn(*[part.column(i).to_pylist() for i in range(n)])
+            made = [pa.array(c, type=f.type) for c, f in zip(made, list(arrow)[len(keep) :])]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip([*passed, *made], arrow)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, out)
+    return df.select(*map(quoted, columns), *map(quoted, keep)).mapInArrow(run, out)
 
 
 def quoted(name: str) -> str:

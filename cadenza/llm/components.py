@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,6 +18,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         nearer = labels.join(seen, "v").select("v", F.col("c").alias("old"), F.least("c", "near").alias("c"))
         jump = nearer.join(labels.select(F.col("v").alias("c"), F.col("c").alias("far")), "c")
         moved = stored(jump.select("v", "old", F.least("c", "far").alias("c")))
+        release(labels)
         labels = moved.select("v", "c")
+        labels._stored_path = moved._stored_path
         if moved.where("c <> old").isEmpty():
+            release(edges)
             return labels

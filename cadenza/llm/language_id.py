@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, map_arrow, quoted, restored, vacate
+from .common import carried, map_arrow, restored, vacate
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -156,14 +156,13 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep
     def make():
         vacate()
 
-        def batch(texts, *kept):
+        def batch(texts):
             found = list(scores(texts, *shared.value))
-            return *kept, [x[0] for x in found], [x[1] for x in found]
+            return [x[0] for x in found], [x[1] for x in found]
 
         return batch
 
-    kinds = ", ".join(f"{quoted(c)} {df.schema[c].dataType.simpleString()}" for c in keep)
-    return map_arrow(df, [text_col, *keep], make, f"{kinds}, lang_pred string, score double")
+    return map_arrow(df, [text_col], make, "lang_pred string, score double", keep=tuple(keep))
 
 
 def told(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, map_arrow, release, stored, vacate
+from .common import WordHash, carried, map_arrow, release, restored, stored, vacate
 from .components import components
 
 BUCKETS = 1 << 18
@@ -159,8 +159,10 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     led = stored(entries.join(leaders, "s"))
     first = entries.select("s", F.col("id").alias("leader"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("ranges").alias("ranges2"))
     first = led.where("id <> leader").join(first, ["s", "leader"]).where(_possible(percent)).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = verify(texts, _likely(stored(first), sketches, percent), n, percent)
+    tried = _likely(stored(first), sketches, percent)
+    links = verify(texts, tried, n, percent)
     labels = components(links)
+    release(links, entries)
 
     with_label = led.join(labels.withColumnRenamed("v", "id").withColumnRenamed("c", "label"), "id", "left")
     with_label = with_label.join(labels.withColumnRenamed("v", "leader").withColumnRenamed("c", "lead_label"), "leader", "left")
@@ -171,10 +173,15 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = (F.col("label") != F.col("label2")) & (F.col("id2") != F.col("leader")) & (F.col("led2") | (F.col("id") < F.col("id2")))
     right = right.join(left.select("s").distinct(), "s", "left_semi")
     second = left.drop("leader").join(right, "s").where(apart & _possible(percent)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    second = _likely(stored(second), sketches, percent)
+    # what the first round verified is not verified again
+    second = _likely(stored(second.join(tried, ["a", "b"], "left_anti")), sketches, percent)
+    release(led, with_label, tried)
     if not second.isEmpty():
         more = verify(texts, second, n, percent)
-        labels = components(labels.select(F.col("v").alias("a"), F.col("c").alias("b")).union(more))
+        old = labels
+        labels = components(old.select(F.col("v").alias("a"), F.col("c").alias("b")).union(more))
+        release(old, more)
+    release(second)
     return rows, labels
 
 
@@ -237,7 +244,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose id is not the smallest of its group. Rows with a null id stay."""
-    groups = near_groups(docs, id_col, text_col, n, percent)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose id is not the smallest of its group, with all columns of any name.
+
+    Rows with a null id stay. Rows that share an id are one document: they stay or go together. Null and wordless texts
+    stay, as they are linked with nothing.
+    """
+    groups = near_groups(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, n, percent)
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
+    rows = carried(docs, id=F.col(id_col))
+    return restored(rows.join(gone, F.col("id") == F.col("gone"), "left_anti"), docs)

@@ -100,26 +100,43 @@ def spans(parts: list[str], run: int = RUN, least: int = WORDS) -> list[tuple[in
     return out
 
 
+#: Documents whose spans are compared before they are dealt out.
+TOGETHER = 1024
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, t, pos, n) of every span of ``docs`` (id, t, text) that is not its first occurrence."""
+    """(id, t, pos, n) of every span of ``docs`` (id, t, text) that is not its first occurrence.
+
+    Of a span that TOGETHER documents hold several times, only the first is compared with other documents; the rest are
+    known to be repeats and are dealt out by a number of their own, so that a common span does not meet in one task.
+    """
 
     def make():
         marks = Marks()
 
         def batch(ids, ts, texts):
-            out = [[] for _ in range(6)]
+            rows, first = [], {}
             for key, t, text in zip(ids, ts, texts):
                 for h1, h2, pos, n in spans(sentences(text, marks)):
-                    for column, value in zip(out, (key, t, h1, h2, pos, n)):
-                        column.append(value)
-            return out
+                    order = key is not None, key, t, pos
+                    row = [key, t, h1, h2, pos, n, False]
+                    had = first.get((h1, h2))
+                    if had is None:
+                        first[h1, h2] = order, row
+                    else:
+                        later = row if had[0] < order else had[1]
+                        if later is had[1]:
+                            first[h1, h2] = order, row
+                        later[2], later[3], later[6] = hash((t, pos)), pos, True
+                    rows.append(row)
+            return list(zip(*rows)) if rows else [[] for _ in range(7)]
 
         return batch
 
     kind = docs.schema["id"].dataType.simpleString()
-    found = map_arrow(docs, ["id", "t", "text"], make, f"id {kind}, t long, h1 long, h2 long, pos int, n int")
-    order = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id", "t", "pos"))
-    return found.withColumn("order", order).where("order > 1").select("id", "t", "pos", "n")
+    found = map_arrow(docs, ["id", "t", "text"], make, f"id {kind}, t long, h1 long, h2 long, pos int, n int, known boolean", TOGETHER)
+    order = F.row_number().over(Window.partitionBy("h1", "h2", "known").orderBy("id", "t", "pos"))
+    return found.withColumn("order", order).where("known or order > 1").select("id", "t", "pos", "n")
 
 
 def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -167,10 +167,54 @@ class Reader(HTMLParser):
                 e.name = ""
 
 
-def alike(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Shared beginning of two paths against the longer one."""
-    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return n / max(len(a), len(b), 1)
+def kernel(shared: int, a: int, b: int) -> float:
+    """Weight of two paths of ``a`` and ``b`` labels that begin with the same ``shared`` ones."""
+    return math.exp(-(((1 - shared / max(a, b, 1)) / 0.2) ** 2))
+
+
+def smoothed(ratio: dict[tuple[str, ...], tuple[float, float]]) -> dict[tuple[str, ...], tuple[float, float]]:
+    """Means of the paths' two ratios, each path weighted by ``kernel``.
+
+    The weight follows from the shared beginning and the two lengths alone, so paths are added up by length at every
+    node of the tree of their beginnings, and a path meets the sums at its nodes instead of all other paths.
+    """
+    tree: dict[tuple[int, str], int] = {}
+    sums: list[dict[int, list[float]]] = [{}]
+    nodes = {}
+    for p, (text, punct) in ratio.items():
+        at = [0]
+        for label in p:
+            at.append(tree.setdefault((at[-1], label), len(sums)))
+            if at[-1] == len(sums):
+                sums.append({})
+        nodes[p] = at
+        for k in at:
+            held = sums[k].setdefault(len(p), [0.0, 0.0, 0.0])
+            held[0] += 1
+            held[1] += text
+            held[2] += punct
+
+    def added(total: tuple, node: int, below: int | None, shared: int, length: int) -> tuple:
+        """``total`` and the paths through ``node`` but not ``below``, by their weight for a path of ``length``."""
+        n, text, punct = total
+        for other, (m, t, q) in sums[node].items():
+            less = sums[below].get(other, (0.0, 0.0, 0.0)) if below is not None else (0.0, 0.0, 0.0)
+            w = kernel(shared, length, other)
+            n, text, punct = n + w * (m - less[0]), text + w * (t - less[1]), punct + w * (q - less[2])
+        return n, text, punct
+
+    known: dict[tuple[int, int], tuple] = {}  # (node, length of the path): sums over all paths that leave it above the node
+    out = {}
+    for p, at in nodes.items():
+        length, k = len(p), len(p)
+        while k and (at[k], length) not in known:
+            k -= 1
+        total = known.get((at[k], length), (0.0, 0.0, 0.0))
+        for d in range(k, length):
+            total = known[at[d + 1], length] = added(total, at[d], at[d + 1], d, length)
+        n, text, punct = added(total, at[length], None, length, length)
+        out[p] = text / n, punct / n
+    return out
 
 
 def split_links(nodes: list[Node]) -> None:
@@ -200,11 +244,9 @@ def scores(nodes: list[Node]) -> dict[tuple[str, ...], float]:
     ratio = {p: (chars[p] / len(blocks[p]), marks[p] / len(blocks[p])) for p in chars}
     landmark = any(inside.values())
     smooth: dict[tuple[str, ...], float] = {}
+    near = smoothed(ratio)
     for p in ratio:
-        weight = {q: math.exp(-(((1 - alike(p, q)) / 0.2) ** 2)) for q in ratio}
-        total = sum(weight.values())
-        text = sum(weight[q] * ratio[q][0] for q in ratio) / total
-        punct = sum(weight[q] * ratio[q][1] for q in ratio) / total
+        text, punct = near[p]
         term = OFF_LANDMARK + (1 - OFF_LANDMARK) * inside[p] / chars[p] if landmark else 1.0
         own = ratio[p][0] * (1 + ratio[p][1])
         term *= min((NAMED.get(label[-1:], 1.0) for label in p), default=1.0)
@@ -267,7 +309,10 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) of every page; null, empty or broken markup gives what text it has. Repeated rows stay."""
+    """(id, url, text, n_chars) of every page; null, empty or broken markup gives what text it has. Repeated rows stay.
+
+    Pages of any length are read whole. Paths of equal score are chosen or left together, as the threshold is one number.
+    """
 
     def make():
         def batch(ids, urls, htmls):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -69,6 +70,27 @@ def test_a_landmark_does_not_outweigh_the_text_beside_it():
     assert tag_paths.main_text(html).split("\n\n") == STORY
 
 
+def test_smoothing_by_brute_force():
+    rng = random.Random(4)
+    ratio = {tuple(rng.choice("abc") for _ in range(rng.randrange(0, 9))): (rng.random() * 90, rng.random()) for _ in range(300)}
+    found = tag_paths.smoothed(ratio)
+    for p in ratio:
+        weight = {}
+        for q in ratio:
+            shared = next((i for i, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q)))
+            weight[q] = tag_paths.kernel(shared, len(p), len(q))
+        total = sum(weight.values())
+        for k in range(2):
+            assert found[p][k] == pytest.approx(sum(weight[q] * ratio[q][k] for q in ratio) / total)
+
+
+def test_many_paths_take_seconds():
+    body = "".join(f"<div class='c{k}'><p>Text number {k}, of its own.</p></div>" for k in range(10000))
+    began = time.perf_counter()
+    assert tag_paths.main_text(f"<html><body>{body}</body></html>")
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "&amp", "<!-- open", "<p>a<p>b</b></i>", "</div></div>", "<script>x", "<" * 2000, "<div>" * 3000 + "deep", "\x00<p>\x00</p>"])
 def test_broken_markup_is_no_crash(html):
     assert isinstance(tag_paths.main_text(html), str)

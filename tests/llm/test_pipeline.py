@@ -35,6 +35,24 @@ def corpus():
     return [(*r, len(r[1] or "")) for r in rows], [(1, item)]
 
 
+def test_odd_tables(spark, tmp_path):
+    """Columns with the operators' names, nulls everywhere, repeated rows, and no rows at all."""
+    rows, bench = corpus()
+    own = ", score int, lang_pred string, _row string, _id int, _kept string, l int, c int, `a.b` string"
+    wide = [(*r[:4], 1, "x", "y", 2, "z", 3, 4, "w") for r in rows[:40]] + [(None,) * 12, (None, rows[0][1], *[None] * 10)]
+    df = spark.createDataFrame([*wide, wide[0]], "doc_id long, text string, lang string, source string" + own)
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (df, df.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if k + 1 < len(corpus_pipeline.STAGES):
+                assert out.columns == df.columns
+                out = corpus_pipeline.stored(out)
+            docs = out
+        found = docs.collect()
+        assert {r["doc_id"] for r in found} <= {r[0] for r in wide} and (len(found) > 30 or not found)
+
+
 def test_stages(spark, tmp_path):
     rows, bench = corpus()
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
