@@ -1,64 +1,8 @@
-"""The corpus pipeline: language ID, line dedup, near-duplicate documents, benchmark decontamination, encoding.
-
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
-"""
+"""The corpus pipeline as the driver calls it: ``STAGES``, ``ORACLE_SQL`` and ``run``; the stages lie in the corpus subpackage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from cadenza.llm import decontamination, language_id, line_dedup, ngram_join, piece_codec
 from cadenza.llm.common import stored, table
+from cadenza.llm.pipeline import ORACLE_SQL, STAGES, run
 
-#: No SQL: language ID, random walks and encoding are not expressible; tests hold run() against brute force.
-ORACLE_SQL = None
-#: A document is rejected below this score, or where no language can be told.
-LEAST_SCORE = 0.5
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; trained on the given documents' labels outside the held-out fold."""
-    trained = language_id.train(docs.where((language_id.fold() != 2) & F.col("doc_id").isNotNull()))
-    scored = language_id.predict(docs, trained, docs.columns)
-    return scored.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier line; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), the one of the smallest id."""
-    return ngram_join.one_of_each(docs, n=5, percent=80)
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
-
-
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of the documents left."""
-    ids = piece_codec.encode_texts(docs)
-    return ids.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
-
-
-STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminated), ("SentencePiece encoding", encoded)]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run", "stored", "table"]
