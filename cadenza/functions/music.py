@@ -90,3 +90,105 @@ def auto_range(low: Column, high: Column) -> tuple[Column, Column]:
     a, b = F.greatest(a, F.lit(21)), F.least(b, F.lit(108))
     empty = low.isNull() | high.isNull()
     return F.when(empty, 60).otherwise(F.least(a, low)).cast("int"), F.when(empty, 84).otherwise(F.greatest(b, high)).cast("int")
+
+
+# fixed values: number of keys and lowest key of the preset keyboards, and the bounds of a piano
+PRESETS = {25: 48, 37: 48, 49: 36, 61: 36, 76: 28, 88: 21}
+LOWEST, HIGHEST = 21, 108
+# fixed values: flags of written note types
+FLAGS = {"eighth": 1, "16th": 2, "32nd": 3, "64th": 4}
+# fixed values: first code points of the music font's digits for meters and tuplets, and its letters of dynamics
+METER_DIGITS, TUPLET_DIGITS = 0xE080, 0xE880
+DYNAMICS = {"p": "\ue520", "m": "\ue521", "f": "\ue522", "r": "\ue523", "s": "\ue524", "z": "\ue525", "n": "\ue526"}
+# fixed values: diatonic value of the note that a clef's sign names
+CLEF_NOTE = {"F": 24, "C": 28}
+#: A black key's width and height against a white key's.
+BLACK = 0.62
+
+
+def within(x: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(x, low), high)
+
+
+def preset_range(keys: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """Bounds of a keyboard of ``keys`` keys slid over the pitches low..high; wider where they do not fit."""
+    first, span = lookup(keys, PRESETS), keys - 1
+    a = F.least(first, F.coalesce(low, first))
+    b = a + span
+    up = high > b
+    a, b = F.when(up, high - span).otherwise(a), F.when(up, high).otherwise(b)
+    a = F.least(a, F.coalesce(low, a))
+    return tuple(within(x, F.lit(LOWEST), F.lit(HIGHEST)).cast("int") for x in (a, b))
+
+
+def key_rect(pitch: Column, low: Column, white_width: Column) -> tuple[Column, Column]:
+    """(left edge, width) of a key on a keyboard that begins with ``low``; a black key straddles its boundary."""
+    edge = (white_before(pitch) - white_before(low)) * white_width
+    wide = white_width * BLACK
+    return F.when(is_white(pitch), edge).otherwise(edge - wide / 2), F.when(is_white(pitch), white_width).otherwise(wide)
+
+
+def near_miss(expected: Column, low: Column, high: Column, avoid: Column, pick: Column, spread: int = 3) -> Column:
+    """A pitch near ``expected`` that is in range and not avoided: number ``pick`` of those within ``spread`` semitones, below
+    before above at each distance, else the nearest further off, else ``expected`` itself."""
+    all_ = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(high - low, F.lit(spread))), lambda d: F.array(expected - d, expected + d)))
+    fits = F.filter(all_, lambda p: p.between(low, high) & ~F.array_contains(avoid, p))
+    close = F.filter(fits, lambda p: F.abs(p - expected) <= spread)
+    chosen = F.try_element_at(close, (F.pmod(pick, F.greatest(F.size(close), F.lit(1))) + 1).cast("int"))
+    far = F.try_element_at(F.filter(fits, lambda p: F.abs(p - expected) <= high - low), F.lit(1))
+    return F.coalesce(chosen, far, expected)
+
+
+def key_signature(fifths: Column, bass: Column) -> Column:
+    """Staff steps of a key's accidentals in their order; seven at most, two steps lower on a bass staff."""
+    steps = F.when(fifths > 0, F.array(*map(F.lit, SHARP_STEPS))).otherwise(F.array(*map(F.lit, FLAT_STEPS)))
+    return F.transform(F.slice(steps, 1, F.least(F.abs(fifths), F.lit(7)).cast("int")), lambda s: s - F.when(bass, 2).otherwise(0))
+
+
+def ledger_lines(y: Column, bottom: Column, space: float) -> Column:
+    """Places of the lines that a note at ``y`` needs below and above a staff whose lowest line lies at ``bottom``."""
+    below = F.floor((y + 0.5 - bottom) / space)
+    above = F.floor((bottom - 4 * space - y + 0.5) / space)
+
+    def lines(n: Column, start: Column, step: float) -> Column:
+        return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: start + k * step)).otherwise(F.array().cast("array<double>"))
+
+    return F.concat(lines(below, bottom, space), lines(above, bottom - 4 * space, -space))
+
+
+def slur_control(ax: Column, ay: Column, bx: Column, by: Column, top: Column, space: float) -> tuple[Column, Column]:
+    """Control point of a slur's curve, so that its middle clears the highest note below it."""
+    clear = 1.4 * space + F.abs(bx - ax) * 0.05
+    return (ax + bx) / 2, 2 * (top - clear) - 0.5 * (ay + by)
+
+
+def number_glyphs(number: Column, first: int) -> Column:
+    return F.translate(number.cast("string"), "0123456789", "".join(chr(first + d) for d in range(10)))
+
+
+def dynamics_glyphs(token: Column) -> Column:
+    """Letters of the music font; other letters are dropped."""
+    return F.translate(F.regexp_replace(F.lower(token), f"[^{''.join(DYNAMICS)}]", ""), "".join(DYNAMICS), "".join(DYNAMICS.values()))
+
+
+def flags_by_type(note_type: Column) -> Column:
+    return lookup(note_type, FLAGS, 0)
+
+
+def rest_kind(note_type: Column) -> Column:
+    return F.when(note_type.isin("whole", "half", "eighth", "16th"), note_type).otherwise("quarter")
+
+
+def note_y(step: Column, octave: Column, sign: Column, line: Column, bottom: Column, space: float) -> Column:
+    """Place of a note head on the staff of a clef whose sign sits on ``line``."""
+    lowest = lookup(sign, CLEF_NOTE, 32) - (line - 1) * 2
+    return bottom - (octave * 7 + lookup(step, DIATONIC, 0) - lowest) * (space / 2)
+
+
+def speed(x: Column) -> Column:
+    return within(x, F.lit(0.25), F.lit(2.0))
+
+
+def frame_counts(dt_ms: Column) -> Column:
+    """Whether a frame's step is taken: longer than nothing and shorter than 100 ms."""
+    return (dt_ms > 0) & (dt_ms < 100)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -41,27 +41,60 @@ def reapable(users: DataFrame, now: Column, grace_s: int) -> DataFrame:
 
 
 def token_verdict(kid_known: Column, aud: Column, audience: Column, exp: Column, now: Column) -> Column:
-    """First reason against a token, or ok."""
-    return F.when(~kid_known, "unknown key").when(exp <= now, "expired").when(aud != audience, "wrong audience").otherwise("ok")
+    """First reason against a token, or ok; a missing key, expiry or audience counts as a wrong one."""
+    known, alive, meant = (F.coalesce(c, F.lit(False)) for c in (kid_known, exp > now, aud == audience))
+    return F.when(~known, "unknown key").when(~alive, "expired").when(~meant, "wrong audience").otherwise("ok")
+
+
+def claims_verdict(kid_known: Column, aud: Column, audience: Column, exp: Column, now: Column, leeway_s: int = 60) -> Column:
+    """As ``token_verdict`` for a list of audiences, of which one must be meant, and an expiry with some seconds of leeway."""
+    return token_verdict(kid_known, F.array_contains(aud, audience), F.lit(True), exp + leeway_s, now)
+
+
+def provider_verdict(issuer: Column, expected: Column, aud_matches: Column, exp: Column, now: Column) -> Column:
+    """First reason against a sign-in provider's token, or ok: issuer, audience, expiry."""
+    issued, meant, alive = (F.coalesce(c, F.lit(False)) for c in (issuer == expected, aud_matches, exp > now))
+    return F.when(~issued, "issuer mismatch").when(~meant, "audience mismatch").when(~alive, "expired").otherwise("ok")
+
+
+def allowed_audience(audience: Column, allowed: list[str]) -> Column:
+    return F.coalesce(audience.isin(allowed), F.lit(False))
+
+
+def authenticated(calls: DataFrame, tokens: DataFrame, strict: bool) -> DataFrame:
+    """``calls`` (with token) and the user_id of their valid token (token, user_id, verdict).
+
+    Strict: only calls with a valid token. Optional: all; those without a token, or with one that is not valid, have no user.
+    """
+    valid = tokens.where("verdict = 'ok'").select("token", "user_id").dropDuplicates(["token"])
+    return calls.join(valid, "token", "inner" if strict else "left")
 
 
 def optimistic_update(users: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(users after, outcomes) of ``updates`` (id, display_name, handle, handle_key, expected).
 
     Null fields stay as they are. An update applies where the version is the expected one and no other account has the
-    handle's key. Outcomes: updated, conflict, not_found, already_exists.
+    handle's key. Of several updates of one id that would apply one does (the one with the least fields in their order), the
+    others meet a conflict; of several accounts that ask for one free key the least id gets it. Outcomes: updated,
+    conflict, not_found, already_exists.
     """
     own = updates.alias("n").join(users.alias("u"), F.col("n.id") == F.col("u.id"), "left")
     owner = users.where("handle_key is not null").groupBy("handle_key").agg(F.min("id").alias("owner"))
     own = own.join(owner.alias("o"), F.col("n.handle_key") == F.col("o.handle_key"), "left")
     taken = F.col("o.owner").isNotNull() & (F.col("o.owner") != F.col("n.id"))
     outcome = F.when(F.col("u.id").isNull(), "not_found").when(F.col("u.version") != F.col("n.expected"), "conflict").when(taken, "already_exists").otherwise("updated")
-    outcomes = own.select(F.col("n.id").alias("id"), outcome.alias("outcome"))
-    fresh = own.where(outcome == "updated").select(F.col("n.id").alias("id"), *[F.col(f"n.{c}").alias(f"_{c}") for c in ("display_name", "handle", "handle_key")], F.lit(1).alias("_one"))
+    rows = own.select(*[F.col(f"n.{c}").alias(c) for c in ("id", "display_name", "handle", "handle_key", "expected")], outcome.alias("outcome"))
+    first = F.row_number().over(Window.partitionBy("id", "outcome").orderBy("handle_key", "display_name", "handle"))
+    rows = rows.withColumn("outcome", F.when((F.col("outcome") == "updated") & (first > 1), "conflict").otherwise(F.col("outcome")))
+    # accounts that keep their own key are not rivals; null keys are none
+    rival = F.row_number().over(Window.partitionBy("handle_key", F.when(F.col("handle_key").isNull(), F.col("id")), "outcome").orderBy("id"))
+    lost = (F.col("outcome") == "updated") & F.col("handle_key").isNotNull() & (rival > 1)
+    rows = rows.withColumn("outcome", F.when(lost, "already_exists").otherwise(F.col("outcome")))
+    fresh = rows.where("outcome = 'updated'").select("id", *[F.col(c).alias(f"_{c}") for c in ("display_name", "handle", "handle_key")], F.lit(1).alias("_one"))
     after = users.join(fresh, "id", "left")
     changed = {c: F.coalesce(f"_{c}", c) for c in ("display_name", "handle", "handle_key")}
     after = after.withColumns(changed | {"version": F.col("version") + F.coalesce("_one", F.lit(0))})
-    return after.select(*users.columns), outcomes
+    return after.select(*users.columns), rows.select("id", "outcome")
 
 
 def consume_tokens(credentials: DataFrame, attempts: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -72,6 +105,52 @@ def consume_tokens(credentials: DataFrame, attempts: DataFrame, now: Column) ->
     return after.select(*credentials.columns), met
 
 
+def reset_passwords(credentials: DataFrame, attempts: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(credentials after, emails reset) of ``attempts`` (reset_token, new_hash): a token counts once, before it expires.
+
+    Of several attempts with one token the least hash counts.
+    """
+    asked = attempts.groupBy("reset_token").agg(F.min("new_hash").alias("_hash"))
+    rows = credentials.join(asked, "reset_token", "left")
+    hit = F.col("_hash").isNotNull() & F.coalesce(F.col("reset_expires_at") > now, F.lit(False))
+    changed = {"password_hash": F.when(hit, F.col("_hash")).otherwise(F.col("password_hash")), "reset_token": F.when(~hit, F.col("reset_token")), "reset_expires_at": F.when(~hit, F.col("reset_expires_at"))}
+    after = rows.withColumn("_hit", hit)
+    return after.select("_hit", *[changed[c].alias(c) if c in changed else F.col(c) for c in credentials.columns]).drop("_hit"), after.where("_hit").select("email")
+
+
+def new_accounts(asks: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(users, identities, roles) of accounts for ``asks`` (id, provider, subject): version 1, no handle, the global role user."""
+    users = asks.select("id", F.lit(None).cast("string").alias("handle"), F.lit(1).cast("long").alias("version"), now.alias("created_at"))
+    identities = asks.select(F.col("id").alias("user_id"), "provider", "subject", now.alias("linked_at"))
+    return users, identities, asks.select(F.col("id").alias("user_id"), F.lit("global").alias("scope"), F.lit("user").alias("role"))
+
+
+def resolve_or_provision(identities: DataFrame, asks: DataFrame) -> DataFrame:
+    """(provider, subject, user_id, created) of ``asks`` (id, provider, subject): the owner, or a new account of the ask's id.
+
+    Asks that repeat a provider and subject are one account, the least id.
+    """
+    once = asks.groupBy("provider", "subject").agg(F.min("id").alias("id"))
+    owned = identities.select("provider", "subject", "user_id").dropDuplicates(["provider", "subject"])
+    rows = once.join(owned, ["provider", "subject"], "left")
+    return rows.select("provider", "subject", F.coalesce("user_id", "id").alias("user_id"), F.col("user_id").isNull().alias("created"))
+
+
+def link(identities: DataFrame, asks: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(identities after, outcomes) of ``asks`` (user_id, provider, subject): linked, unchanged or already_exists.
+
+    Of several accounts that ask for one free identity the least id gets it.
+    """
+    owned = identities.select("provider", "subject", F.col("user_id").alias("_owner")).dropDuplicates(["provider", "subject"])
+    rows = asks.dropDuplicates(["user_id", "provider", "subject"]).join(owned, ["provider", "subject"], "left")
+    first = F.min("user_id").over(Window.partitionBy("provider", "subject"))
+    owner = F.coalesce(F.col("_owner"), first)
+    outcome = F.when(owner != F.col("user_id"), "already_exists").when(F.col("_owner").isNotNull(), "unchanged").otherwise("linked")
+    rows = rows.withColumn("outcome", outcome)
+    fresh = rows.where("outcome = 'linked'").select("user_id", "provider", "subject", now.alias("linked_at"))
+    return identities.unionByName(fresh.select(*identities.columns)), rows.select("user_id", "provider", "subject", "outcome")
+
+
 def effective_roles(roles: DataFrame, scopes: list[str]) -> DataFrame:
     """(user_id, roles): those of the given scopes, repeats kept, sorted."""
     return roles.where(F.col("scope").isin(scopes)).groupBy("user_id").agg(F.sort_array(F.collect_list("role")).alias("roles"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def decode(raw: DataFrame) -> DataFrame:
     """(stream, seq, kind, pitch, velocity) of messages (stream, seq, status, data1, data2).
@@ -40,3 +42,25 @@ def set_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     a, b = F.coalesce("a", none), F.coalesce("b", none)
     out = both.select("stream", F.size(F.array_except(b, a)).cast("long").alias("added"), F.size(F.array_except(a, b)).cast("long").alias("removed"))
     return out.where("added > 0 or removed > 0")
+
+
+def all_released(events: DataFrame) -> DataFrame:
+    """(stream, seq, pitch, place) of the pitches that each event of kind ``alloff`` releases, in the order of their presses.
+
+    A pitch sounds from its first start since it was last released; pressing it again does not move its place.
+    """
+    off = F.col("kind") == "alloff"
+    round_ = F.coalesce(F.sum(off.cast("int")).over(Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = events.where("kind is not null").withColumn("round", round_)
+    before = F.lag("kind").over(Window.partitionBy("stream", "round", "pitch").orderBy("seq"))
+    notes = rows.where(~off).withColumn("began", F.when((F.col("kind") == "on") & ~before.eqNullSafe(F.lit("on")), F.col("seq")))
+    held = notes.groupBy("stream", "round", "pitch").agg(F.max_by("kind", "seq").alias("last"), F.max("began").alias("began")).where("last = 'on'")
+    ends = rows.where(off).select("stream", "round", "seq")
+    place = F.row_number().over(Window.partitionBy("stream", "round").orderBy("began"))
+    return held.withColumn("place", place).join(ends, ["stream", "round"]).select("stream", "seq", "pitch", "place")
+
+
+def ports(names: DataFrame) -> DataFrame:
+    """(host, seq, name, virtual, place): a host's real ports before virtual ones, otherwise in the order given; the first is taken."""
+    virtual = text.contains_any(F.col("name"), text.VIRTUAL)
+    return names.withColumn("virtual", virtual).withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy("virtual", "seq")))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import music
+
 BUCKET_MS = 4000
 
 
@@ -134,3 +136,41 @@ def key_feedback(required: DataFrame, active: DataFrame) -> DataFrame:
     both = r.join(a, ["doc", "pitch"], "full")
     state = F.when(F.col("_r") & F.col("_a"), "correct").when(F.col("_r") & (F.col("staff") == 1), "expectedRight").when(F.col("_r"), "expectedLeft").otherwise("pressed")
     return both.select("doc", "pitch", state.alias("state"))
+
+
+def steady_beats(spans: DataFrame, every: int) -> DataFrame:
+    """(doc, time_ms, accent) of the beats of a tempo in [from_ms, to_ms), an accent on each ``every``-th from 0 on.
+
+    ``spans`` has (doc, bpm, from_ms, to_ms). No beats without a tempo, in an empty span, or for fewer than one beat a measure.
+    """
+    step = F.lit(60000.0) / F.col("bpm")
+    first, last = F.ceil(F.col("from_ms") / step), F.ceil(F.col("to_ms") / step) - 1
+    rows = spans.where((F.col("bpm") > 0) & (F.col("to_ms") > F.col("from_ms")) & F.lit(every >= 1))
+    rows = rows.where(last >= first).withColumn("k", F.explode(F.sequence(first, last)))
+    return rows.select("doc", (F.col("k") * step).alias("time_ms"), (F.pmod(F.col("k"), F.lit(max(every, 1))) == 0).alias("accent"))
+
+
+def hit_test(points: DataFrame, low: int, high: int, white_width: float, height: float) -> DataFrame:
+    """``points`` (x, y) with the pitch of the key under them: black keys win in their upper band; no row where no key is.
+
+    Keys meet points by the white-key cell, of which a key touches two at most; there are no more than 128 keys.
+    """
+    spark = points.sparkSession
+    left, width = music.key_rect(F.col("pitch"), F.lit(low), F.lit(white_width))
+    keys = spark.range(low, high + 1).select(F.col("id").alias("pitch")).select("pitch", music.is_white(F.col("pitch")).alias("white"), left.alias("left"), width.alias("width"))
+    cells = F.array_distinct(F.array(F.floor(F.col("left") / white_width), F.floor((F.col("left") + F.col("width")) / white_width)))
+    keys = keys.withColumn("cell", F.explode(cells))
+    met = points.where(F.col("y").between(0, height) & (F.col("x") >= 0)).withColumn("cell", F.floor(F.col("x") / white_width)).join(F.broadcast(keys), "cell")
+    met = met.where((F.col("x") >= F.col("left")) & (F.col("x") < F.col("left") + F.col("width")) & (F.col("white") | (F.col("y") < height * music.BLACK)))
+    return met.groupBy("x", "y").agg(F.min_by("pitch", F.struct("white", "pitch")).alias("pitch"))
+
+
+def next_lines(systems: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc, measure_index, next_system): the system shown ahead from the middle of the present one on, where there is one.
+
+    ``systems`` has (doc, system_index, measures), ``places`` (doc, measure_index, fraction).
+    """
+    member = systems.select("doc", "system_index", F.size("measures").alias("n"), F.posexplode("measures").alias("at", "measure_index"))
+    rows = places.join(member, ["doc", "measure_index"]).where((F.col("at") + F.col("fraction")) / F.col("n") >= 0.5)
+    following = systems.select("doc", (F.col("system_index") - 1).alias("system_index"), F.col("system_index").alias("next_system"))
+    return rows.join(following, ["doc", "system_index"]).select("doc", "measure_index", "next_system")

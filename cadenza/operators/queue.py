@@ -152,7 +152,11 @@ def keep_alive(msgs: DataFrame, ids: DataFrame, seconds: Column, now: Column) ->
 
 
 def checkpoint(msgs: DataFrame, payloads: DataFrame, updates: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Apply ``updates`` (id, seconds, new_payload, extra): later attempt, more attempts, payload where one is given."""
+    """Apply ``updates`` (id, seconds, new_payload, extra): later attempt, more attempts, payload where one is given.
+
+    Several updates of one id count together: the longest delay, all extra attempts, the greatest payload text.
+    """
+    updates = updates.groupBy("id").agg(F.max("seconds").alias("seconds"), F.max("new_payload").alias("new_payload"), F.sum("extra").cast("int").alias("extra"))
     rows = msgs.join(updates.select("id", "seconds", "extra", F.lit(True).alias("_hit")), "id", "left")
     rows = rows.withColumn("attempt_at", F.when(F.col("_hit"), F.greatest("attempt_at", later(now, F.col("seconds")))).otherwise(F.col("attempt_at")))
     rows = rows.withColumn("attempts", F.col("attempts") + F.coalesce("extra", F.lit(0)))
@@ -172,3 +176,35 @@ def backoff_seconds(attempt: Column, base: Column, most: Column) -> Column:
     """0 before the second attempt, then doubling from ``base``, ``most`` at most."""
     grown = base * F.pow(F.lit(2.0), F.least(F.greatest(attempt - 2, F.lit(0)), F.lit(200)))
     return F.when(attempt <= 1, F.lit(0.0)).otherwise(F.least(F.greatest(most, base).cast("double"), grown))
+
+
+#: Known kinds of jobs: channel, whether ordered, attempts, first and longest wait in seconds.
+JOB_SPECS = (("verification_email", "auth.email", False, 5, 10, 3600), ("orphan_reap", "user.reap", False, 3, 30, 600))
+
+
+def job_specs(spark) -> DataFrame:
+    return spark.createDataFrame(list(JOB_SPECS), "name string, channel string, ordered boolean, attempts int, base_s long, most_s long")
+
+
+def planned(jobs: DataFrame, specs: DataFrame) -> DataFrame:
+    """``jobs`` (id, name, payload) of known kinds as the rows that ``insert`` takes, with the defaults of their kind."""
+    rows = jobs.join(F.broadcast(specs), "name")  # a handful of kinds
+    return rows.select("id", "channel", "name", "payload", F.greatest(F.col("attempts") - 1, F.lit(0)).alias("retries"), F.col("base_s").alias("backoff_s"), F.lit(0).alias("delay_s"), F.lit(None).cast("int").alias("commit_s"), "ordered")
+
+
+def retry_policy(attempts: Column, base: Column, most: Column) -> dict[str, Column]:
+    """A policy's numbers within their bounds: one attempt at least, the longest wait no shorter than the first."""
+    tries = F.greatest(attempts, F.lit(1))
+    return {"attempts": tries, "retries": tries - 1, "most": F.greatest(most, base)}
+
+
+def swept_count(msgs: DataFrame, payloads: DataFrame, dead: DataFrame) -> DataFrame:
+    """(moved): how many messages a sweep adds to the dead letters."""
+    spent = msgs.where(is_exhausted()).join(payloads.select("id"), "id", "left_semi")
+    return spent.join(dead.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("moved"))
+
+
+def run_once(claimed: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(work, done after): claimed jobs, once each, that the ledger ``done`` (id) lacks; a job claimed again is not run again."""
+    work = claimed.dropDuplicates(["id"]).join(done.select("id"), "id", "left_anti")
+    return work, done.select("id").union(work.select("id"))

@@ -1,14 +1,14 @@
 """Cron schedules: due occurrences in a zone, missed-run policy and a deduplicated scheduler tick.
 
 A schedule has (name, cron, zone, enabled, policy, last_at): five or six fields (with seconds first), ``last_at`` in unix
-seconds. Occurrences lie in (last_at, now]. A wall time that a clock change skips has no occurrence; one that it repeats
+seconds. A seventh field is the year. Days of the week count from 1 for Sunday to 7. Occurrences lie in (last_at, now]. A wall time that a clock change skips has no occurrence; one that it repeats
 occurs once, at its first pass.
 """
 
 from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,18 +50,19 @@ def occurrences(cron: str, zone: str, after: int, now: int, most: int = MOST) ->
     parts = cron.split()
     if len(parts) == 5:
         parts = ["0", *parts]
-    if len(parts) != 6:
+    if len(parts) not in (6, 7):
         raise ValueError(f"bad cron expression {cron!r}")
+    year = _field(parts[6], 1970, 2100) if len(parts) == 7 else None
     second, minute, hour = _field(parts[0], 0, 59), _field(parts[1], 0, 59), _field(parts[2], 0, 23)
     day, month = _field(parts[3], 1, 31), _field(parts[4], 1, 12, MONTHS, 1)
-    weekday = {d % 7 for d in _field(parts[5], 0, 7, DAYS)}
+    weekday = {d - 1 for d in _field(parts[5], 1, 7, DAYS, 1)}
     if after >= now:
         return []
     tz, out = ZoneInfo(zone), []
     date = datetime.fromtimestamp(after, tz).date() - timedelta(days=1)
     last = datetime.fromtimestamp(now, tz).date() + timedelta(days=1)
     while date <= last and len(out) < most:
-        if date.month in month and date.day in day and (date.isoweekday() % 7) in weekday:
+        if (year is None or date.year in year) and date.month in month and date.day in day and (date.isoweekday() % 7) in weekday:
             times = []
             for h in sorted(hour):
                 for m in sorted(minute):
@@ -78,7 +79,8 @@ def occurrences(cron: str, zone: str, after: int, now: int, most: int = MOST) ->
 def due(schedules: DataFrame, now: int) -> DataFrame:
     """(name, due_at) of every due occurrence under each schedule's policy: catch_up keeps all, skip the latest.
 
-    Disabled schedules have none; without ``last_at`` nothing is made up for.
+    Disabled schedules have none; without ``last_at`` nothing is made up for. A schedule with a bad expression or zone has
+    none either: ``rejected`` names those.
     """
 
     def run(frames):
@@ -86,13 +88,33 @@ def due(schedules: DataFrame, now: int) -> DataFrame:
             rows = []
             for x in pdf.itertuples():
                 if x.enabled and not pd.isna(x.last_at):
-                    found = occurrences(x.cron, x.zone, int(x.last_at), now)
+                    try:
+                        found = occurrences(x.cron, x.zone, int(x.last_at), now)
+                    except (ValueError, ZoneInfoNotFoundError):
+                        continue
                     rows += [(x.name, t) for t in (found if x.policy == "catch_up" else found[-1:])]
             yield pd.DataFrame(rows, columns=["name", "due_at"]).astype({"name": "str", "due_at": "int64"})
 
     return schedules.select(F.col("name"), six_fields(F.col("cron")).alias("cron"), "zone", "enabled", "policy", "last_at").mapInPandas(run, "name string, due_at long")
 
 
+def rejected(schedules: DataFrame) -> DataFrame:
+    """(name, error) of the schedules whose expression or zone cannot be read."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for x in pdf.itertuples():
+                try:
+                    occurrences(x.cron, x.zone, 0, 0)
+                    ZoneInfo(x.zone)
+                except (ValueError, AttributeError, TypeError, ZoneInfoNotFoundError) as error:
+                    rows.append((x.name, str(error)))
+            yield pd.DataFrame(rows, columns=["name", "error"]).astype("str")
+
+    return schedules.select("name", six_fields(F.col("cron")).alias("cron"), "zone").mapInPandas(run, "name string, error string")
+
+
 def dedup_key(name: Column, at: Column) -> Column:
     return F.concat_ws(":", name, at.cast("string"))
 

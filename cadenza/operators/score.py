@@ -147,3 +147,25 @@ def pair_marks(marks: DataFrame, keys: list[str]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     open_ = F.last(F.when(F.col("is_start") | F.col("is_stop"), F.struct("seq", F.col("is_start").alias("s"))), ignorenulls=True).over(order)
     return marks.withColumn("o", open_).where(F.col("is_stop") & F.col("o.s")).select(*keys, F.col("o.seq").alias("start_seq"), F.col("seq").alias("stop_seq"))
+
+
+def nested_pairs(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start_seq, stop_seq, top): each stop with the last open start, as on a stack; top is the least y between.
+
+    ``marks`` has the keys, seq, is_start, is_stop and y. A stop without an open start is left out; a group is one system's
+    notes of a staff and voice.
+    """
+    items = F.array_sort(F.collect_list(F.struct("seq", "is_start", "is_stop", "y")))
+    kind = "struct<open:array<struct<seq:bigint,top:double>>,out:array<struct<start_seq:bigint,stop_seq:bigint,top:double>>>"
+    start = F.from_json(F.lit('{"open":[],"out":[]}'), kind)
+
+    def step(acc: Column, e: Column) -> Column:
+        lowered = F.transform(acc["open"], lambda o: F.struct(o["seq"].alias("seq"), F.least(o["top"], e["y"].cast("double")).alias("top")))
+        last = F.try_element_at(lowered, F.lit(-1))
+        closes = e["is_stop"] & (F.size(lowered) > 0)
+        out = F.when(closes, F.concat(acc["out"], F.array(F.struct(last["seq"].alias("start_seq"), e["seq"].cast("long").alias("stop_seq"), last["top"].alias("top"))))).otherwise(acc["out"])
+        rest = F.when(closes, F.slice(lowered, 1, F.greatest(F.size(lowered) - 1, F.lit(0)))).otherwise(lowered)
+        own = F.array(F.struct(e["seq"].cast("long").alias("seq"), e["y"].cast("double").alias("top")))
+        return F.struct(F.when(e["is_start"], F.concat(rest, own)).otherwise(rest).alias("open"), out.alias("out")).cast(kind)
+
+    return marks.groupBy(*keys).agg(F.aggregate(items, start, step, lambda acc: acc["out"]).alias("o")).select(*keys, F.inline("o"))

@@ -21,26 +21,32 @@ EVENTS = (
 )
 
 
-def _int(e: ET.Element | None, path: str, old: int) -> int:
-    """The number below ``path``; the old value where there is none or it is no number."""
+def _number(text: str | None, old: int | None) -> int | None:
+    """The number in a text; the old value where there is none or it is no number."""
     try:
-        return int(e.findtext(path, "").strip()) if e is not None else old
+        return int((text or "").strip())
     except ValueError:
         return old
 
 
+def _int(e: ET.Element | None, path: str, old: int | None) -> int | None:
+    """The number below ``path``; the old value where there is none or it is no number."""
+    return _number(e.findtext(path, "") if e is not None else None, old)
+
+
 def _direction(e: ET.Element) -> tuple[str, str] | None:
-    """Kind and text of a direction; None for kinds that are not kept."""
+    """Kind and text of a direction, the last one where it has several; None for kinds that are not kept."""
+    found = None
     for at in e.iter():
         if at.tag == "words":
-            return "words", (at.text or "").strip()
-        if at.tag == "dynamics":
-            return "dynamics", next((x.tag for x in at), "")
-        if at.tag == "wedge":
-            return "wedge", at.get("type", "")
-        if at.tag == "metronome":
-            return "metronome", str(_int(at, "per-minute", 0))
-    return None
+            found = "words", (at.text or "").strip()
+        elif at.tag == "dynamics":
+            found = "dynamics", next((x.tag for x in at), "")
+        elif at.tag == "wedge":
+            found = "wedge", at.get("type", "")
+        elif at.tag == "metronome":
+            found = "metronome", str(_int(at, "per-minute", 0))
+    return found
 
 
 def parse(doc: str, content: bytes) -> Iterator[dict]:
@@ -77,10 +83,10 @@ def parse(doc: str, content: bytes) -> Iterator[dict]:
                 row(e.tag, dur=_int(e, "duration", 0))
             elif e.tag == "attributes":  # of every part: the last value of a document wins
                 for name in ("divisions", "key/fifths", "time/beats", "time/beat-type", "staves"):
-                    if e.find(name) is not None:
-                        row(name.rsplit("/", 1)[-1], dur=_int(e, name, 0))
+                    if (value := _int(e, name, None)) is not None:  # what is no number leaves the old value
+                        row(name.rsplit("/", 1)[-1], dur=value)
                 for c in e.findall("clef") if part == 1 else ():
-                    row("clef", staff=int(c.get("number", "1")), sign=c.findtext("sign", "G"), line=_int(c, "line", 2))
+                    row("clef", staff=_number(c.get("number"), 1), sign=c.findtext("sign", "G"), line=_int(c, "line", 2))
             elif e.tag == "direction" and part == 1 and (d := _direction(e)):
                 row(d[0], staff=_int(e, "staff", 1), text=d[1])
             elif e.tag == "work-title":
@@ -90,7 +96,7 @@ def parse(doc: str, content: bytes) -> Iterator[dict]:
             elif e.tag == "measure":
                 if part == 1:
                     row("measure")
-                e.clear()  # bounded memory: a closed measure is not needed any more
+                e.clear()  # a closed measure's elements are not needed any more; its rows are held, as an error later on replaces them
     except (ET.ParseError, ValueError) as error:
         yield {"doc": doc, "measure_index": 0, "note_seq": 0, "kind": "error", "error": str(error)}
         return
@@ -119,17 +125,19 @@ def parse_scores(files: DataFrame) -> DataFrame:
 def documents(events: DataFrame) -> DataFrame:
     """(doc, title, composer, divisions, fifths, beats, beat_type, staves, bpm, measures) with defaults.
 
-    The last value of an attribute wins over the document; the tempo is the first positive metronome mark, 90 without one.
+    The last value of an attribute wins over the document, and the last title and composer that are not empty; the tempo is the first positive metronome mark, 90 without one.
     """
     order = F.struct("measure_index", "note_seq")
 
     def last(kind: str, default: int):
         return F.coalesce(F.max_by("dur", F.when(F.col("kind") == kind, order)), F.lit(default))
 
+    def named(kind: str):
+        return F.max_by(F.trim("text"), F.when((F.col("kind") == kind) & (F.trim("text") != ""), order))
+
     positive = (F.col("kind") == "metronome") & (F.expr("try_cast(text as int)") > 0)
     return events.where("kind <> 'error'").groupBy("doc").agg(
-        F.first(F.when(F.col("kind") == "title", F.col("text")), ignorenulls=True).alias("title"),
-        F.first(F.when(F.col("kind") == "composer", F.col("text")), ignorenulls=True).alias("composer"),
+        named("title").alias("title"), named("composer").alias("composer"),
         last("divisions", 1).alias("divisions"), last("fifths", 0).alias("fifths"), last("beats", 4).alias("beats"), last("beat-type", 4).alias("beat_type"),
         F.greatest(F.lit(1), last("staves", 1)).alias("staves"),
         F.coalesce(F.min_by(F.expr("try_cast(text as int)"), F.when(positive, order)), F.lit(90)).alias("bpm"),
