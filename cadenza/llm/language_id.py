@@ -135,8 +135,9 @@ def scores(texts: list, langs: list[str], matrix: np.ndarray, prior: np.ndarray
             if not n[i]:
                 yield UNKNOWN, 0.0
                 continue
-            best = int((total[i] + prior).argmax())
-            logit = total[i] * (min(n[i], EVIDENCE) / n[i]) + prior
+            whole = total[i] + prior
+            best = int(whole.argmax())
+            logit = whole * (min(n[i], EVIDENCE) / n[i])
             p = np.exp(logit - logit.max())
             yield langs[best], float(p[best] / p.sum())
         held, rows = 0, []
