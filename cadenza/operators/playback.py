@@ -27,6 +27,15 @@ def sounding_at(notes: DataFrame, probes: DataFrame, lag: float = 1.0) -> DataFr
     return met.where((F.col("start_ms") <= F.col("t") + lag) & (F.col("t") < end)).drop("_b")
 
 
+def in_view(notes: DataFrame, probes: DataFrame, ahead: int) -> DataFrame:
+    """Probe rows joined with each note that ends at or after t and starts no later than ``ahead`` milliseconds behind it."""
+    covered = notes.withColumn("_first", _bucket(F.col("start_ms"))).withColumn("_b", F.explode(F.sequence(F.col("_first"), _bucket(F.col("start_ms") + F.col("duration_ms")))))
+    low, high = _bucket(F.col("t")), _bucket(F.col("t") + ahead)
+    met = probes.withColumn("_low", low).withColumn("_b", F.explode(F.sequence(low, high))).join(covered, ["doc", "_b"])
+    met = met.where((F.col("start_ms") + F.col("duration_ms") >= F.col("t")) & (F.col("start_ms") <= F.col("t") + ahead))
+    return met.where(F.col("_b") == F.greatest("_first", "_low")).drop("_b", "_first", "_low")  # each pair where it first meets
+
+
 def onsets_at(notes: DataFrame, probes: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Probe rows joined with each note that starts within the tolerance of t."""
     near = probes.withColumn("_b", F.explode(F.array_distinct(F.array(_bucket(F.col("t") - tolerance), _bucket(F.col("t") + tolerance)))))

@@ -49,7 +49,8 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = F.when(~F.col("is_chord"), F.col("dur"))
     cursor = F.coalesce(F.sum(moves).over(before), F.lit(0))
     back = F.when(F.col("is_chord"), F.last(moves, ignorenulls=True).over(until)).otherwise(0)
-    return note_events(spark, sf_dir).withColumn("pos", (cursor - back).cast("long"))
+    # dealt out by document: all windows over notes and documents follow without another exchange
+    return note_events(spark, sf_dir).repartition("doc").withColumn("pos", (cursor - back).cast("long"))
 
 
 NOTES_SQL = """WITH mm AS (SELECT o_orderkey, o_custkey doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 measure_index FROM orders),
@@ -65,18 +66,20 @@ def spans(n: DataFrame) -> DataFrame:
     return score.measure_spans(n, F.lit(DIVISIONS * BEATS * 4 // BEAT_TYPE))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.timed(score.placed_notes(notes(spark, sf_dir), F.lit(DIVISIONS * BEATS * 4 // BEAT_TYPE)), bpm(), F.lit(DIVISIONS))
+
+
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = notes(spark, sf_dir)
-    return score.timed_notes(n, spans(n), bpm(), F.lit(DIVISIONS))
+    return _placed(spark, sf_dir).where("end_at is not null").select("doc", "measure_index", "note_seq", "pitch", "staff", "start_ms", "duration_ms", "end_at")
 
 
 def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, measure_index, start_ms, song_end): measure starts of the documents that have sounding notes."""
-    n = notes(spark, sf_dir)
-    s = spans(n)
-    end = score.timed_notes(n, s, bpm(), F.lit(DIVISIONS)).groupBy("doc").agg(F.max("end_at").alias("song_end"))
-    at = F.round(F.col("start_div") * ((F.lit(60000.0) / bpm()) / F.lit(DIVISIONS))).cast("long")
-    return s.join(end, "doc").select("doc", "measure_index", at.alias("start_ms"), "song_end")
+    end = F.max("end_at").over(Window.partitionBy("doc"))
+    rows = _placed(spark, sf_dir).withColumn("song_end", end).where("song_end is not null")
+    at = F.round(F.first("start_div") * ((F.lit(60000.0) / bpm()) / F.lit(DIVISIONS))).cast("long")
+    return rows.groupBy("doc", "measure_index").agg(at.alias("start_ms"), F.first("song_end").alias("song_end"))
 
 
 TIMED_SQL = (
@@ -94,9 +97,11 @@ probes AS (SELECT DISTINCT doc, CAST(k * 7500 AS BIGINT) t FROM timed, range(0,
 )
 
 
-def probes(t: DataFrame) -> DataFrame:
-    """Nine questions per document, every 7.5 seconds."""
-    return t.select("doc").distinct().withColumn("t", F.explode(F.expr("sequence(0L, 60000L, 7500L)")))
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine questions per document with a sounding note, every 7.5 seconds; needs neither positions nor times."""
+    lines = table(spark, sf_dir, "lineitem").where("not (l_linestatus = 'F' and l_partkey % 7 = 0)").select("l_orderkey")
+    docs = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_custkey").alias("doc")).distinct()
+    return docs.withColumn("t", F.explode(F.expr("sequence(0L, 60000L, 7500L)")))
 
 
 NOW = "timestamp'1998-06-01 00:00:00'"
