@@ -29,7 +29,7 @@ WINDOW = 8
 KEEP = 0.75
 STARTS = 5
 #: A determinant that falls by less than this share has stopped falling.
-STILL = 1e-3
+STILL = 1e-2
 #: Rows of the next wider group that a group's own rows are weighed against.
 WEIGHT = 30
 #: Share of clean rows that the cut-off leaves in, were they normal.
@@ -201,26 +201,24 @@ def determinant_fits(fitted: DataFrame) -> DataFrame:
     drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("_key", "start").orderBy("by"))).where(f"k <= {P + 1}")
     moving = stored(grid.groupBy("_key").applyInPandas(_median_start, _FIT).union(drawn.drop("by", "k").groupBy("_key", "start").applyInPandas(_subset_start, _FIT)))
     sums = [F.sum(FEATURES[i]).alias(f"s{i}") for i in range(P)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in _TRIANGLE]
-    settled = []
+    tables, settled = [moving], []
     while True:
         # 16 bins for each doubling, the bins of all rows behind 2^16 together
         near = _distance(fitted, moving, ["start"], "inner").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(16 * F.log2(1 + F.col("_d2")))).cast("int"))
         after = near.groupBy("_key", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *sums).groupBy("_key", "start").applyInPandas(_concentrated, _FIT)
         was = moving.select("_key", "start", F.when(F.col("h") > 0, F.col("det")).alias("before"))
-        after = stored(after.join(was, ["_key", "start"]))
         falls = F.col("before").isNull() | (F.col("det") < F.col("before") - STILL)
-        settled.append(stored(after.where(~falls).select(*_NAMES)))
-        release(moving)
-        moving = stored(after.where(falls).select(*_NAMES))
-        release(after)
+        after = stored(after.join(was, ["_key", "start"]).select(*_NAMES, falls.alias("falls")))
+        tables.append(after)
+        settled.append(after.where("not falls").select(*_NAMES))
+        moving = after.where("falls").select(*_NAMES)
         if moving.isEmpty():
             break
-    release(moving)
     ends = settled[0]
     for x in settled[1:]:
         ends = ends.union(x)
     best = stored(ends.groupBy("_key").agg(F.min_by(F.struct(*_NAMES[1:]), F.struct("det", "start")).alias("x")).select("_key", "x.*"))
-    release(*settled)
+    release(*tables)
     return best
 
 
