@@ -178,8 +178,9 @@ def _concentrated(pdf: pd.DataFrame) -> pd.DataFrame:
     n = pdf["n"].to_numpy(dtype=np.float64)
     total, h = n.sum(), max(1.0, KEEP * n.sum())
     weight = np.clip((h - (np.cumsum(n) - n)) / n, 0.0, 1.0)
-    mean = np.array([(weight * pdf[f"s{i}"]).sum() for i in range(P)]) / h
-    cov = _square([(weight * pdf[f"q{i}{j}"]).sum() / h - mean[i] * mean[j] for i, j in _TRIANGLE])
+    sums = weight @ pdf[[*[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in _TRIANGLE]]].to_numpy(dtype=np.float64) / h
+    mean = sums[:P]
+    cov = _square(sums[P:]) - np.outer(mean, mean)
     cov *= (h / total) / chi2_cdf(chi2_quantile(h / total, P), P + 2) if h < total else 1.0  # what the nearest share of a normal sample lacks in spread
     return pd.DataFrame([_row(pdf["_key"].iloc[0], int(pdf["start"].iloc[0]), h, mean, cov)], columns=_NAMES)
 
