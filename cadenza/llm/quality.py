@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -134,6 +135,7 @@ def _inverse_root(cov: np.ndarray) -> np.ndarray:
 P = len(FEATURES)
 _TRIANGLE = [(i, j) for i in range(P) for j in range(i + 1)]
 _NAMES = ["_key", "start", "h", "det", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in _TRIANGLE], *[f"l{i}{j}" for i, j in _TRIANGLE]]
+_SUMS = [*[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in _TRIANGLE]]
 #: An estimate: rows it rests on, log determinant, mean, covariance, and the root of the inverse covariance.
 _FIT = "_key string, start int, " + ", ".join(f"{x} double" for x in _NAMES[2:])
 
@@ -166,23 +168,27 @@ def _median_start(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([_row(pdf["_key"].iloc[0], 0, 0.0, mean, np.diag(scale**2))], columns=_NAMES)
 
 
-def _subset_start(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Mean and covariance of the few rows drawn."""
-    x = pdf[list(FEATURES)].to_numpy(dtype=np.float64)
-    return pd.DataFrame([_row(pdf["_key"].iloc[0], int(pdf["start"].iloc[0]), 0.0, x.mean(axis=0), np.cov(x.T, bias=True).reshape(P, P))], columns=_NAMES)
+def _estimates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mean and covariance out of the weighted sums over h of n rows, one row per group and start."""
+    for pdf in frames:
+        out = []
+        for r in pdf.to_dict("records"):
+            h, total = r["h"], r["n"]
+            mean = np.array([r[f"s{i}"] for i in range(P)]) / h
+            cov = _square([r[f"q{i}{j}"] / h for i, j in _TRIANGLE]) - np.outer(mean, mean)
+            # what the nearest share of a normal sample lacks in spread
+            cov *= (h / total) / chi2_cdf(chi2_quantile(h / total, P), P + 2) if h < total else 1.0
+            out.append(_row(r["_key"], int(r["start"]), h, mean, cov))
+        yield pd.DataFrame(out, columns=_NAMES)
 
 
-def _concentrated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Mean and covariance of the nearest KEEP of the rows, the last bin by the share that is needed of it."""
-    pdf = pdf.sort_values("bin")
-    n = pdf["n"].to_numpy(dtype=np.float64)
-    total, h = n.sum(), max(1.0, KEEP * n.sum())
-    weight = np.clip((h - (np.cumsum(n) - n)) / n, 0.0, 1.0)
-    sums = weight @ pdf[[*[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i, j in _TRIANGLE]]].to_numpy(dtype=np.float64) / h
-    mean = sums[:P]
-    cov = _square(sums[P:]) - np.outer(mean, mean)
-    cov *= (h / total) / chi2_cdf(chi2_quantile(h / total, P), P + 2) if h < total else 1.0  # what the nearest share of a normal sample lacks in spread
-    return pd.DataFrame([_row(pdf["_key"].iloc[0], int(pdf["start"].iloc[0]), h, mean, cov)], columns=_NAMES)
+def _concentrated(binned: DataFrame) -> DataFrame:
+    """The estimates of the nearest KEEP of the rows, the last bin by the share that is needed of it."""
+    group = Window.partitionBy("_key", "start")
+    h = F.greatest(F.lit(1.0), KEEP * F.sum("n").over(group))
+    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (h - F.sum("n").over(group.orderBy("bin")) + F.col("n")) / F.col("n")))
+    shares = binned.withColumns({"h": h, "weight": weight}).groupBy("_key", "start")
+    return shares.agg(F.sum("n").alias("n"), F.first("h").alias("h"), *[F.sum(F.col("weight") * F.col(x)).alias(x) for x in _SUMS]).mapInPandas(_estimates, _FIT)
 
 
 def _distance(rows: DataFrame, fit: DataFrame, on: list[str], how: str = "left") -> DataFrame:
@@ -200,13 +206,14 @@ def determinant_fits(fitted: DataFrame) -> DataFrame:
     grid = fitted.select("_key", cells).groupBy("_key", "x.f", "x.cell").agg(F.count(F.lit(1)).alias("n"))
     drawn = fitted.withColumn("start", F.explode(F.array(*map(F.lit, range(1, STARTS))))).withColumn("by", F.xxhash64("start", *FEATURES))
     drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("_key", "start").orderBy("by"))).where(f"k <= {P + 1}")
-    moving = stored(grid.groupBy("_key").applyInPandas(_median_start, _FIT).union(drawn.drop("by", "k").groupBy("_key", "start").applyInPandas(_subset_start, _FIT)))
     sums = [F.sum(FEATURES[i]).alias(f"s{i}") for i in range(P)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in _TRIANGLE]
+    subsets = drawn.groupBy("_key", "start").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).cast("double").alias("h"), *sums).mapInPandas(_estimates, _FIT)
+    moving = stored(grid.groupBy("_key").applyInPandas(_median_start, _FIT).union(subsets.withColumn("h", F.lit(0.0))))  # no step taken
     tables, settled = [moving], []
     while True:
         # 16 bins for each doubling, the bins of all rows behind 2^16 together
         near = _distance(fitted, moving, ["start"], "inner").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(16 * F.log2(1 + F.col("_d2")))).cast("int"))
-        after = near.groupBy("_key", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *sums).groupBy("_key", "start").applyInPandas(_concentrated, _FIT)
+        after = _concentrated(near.groupBy("_key", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *sums))
         was = moving.select("_key", "start", F.when(F.col("h") > 0, F.col("det")).alias("before"))
         falls = F.col("before").isNull() | (F.col("det") < F.col("before") - STILL)
         after = stored(after.join(was, ["_key", "start"]).select(*_NAMES, falls.alias("falls")))
