@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,3 +194,15 @@ def speed(x: Column) -> Column:
 def frame_counts(dt_ms: Column) -> Column:
     """Whether a frame's step is taken: longer than nothing and shorter than 100 ms."""
     return (dt_ms > 0) & (dt_ms < 100)
+
+
+#: Seconds, frequencies and peaks of a metronome click, plain and accented, and the rate used without one.
+CLICK_S, CLICK_HZ, CLICK_PEAK, CLICK_RATE = 0.035, (1000.0, 1500.0), (0.25, 0.40), 44_100.0
+
+
+def click(accent: Column, rate: Column) -> Column:
+    """A click's samples, a sine under a linear decay, as an array of doubles."""
+    rate = F.when(rate > 0, rate.cast("double")).otherwise(CLICK_RATE)
+    hertz, peak = (F.when(accent, F.lit(loud)).otherwise(F.lit(plain)) for plain, loud in (CLICK_HZ, CLICK_PEAK))
+    n = F.greatest(F.round(F.lit(CLICK_S) * rate).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: peak * (n - k) / n * F.sin(F.lit(2 * math.pi) * hertz * k / rate))

@@ -1,7 +1,8 @@
 """Accounts: handles, roles, tokens, optimistic updates, identities, rate limits and session families.
 
-Rules that depend on the order of one key's events are folds over that key's rows. Where a key may hold a large share of
-all rows (rate limits), the fold runs over one compact row per second and key, so its cost follows time, not traffic.
+Rules that depend on the order of one key's events are folds over that key's rows, which stream through in order. Where a
+key may hold a large share of all rows (rate limits), the fold runs over one compact row per second and key, so its cost
+follows time, not traffic.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .folds import ordered_fold
+
 ALNUM = r"^[\p{IsAlphabetic}\p{N}]+$"
 
 
@@ -184,18 +187,14 @@ def ttl_windows(hits: DataFrame, ttl_s: int) -> DataFrame:
     """
     seconds = hits.groupBy("key", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("second")).agg(F.count(F.lit(1)).alias("n"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("second")
-        start, held, starts, before = None, 0, [], []
-        for second, n in zip(pdf["second"].tolist(), pdf["n"].tolist()):
-            if start is None or second >= start + ttl_s:
-                start, held = second, 0
-            starts.append(start)
-            before.append(held)
-            held += n
-        return pdf.assign(window_start=starts, before=before)[["key", "second", "n", "window_start", "before"]]
+    def step(state: list, second: int, n: int) -> tuple:
+        if state[0] is None or second >= state[0] + ttl_s:
+            state[:] = second, 0
+        before = state[1]
+        state[1] += n
+        return n, state[0], before
 
-    return seconds.groupBy("key").applyInPandas(fold, f"key {hits.schema['key'].dataType.simpleString()}, second long, n long, window_start long, before long")
+    return ordered_fold(seconds, "key", "second", ["n"], lambda: [None, 0], step, "n long, window_start long, before long")
 
 
 def rate_limited(hits: DataFrame, most: int, ttl_s: int) -> DataFrame:
@@ -211,25 +210,20 @@ def lockouts(attempts: DataFrame, most: int, ttl_s: int) -> DataFrame:
     A key with ``most`` failures in its counter is locked; only failures count; success clears the counter.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        until, fails, out = 0, 0, []
-        for second, success in zip(pdf["second"].tolist(), pdf["success"].tolist()):
-            if second >= until:
-                fails = 0
-            if fails >= most:
-                out.append("locked")
-            elif success:
-                fails, until = 0, 0
-                out.append("ok")
-            else:
-                if not fails:
-                    until = second + ttl_s
-                fails += 1
-                out.append("failed")
-        return pdf.assign(outcome=out)[["key", "seq", "outcome"]]
-
-    return attempts.groupBy("key").applyInPandas(fold, f"key {attempts.schema['key'].dataType.simpleString()}, seq long, outcome string")
+    def step(state: list, seq: int, second: int, success: bool) -> tuple:
+        until, fails = state
+        if second >= until:
+            fails = 0
+        if fails >= most:
+            outcome = "locked"
+        elif success:
+            outcome, until, fails = "ok", 0, 0
+        else:
+            outcome, until, fails = "failed", until if fails else second + ttl_s, fails + 1
+        state[:] = until, fails
+        return (outcome,)
+
+    return ordered_fold(attempts, "key", "seq", ["second", "success"], lambda: [0, 0], step, "outcome string")
 
 
 def rotations(calls: DataFrame) -> DataFrame:
@@ -239,26 +233,69 @@ def rotations(calls: DataFrame) -> DataFrame:
     earlier one is reuse and revokes the family), revoke. Tokens are numbered from 0 within a family.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        current, alive, out = -1, False, []
-        for kind, token in zip(pdf["kind"].tolist(), pdf["token"].tolist()):
-            if kind == "create":
-                current, alive = 0, True
-                out.append("created")
-            elif current < 0 or token > current:
-                out.append("invalid")
-            elif kind == "revoke":
-                alive = False
-                out.append("revoked")
-            elif not alive:
-                out.append("session revoked")
-            elif token < current:
-                alive = False
-                out.append("reuse detected")
-            else:
-                current += 1
-                out.append("rotated")
-        return pdf.assign(outcome=out)[["family", "seq", "outcome"]]
-
-    return calls.groupBy("family").applyInPandas(fold, f"family {calls.schema['family'].dataType.simpleString()}, seq long, outcome string")
+    def step(state: list, seq: int, kind: str, token: int) -> tuple:
+        current, alive = state
+        if kind == "create":
+            state[:] = 0, True
+            return ("created",)
+        if current < 0 or token > current:
+            return ("invalid",)
+        if kind == "revoke":
+            state[1] = False
+            return ("revoked",)
+        if not alive:
+            return ("session revoked",)
+        if token < current:
+            state[1] = False
+            return ("reuse detected",)
+        state[0] += 1
+        return ("rotated",)
+
+    return ordered_fold(calls, "family", "seq", ["kind", "token"], lambda: [-1, False], step, "outcome string")
+
+
+def sessions(calls: DataFrame, ttl_s: int) -> DataFrame:
+    """(family, seq, outcome) of calls (user, family, seq, second, kind, token) when everything stored lives ``ttl_s`` seconds.
+
+    kind: create, rotate and revoke as in ``rotations``, and revoke_all (no family), which ends the families that the
+    user's list names and has a row for each of them. A token lives from its issue, a family from its last rotation. The
+    list lives from the user's last create; a create after its end starts a new list, so families of the old one are out
+    of reach of revoke_all. seq numbers a user's calls. Only the first revoke_all that reaches a family matters, so it
+    becomes one more call of the family and each family is folded by itself.
+    """
+    order = Window.partitionBy("user").orderBy("seq")
+    created = F.last(F.when(F.col("kind") == "create", F.col("second")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    listed = F.coalesce(F.col("second") - created < ttl_s, F.lit(False))
+    fresh = (F.col("kind") == "create") & ~listed
+    rows = calls.withColumn("_listed", listed).withColumn("_list", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = F.when((F.col("kind") == "revoke_all") & F.col("_listed"), F.struct("seq", "second"))
+    later = Window.partitionBy("user", "_list").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("_end", F.min(ends).over(later))
+    own = rows.where("kind <> 'revoke_all'").select("family", "seq", "second", "kind", "token")
+    ended = rows.where("kind = 'create' and _end is not null").select("family", "_end.seq", "_end.second", F.lit("end").alias("kind"), F.lit(None).cast("long").alias("token"))
+
+    def step(state: list, seq: int, second: int, kind: str, token: int | None) -> tuple:
+        current, alive, issued = state
+        if kind == "create":
+            state[:] = 0, True, {0: second}
+            return ("created",)
+        if kind == "end":
+            state[1] = False
+            return ("revoked",)
+        for old in [k for k, t in issued.items() if second >= t + ttl_s]:
+            del issued[old]
+        if token not in issued:
+            return ("invalid",)
+        if kind == "revoke":
+            state[1] = False
+            return ("revoked",)
+        if not alive:
+            return ("session revoked",)
+        if token != current:
+            state[1] = False
+            return ("reuse detected",)
+        state[0] += 1
+        issued[current + 1] = second
+        return ("rotated",)
+
+    return ordered_fold(own.unionByName(ended), "family", "seq", ["second", "kind", "token"], lambda: [-1, False, {}], step, "outcome string")

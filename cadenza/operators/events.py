@@ -64,3 +64,15 @@ def ports(names: DataFrame) -> DataFrame:
     """(host, seq, name, virtual, place): a host's real ports before virtual ones, otherwise in the order given; the first is taken."""
     virtual = text.contains_any(F.col("name"), text.VIRTUAL)
     return names.withColumn("virtual", virtual).withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy("virtual", "seq")))
+
+
+def port_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(host, changed) of two states (host, ports, device): changed where number, names or the connected device differ.
+
+    A host that one side lacks has no ports and no device there.
+    """
+    none = F.array().cast("array<string>")
+    both = old.select("host", F.col("ports").alias("a"), F.col("device").alias("da")).join(new.select("host", F.col("ports").alias("b"), F.col("device").alias("db")), "host", "full")
+    a, b = F.coalesce("a", none), F.coalesce("b", none)
+    changed = (F.size(a) != F.size(b)) | (F.size(F.array_except(b, a)) > 0) | ~F.col("da").eqNullSafe(F.col("db"))
+    return both.select("host", changed.alias("changed"))

@@ -183,3 +183,18 @@ def next_lines(systems: DataFrame, places: DataFrame) -> DataFrame:
     rows = places.join(member, ["doc", "measure_index"]).where((F.col("at") + F.col("fraction")) / F.col("n") >= 0.5)
     following = systems.select("doc", (F.col("system_index") - 1).alias("system_index"), F.col("system_index").alias("next_system"))
     return rows.join(following, ["doc", "system_index"]).select("doc", "measure_index", "next_system")
+
+
+def last_before(notes: DataFrame, probes: DataFrame) -> DataFrame:
+    """(doc, t, staff, pitch): each staff's last note at or before t, its first note where there is none.
+
+    One sorted pass over the notes and probes of a (doc, staff); of notes at one time the later measure and place wins.
+    """
+    asks = probes.join(notes.select("doc", "staff").distinct(), "doc")
+    own = notes.select("doc", "staff", F.col("start_ms").alias("at"), F.lit(False).alias("ask"), "measure_index", "note_seq", "pitch")
+    asks = asks.select("doc", "staff", F.col("t").alias("at"), F.lit(True).alias("ask"), F.lit(None).cast("int").alias("measure_index"), F.lit(None).cast("int").alias("note_seq"), F.lit(None).cast("long").alias("pitch"))
+    order = Window.partitionBy("doc", "staff").orderBy("at", "ask", "measure_index", "note_seq")
+    before = F.last("pitch", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("pitch", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = own.unionByName(asks).withColumn("found", F.coalesce(before, first)).where("ask")
+    return rows.select("doc", F.col("at").alias("t"), "staff", F.col("found").alias("pitch"))

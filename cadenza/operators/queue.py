@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import with_previous
+
 NIL = -1
 
 
@@ -101,13 +103,15 @@ def tails(msgs: DataFrame) -> DataFrame:
     return chain.join(pointed, "id", "left_anti").groupBy("channel").agg(F.max_by("id", F.struct("created_at", "id")).alias("tail_id"))
 
 
-def insert(msgs: DataFrame, payloads: DataFrame, new: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def insert(msgs: DataFrame, payloads: DataFrame, new: DataFrame, now: Column, span: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Append ``new`` (id, channel, name, payload, retries, backoff_s, delay_s, commit_s, ordered).
 
     An ordered message follows the one before it in the batch (by id), the first one the tail of its channel, or NIL.
+    ``span`` cuts large batches of one channel into ranges of ids; it must not fall as ids rise.
     """
-    before = F.lag("id").over(Window.partitionBy("channel", "ordered").orderBy("id"))
-    rows = new.join(tails(msgs), "channel", "left").select(
+    new = new.withColumn("_chain", F.when(F.col("ordered"), F.col("channel")))
+    before = F.col("_before")
+    rows = with_previous(new, "_chain", "id", F.lit(0) if span is None else span, "_before").join(tails(msgs), "channel", "left").select(
         "id", "channel",
         now.alias("created_at"),
         later(now, F.col("delay_s") + F.coalesce("commit_s", F.lit(0))).alias("attempt_at"),

@@ -50,6 +50,17 @@ def last_values(gauges: DataFrame) -> DataFrame:
 
 
 def correlate(logs: DataFrame, spans: DataFrame, hours: int = 1) -> DataFrame:
-    """Logs with the spans of their trace that start within ``hours`` of them."""
-    near = F.abs(F.unix_timestamp(F.col("l.ts").cast("timestamp")) - F.unix_timestamp(F.col("s.ts").cast("timestamp"))) <= hours * 3600
-    return logs.alias("l").join(spans.alias("s"), (F.col("l.trace") == F.col("s.trace")) & near)
+    """Logs (alias l) with the spans (alias s) of their trace that start within ``hours`` of them.
+
+    Both meet by trace and time bucket, so a trace of many hours does not meet in all its pairs.
+    """
+    width = hours * 3600
+
+    def second(c: str) -> Column:
+        return F.unix_timestamp(F.col(c).cast("timestamp"))
+
+    bucket = F.floor(second("ts") / width)
+    left = logs.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).alias("l")
+    right = spans.withColumn("_bucket", bucket).alias("s")
+    same = (F.col("l.trace") == F.col("s.trace")) & (F.col("l._bucket") == F.col("s._bucket"))
+    return left.join(right, same & (F.abs(second("l.ts") - second("s.ts")) <= width))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import score
+from ..operators.ranges import with_previous
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,11 +108,16 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOW = "timestamp'1998-06-01 00:00:00'"
 
 
+def id_range(key):
+    """Ranges of ids that one task can sort."""
+    return F.floor(key / 4096)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as queue messages; two priorities are ordered channels. Ids are strings, 'nil' marks a chain's head."""
     o = table(spark, sf_dir, "orders")
     ordered = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-    chain = Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
+    o = with_previous(o.withColumn("chain", F.when(ordered, F.col("o_orderpriority"))), "chain", "o_orderkey", id_range(F.col("o_orderkey")), "before")
     status = F.col("o_orderstatus")
     return o.select(
         F.col("o_orderkey").alias("id"),
@@ -120,7 +126,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(status == "O", F.col("o_orderdate")).when(status == "P", F.expr(f"{NOW} + interval 1 hour")).cast("timestamp_ntz").alias("attempt_at"),
         F.when(status == "O", 5).when(status == "P", 3).otherwise(0).alias("attempts"),
         (1 + F.col("o_orderkey") % 4).alias("backoff_s"),
-        F.when(ordered, F.coalesce(F.lag("o_orderkey").over(chain), F.lit(-1))).alias("after_id"),
+        F.when(ordered, F.coalesce("before", F.lit(-1))).alias("after_id"),
         F.when(F.col("o_orderkey") % 11 == 0, 60).alias("commit_s"),
     )
 

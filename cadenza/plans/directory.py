@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import accounts as ac
+from ..operators import events as ev
 from ..operators import queue as q
 from ..operators import schedule as sd
 from . import accounts as aq
@@ -285,3 +286,44 @@ def q417_identities_left(spark, d):
 @query(Q + " SELECT id, channel FROM msgs WHERE channel <> 'orders.5-LOW'")
 def q408_messages_left(spark, d):
     return q.clear(ad.messages(spark, d), ad.payloads(spark, d), ["orders.5-LOW"])[0].select("id", "channel")
+
+
+TTL = 1_000_000
+CALLS = f"""WITH RECURSIVE e AS (SELECT user_id u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) r, CAST(epoch(date_trunc('second', ts)) AS BIGINT) s, event_type, event_id FROM events),
+c AS (SELECT u, r, s, CASE WHEN r % 6 = 1 THEN 'create' WHEN event_id % 10 = 3 THEN 'revoke_all' WHEN event_type = 'error' THEN 'revoke' ELSE 'rotate' END kind,
+  u * 1000000 + (r - 1) // 6 - CASE WHEN event_id % 5 = 0 AND r > 6 AND r % 6 <> 1 THEN 1 ELSE 0 END fam, CASE WHEN event_id % 7 = 0 THEN 0 ELSE (r - 1) % 6 - 1 END tok FROM e),
+p AS (SELECT *, last_value(CASE WHEN kind = 'create' THEN s END IGNORE NULLS) OVER (PARTITION BY u ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) made FROM c),
+l AS (SELECT *, sum(CASE WHEN kind = 'create' AND (made IS NULL OR s - made >= {TTL}) THEN 1 ELSE 0 END) OVER (PARTITION BY u ORDER BY r) list FROM p),
+z AS (SELECT a.fam, min_by(b.r, b.r) r, min_by(b.s, b.r) s FROM l a JOIN l b ON a.u = b.u AND a.list = b.list AND b.r > a.r AND a.kind = 'create' AND b.kind = 'revoke_all' AND b.s - b.made < {TTL} GROUP BY a.fam),
+o AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY r) k FROM (SELECT fam, r, s, kind, tok FROM c WHERE kind <> 'revoke_all' UNION ALL SELECT fam, r, s, 'end', NULL FROM z)),
+f AS (SELECT fam, k, r, 'created' outcome, true alive, [s] made FROM o WHERE k = 1
+  UNION ALL SELECT fam, k, r, outcome, CASE WHEN outcome IN ('revoked', 'reuse detected') THEN false ELSE alive END, CASE WHEN outcome = 'rotated' THEN list_append(made, s) ELSE made END
+  FROM (SELECT o.*, f.alive, f.made, CASE WHEN o.kind = 'end' THEN 'revoked' WHEN o.tok < 0 OR o.tok >= len(f.made) OR o.s >= f.made[CAST(o.tok AS INT) + 1] + {TTL} THEN 'invalid' WHEN o.kind = 'revoke' THEN 'revoked'
+    WHEN NOT f.alive THEN 'session revoked' WHEN o.tok <> len(f.made) - 1 THEN 'reuse detected' ELSE 'rotated' END outcome FROM f JOIN o ON o.fam = f.fam AND o.k = f.k + 1))"""
+
+
+@query(CALLS + " SELECT fam family, r seq, outcome FROM f")
+def q507_expiry_and_revoke_all(spark, d):
+    order = Window.partitionBy("user").orderBy("ts", "event_id")
+    rows = ad.table(spark, d, "events").withColumnRenamed("user_id", "user").withColumn("seq", F.row_number().over(order).cast("long"))
+    place, k = (F.col("seq") - 1) % 6, F.col("event_id")
+    kind = F.when(place == 0, "create").when(k % 10 == 3, "revoke_all").when(F.col("event_type") == "error", "revoke").otherwise("rotate")
+    late = F.when((k % 5 == 0) & (F.col("seq") > 6) & (place != 0), 1).otherwise(0)
+    family = F.col("user") * 1_000_000 + F.floor((F.col("seq") - 1) / 6) - late
+    token = F.when(k % 7 == 0, F.lit(0)).otherwise(place - 1).cast("long")
+    return ac.sessions(rows.select("user", family.alias("family"), "seq", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("second"), kind.alias("kind"), token.alias("token")), TTL)
+
+
+@query("WITH p AS (SELECT user_id host, event_id % 2 side, list(DISTINCT event_type) ports, min(event_type) FILTER (event_id % 3 = 0) device FROM events GROUP BY ALL), h AS (SELECT DISTINCT host FROM p) SELECT h.host, NOT (coalesce(list_sort(a.ports), []) = coalesce(list_sort(b.ports), [])) OR a.device IS DISTINCT FROM b.device changed FROM h LEFT JOIN p a ON a.host = h.host AND a.side = 0 LEFT JOIN p b ON b.host = h.host AND b.side = 1")
+def q364_port_changes(spark, d):
+    e = ad.table(spark, d, "events")
+    state = e.groupBy(F.col("user_id").alias("host"), (F.col("event_id") % 2).alias("side")).agg(F.collect_set("event_type").alias("ports"), F.min(F.when(F.col("event_id") % 3 == 0, F.col("event_type"))).alias("device"))
+    return ev.port_changes(state.where("side = 0"), state.where("side = 1"))
+
+
+@query(f"SELECT 's' || s_suppkey AS name, least(10000, 1440 * (1 + s_suppkey % 20)) n, CAST({NOW} - 86400 * (1 + s_suppkey % 20) + 60 AS BIGINT) first_at, CAST({NOW} - 86400 * (1 + s_suppkey % 20) + 60 * least(10000, 1440 * (1 + s_suppkey % 20)) AS BIGINT) last_at FROM supplier")
+def q356_capped_occurrences(spark, d):
+    """Every minute over 1 to 20 days: the first 10,000 occurrences of each schedule."""
+    k = F.col("s_suppkey")
+    rows = ad.table(spark, d, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("name"), F.lit("* * * * *").alias("cron"), F.lit("UTC").alias("zone"), F.lit(True).alias("enabled"), F.lit("catch_up").alias("policy"), (F.lit(NOW) - 86400 * (1 + k % 20)).cast("long").alias("last_at"))
+    return sd.due(rows, NOW).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("due_at").alias("first_at"), F.max("due_at").alias("last_at"))

@@ -120,7 +120,7 @@ def new_messages(spark, d):
     + f", tl AS (SELECT channel, max_by(id, struct_pack(a := created_at, b := id)) tail_id FROM msgs m WHERE after_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM msgs k WHERE k.after_id = m.id) GROUP BY channel) SELECT id, n.channel, {AT} + to_seconds(delay_s + coalesce(commit_s, 0)) attempt_at, 3 attempts, CASE WHEN ordered THEN coalesce(lag(id) OVER (PARTITION BY n.channel, ordered ORDER BY id), tail_id, -1) END after_id FROM nw n LEFT JOIN tl ON tl.channel = n.channel"
 )
 def q403_insert(spark, d):
-    out = q.insert(ad.messages(spark, d), ad.payloads(spark, d), new_messages(spark, d), now())[0]
+    out = q.insert(ad.messages(spark, d), ad.payloads(spark, d), new_messages(spark, d), now(), ad.id_range(F.col("id")))[0]
     return out.where("id >= 10000000").select("id", "channel", "attempt_at", "attempts", "after_id")
 
 

@@ -206,11 +206,7 @@ def q342_measure_intervals(spark, d):
 
 @query(T + " SELECT p.doc, t, s staff, coalesce(max_by(n.pitch, struct_pack(a := n.start_ms, b := n.measure_index, c := n.note_seq)) FILTER (n.start_ms <= t), min_by(n.pitch, struct_pack(a := n.start_ms, b := n.measure_index, c := n.note_seq))) pitch FROM probes p, (VALUES (1), (2)) v(s), timed n WHERE n.doc = p.doc AND n.staff = s GROUP BY ALL")
 def q343_last_before_playhead(spark, d):
-    n = ad.timed(spark, d)
-    key = F.struct("start_ms", "measure_index", "note_seq")
-    rows = ad.probes(spark, d).join(n, "doc").groupBy("doc", "t", "staff")
-    before = F.when(F.col("start_ms") <= F.col("t"), key)
-    return rows.agg(F.coalesce(F.max_by("pitch", before), F.min_by("pitch", key)).alias("pitch"))
+    return pb.last_before(ad.timed(spark, d), ad.probes(spark, d))
 
 
 @query(N + ", tp AS (SELECT * FROM a_notes), marks AS (SELECT doc, staff, pitch, row_number() OVER (PARTITION BY doc, staff, pitch ORDER BY measure_index, note_seq) seq, dur % 3 = 0 is_start, dur % 3 = 1 is_stop FROM tp WHERE NOT is_rest), o AS (SELECT *, last_value(CASE WHEN is_start OR is_stop THEN CASE WHEN is_start THEN seq ELSE -1 END END IGNORE NULLS) OVER (PARTITION BY doc, staff, pitch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) open FROM marks) SELECT doc, staff, pitch, open start_seq, seq stop_seq FROM o WHERE is_stop AND open > 0")

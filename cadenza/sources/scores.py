@@ -143,3 +143,15 @@ def documents(events: DataFrame) -> DataFrame:
         F.coalesce(F.min_by(F.expr("try_cast(text as int)"), F.when(positive, order)), F.lit(90)).alias("bpm"),
         F.count_if(F.col("kind") == "measure").alias("measures"),
     )
+
+
+def measure_clefs(events: DataFrame) -> DataFrame:
+    """(doc, measure_index, staff, sign, line): each measure's clef changes, the last one of a staff."""
+    rows = events.where("kind = 'clef'").groupBy("doc", "measure_index", "staff")
+    return rows.agg(F.max_by(F.struct("sign", "line"), "note_seq").alias("c")).select("doc", "measure_index", "staff", F.substring("c.sign", 1, 1).alias("sign"), "c.line")
+
+
+def first_clefs(events: DataFrame) -> DataFrame:
+    """(doc, staff, sign, line): the first clef of each staff of a document; later ones are changes of their measures."""
+    rows = events.where("kind = 'clef'").groupBy("doc", "staff")
+    return rows.agg(F.min_by(F.struct("sign", "line"), F.struct("measure_index", "note_seq")).alias("c")).select("doc", "staff", F.substring("c.sign", 1, 1).alias("sign"), "c.line")

@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import accounts, events, playback, queue, schedule, score
+from cadenza.operators import accounts, events, playback, queue, ranges, schedule, score
 from cadenza.sources import scores
 from cadenza.streaming import notes as stream_notes
 
@@ -108,6 +108,49 @@ def test_limits(spark):
     assert [r["outcome"] for r in out.orderBy("seq").collect()] == ["created", "rotated", "rotated", "invalid", "reuse detected", "session revoked"]
 
 
+def test_previous_over_ranges(spark):
+    rows = [("a", 1), ("a", 2), ("a", 25), ("b", 3), ("b", 40), ("a", 26), ("a", 60), (None, 5), (None, 6), ("b", None)]
+    out = ranges.with_previous(spark.createDataFrame(rows, "k string, x long"), "k", "x", F.floor(F.col("x") / 10), "before")
+    assert out.columns == ["k", "x", "before"]
+    found = {(r["k"], r["x"]): r["before"] for r in out.collect()}
+    assert len(found) == 10 and found == {("a", 1): None, ("a", 2): 1, ("a", 25): 2, ("a", 26): 25, ("a", 60): 26, ("b", 3): None, ("b", 40): 3, (None, 5): None, (None, 6): None, ("b", None): None}
+
+
+def test_sessions(spark):
+    calls = [
+        (1, 10, 1, 0, "create", None), (1, 10, 2, 5, "rotate", 0), (1, 20, 3, 8, "create", None), (1, 10, 4, 9, "rotate", 0), (1, 20, 5, 12, "rotate", 0),
+        (1, None, 6, 15, "revoke_all", None), (1, 20, 7, 16, "rotate", 1), (1, 30, 8, 40, "create", None), (1, 30, 9, 47, "rotate", 0), (1, None, 10, 51, "revoke_all", None), (1, 30, 11, 52, "rotate", 1), (1, 30, 12, 53, "rotate", 0),
+    ]
+    out = accounts.sessions(spark.createDataFrame(calls, "user long, family long, seq long, second long, kind string, token long"), 10)
+    found = [(r["family"], r["seq"], r["outcome"]) for r in out.orderBy("family", "seq").collect()]
+    assert found == [
+        (10, 1, "created"), (10, 2, "rotated"), (10, 4, "reuse detected"), (10, 6, "revoked"), (20, 3, "created"), (20, 5, "rotated"), (20, 6, "revoked"), (20, 7, "session revoked"),
+        (30, 8, "created"), (30, 9, "rotated"), (30, 11, "rotated"), (30, 12, "invalid"),
+    ]
+
+
+def test_fold_crosses_batches(spark):
+    """More rows of one key than an Arrow batch holds, in any order of arrival, against a plain loop."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        rows = spark.range(3000).selectExpr("id % 2 as key", "id as seq", "id * 7 as second", "id % 13 = 0 as success").orderBy(F.rand(3))
+        got = {(r["key"], r["seq"]): r["outcome"] for r in accounts.lockouts(rows, 3, 100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for key in (0, 1):
+        until, fails = 0, 0
+        for seq in range(key, 3000, 2):
+            fails = 0 if seq * 7 >= until else fails
+            if fails >= 3:
+                want[key, seq] = "locked"
+            elif seq % 13 == 0:
+                want[key, seq], fails, until = "ok", 0, 0
+            else:
+                want[key, seq], until, fails = "failed", until if fails else seq * 7 + 100, fails + 1
+    assert got == want
+
+
 def unix(*parts: int) -> int:
     return int(datetime(*parts, tzinfo=UTC).timestamp())
 
