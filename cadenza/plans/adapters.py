@@ -83,6 +83,8 @@ def starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc", "measure_index").agg(at.alias("start_ms"), F.first("song_end").alias("song_end"))
 
 
+PROBES_SQL = "probes AS (SELECT DISTINCT doc, CAST(k * 7500 AS BIGINT) t FROM timed, range(0, 9) r(k))"
+PROBES_TO_THE_END_SQL = "probes AS (SELECT DISTINCT doc, CAST(floor(song_end * k / 8) AS BIGINT) t FROM ends, range(0, 9) r(k))"
 TIMED_SQL = (
     NOTES_SQL
     + """,
@@ -94,7 +96,8 @@ timed AS (SELECT doc, measure_index, note_seq, pitch, staff, CAST(round((start_d
   FROM a_notes JOIN ms USING (doc, measure_index) WHERE NOT is_rest),
 ends AS (SELECT doc, max(end_at) song_end FROM timed GROUP BY doc),
 starts AS (SELECT doc, measure_index, CAST(round(start_div * ((60000.0::DOUBLE / (60 + doc % 120)) / 4)) AS BIGINT) start_ms, song_end FROM ms JOIN ends USING (doc)),
-probes AS (SELECT DISTINCT doc, CAST(k * 7500 AS BIGINT) t FROM timed, range(0, 9) r(k))"""
+"""
+    + PROBES_SQL
 )
 
 
@@ -105,6 +108,12 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("t", F.explode(F.expr("sequence(0L, 60000L, 7500L)")))
 
 
+def probes_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine questions per document with a sounding note, from its start to its end."""
+    ends = timed(spark, sf_dir).groupBy("doc").agg(F.max("end_at").alias("song_end"))
+    return ends.select("doc", F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.floor(F.col("song_end") * k / 8))).alias("t")).distinct()
+
+
 NOW = "timestamp'1998-06-01 00:00:00'"
 
 

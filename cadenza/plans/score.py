@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -21,16 +23,16 @@ def joined(c):
 
 
 @query(T + " SELECT doc, t, coalesce(array_to_string(list_sort(list(DISTINCT pitch) FILTER (pitch IS NOT NULL)), ','), '') pitches FROM probes LEFT JOIN timed n USING (doc) GROUP BY ALL HAVING false UNION ALL SELECT p.doc, p.t, coalesce(s.x, '') FROM probes p LEFT JOIN (SELECT p.doc, p.t, array_to_string(list_sort(list(DISTINCT pitch)), ',') x FROM probes p JOIN timed n ON n.doc = p.doc AND start_ms <= t + 1 AND t < start_ms + duration_ms GROUP BY ALL) s ON s.doc = p.doc AND s.t = p.t")
-def q301_sounding_at(spark, d):
+def q301_sounding_at(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
-    p = ad.probes(spark, d)
+    p = probes(spark, d)
     return pb.pitch_sets(pb.sounding_at(n, p), p, "x").select("doc", "t", joined("x").alias("pitches"))
 
 
 @query(T + " SELECT p.doc, t, staff = 1 right_hand, array_to_string(list_sort(list(DISTINCT pitch)), ',') pitches FROM probes p JOIN timed n ON n.doc = p.doc AND start_ms <= t + 1 AND t < start_ms + duration_ms GROUP BY ALL")
-def q302_expected_by_hand(spark, d):
+def q302_expected_by_hand(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
-    met = pb.sounding_at(n, ad.probes(spark, d)).withColumn("right_hand", F.col("staff") == 1)
+    met = pb.sounding_at(n, probes(spark, d)).withColumn("right_hand", F.col("staff") == 1)
     return met.groupBy("doc", "t", "right_hand").agg(joined(F.sort_array(F.collect_set("pitch"))).alias("pitches"))
 
 
@@ -41,14 +43,14 @@ def q303_onsets_at(spark, d):
 
 
 @query(T + " SELECT p.doc, t, min(start_ms) FILTER (start_ms > t + 1) next_ms FROM probes p JOIN timed n USING (doc) GROUP BY ALL")
-def q304_next_onset(spark, d):
+def q304_next_onset(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
-    return pb.next_onset(n, ad.probes(spark, d))
+    return pb.next_onset(n, probes(spark, d))
 
 
 @query(T + ", sx AS (SELECT *, coalesce(lead(start_ms) OVER (PARTITION BY doc ORDER BY measure_index), song_end) e FROM starts) SELECT p.doc, t, measure_index, round((t - start_ms) / (e - start_ms), 6) fraction FROM probes p JOIN sx ON sx.doc = p.doc AND t >= start_ms AND t < e")
-def q305_measure_at(spark, d):
-    out = pb.measure_at(ad.starts(spark, d), ad.probes(spark, d))
+def q305_measure_at(spark, d, probes=ad.probes):
+    out = pb.measure_at(ad.starts(spark, d), probes(spark, d))
     return out.withColumn("fraction", F.round("fraction", 6))
 
 
@@ -205,8 +207,8 @@ def q342_measure_intervals(spark, d):
 
 
 @query(T + " SELECT p.doc, t, s staff, coalesce(max_by(n.pitch, struct_pack(a := n.start_ms, b := n.measure_index, c := n.note_seq)) FILTER (n.start_ms <= t), min_by(n.pitch, struct_pack(a := n.start_ms, b := n.measure_index, c := n.note_seq))) pitch FROM probes p, (VALUES (1), (2)) v(s), timed n WHERE n.doc = p.doc AND n.staff = s GROUP BY ALL")
-def q343_last_before_playhead(spark, d):
-    return pb.last_before(ad.timed(spark, d), ad.probes(spark, d))
+def q343_last_before_playhead(spark, d, probes=ad.probes):
+    return pb.last_before(ad.timed(spark, d), probes(spark, d))
 
 
 @query(N + ", tp AS (SELECT * FROM a_notes), marks AS (SELECT doc, staff, pitch, row_number() OVER (PARTITION BY doc, staff, pitch ORDER BY measure_index, note_seq) seq, dur % 3 = 0 is_start, dur % 3 = 1 is_stop FROM tp WHERE NOT is_rest), o AS (SELECT *, last_value(CASE WHEN is_start OR is_stop THEN CASE WHEN is_start THEN seq ELSE -1 END END IGNORE NULLS) OVER (PARTITION BY doc, staff, pitch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) open FROM marks) SELECT doc, staff, pitch, open start_seq, seq stop_seq FROM o WHERE is_stop AND open > 0")
@@ -250,9 +252,9 @@ def q350_sorted_notes(spark, d):
 
 
 @query(T + ", spn AS (SELECT doc, t from_ms, t + 500 to_ms FROM probes), on_ AS (SELECT s.doc, from_ms, list_sort(list(DISTINCT pitch)) x FROM spn s JOIN timed n ON n.doc = s.doc AND start_ms >= from_ms AND start_ms < to_ms GROUP BY ALL), of_ AS (SELECT s.doc, from_ms, list_sort(list(DISTINCT pitch)) x FROM spn s JOIN timed n ON n.doc = s.doc AND start_ms <= from_ms AND from_ms < start_ms + duration_ms WHERE NOT EXISTS (SELECT 1 FROM timed k WHERE k.doc = s.doc AND k.pitch = n.pitch AND k.start_ms <= to_ms AND to_ms < k.start_ms + k.duration_ms) GROUP BY ALL) SELECT s.doc, s.from_ms, s.to_ms, coalesce(array_to_string(a.x, ','), '') starts, coalesce(array_to_string(b.x, ','), '') stops FROM spn s LEFT JOIN on_ a ON a.doc = s.doc AND a.from_ms = s.from_ms LEFT JOIN of_ b ON b.doc = s.doc AND b.from_ms = s.from_ms")
-def q503_note_edges(spark, d):
+def q503_note_edges(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
-    s = ad.probes(spark, d).select("doc", F.col("t").alias("from_ms"), (F.col("t") + 500).alias("to_ms"))
+    s = probes(spark, d).select("doc", F.col("t").alias("from_ms"), (F.col("t") + 500).alias("to_ms"))
     return pb.edges(n, s).withColumns({"starts": joined("starts"), "stops": joined("stops")})
 
 
@@ -269,9 +271,9 @@ def q504_beats_of_whole_scores(spark, d):
 
 
 @query(T + ", ons AS (SELECT p.doc, p.t, list_sort(list(DISTINCT pitch)) x FROM probes p JOIN timed n ON n.doc = p.doc AND abs(start_ms - t) <= 1 GROUP BY ALL), nx AS (SELECT p.doc, p.t, min(start_ms) FILTER (start_ms > t + 1) nt FROM probes p JOIN timed n USING (doc) GROUP BY ALL), nxs AS (SELECT nx.doc, nx.t, list_sort(list(DISTINCT pitch)) x FROM nx JOIN timed n ON n.doc = nx.doc AND abs(start_ms - nt) <= 1 GROUP BY ALL) SELECT p.doc, p.t, coalesce(array_to_string(ons.x, ','), array_to_string(nxs.x, ','), '') pitches FROM probes p LEFT JOIN ons ON ons.doc = p.doc AND ons.t = p.t LEFT JOIN nxs ON nxs.doc = p.doc AND nxs.t = p.t")
-def q317_expected_keys(spark, d):
+def q317_expected_keys(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
-    p = ad.probes(spark, d)
+    p = probes(spark, d)
     now = pb.onsets_at(n, p).groupBy("doc", "t").agg(F.sort_array(F.collect_set("pitch")).alias("now"))
     ahead = pb.next_onset(n, p).where("next_ms is not null").select("doc", F.col("t").alias("asked"), F.col("next_ms").alias("t"))
     ahead = pb.onsets_at(n, ahead).groupBy("doc", F.col("asked").alias("t")).agg(F.sort_array(F.collect_set("pitch")).alias("ahead"))
@@ -289,9 +291,9 @@ def q213_key_feedback(spark, d):
 
 
 @query(T + " SELECT p.doc, t, count(*) FILTER (start_ms <= t + 3000) waterfall, count(*) FILTER (start_ms <= t + 4000) staff_view FROM probes p JOIN timed n ON n.doc = p.doc AND start_ms + duration_ms >= t AND start_ms <= t + 4000 GROUP BY ALL")
-def q210_viewport(spark, d):
+def q210_viewport(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
-    met = pb.in_view(n, ad.probes(spark, d), 4000)
+    met = pb.in_view(n, probes(spark, d), 4000)
     return met.groupBy("doc", "t").agg(F.count_if(F.expr("start_ms <= t + 3000")).alias("waterfall"), F.count(F.lit(1)).alias("staff_view"))
 
 
@@ -303,3 +305,9 @@ def q335_catalog_by_level(spark, d):
 @query("SELECT k * 1000 + m.i * 250 start_ms, CAST(225 AS BIGINT) duration_ms FROM range(0, 0) t(k), range(0, 0) m(i) UNION ALL SELECT measure * 3000 + beat * 750, 675 FROM range(0, 4) a(measure), range(0, 4) b(beat)")
 def q106_demo_score(spark, d):
     return catalog.demo_notes(spark).select("start_ms", "duration_ms")
+
+
+#: Questions of the first minute, asked again from each score's start to its end.
+for _name in ("q210_viewport", "q301_sounding_at", "q302_expected_by_hand", "q304_next_onset", "q305_measure_at", "q317_expected_keys", "q343_last_before_playhead", "q503_note_edges"):
+    QUERIES[f"{_name}_over_whole_scores"] = partial(QUERIES[_name], probes=ad.probes_to_the_end)
+    SQL[f"{_name}_over_whole_scores"] = SQL[_name].replace(ad.PROBES_SQL, ad.PROBES_TO_THE_END_SQL)
