@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, line_dedup, ngram_join, piece_codec, quality, sentence_spans, shards, tag_paths, token_counts
+from . import clustered_search, collocations, decontamination, discriminant, language_id, line_dedup, ngram_join, piece_codec, quality, sentence_spans, shards, sql, tag_paths, token_counts
 from .common import table
 
 
@@ -48,8 +48,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels outside the held-out fold."""
+    return discriminant.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_clustered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for each benchmark item."""
+    return clustered_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 highest-scoring phrases of each language of all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_tag_path_extraction, op2_piece_codec, op3_sentence_spans, op4_token_counts, op5_line_dedup, op6_ngram_jaccard_join, op7_robust_outliers, op8_language_id, op9_lpt_shards, op10_decontamination)
+    for f in (op1_tag_path_extraction, op2_piece_codec, op3_sentence_spans, op4_token_counts, op5_line_dedup, op6_ngram_jaccard_join, op7_robust_outliers, op8_language_id, op9_lpt_shards, op10_decontamination, op11_quadratic_discriminant, op12_clustered_search, op13_phrase_collocations)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_clustered_search": sql.RANKED_SEARCH, "op13_phrase_collocations": sql.COLLOCATIONS}
