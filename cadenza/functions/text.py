@@ -64,3 +64,45 @@ def rate_limit(text: Column) -> tuple[Column, Column]:
 def interval_micros(months: Column, days: Column, micros: Column) -> Column:
     """An interval as microseconds; a month has 30 days, nothing is negative."""
     return F.greatest(F.lit(0).cast("long"), (months.cast("long") * 30 + days) * 86_400_000_000 + micros)
+
+
+NIL_UUID = "00000000-0000-0000-0000-000000000000"
+
+
+def _digits(seed: str, key: Column) -> Column:
+    """32 hexadecimal digits that seed and key decide."""
+    return F.md5(F.concat_ws(":", F.lit(seed), key).cast("binary"))
+
+
+def _laid_out(head: Column, version: str, h: Column) -> Column:
+    """Groups of 8, 4, 4, 4 and 12 digits: twelve of ``head``, the version, and digits of ``h`` with the variant's two bits."""
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", F.substring(head, 1, 8), F.substring(head, 9, 4), F.concat(F.lit(version), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def uuid_v4(seed: str, key: Column) -> Column:
+    """A version 4 id of a row, the same at every run: of tasks that are repeated, too."""
+    h = _digits(seed, key)
+    return _laid_out(h, "4", h)
+
+
+def uuid_v7(seed: str, key: Column, ms: Column) -> Column:
+    """A version 7 id: ordered by the milliseconds since 1970, the rest as in ``uuid_v4``."""
+    return _laid_out(F.lower(F.lpad(F.hex(ms), 12, "0")), "7", _digits(seed, key))
+
+
+def with_item(items: Column, item: Column) -> Column:
+    """A sorted set with one more item."""
+    return F.array_sort(F.array_union(items, F.array(item)))
+
+
+def without_item(items: Column, item: Column) -> Column:
+    return F.array_sort(F.array_remove(F.array_distinct(items), item))
+
+
+def without_all(items: Column, others: Column) -> Column:
+    return F.array_sort(F.array_except(items, others))
+
+
+def contains_all(items: Column, others: Column) -> Column:
+    return F.size(F.array_except(others, items)) == 0

@@ -299,3 +299,30 @@ def sessions(calls: DataFrame, ttl_s: int) -> DataFrame:
         return ("rotated",)
 
     return ordered_fold(own.unionByName(ended), "family", "seq", ["second", "kind", "token"], lambda: [-1, False, {}], step, "outcome string")
+
+
+def keyed_values(calls: DataFrame) -> DataFrame:
+    """(key, seq, found): what each call finds in a store of values with lifetimes, folded in order of seq.
+
+    ``calls`` has (key, seq, second, op, value, ttl_s). ``set`` stores the value for its lifetime, ``get`` finds it until then,
+    ``del`` removes it, ``incr`` adds one and finds the sum: a counter that is not there starts at 1 and lives from its first
+    increment, which later ones do not prolong. ``set`` and ``del`` find nothing.
+    """
+
+    def step(state: list, seq: int, second: int, op: str, value: str | None, ttl: int | None) -> tuple:
+        if state and second >= state[1]:
+            state.clear()
+        if op == "set":
+            state[:] = value, second + ttl
+        elif op == "del":
+            state.clear()
+        elif op == "incr":
+            state[:] = (str(int(state[0]) + 1), state[1]) if state else ("1", second + ttl)
+        return (state[0] if state and op in ("get", "incr") else None,)
+
+    return ordered_fold(calls, "key", "seq", ["second", "op", "value", "ttl_s"], list, step, "found string")
+
+
+def credentials_by_email(asked: DataFrame, credentials: DataFrame) -> DataFrame:
+    """``asked`` (with email) and the password_hash and email_verified of its credential, null where there is none."""
+    return asked.join(credentials.select("email", "password_hash", "email_verified"), "email", "left")

@@ -10,27 +10,28 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def ordered_fold(rows: DataFrame, key: str, order: str, values: list[str], start: Callable[[], list], step: Callable[..., tuple], schema: str) -> DataFrame:
-    """(key, order, columns of ``schema``): one row for each of ``rows``.
+def ordered_fold(rows: DataFrame, key: str | list[str], order: str | list[str], values: list[str], start: Callable[[], list], step: Callable[..., tuple], schema: str) -> DataFrame:
+    """(key columns, order columns, columns of ``schema``): one row for each of ``rows``.
 
     ``step`` takes the key's state, which it may change, the row's order and its ``values``, and returns the new columns.
     Rows are dealt out by key, sorted by Spark, which may spill, and stream through in Arrow batches: a task holds one
     batch and one key's state, however many rows a key has. Repeats of one (key, order) come in no fixed order.
     """
+    keys, orders = ([x] if isinstance(x, str) else x for x in (key, order))
+    kept = [*keys, *orders]
     new = rows.sparkSession.createDataFrame([], schema).schema
-    out = StructType([rows.schema[key], rows.schema[order], *new.fields])
-    arrow = to_arrow_schema(out)
+    out = StructType([*[rows.schema[c] for c in kept], *new.fields])
+    arrow, n = to_arrow_schema(out), len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = object(), []
         for batch in batches:
-            keys, orders, *rest = (c.to_pylist() for c in batch.columns)
-            made = []
-            for k, o, *row in zip(keys, orders, *rest):
+            columns, made = [c.to_pylist() for c in batch.columns], []
+            for k, row in zip(zip(*columns[:n]), zip(*columns[n:])):
                 if k != at:
                     at, state = k, start()
-                made.append(step(state, o, *row))
-            columns = [pa.array(c, type=f.type) for c, f in zip(zip(*made), list(arrow)[2:])] if made else [pa.nulls(0, f.type) for f in list(arrow)[2:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), batch.column(1).cast(arrow.field(1).type), *columns], schema=arrow)
+                made.append(step(state, *row))
+            found = [pa.array(c, type=f.type) for c, f in zip(zip(*made), list(arrow)[len(kept) :])] if made else [pa.nulls(0, f.type) for f in list(arrow)[len(kept) :]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).cast(arrow.field(i).type) for i in range(len(kept))], *found], schema=arrow)
 
-    return rows.select(key, order, *values).repartition(key).sortWithinPartitions(key, order).mapInArrow(run, out)
+    return rows.select(*kept, *values).repartition(*keys).sortWithinPartitions(*kept).mapInArrow(run, out)

@@ -1,7 +1,7 @@
 """Playback analytics: what sounds, starts or comes next, edges, beats and the playback state machine.
 
-A timed-notes table has (doc, pitch, staff, start_ms, duration_ms); probes are (doc, t) in milliseconds. Range joins meet
-on time buckets of ``width`` milliseconds, so that they stay equi-joins.
+A timed-notes table has (doc, pitch, staff, start_ms, duration_ms); probes are (doc, t) in milliseconds. Which notes and
+measures hold a time is asked over dyadic covers; range joins meet on time buckets, so that all stay equi-joins.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import music
+from .intervals import stabbed
 
 BUCKET_MS = 4000
 
@@ -22,9 +23,8 @@ def _bucket(t: Column, width: int = BUCKET_MS) -> Column:
 def sounding_at(notes: DataFrame, probes: DataFrame, lag: float = 1.0) -> DataFrame:
     """Probe rows joined with each note that sounds at t: start <= t + lag and t < start + duration."""
     end = F.col("start_ms") + F.col("duration_ms")
-    covered = notes.where("duration_ms > 0").withColumn("_b", F.explode(F.sequence(_bucket(F.col("start_ms") - lag), _bucket(end))))
-    met = probes.withColumn("_b", _bucket(F.col("t"))).join(covered, ["doc", "_b"])
-    return met.where((F.col("start_ms") <= F.col("t") + lag) & (F.col("t") < end)).drop("_b")
+    met = stabbed(notes.where("duration_ms > 0"), probes, ["doc"], F.col("start_ms") - lag, end, F.col("t"))
+    return met.where((F.col("start_ms") <= F.col("t") + lag) & (F.col("t") < end))
 
 
 def in_view(notes: DataFrame, probes: DataFrame, ahead: int) -> DataFrame:
@@ -58,12 +58,11 @@ def next_onset(notes: DataFrame, probes: DataFrame, tolerance: float = 1.0) -> D
     return marks.unionByName(asks).withColumn("next_ms", F.first("next_ms", ignorenulls=True).over(later)).where("t is not null").select("doc", "t", "next_ms")
 
 
-def measure_at(starts: DataFrame, probes: DataFrame, width: int = 4 * BUCKET_MS) -> DataFrame:
+def measure_at(starts: DataFrame, probes: DataFrame) -> DataFrame:
     """(doc, t, measure_index, fraction) of the measure that holds t; ``starts`` has (doc, measure_index, start_ms, song_end)."""
     until = F.coalesce(F.lead("start_ms").over(Window.partitionBy("doc").orderBy("measure_index")), F.col("song_end"))
     spans = starts.withColumn("until", until).where("until > start_ms")
-    spans = spans.withColumn("_b", F.explode(F.sequence(_bucket(F.col("start_ms"), width), _bucket(F.col("until"), width))))
-    met = probes.withColumn("_b", _bucket(F.col("t"), width)).join(spans, ["doc", "_b"]).where("t >= start_ms and t < until")
+    met = stabbed(spans, probes, ["doc"], F.col("start_ms"), F.col("until"), F.col("t")).where("t >= start_ms and t < until")
     part = (F.col("t") - F.col("start_ms")) / (F.col("until") - F.col("start_ms"))
     return met.select("doc", "t", "measure_index", F.least(F.lit(1.0), F.greatest(F.lit(0.0), part)).alias("fraction"))
 
@@ -97,6 +96,16 @@ def beats(starts: DataFrame, beats_a_measure: int) -> DataFrame:
     return rows.select("doc", (F.col("start_ms") + F.col("k") * F.col("step")).alias("time_ms"), (F.col("k") == 0).alias("accent"))
 
 
+def steady_bars(scores: DataFrame) -> DataFrame:
+    """(doc, at_ms): bar lines by the metre alone, from the end of the first measure to one measure behind the end.
+
+    ``scores`` has (doc, bpm, beats, beat_type, song_end). A beat type of 0 counts as 4; without a positive measure there are none.
+    """
+    measure = (F.lit(60000.0) / F.col("bpm")) * F.col("beats") * 4 / F.when(F.col("beat_type") == 0, 4).otherwise(F.col("beat_type"))
+    rows = scores.withColumn("measure", measure).where("bpm > 0 and measure > 0 and song_end + measure >= measure")
+    return rows.select("doc", "measure", F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("song_end") + F.col("measure")) / F.col("measure")))).alias("k")).select("doc", (F.col("k") * F.col("measure")).alias("at_ms"))
+
+
 def _play(pdf: pd.DataFrame) -> pd.DataFrame:
     """One session: ticks of its steps against its notes and presses; see ``play``."""
     notes = pdf[pdf["kind"] == "note"].sort_values("at")
@@ -139,12 +148,12 @@ def play(notes: DataFrame, inputs: DataFrame) -> DataFrame:
     return rows.unionByName(asks).groupBy("doc").applyInPandas(_play, "doc long, seq long, elapsed_ms double, blocked boolean")
 
 
-def key_feedback(required: DataFrame, active: DataFrame) -> DataFrame:
-    """(doc, pitch, state): correct, expectedRight, expectedLeft or pressed; keys in neither set are idle and left out."""
+def key_feedback(required: DataFrame, active: DataFrame, on: list[str] = ["doc", "pitch"]) -> DataFrame:  # noqa: B006
+    """(on, state): correct, expectedRight, expectedLeft or pressed; keys in neither set are idle and left out."""
     r, a = required.withColumn("_r", F.lit(True)), active.withColumn("_a", F.lit(True))
-    both = r.join(a, ["doc", "pitch"], "full")
+    both = r.join(a, on, "full")
     state = F.when(F.col("_r") & F.col("_a"), "correct").when(F.col("_r") & (F.col("staff") == 1), "expectedRight").when(F.col("_r"), "expectedLeft").otherwise("pressed")
-    return both.select("doc", "pitch", state.alias("state"))
+    return both.select(*on, state.alias("state"))
 
 
 def steady_beats(spans: DataFrame, every: int) -> DataFrame:

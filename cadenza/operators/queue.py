@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import uuid_v4
 from .ranges import with_previous
 
 NIL = -1
@@ -212,3 +213,29 @@ def run_once(claimed: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]
     """(work, done after): claimed jobs, once each, that the ledger ``done`` (id) lacks; a job claimed again is not run again."""
     work = claimed.dropDuplicates(["id"]).join(done.select("id"), "id", "left_anti")
     return work, done.select("id").union(work.select("id"))
+
+
+def enqueued(jobs: DataFrame, specs: DataFrame, seed: str, now: Column) -> DataFrame:
+    """Message rows of ``jobs`` (key, name, payload, delay_s) of known kinds, with an id of their own, ready at once or after their delay.
+
+    ``key`` tells jobs apart; equal seed and key give the equal id, so a task that runs again adds no second message. Jobs of one
+    enqueue call do not wait for each other.
+    """
+    rows = jobs.join(F.broadcast(specs), "name")  # a handful of kinds
+    return rows.select(
+        uuid_v4(seed, F.col("key").cast("string")).alias("id"), "channel", F.lit("").alias("channel_args"), now.alias("created_at"),
+        later(now, F.coalesce("delay_s", F.lit(0))).alias("attempt_at"),
+        F.greatest(F.col("attempts"), F.lit(1)).alias("attempts"), F.col("base_s").alias("backoff_s"),
+        F.lit(None).cast("int").alias("commit_s"), "name", "payload",
+    )
+
+
+def decoded(payloads: DataFrame, fields: dict[str, str], text: str = "payload") -> DataFrame:
+    """``payloads`` with ``bad``, whether the text is no JSON object, and a typed column for each of ``fields`` (name: type).
+
+    A field that is absent or of another type is null and does not make a row bad; a null text is not bad. Texts are parsed once.
+    """
+    parsed = payloads.withColumn("_v", F.try_parse_json(text))
+    is_object = F.schema_of_variant("_v").startswith("OBJECT<")
+    bad = F.col(text).isNotNull() & ~F.coalesce(is_object, F.lit(False))
+    return parsed.withColumns({"bad": bad, **{n: F.try_variant_get("_v", f"$.{n}", t) for n, t in fields.items()}}).drop("_v")

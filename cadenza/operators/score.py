@@ -1,7 +1,8 @@
 """Score analytics: note positions, timing, geometry and grouping.
 
 A notes table has (doc, measure_index, note_seq, staff, dur, pitch, is_rest, is_chord); note_seq is the order within a
-measure. Groups that are folded (a measure, a system) are bounded by what a score holds.
+measure. Folds stream through a group's sorted rows with a small state; scans over a document can be cut into ranges, so that
+one document of any length is scanned in many tasks (``span``, see ``ranges``).
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import music
+from .folds import ordered_fold
+from .ranges import RANGE, by_number, scanned
 
 
 def cursor_positions(events: DataFrame) -> DataFrame:
@@ -18,27 +21,29 @@ def cursor_positions(events: DataFrame) -> DataFrame:
     kind: note takes the cursor and moves it, chord takes the last note's onset, backup and forward move the cursor,
     which never falls below 0.
     """
-    steps = F.array_sort(F.collect_list(F.struct("note_seq", "kind", "dur")))
-    start = F.struct(F.lit(0).cast("long").alias("cursor"), F.lit(0).cast("long").alias("onset"), F.array().cast("array<struct<note_seq:int,pos:bigint>>").alias("out"))
-
-    def move(acc: Column, e: Column) -> Column:
-        onset = F.when(e["kind"] == "note", acc["cursor"]).otherwise(acc["onset"])
-        cursor = (
-            F.when(e["kind"] == "backup", F.greatest(F.lit(0).cast("long"), acc["cursor"] - e["dur"]))
-            .when(e["kind"].isin("note", "forward"), acc["cursor"] + e["dur"])
-            .otherwise(acc["cursor"])
-        )
-        placed = F.array(F.struct(e["note_seq"].cast("int").alias("note_seq"), onset.alias("pos")))
-        out = F.when(e["kind"].isin("note", "chord"), F.concat(acc["out"], placed)).otherwise(acc["out"])
-        return F.struct(cursor.cast("long").alias("cursor"), onset.cast("long").alias("onset"), out.alias("out"))
-
-    folded = events.groupBy("doc", "measure_index").agg(F.aggregate(steps, start, move, lambda acc: acc["out"]).alias("out"))
-    return folded.select("doc", "measure_index", F.inline("out"))
-
-
-def measure_spans(notes: DataFrame, nominal: Column) -> DataFrame:
-    """(doc, measure_index, span, start_div): the longer of the nominal length and the last end, and its running sum."""
+
+    def move(state: list, seq: int, kind: str, dur: int | None) -> tuple:
+        dur = dur or 0
+        if kind == "note":
+            state[1] = state[0]
+        if kind in ("note", "forward"):
+            state[0] += dur
+        elif kind == "backup":
+            state[0] = max(0, state[0] - dur)
+        return kind in ("note", "chord"), state[1]
+
+    moved = ordered_fold(events, ["doc", "measure_index"], "note_seq", ["kind", "dur"], lambda: [0, 0], move, "is_note boolean, pos long")
+    return moved.where("is_note").select("doc", "measure_index", F.col("note_seq").cast("int").alias("note_seq"), "pos")
+
+
+def measure_spans(notes: DataFrame, nominal: Column, span: Column | None = None) -> DataFrame:
+    """(doc, measure_index, span, start_div): the longer of the nominal length and the last end, and its running sum.
+
+    With ``span``, ranges of measures of one document are summed up apart.
+    """
     spans = notes.groupBy("doc", "measure_index").agg(F.greatest(nominal, F.max(F.col("pos") + F.col("dur"))).alias("span"))
+    if span is not None:
+        return scanned(spans, ["doc"], ["measure_index"], span, sums={"start_div": F.col("span")}, inclusive=False)
     before = Window.partitionBy("doc").orderBy("measure_index").rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("start_div", F.coalesce(F.sum("span").over(before), F.lit(0)))
 
@@ -84,20 +89,62 @@ def min_widths(notes: DataFrame, divisions: Column) -> DataFrame:
 
 
 def pack_systems(widths: DataFrame, available: float, most: int = 4) -> DataFrame:
-    """(doc, system_index, measures, width): greedy packing of measures in order into lines."""
-    items = F.array_sort(F.collect_list(F.struct("measure_index", "width")))
-    kind = "array<struct<measures:array<int>,width:double>>"
-    start = F.array().cast(kind)
+    """(doc, system_index, measures, width): greedy packing of measures in order into lines; one pass over a document."""
+
+    def put(state: list, measure: int, width: float) -> tuple:
+        number, filled, n = state
+        if n and n < most and filled + width <= available:
+            state[:] = number, filled + width, n + 1
+        else:
+            state[:] = number + 1, width, 1
+        return state[0], width
+
+    return _systems(ordered_fold(widths, "doc", "measure_index", ["width"], lambda: [-1, 0.0, 0], put, "system_index int, width double"))
+
+
+def _systems(placed: DataFrame) -> DataFrame:
+    """(doc, system_index, measures, width) from the system of each measure."""
+    rows = placed.groupBy("doc", "system_index").agg(F.array_sort(F.collect_list(F.struct("measure_index", "width"))).alias("m"))
+    return rows.select("doc", "system_index", F.transform("m.measure_index", lambda x: x.cast("int")).alias("measures"), F.aggregate("m.width", F.lit(0.0), lambda a, w: a + w).alias("width"))
 
-    def put(acc: Column, m: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = (F.size(acc) > 0) & (last["width"] + m["width"] <= available) & (F.size(last["measures"]) < most)
-        own = F.struct(F.array(m["measure_index"].cast("int")).alias("measures"), m["width"].alias("width"))
-        grown = F.struct(F.concat(last["measures"], F.array(m["measure_index"].cast("int"))).alias("measures"), (last["width"] + m["width"]).alias("width"))
-        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(grown))).otherwise(F.concat(acc, F.array(own))).cast(kind)
 
-    packed = widths.groupBy("doc").agg(F.aggregate(items, start, put).alias("systems"))
-    return packed.select("doc", F.posexplode("systems").alias("system_index", "s")).select("doc", "system_index", "s.measures", "s.width")
+def pack_in_ranges(widths: DataFrame, available: float, most: int = 4, rows: int = RANGE) -> DataFrame:
+    """The same as ``pack_systems``, in ranges of measures, so that one document of any length is packed in many tasks.
+
+    What happens before a range decides only which of its first ``most`` measures begins its first system. So each range is
+    packed from all of these entries at once: for each, how many systems begin, and what the last one holds. A document's
+    ranges are then followed from entry to entry, one row a range, and each measure takes its number from the entry that was met.
+    Measures are numbered from 0 without large gaps.
+    """
+    cut = widths.withColumn("_span", by_number(F.col("measure_index"), rows))
+
+    def put(state: list, measure: int, width: float) -> tuple:
+        seen, walkers = state
+        for e, walker in enumerate(walkers):
+            if e > seen:
+                break
+            number, filled, n = walker
+            walker[:] = (number, filled + width, n + 1) if n and n < most and filled + width <= available else (number + 1, width, 1)
+        state[0] += 1
+        return width, seen, [w[0] for w in walkers], [w[1] for w in walkers], [w[2] for w in walkers]
+
+    packed = ordered_fold(cut, ["doc", "_span"], "measure_index", ["width"], lambda: [0, [[0, 0.0, 0] for _ in range(most)]], put, "width double, at int, numbers array<int>, filled array<double>, n array<int>")
+    heads = F.array_sort(F.collect_list(F.when(F.col("at") < most - 1, F.struct("at", "width"))))
+    borders = packed.groupBy("doc", "_span").agg(F.transform(heads, lambda h: h["width"]).alias("heads"), F.max_by(F.struct(F.col("at") + 1, "numbers", "filled", "n"), "at").alias("last"))
+    borders = borders.select("doc", "_span", "heads", F.col("last").getItem("col1").alias("rows"), "last.numbers", "last.filled", "last.n")
+
+    def enter(state: list, span: int, heads: list, size: int, numbers: list, filled: list, n: list) -> tuple:
+        before, held, count = state
+        entry = 0
+        while count and entry < len(heads) and count < most and held + heads[entry] <= available:
+            held, count, entry = held + heads[entry], count + 1, entry + 1
+        state[:] = (before, held, count) if entry >= size else (before + numbers[entry], filled[entry], n[entry])
+        return entry, before
+
+    entered = ordered_fold(borders, "doc", "_span", ["heads", "rows", "numbers", "filled", "n"], lambda: [0, 0.0, 0], enter, "entry int, before int")
+    met = packed.join(entered, ["doc", "_span"])
+    number = F.col("before") - 1 + F.coalesce(F.try_element_at("numbers", F.col("entry") + 1), F.lit(0))
+    return _systems(met.select("doc", "measure_index", number.cast("int").alias("system_index"), "width"))
 
 
 def justify(widths: DataFrame, systems: DataFrame, usable: float) -> DataFrame:
@@ -109,17 +156,28 @@ def justify(widths: DataFrame, systems: DataFrame, usable: float) -> DataFrame:
     return rows.select("doc", "system_index", "measure_index", F.coalesce(before, F.lit(0.0)).alias("x"), F.col("w").alias("width"))
 
 
-def running_clefs(measures: DataFrame, changes: DataFrame) -> DataFrame:
-    """(doc, staff, measure_index, sign, line): the last clef at or before each measure; G2 on staff 1, else F4."""
-    order = Window.partitionBy("doc", "staff").orderBy("measure_index").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("sign").isNotNull(), F.struct("sign", "line")), ignorenulls=True).over(order)
+def running_clefs(measures: DataFrame, changes: DataFrame, span: Column | None = None) -> DataFrame:
+    """(doc, staff, measure_index, sign, line): the last clef at or before each measure; G2 on staff 1, else F4.
+
+    With ``span``, ranges of measures of one staff are scanned apart.
+    """
+    rows = measures.join(changes, ["doc", "staff", "measure_index"], "left")
+    known = F.when(F.col("sign").isNotNull(), F.struct("sign", "line"))
+    if span is not None:
+        rows = scanned(rows, ["doc", "staff"], ["measure_index"], span, lasts={"_last": known})
+    else:
+        rows = rows.withColumn("_last", F.last(known, ignorenulls=True).over(Window.partitionBy("doc", "staff").orderBy("measure_index").rowsBetween(Window.unboundedPreceding, 0)))
     default = F.struct(F.when(F.col("staff") == 1, "G").otherwise("F").alias("sign"), F.when(F.col("staff") == 1, 2).otherwise(4).alias("line"))
-    rows = measures.join(changes, ["doc", "staff", "measure_index"], "left").withColumn("c", F.coalesce(last, default))
-    return rows.select("doc", "staff", "measure_index", "c.sign", "c.line")
+    return rows.withColumn("c", F.coalesce("_last", default)).select("doc", "staff", "measure_index", "c.sign", "c.line")
+
 
+def end_mark_groups(rows: DataFrame, keys: list[str], order: list[str], is_end: Column, span: Column | None = None) -> DataFrame:
+    """``rows`` with group_no: rows up to and with an end mark form a group; what is left at the end is one too.
 
-def end_mark_groups(rows: DataFrame, keys: list[str], order: list[str], is_end: Column) -> DataFrame:
-    """``rows`` with group_no: rows up to and with an end mark form a group; what is left at the end is one too."""
+    With ``span``, ranges of one key's rows are counted apart.
+    """
+    if span is not None:
+        return scanned(rows, keys, order, span, sums={"group_no": is_end.cast("int")}, inclusive=False)
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("group_no", F.coalesce(F.sum(is_end.cast("int")).over(before), F.lit(0)))
 
@@ -129,37 +187,54 @@ def tuplet_groups(notes: DataFrame, keys: list[str]) -> DataFrame:
 
     ``notes`` has the keys, note_seq and actual (null outside tuplets). Groups that do not fill up are kept as they are.
     """
-    items = F.array_sort(F.collect_list(F.struct("note_seq", "actual")))
-    kind = "struct<open:array<int>,size:int,done:array<array<int>>>"
-    start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("size"), F.array().cast("array<array<int>>").alias("done")).cast(kind)
-
-    def step(acc: Column, e: Column) -> Column:
-        flushed = F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        size = F.when(F.size(acc["open"]) > 0, acc["size"]).otherwise(e["actual"])
-        grown = F.concat(acc["open"], F.array(e["note_seq"].cast("int")))
-        full = F.size(grown) >= size
-        none = F.array().cast("array<int>")
-        inside = F.struct(F.when(full, none).otherwise(grown).alias("open"), size.cast("int").alias("size"), F.when(full, F.concat(acc["done"], F.array(grown))).otherwise(acc["done"]).alias("done"))
-        outside = F.struct(none.alias("open"), F.lit(0).alias("size"), flushed.alias("done"))
-        return F.when(e["actual"].isNotNull(), inside).otherwise(outside).cast(kind)
 
-    done = F.aggregate(items, start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
-    return notes.groupBy(*keys).agg(done.alias("groups")).select(*keys, F.posexplode("groups").alias("group_no", "members"))
+    def step(state: list, seq: int, actual: int | None) -> tuple:
+        number, size, n = state
+        if actual is None:
+            state[1:] = 0, 0
+            return (None,)
+        state[:] = (number, size, n + 1) if n and n < size else (number + 1, actual, 1)
+        return (state[0],)
+
+    numbered = ordered_fold(notes, keys, "note_seq", ["actual"], lambda: [-1, 0, 0], step, "group_no int").where("group_no is not null")
+    return numbered.groupBy(*keys, "group_no").agg(F.array_sort(F.collect_list(F.col("note_seq").cast("int"))).alias("members"))
+
+
+class _Lanes:
+    """Last ends by lane, over a tree of minima: the lowest free lane is found and filled in O(log lanes)."""
+
+    def __init__(self):
+        self.used, self.width, self.least = 0, 1, [float("inf")] * 2
+
+    def take(self, start: float, end: float) -> int:
+        least, at = self.least, 1
+        if least[1] <= start:  # some lane is free: go down towards the lowest
+            while at < self.width:
+                at = 2 * at if least[2 * at] <= start else 2 * at + 1
+            lane = at - self.width
+        else:
+            lane = self.used
+            if lane == self.width:
+                leaves = least[self.width :] + [float("inf")] * self.width
+                self.width *= 2
+                self.least = least = [float("inf")] * self.width + leaves
+                for i in range(self.width - 1, 0, -1):
+                    least[i] = min(least[2 * i], least[2 * i + 1])
+            self.used += 1
+        at = self.width + lane
+        least[at] = end
+        while at > 1:
+            at //= 2
+            least[at] = min(least[2 * at], least[2 * at + 1])
+        return lane
 
 
 def text_lanes(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, seq, lane): first lane whose last end is at or before the text's start, else a new one; in order of seq."""
-    items = F.array_sort(F.collect_list(F.struct("seq", "x0", "x1")))
-    kind = "struct<ends:array<double>,out:array<struct<seq:int,lane:int>>>"
-    start = F.struct(F.array().cast("array<double>").alias("ends"), F.array().cast("array<struct<seq:int,lane:int>>").alias("out")).cast(kind)
-
-    def step(acc: Column, e: Column) -> Column:
-        free = F.array_position(F.transform(acc["ends"], lambda end: end <= e["x0"]), True)
-        lane = F.when(free > 0, free - 1).otherwise(F.size(acc["ends"])).cast("int")
-        ends = F.when(free > 0, F.transform(acc["ends"], lambda end, i: F.when(i == lane, e["x1"]).otherwise(end))).otherwise(F.concat(acc["ends"], F.array(e["x1"].cast("double"))))
-        return F.struct(ends.alias("ends"), F.concat(acc["out"], F.array(F.struct(e["seq"].cast("int").alias("seq"), lane.alias("lane")))).alias("out")).cast(kind)
+    """(keys, seq, lane): first lane whose last end is at or before the text's start, else a new one; in order of seq.
 
-    return texts.groupBy(*keys).agg(F.aggregate(items, start, step, lambda acc: acc["out"]).alias("o")).select(*keys, F.inline("o"))
+    Texts may start in any order; a group's state is one number a lane.
+    """
+    return ordered_fold(texts, keys, "seq", ["x0", "x1"], lambda: [_Lanes()], lambda state, seq, x0, x1: (state[0].take(x0, x1),), "lane int").withColumn("seq", F.col("seq").cast("int"))
 
 
 def pair_marks(marks: DataFrame, keys: list[str]) -> DataFrame:
@@ -175,17 +250,20 @@ def nested_pairs(marks: DataFrame, keys: list[str]) -> DataFrame:
     ``marks`` has the keys, seq, is_start, is_stop and y. A stop without an open start is left out; a group is one system's
     notes of a staff and voice.
     """
-    items = F.array_sort(F.collect_list(F.struct("seq", "is_start", "is_stop", "y")))
-    kind = "struct<open:array<struct<seq:bigint,top:double>>,out:array<struct<start_seq:bigint,stop_seq:bigint,top:double>>>"
-    start = F.from_json(F.lit('{"open":[],"out":[]}'), kind)
-
-    def step(acc: Column, e: Column) -> Column:
-        lowered = F.transform(acc["open"], lambda o: F.struct(o["seq"].alias("seq"), F.least(o["top"], e["y"].cast("double")).alias("top")))
-        last = F.try_element_at(lowered, F.lit(-1))
-        closes = e["is_stop"] & (F.size(lowered) > 0)
-        out = F.when(closes, F.concat(acc["out"], F.array(F.struct(last["seq"].alias("start_seq"), e["seq"].cast("long").alias("stop_seq"), last["top"].alias("top"))))).otherwise(acc["out"])
-        rest = F.when(closes, F.slice(lowered, 1, F.greatest(F.size(lowered) - 1, F.lit(0)))).otherwise(lowered)
-        own = F.array(F.struct(e["seq"].cast("long").alias("seq"), e["y"].cast("double").alias("top")))
-        return F.struct(F.when(e["is_start"], F.concat(rest, own)).otherwise(rest).alias("open"), out.alias("out")).cast(kind)
-
-    return marks.groupBy(*keys).agg(F.aggregate(items, start, step, lambda acc: acc["out"]).alias("o")).select(*keys, F.inline("o"))
+
+    def step(state: list, seq: int, is_start: bool, is_stop: bool, y: float) -> tuple:
+        out = None, None
+        if is_stop and state:
+            start, top = state.pop()
+            out = start, min(top, y)
+            if state:  # what lies inside lies inside the one around it
+                state[-1][1] = min(state[-1][1], top, y)
+        elif state:
+            state[-1][1] = min(state[-1][1], y)
+        if is_start:
+            state.append([seq, y])
+        return out
+
+    rows = marks.select(*keys, F.col("seq").cast("long").alias("seq"), "is_start", "is_stop", F.col("y").cast("double").alias("y"))
+    pairs = ordered_fold(rows, keys, "seq", ["is_start", "is_stop", "y"], list, step, "start_seq long, top double").where("start_seq is not null")
+    return pairs.select(*keys, "start_seq", F.col("seq").alias("stop_seq"), "top")

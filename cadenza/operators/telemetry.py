@@ -27,21 +27,43 @@ def rates(calls: DataFrame, width: str = "1 minute", seconds: int = 60) -> DataF
     return calls.groupBy("method", "status", window.alias("w")).agg((F.count(F.lit(1)) / seconds).alias("per_second")).select("method", "status", F.col("w.start").alias("start"), "per_second")
 
 
-def bucket_quantile(hist: DataFrame, keys: list[str], share: float, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
-    """(keys, quantile): the rank's bucket, interpolated linearly inside; the last bound where it falls into the open bucket.
+def _counted(n: Column, bounds: tuple[float, ...]) -> list[Column]:
+    """One sum for each bucket."""
+    return [F.sum(F.when(F.col("bucket") == i, n).otherwise(0)).alias(f"_{i}") for i in range(len(bounds) + 1)]
 
-    The counts of one key are an array of at most ``len(bounds) + 1`` numbers.
-    """
-    counts = [F.sum(F.when(F.col("bucket") == i, F.col("n")).otherwise(0)).alias(f"_{i}") for i in range(len(bounds) + 1)]
-    rows = hist.groupBy(*keys).agg(*counts)
-    total = sum((F.col(f"_{i}") for i in range(len(bounds) + 1)), F.lit(0))
-    rank = F.lit(share) * total
+
+def _interpolated(share: float, bounds: tuple[float, ...]) -> Column:
+    """The quantile out of the counts ``_0``, ``_1`` and so on: the rank's bucket, linear inside; the last bound in the open one."""
+    rank = F.lit(share) * sum((F.col(f"_{i}") for i in range(len(bounds) + 1)), F.lit(0))
     before, pick = F.lit(0), F.when(F.lit(False), F.lit(0.0))
     for i, bound in enumerate(bounds):
         low = bounds[i - 1] if i else 0.0
         pick = pick.when(before + F.col(f"_{i}") >= rank, F.lit(low) + F.lit(bound - low) * (rank - before) / F.greatest(F.col(f"_{i}"), F.lit(1)))
         before = before + F.col(f"_{i}")
-    return rows.select(*keys, pick.otherwise(F.lit(bounds[-1])).alias("quantile"))
+    return pick.otherwise(F.lit(bounds[-1]))
+
+
+def bucket_quantile(hist: DataFrame, keys: list[str], share: float, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
+    """(keys, quantile): the rank's bucket, interpolated linearly inside; the last bound where it falls into the open bucket.
+
+    The counts of one key are an array of at most ``len(bounds) + 1`` numbers.
+    """
+    return hist.groupBy(*keys).agg(*_counted(F.col("n"), bounds)).select(*keys, _interpolated(share, bounds).alias("quantile"))
+
+
+def sliding_quantiles(calls: DataFrame, keys: list[str], share: float, minutes: int = 5, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
+    """(keys, start, n, per_second, quantile) of each window of ``minutes`` that begins at a full minute and holds a call.
+
+    Bucket counts are taken once for each minute, the pane; a window adds up its panes, so a call is counted once however
+    long the window is. On a stream, ``calls`` needs a watermark on ts; both steps then run in append mode, and a window comes out
+    when the watermark has passed its end.
+    """
+    pane = calls.withColumn("bucket", bucket(F.col("secs"), bounds)).groupBy(*keys, F.window("ts", "1 minute").alias("pane")).agg(*_counted(F.lit(1), bounds))
+    names = [f"_{i}" for i in range(len(bounds) + 1)]
+    panes = pane.select(*keys, F.window_time("pane").alias("at"), *names)
+    spans = panes.groupBy(*keys, F.window("at", f"{minutes} minutes", "1 minute").alias("w")).agg(*[F.sum(x).alias(x) for x in names])
+    n = sum((F.col(x) for x in names), F.lit(0))
+    return spans.select(*keys, F.col("w.start").alias("start"), n.cast("long").alias("n"), (n / (60 * minutes)).alias("per_second"), _interpolated(share, bounds).alias("quantile"))
 
 
 def last_values(gauges: DataFrame) -> DataFrame:
@@ -49,18 +71,19 @@ def last_values(gauges: DataFrame) -> DataFrame:
     return gauges.groupBy("name").agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
 
 
-def correlate(logs: DataFrame, spans: DataFrame, hours: int = 1) -> DataFrame:
+def correlate(logs: DataFrame, spans: DataFrame, hours: int = 1, pieces: int = 6) -> DataFrame:
     """Logs (alias l) with the spans (alias s) of their trace that start within ``hours`` of them.
 
-    Both meet by trace and time bucket, so a trace of many hours does not meet in all its pairs.
+    Both meet by trace and piece of time, ``pieces`` to the band's width: a span lies in one piece, a log asks for the pieces
+    within its band. A trace of many hours, or with a burst of rows, is dealt out over as many tasks as it has pieces.
     """
     width = hours * 3600
+    piece = width // pieces
 
     def second(c: str) -> Column:
         return F.unix_timestamp(F.col(c).cast("timestamp"))
 
-    bucket = F.floor(second("ts") / width)
-    left = logs.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).alias("l")
-    right = spans.withColumn("_bucket", bucket).alias("s")
-    same = (F.col("l.trace") == F.col("s.trace")) & (F.col("l._bucket") == F.col("s._bucket"))
+    left = logs.withColumn("_piece", F.explode(F.sequence(F.floor((second("ts") - width) / piece), F.floor((second("ts") + width) / piece)))).alias("l")
+    right = spans.withColumn("_piece", F.floor(second("ts") / piece)).alias("s")
+    same = (F.col("l.trace") == F.col("s.trace")) & (F.col("l._piece") == F.col("s._piece"))
     return left.join(right, same & (F.abs(second("l.ts") - second("s.ts")) <= width))

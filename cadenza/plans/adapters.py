@@ -43,15 +43,18 @@ def note_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``note_events`` with positions by windows: without backups no cursor falls below 0, so sums are exact."""
+def notes(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """``note_events`` with positions by windows: without backups no cursor falls below 0, so sums are exact.
+
+    ``dealt``: rows are dealt out by document, so that windows over documents need no further exchange; else by measure.
+    """
     before = Window.partitionBy("doc", "measure_index").orderBy("note_seq").rowsBetween(Window.unboundedPreceding, -1)
     until = Window.partitionBy("doc", "measure_index").orderBy("note_seq").rowsBetween(Window.unboundedPreceding, 0)
     moves = F.when(~F.col("is_chord"), F.col("dur"))
     cursor = F.coalesce(F.sum(moves).over(before), F.lit(0))
     back = F.when(F.col("is_chord"), F.last(moves, ignorenulls=True).over(until)).otherwise(0)
-    # dealt out by document: all windows over notes and documents follow without another exchange
-    return note_events(spark, sf_dir).repartition("doc").withColumn("pos", (cursor - back).cast("long"))
+    events = note_events(spark, sf_dir)
+    return (events.repartition("doc") if dealt else events).withColumn("pos", (cursor - back).cast("long"))
 
 
 NOTES_SQL = """WITH mm AS (SELECT o_orderkey, o_custkey doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 measure_index FROM orders),

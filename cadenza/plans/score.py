@@ -85,7 +85,7 @@ WIDTHS = N + ", col AS (SELECT doc, measure_index, pos, min(dur) dd FROM a_notes
 
 
 def widths(spark, d):
-    return sc.min_widths(ad.notes(spark, d), F.lit(ad.DIVISIONS)).withColumn("width", F.round("width", 6))
+    return sc.min_widths(ad.notes(spark, d, dealt=False), F.lit(ad.DIVISIONS)).withColumn("width", F.round("width", 6))
 
 
 @query(WIDTHS + " SELECT doc, measure_index, round(width, 3) width FROM wd")
@@ -122,10 +122,14 @@ CLEFS = N + ", mv AS (SELECT DISTINCT doc, measure_index, s staff FROM a_notes,
 
 @query(CLEFS + " SELECT doc, staff, measure_index, coalesce(last_value(sign IGNORE NULLS) OVER w, CASE staff WHEN 1 THEN 'G' ELSE 'F' END) sign, coalesce(last_value(CASE WHEN sign IS NOT NULL THEN CASE sign WHEN 'C' THEN 3 ELSE 4 END END IGNORE NULLS) OVER w, CASE staff WHEN 1 THEN 2 ELSE 4 END) line FROM chg WINDOW w AS (PARTITION BY doc, staff ORDER BY measure_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def q206_running_clef(spark, d):
+    return sc.running_clefs(*clef_changes(spark, d))
+
+
+def clef_changes(spark, d):
     m = ad.note_events(spark, d).select("doc", "measure_index").distinct().withColumn("staff", F.explode(F.array(F.lit(1), F.lit(2))))
     sign = F.when(F.col("measure_index") % 2 == 0, "C").otherwise("F")
     changes = m.where((F.col("doc") + F.col("measure_index") + F.col("staff")) % 5 == 0).select("doc", "staff", "measure_index", sign.alias("sign"), F.when(sign == "C", 3).otherwise(4).alias("line"))
-    return sc.running_clefs(m, changes)
+    return m, changes
 
 
 @query(N + " SELECT doc, measure_index, note_seq, CASE WHEN dur >= 16 THEN 'whole' WHEN dur >= 8 THEN 'half' ELSE 'black' END head, round(30 * pow(greatest(dur, 1) / 4.0::DOUBLE, 0.6), 3) space FROM a_notes")
@@ -192,7 +196,7 @@ def q321_song_end(spark, d):
 
 @query(T + " SELECT doc, measure_index, CAST(span AS BIGINT) span, start_div FROM ms")
 def q341_measure_starts(spark, d):
-    return ad.spans(ad.notes(spark, d)).select("doc", "measure_index", F.col("span").cast("long").alias("span"), F.col("start_div").cast("long").alias("start_div"))
+    return ad.spans(ad.notes(spark, d, dealt=False)).select("doc", "measure_index", F.col("span").cast("long").alias("span"), F.col("start_div").cast("long").alias("start_div"))
 
 
 @query(T + " SELECT doc, measure_index, note_seq, pitch, staff, start_ms, duration_ms FROM timed")

@@ -9,10 +9,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cadenza.plans import accounts, directory, files, keyboard, queue, schedule, score, telemetry
+from cadenza.plans import accounts, directory, files, keyboard, queue, ranges, schedule, score, telemetry
 
 DATA = "/root/testdata/sf0.001"
-MODULES = (score, queue, accounts, telemetry, schedule, keyboard, directory, files)
+MODULES = (score, queue, accounts, telemetry, schedule, keyboard, directory, files, ranges)
 NAMES = [(m, k) for m in MODULES for k in m.QUERIES]
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables are not here")
 
