@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ EVENTS = (
     "doc string, measure_index int, note_seq int, kind string, staff int, voice int, dur long, step string, octave int, alter int, is_rest boolean, note_type string, dots int,"
     " tie_start boolean, tie_stop boolean, slur_start boolean, slur_stop boolean, actual int, sign string, line int, text string, error string"
 )
+#: Elements that are read as a whole when they close.
+HOLDING = ("measure", "note", "attributes", "direction")
+COLUMNS = [c.split()[0] for c in EVENTS.split(",")]
 
 
 def _number(text: str | None, old: int | None) -> int | None:
@@ -49,12 +53,13 @@ def _direction(e: ET.Element) -> tuple[str, str] | None:
     return found
 
 
-def parse(doc: str, content: bytes) -> Iterator[dict]:
+def streamed(doc: str, stream: BinaryIO) -> Iterator[dict]:
     """Rows of EVENTS of one file: note, chord, backup, forward, clef, direction, attribute kinds.
 
-    Only the first part's measures count. What is not a score has no rows; broken markup has one row with its error.
+    Only the first part's measures count. Rows go out when their measure closes; closed elements leave the tree, which holds
+    no more than the open elements and one measure. What is not a score has no rows; broken markup ends with a row of its error.
     """
-    part, measure, seq, rows = 0, -1, 0, []
+    part, measure, seq, rows, above = 0, -1, 0, [], []
 
     def row(kind: str, **more) -> None:
         nonlocal seq
@@ -62,12 +67,14 @@ def parse(doc: str, content: bytes) -> Iterator[dict]:
         seq += 1
 
     try:
-        for event, e in ET.iterparse(io.BytesIO(content), ("start", "end")):
+        for event, e in ET.iterparse(stream, ("start", "end")):
             if event == "start":
+                above.append(e)
                 part += e.tag == "part"
                 if e.tag == "measure" and part == 1:
                     measure, seq = measure + 1, 0
                 continue
+            above.pop()
             if e.tag == "note" and part == 1:
                 kinds = [(x.tag, x.get("type")) for x in e.iter() if x.tag in ("tie", "slur")]
                 pitch = e.find("pitch")
@@ -93,13 +100,23 @@ def parse(doc: str, content: bytes) -> Iterator[dict]:
                 row("title", text=e.text)
             elif e.tag == "creator" and e.get("type") == "composer":
                 row("composer", text=e.text)
-            elif e.tag == "measure":
-                if part == 1:
-                    row("measure")
-                e.clear()  # a closed measure's elements are not needed any more; its rows are held, as an error later on replaces them
+            elif e.tag == "measure" and part == 1:
+                row("measure")
+            if not any(x.tag in HOLDING for x in above):  # nothing above asks for it any more
+                if above:
+                    above[-1].remove(e)
+                yield from rows
+                rows = []
     except (ET.ParseError, ValueError) as error:
-        yield {"doc": doc, "measure_index": 0, "note_seq": 0, "kind": "error", "error": str(error)}
-        return
+        yield from rows
+        yield {"doc": doc, "measure_index": max(measure, 0), "note_seq": seq, "kind": "error", "error": str(error)}
+
+
+def parse(doc: str, content: bytes) -> Iterator[dict]:
+    """``streamed`` of a file's bytes; broken markup has one row with its error and no others."""
+    rows = list(streamed(doc, io.BytesIO(content)))
+    if rows and rows[-1]["kind"] == "error":
+        rows = [rows[-1] | {"measure_index": 0, "note_seq": 0}]
     yield from rows
 
 

@@ -1,7 +1,7 @@
-"""Keyed state over event streams: held notes and rate limits.
+"""Keyed state over event streams: held notes.
 
-Both run on arrival order within a micro-batch by the given sequence; state is one small row per key and is kept, since the
-rules themselves never expire: the store grows with the number of keys.
+Rows are taken in the order of their sequence within a micro-batch. State is one small row per stream that holds a note; a
+stream whose last note is released leaves none.
 """
 
 from __future__ import annotations
@@ -24,28 +24,10 @@ def held_notes(events: DataFrame) -> DataFrame:
                 pitches.add(int(pitch))
             elif kind == "off":
                 pitches.discard(int(pitch))
-        state.update((sorted(pitches),))
+        if pitches:
+            state.update((sorted(pitches),))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"stream": [key[0]], "seq": [int(rows["seq"].max())], "held": [sorted(pitches)]})
 
     return events.groupBy("stream").applyInPandasWithState(step, "stream long, seq long, held array<int>", "held array<int>", "update", GroupStateTimeout.NoTimeout)
-
-
-def rate_limit(hits: DataFrame, most: int, ttl_s: int) -> DataFrame:
-    """(key, seq, allowed) of each hit (key, seq, second): append mode.
-
-    The counter starts with the first hit after the one before has expired; later hits do not prolong it.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        allowed = []
-        for second in rows["second"].tolist():
-            if start is None or second >= start + ttl_s:
-                start, n = second, 0
-            n += 1
-            allowed.append(n <= most)
-        state.update((int(start), int(n)))
-        yield pd.DataFrame({"key": [key[0]] * len(rows), "seq": rows["seq"].tolist(), "allowed": allowed})
-
-    return hits.groupBy("key").applyInPandasWithState(step, "key long, seq long, allowed boolean", "start long, n long", "append", GroupStateTimeout.NoTimeout)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import UTC, datetime
 
 import pytest
@@ -36,13 +37,33 @@ def test_score_source(spark):
     assert (doc["title"], doc["divisions"], doc["fifths"], doc["beats"], doc["staves"], doc["bpm"], doc["measures"]) == ("Song", 8, -3, 3, 2, 120, 1)
 
 
-@pytest.mark.parametrize(
-    ("widths", "available", "systems"),
-    [([100] * 3, 1000.0, [[0, 1, 2]]), ([100] * 4, 250.0, [[0, 1], [2, 3]]), ([100, 500, 100], 250.0, [[0], [1], [2]]), ([10] * 6, 1e5, [[0, 1, 2, 3], [4, 5]])],
-)
+LAYOUTS = [
+    ([60, 90, 50], 200.0, [[0, 1, 2]]),  # an exact fit
+    ([60, 90, 51], 200.0, [[0, 1], [2]]),
+    ([70, 0, 130, 0, 1], 200.0, [[0, 1, 2, 3], [4]]),  # measures without width
+    ([300, 300], 200.0, [[0], [1]]),  # wider than a line
+    ([40] * 11, 500.0, [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10]]),
+    ([150, 40, 40, 150, 40, 40, 150, 20], 200.0, [[0, 1], [2, 3], [4, 5], [6, 7]]),
+    ([], 200.0, []),
+]
+
+
+@pytest.mark.parametrize(("widths", "available", "systems"), LAYOUTS)
 def test_layout(spark, widths, available, systems):
     df = spark.createDataFrame([(1, i, float(w)) for i, w in enumerate(widths)], "doc long, measure_index int, width double")
     assert [r["measures"] for r in score.pack_systems(df, available).orderBy("system_index").collect()] == systems
+    for rows in (1, 2, 3):  # ranges shorter than a line
+        assert [r["measures"] for r in score.pack_in_ranges(df, available, rows=rows).orderBy("system_index").collect()] == systems
+
+
+def test_gaps_and_long_scores_pack_alike(spark):
+    rng = random.Random(6)
+    rows = [(d, 3 * i + i // 7, float(rng.choice([0, 20, 60, 61, 100, 130, 500]))) for d in range(4) for i in range(rng.randrange(1, 900))]
+    df = spark.createDataFrame(rows, "doc long, measure_index int, width double")
+    for most in (1, 2, 4, 9):
+        want = sorted((r["doc"], r["system_index"], tuple(r["measures"]), r["width"]) for r in score.pack_systems(df, 321.0, most).collect())
+        got = score.pack_in_ranges(df, 321.0, most, rows=64)
+        assert sorted((r["doc"], r["system_index"], tuple(r["measures"]), r["width"]) for r in got.collect()) == want
 
 
 def test_lanes(spark):
@@ -58,13 +79,13 @@ def test_sounding_bounds(spark):
 
 
 def test_edges_and_beats(spark):
-    notes = spark.createDataFrame([(1, 60, 1, 0, 500), (1, 62, 1, 500, 500)], "doc long, pitch long, staff int, start_ms long, duration_ms long")
-    spans = spark.createDataFrame([(1, 0, 50), (1, 0, 0), (1, 0, 500)], "doc long, from_ms long, to_ms long")
+    notes = spark.createDataFrame([(1, 45, 1, 120, 300), (1, 71, 1, 420, 90), (1, 45, 2, 700, 80)], "doc long, pitch long, staff int, start_ms long, duration_ms long")
+    spans = spark.createDataFrame([(1, 100, 200), (1, 130, 130), (1, 130, 420), (1, 430, 720)], "doc long, from_ms long, to_ms long")
     out = {(r["from_ms"], r["to_ms"]): (r["starts"], r["stops"]) for r in playback.edges(notes, spans).collect()}
-    assert out == {(0, 50): ([60], []), (0, 0): ([], []), (0, 500): ([60], [60])}
-    starts = spark.createDataFrame([(1, 0, 0, 6000.0), (1, 1, 2000, 6000.0), (1, 2, 4000, 6000.0)], "doc long, measure_index int, start_ms long, song_end double")
-    beats = playback.beats(starts, 4).orderBy("time_ms").collect()
-    assert len(beats) == 12 and [b["time_ms"] for b in beats if b["accent"]] == [0, 2000, 4000]
+    assert out == {(100, 200): ([45], []), (130, 130): ([], []), (130, 420): ([], [45]), (430, 720): ([45], [71])}
+    starts = spark.createDataFrame([(1, 0, 0, 4500.0), (1, 1, 900, 4500.0), (1, 2, 2700, 4500.0)], "doc long, measure_index int, start_ms long, song_end double")
+    beats = playback.beats(starts, 3).orderBy("time_ms").collect()
+    assert [b["time_ms"] for b in beats] == [0, 300, 600, 900, 1500, 2100, 2700, 3300, 3900] and [b["time_ms"] for b in beats if b["accent"]] == [0, 900, 2700]
 
 
 def test_play(spark):
@@ -156,8 +177,8 @@ def unix(*parts: int) -> int:
 
 
 def test_cron():
-    assert len(schedule.occurrences("0 3 * * *", "UTC", unix(2026, 6, 1), unix(2026, 6, 3, 12))) == 3
-    assert schedule.occurrences("30 0 * * *", "America/New_York", unix(2026, 1, 10), unix(2026, 1, 11)) == [unix(2026, 1, 10, 5, 30)]
+    assert schedule.occurrences("45 6 * * *", "UTC", unix(2025, 9, 3), unix(2025, 9, 5, 6, 45)) == [unix(2025, 9, d, 6, 45) for d in (3, 4, 5)]
+    assert schedule.occurrences("10 22 * * *", "Asia/Tokyo", unix(2025, 2, 17), unix(2025, 2, 18)) == [unix(2025, 2, 17, 13, 10)]
     assert schedule.occurrences("0 0 * * * *", "UTC", unix(2026, 1, 1), unix(2026, 1, 1, 3)) == [unix(2026, 1, 1, h) for h in (1, 2, 3)]
     assert schedule.occurrences("0 3 * * *", "UTC", 10, 10) == []
     assert schedule.occurrences("*/20 1-2 * jan Mon", "UTC", unix(2026, 1, 5), unix(2026, 1, 5, 1, 40)) == [unix(2026, 1, 5, 1, m) for m in (0, 20, 40)]
@@ -173,9 +194,3 @@ def test_streams(spark, tmp_path):
     query = stream_notes.held_notes(source).writeStream.outputMode("update").format("memory").queryName("held").trigger(availableNow=True).start()
     query.awaitTermination(30)
     assert [tuple(r["held"]) for r in spark.table("held").collect()][-1] == (64, 67)
-    hits = held.selectExpr("stream as key", "seq", "seq * 10 as second")
-    hits.write.parquet(str(tmp_path / "hits"))
-    source = spark.readStream.schema(hits.schema).parquet(str(tmp_path / "hits"))
-    query = stream_notes.rate_limit(source, 2, 25).writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).start()
-    query.awaitTermination(30)
-    assert [r["allowed"] for r in spark.table("limited").orderBy("seq").collect()] == [True, True, False, True]
