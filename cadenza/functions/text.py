@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: seconds of each unit of a written duration
-UNITS = {"d": 86400, "h": 3600, "m": 60, "s": 1}
+# fixed values: nanoseconds of each unit of a written duration, and the unit's names; a month is a twelfth of 365.25 days
+UNITS = {
+    ("ns", "nsec", "nanos"): 1, ("us", "usec", "micros"): 10**3, ("ms", "msec", "millis"): 10**6, ("s", "sec", "secs", "second", "seconds"): 10**9,
+    ("m", "min", "mins", "minute", "minutes"): 60 * 10**9, ("h", "hr", "hrs", "hour", "hours"): 3600 * 10**9, ("d", "day", "days"): 86400 * 10**9,
+    ("w", "wk", "wks", "week", "weeks"): 604800 * 10**9, ("M", "month", "months"): 2630016 * 10**9, ("y", "yr", "yrs", "year", "years"): 31557600 * 10**9,
+}
 # fixed values: status of each kind of error
 STATUS = {"invalid_argument": 3, "not_found": 5, "already_exists": 6, "permission_denied": 7, "resource_exhausted": 8, "failed_precondition": 9, "aborted": 10, "unauthenticated": 16}
 INTERNAL = 13
@@ -48,12 +52,22 @@ def is_uuid(text: Column) -> Column:
     return F.coalesce(F.rlike(text, F.lit(UUID)), F.lit(False))
 
 
+def duration_nanos(text: Column) -> Column:
+    """Nanoseconds of a duration such as ``1h 30m`` or ``2 weeks``; null where the text is none or does not fit a long."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\d+)\s*[A-Za-z]+"), F.lit(1))
+    units = F.regexp_extract_all(text, F.lit(r"\d+\s*([A-Za-z]+)"), F.lit(1))
+
+    def of(n: Column, u: Column) -> Column:
+        unit = reduce(lambda c, kv: c.when(u.isin(*kv[0]), F.lit(kv[1]).cast("long")), UNITS.items(), F.when(F.lit(False), F.lit(0).cast("long")))
+        return F.try_multiply(n.try_cast("long"), unit)
+
+    total = F.aggregate(F.zip_with(parts, units, of), F.lit(0).cast("long"), F.try_add)
+    return F.when(F.rlike(text, F.lit(r"^\s*(\d+\s*[A-Za-z]+\s*)+$")), total)
+
+
 def duration_seconds(text: Column) -> Column:
-    """Seconds of a duration such as ``1h 30m``; null where the text is none."""
-    parts = F.regexp_extract_all(text, F.lit(r"(\d+)\s*[dhms]"), F.lit(1))
-    units = F.regexp_extract_all(text, F.lit(r"\d+\s*([dhms])"), F.lit(1))
-    seconds = F.aggregate(F.zip_with(parts, units, lambda n, u: n.cast("long") * reduce(lambda c, kv: c.when(u == kv[0], F.lit(kv[1])), UNITS.items(), F.when(F.lit(False), F.lit(0)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.when(F.rlike(text, F.lit(r"^\s*(\d+\s*[dhms]\s*)+$")), seconds)
+    """Whole seconds of a duration; null where the text is none."""
+    return F.floor(duration_nanos(text) / F.lit(10**9).cast("decimal(10,0)")).cast("long")
 
 
 def rate_limit(text: Column) -> tuple[Column, Column]:

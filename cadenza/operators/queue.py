@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import uuid_v4
-from .ranges import with_previous
+from .ranges import by_number, with_previous
 
 NIL = -1
 
@@ -108,11 +108,11 @@ def insert(msgs: DataFrame, payloads: DataFrame, new: DataFrame, now: Column, sp
     """Append ``new`` (id, channel, name, payload, retries, backoff_s, delay_s, commit_s, ordered).
 
     An ordered message follows the one before it in the batch (by id), the first one the tail of its channel, or NIL.
-    ``span`` cuts large batches of one channel into ranges of ids; it must not fall as ids rise.
+    ``span`` cuts batches of one channel into ranges of ids, which must not fall as ids rise: by default thousands of numbers.
     """
     new = new.withColumn("_chain", F.when(F.col("ordered"), F.col("channel")))
     before = F.col("_before")
-    rows = with_previous(new, "_chain", "id", F.lit(0) if span is None else span, "_before").join(tails(msgs), "channel", "left").select(
+    rows = with_previous(new, "_chain", "id", by_number(F.col("id")) if span is None else span, "_before").join(tails(msgs), "channel", "left").select(
         "id", "channel",
         now.alias("created_at"),
         later(now, F.col("delay_s") + F.coalesce("commit_s", F.lit(0))).alias("attempt_at"),

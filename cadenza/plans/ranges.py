@@ -240,3 +240,48 @@ def q450_due_in_a_zone(spark, d):
         F.lit(True).alias("enabled"), F.lit("catch_up").alias("policy"), (F.lit(sq.NOW) - 86400 * (20 + k % 90)).alias("last_at"),
     )
     return sd.due(s, sq.NOW).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("due_at").alias("first"), F.max("due_at").alias("last"))
+
+
+# --- rivals, repeats and texts beyond ASCII
+
+@query("WITH up AS (SELECT c_custkey id, 'A' d, 'free' || (c_custkey // 3) h FROM customer UNION ALL SELECT c_custkey, 'B', 'free' || (c_custkey // 3) FROM customer WHERE c_custkey % 5 = 0) SELECT id, CASE WHEN d = 'B' THEN 'conflict' WHEN id = min(id) OVER (PARTITION BY h) THEN 'updated' ELSE 'already_exists' END outcome FROM up")
+def q413_rival_updates(spark, d):
+    """Three accounts at a time ask for one free handle, some of them twice in the batch."""
+    k = F.col("c_custkey")
+    handle = F.concat(F.lit("free"), F.floor(k / 3).cast("string"))
+    asked = ad.table(spark, d, "customer").select(k.alias("id"), F.explode(F.when(k % 5 == 0, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("A")))).alias("display_name"), handle.alias("handle"), handle.alias("handle_key"), (1 + k % 3).alias("expected"))
+    return ac.optimistic_update(ad.users(spark, d), asked)[1]
+
+
+@query(ad.QUEUE_SQL + ", up AS (SELECT id, max(s) s, max(p) p, CAST(sum(e) AS INT) e FROM (SELECT id, 300 s, '[]' p, 1 e FROM msgs WHERE id % 7 = 0 UNION ALL SELECT id, 900, '[1]', 2 FROM msgs WHERE id % 14 = 0 UNION ALL SELECT id, 60, NULL, 0 FROM msgs WHERE id % 21 = 0) GROUP BY id) SELECT m.id, CASE WHEN up.id IS NULL THEN attempt_at ELSE greatest(attempt_at, timestamp '1998-06-01 00:00:00' + to_seconds(s)) END attempt_at, attempts + coalesce(e, 0) attempts, coalesce(CASE WHEN pl.id IS NOT NULL THEN up.p END, payload) payload FROM msgs m LEFT JOIN up ON up.id = m.id LEFT JOIN payloads pl ON pl.id = m.id")
+def q410_repeated_checkpoints(spark, d):
+    m = ad.messages(spark, d)
+    one, two, three = (m.where(f"id % {k} = 0").select("id", F.lit(s).alias("seconds"), F.lit(p).cast("string").alias("new_payload"), F.lit(e).alias("extra")) for k, s, p, e in ((7, 300, "[]", 1), (14, 900, "[1]", 2), (21, 60, None, 0)))
+    after, own = qo.checkpoint(m, ad.payloads(spark, d), one.union(two).union(three), qq.now())
+    return after.join(own, "id", "left").select("id", "attempt_at", "attempts", "payload")
+
+
+HANDLES = ("Zoë{}", "Zoë{}", "ÉLAN{}", "名{}", "naïve-{}", "Straße{}", "a b{}", "ναι{}", "٣{}")
+
+
+@query(
+    "WITH h AS (SELECT c_custkey, replace(CASE c_custkey % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(HANDLES)) + " END, '{}', CAST(c_custkey AS VARCHAR)) h FROM customer)"
+    " SELECT c_custkey, lower(nfc_normalize(h)) handle_key, length(h) BETWEEN 1 AND 15 AND regexp_full_match(h, '[\\p{L}\\p{N}]+') valid FROM h"
+)
+def q430_handles_beyond_ascii(spark, d):
+    k = F.col("c_custkey")
+    shape = F.element_at(F.array(*map(F.lit, HANDLES)), (1 + k % len(HANDLES)).cast("int"))
+    handle = F.replace(shape, F.lit("{}"), k.cast("string"))
+    return ad.table(spark, d, "customer").select("c_custkey", ac.fold_handle(handle).alias("handle_key"), ac.valid_handle(handle).alias("valid"))
+
+
+DURATIONS = ("{} weeks", "{}ms", "{}000 millis", "1y {}d", "{} hours 5 min", "{} fortnights", "{}", "{}M")
+
+
+@query(
+    "WITH k AS (SELECT s_suppkey, s_suppkey % 8 v FROM supplier) SELECT s_suppkey, CAST(CASE v WHEN 0 THEN s_suppkey * 604800 WHEN 1 THEN s_suppkey // 1000 WHEN 2 THEN s_suppkey WHEN 3 THEN 31557600 + s_suppkey * 86400 WHEN 4 THEN s_suppkey * 3600 + 300 WHEN 7 THEN s_suppkey * 2630016 END AS BIGINT) AS seconds FROM k"
+)
+def q457_durations_of_all_units(spark, d):
+    k = F.col("s_suppkey")
+    text = F.replace(F.element_at(F.array(*map(F.lit, DURATIONS)), (1 + k % len(DURATIONS)).cast("int")), F.lit("{}"), k.cast("string"))
+    return ad.table(spark, d, "supplier").select("s_suppkey", tx.duration_seconds(text).alias("seconds"))
