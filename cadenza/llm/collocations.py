@@ -185,11 +185,11 @@ class _Lists:
         self.size += len(own)
 
     def mined(self, words: WordHash, few: Bitmap, many: Bitmap):
-        """(phrases, list lengths) of each number of words; first the number of all words under the empty phrase."""
+        """(phrases, list lengths, hashes) of each number of words; first the number of all words under the empty phrase."""
         names = list(self.vocab)
         at = np.concatenate(self.parts)  # the word at each position
         hashes = np.fromiter(map(words.__getitem__, names), dtype=np.uint64, count=len(names))
-        yield [b""], np.array([np.count_nonzero(at)])
+        yield [b""], np.array([np.count_nonzero(at)]), np.array([self.seed])
         known = _mixed(np.broadcast_to(self.seed, hashes.shape), hashes)
         good = few.test(known)
         good[0] = False
@@ -199,7 +199,8 @@ class _Lists:
         order = np.argsort(phrase, kind="stable")
         starts, phrase, h = starts[order], phrase[order], h[order]
         lengths = np.bincount(phrase, minlength=len(names))
-        yield [names[i] for i in np.flatnonzero(lengths)], lengths[lengths > 0]
+        found = np.flatnonzero(lengths)
+        yield [names[i] for i in found], lengths[found], known[found]
         at = np.append(at, np.zeros(LONGEST, dtype=np.int64))
         for k in range(1, LONGEST):
             follows = at[starts + k]  # occurrence positions meet the postings of the words that stand next
@@ -211,20 +212,33 @@ class _Lists:
             phrases = [phrases[b] + b" " + names[w] for b, w in zip(before.tolist(), last.tolist())]
             order = np.argsort(phrase, kind="stable")
             starts, phrase, h = starts[order], phrase[order], h[order]
-            yield phrases, lengths
+            yield phrases, lengths, h[np.cumsum(lengths) - lengths]
 
 
-def _mined(few, many):
+def _mined(few, many, parts: int):
+    """Rows (part, keys, f): the lists' lengths of a block, those of one range of hashes in a row. A key is language, tab, phrase."""
+
     def run(batches):
         vacate()
         words, lists, size = WordHash(), {}, 0
 
         def sent():
+            keys, f, h = [], [], []
             for x in lists.values():
-                for phrases, lengths in x.mined(words, few.value, many.value):
-                    for k in range(0, len(phrases), 1 << 14):
-                        part = phrases[k : k + (1 << 14)]
-                        yield pa.RecordBatch.from_arrays([pa.array([x.lang] * len(part), pa.string()), pa.array([p.decode("utf-8", "replace") for p in part], pa.string()), pa.array(lengths[k : k + (1 << 14)], pa.int64())], names=["lang", "phrase", "f"])
+                lang = x.lang.encode("utf-8", "surrogatepass") + b"\t"
+                for phrases, lengths, hashes in x.mined(words, few.value, many.value):
+                    keys += [(lang + p).decode("utf-8", "replace") for p in phrases]
+                    f.append(lengths)
+                    h.append(hashes)
+            if not keys:
+                return
+            part = np.concatenate(h) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            full, n = np.unique(part, return_counts=True)
+            ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+            columns = [pa.array(full.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array([keys[i] for i in order.tolist()], pa.string())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(f)[order], pa.int64()))]
+            whole = pa.RecordBatch.from_arrays(columns, names=["part", "keys", "f"])
+            yield from (whole.slice(k, 64) for k in range(0, len(full), 64))
 
         for batch in batches:
             for lang, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
@@ -241,6 +255,26 @@ def _mined(few, many):
     return run
 
 
+def _summed(batches):
+    """(lang, phrase, f) of the phrases of each range of hashes that are frequent over all blocks, and the numbers of words."""
+    found, now = defaultdict(int), None
+
+    def told():
+        kept = [(*k.rsplit("\t", 1), n) for k, n in found.items() if n >= LEAST or k.endswith("\t")]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept) if kept else ([], [], []), (pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "f"])
+
+    for batch in batches:
+        for k, part in enumerate(batch.column(0).to_pylist()):
+            if part != now:
+                if found:
+                    yield told()
+                found, now = defaultdict(int), part
+            for key, n in zip(batch.column(1)[k].values.to_pylist(), batch.column(2)[k].values.to_pylist()):
+                found[key] += n
+    if found:
+        yield told()
+
+
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, phrase, f): exact frequencies of all phrases of one to ``LONGEST`` words with ``LEAST`` occurrences, a stored table.
 
@@ -251,8 +285,9 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     context = docs.sparkSession.sparkContext
     few = context.broadcast(may_be_frequent(texts, (1, 2)))
     many = context.broadcast(may_be_frequent(texts, (3, 4), few))
-    found = texts.mapInArrow(_mined(few, many), "lang string, phrase string, f long")
-    return stored(found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= LEAST) | (F.col("phrase") == "")))
+    parts = max(RANGES, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = texts.mapInArrow(_mined(few, many, parts), "part int, keys array<string>, f array<long>")
+    return stored(found.repartition("part").sortWithinPartitions("part").mapInArrow(_summed, "lang string, phrase string, f long"))
 
 
 def _exact(x: Column) -> Column:
