@@ -2,7 +2,7 @@
 
 * ``bisection_tree`` takes a bounded sample of documents and halves it again and again. Each half-and-half starts from a split by
   the first term, then swaps the pairs of documents whose move shortens the gaps of the posting lists most, until none gains. A
-  node keeps what each term gains on either side, so that every other document goes down the tree by the sum of its terms' gains:
+  node keeps what each term gains on either side, so that every other document goes down the tree by the mean of its terms' gains:
   the sample decides only where a document lies, never whether it is indexed or found.
 * ``build`` deals all documents out by their place (leaf, gain, id) into ranges of equal size, whatever the size of a leaf, and
   cuts these into blocks of one leaf. Each block has the inverted list of each of its terms and, beside it, the least document
@@ -87,7 +87,8 @@ def _halves(rows: np.ndarray, cols: np.ndarray, n: int, start: np.ndarray) -> np
 def fit_tree(lists: list, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """(gains of each inner node and hashed term, cut of each inner node) from the term lists of sampled documents.
 
-    A node sends a document right where the sum of its terms' gains passes the cut, the median of the node's own documents.
+    A node sends a document right where the mean of its terms' gains passes the cut, the median of the node's own documents; a
+    mean, so that long documents do not gather at the ends of the order.
     """
     nodes = (1 << depth) - 1
     gains, cuts = np.zeros((nodes, BUCKETS), dtype=np.float32), np.zeros(nodes, dtype=np.float64)
@@ -100,7 +101,7 @@ def fit_tree(lists: list, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
         rows = np.repeat(np.arange(len(own)), [len(lists[i]) for i in own])
         cols = np.concatenate([lists[i] for i in own])
         gains[node] = _halves(rows, cols, len(own), np.argsort([lists[i].min() for i in own], kind="stable"))
-        value = np.bincount(rows, weights=gains[node][cols].astype(np.float64), minlength=len(own))
+        value = np.bincount(rows, weights=gains[node][cols].astype(np.float64), minlength=len(own)) / np.bincount(rows, minlength=len(own))
         cuts[node] = np.median(value)
         members[2 * node + 1], members[2 * node + 2] = own[value <= cuts[node]], own[value > cuts[node]]
     return gains, cuts
@@ -137,7 +138,7 @@ def placed(docs: DataFrame, id_col: str, text_col: str, tree: tuple[np.ndarray,
                 tf = Counter(found)
                 at, node, gain = _hashed(tf, words), 0, 0.0
                 while node < inner:
-                    gain = float(gains[node][at].sum(dtype=np.float64))
+                    gain = float(gains[node][at].sum(dtype=np.float64)) / max(1, len(at))
                     node = 2 * node + 1 + (gain > cuts[node])
                 for c, x in zip(out, (node - inner, gain, len(found), b" ".join(tf).decode("utf-8", "replace"), np.fromiter(tf.values(), dtype=np.int32, count=len(tf)))):
                     c.append(x)

@@ -160,7 +160,7 @@ def test_bisection_parts_topics():
     rng = random.Random(1)
     lists = [np.array(rng.sample(range(0, 300) if i % 2 else range(300, 600), 30)) for i in range(200)]
     gains, cuts = clustered_search.fit_tree(lists, 1)
-    side = [gains[0][x].sum() > cuts[0] for x in lists]
+    side = [gains[0][x].mean() > cuts[0] for x in lists]
     assert len({s for i, s in enumerate(side) if i % 2}) == 1 == len({s for i, s in enumerate(side) if not i % 2}) and side[0] != side[1]
 
 
@@ -201,6 +201,7 @@ def test_collocations(spark, monkeypatch):
     # small blocks and chunks change nothing
     monkeypatch.setattr(collocations, "BLOCK_WORDS", 500)
     monkeypatch.setattr(collocations, "CHUNK", 300)
+    monkeypatch.setattr(collocations, "COMBINED", 200)
     assert sorted(map(tuple, collocations.collocations(docs).select(*columns).collect())) == want
 
 
