@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import music
 from .intervals import stabbed
+from .ranges import by_number, scanned
 
 BUCKET_MS = 4000
 
@@ -28,12 +29,15 @@ def sounding_at(notes: DataFrame, probes: DataFrame, lag: float = 1.0) -> DataFr
 
 
 def in_view(notes: DataFrame, probes: DataFrame, ahead: int) -> DataFrame:
-    """Probe rows joined with each note that ends at or after t and starts no later than ``ahead`` milliseconds behind it."""
-    covered = notes.withColumn("_first", _bucket(F.col("start_ms"))).withColumn("_b", F.explode(F.sequence(F.col("_first"), _bucket(F.col("start_ms") + F.col("duration_ms")))))
-    low, high = _bucket(F.col("t")), _bucket(F.col("t") + ahead)
-    met = probes.withColumn("_low", low).withColumn("_b", F.explode(F.sequence(low, high))).join(covered, ["doc", "_b"])
-    met = met.where((F.col("start_ms") + F.col("duration_ms") >= F.col("t")) & (F.col("start_ms") <= F.col("t") + ahead))
-    return met.where(F.col("_b") == F.greatest("_first", "_low")).drop("_b", "_first", "_low")  # each pair where it first meets
+    """Probe rows joined with each note that ends at or after t and starts no later than ``ahead`` milliseconds behind it.
+
+    A note either holds t, or begins behind it: the first meet over a dyadic cover, the others by the bucket of the start.
+    """
+    end = F.col("start_ms") + F.col("duration_ms")
+    held = stabbed(notes, probes, ["doc"], F.col("start_ms"), end + 1, F.col("t")).where((F.col("start_ms") <= F.col("t")) & (end >= F.col("t")))
+    asked = probes.withColumn("_b", F.explode(F.sequence(_bucket(F.col("t")), _bucket(F.col("t") + ahead))))
+    later = asked.join(notes.withColumn("_b", _bucket(F.col("start_ms"))), ["doc", "_b"]).drop("_b")
+    return held.unionByName(later.where((F.col("start_ms") > F.col("t")) & (F.col("start_ms") <= F.col("t") + ahead) & (end >= F.col("t"))))
 
 
 def onsets_at(notes: DataFrame, probes: DataFrame, tolerance: float = 1.0) -> DataFrame:
@@ -49,13 +53,21 @@ def pitch_sets(met: DataFrame, probes: DataFrame, name: str) -> DataFrame:
     return probes.join(sets, ["doc", "t"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
 
 
-def next_onset(notes: DataFrame, probes: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """Every probe with next_ms, the first start after t + tolerance (null where none): one sorted pass per document."""
+def next_onset(notes: DataFrame, probes: DataFrame, tolerance: float = 1.0, span_ms: int | None = None) -> DataFrame:
+    """Every probe with next_ms, the first start after t + tolerance (null where none): one sorted pass per document.
+
+    With ``span_ms``, ranges of as many milliseconds are sorted apart.
+    """
     marks = notes.select("doc", F.col("start_ms").cast("double").alias("at"), F.col("start_ms").alias("next_ms"), F.lit(None).cast("long").alias("t")).distinct()
     asks = probes.select("doc", (F.col("t") + tolerance).alias("at"), F.lit(None).cast("long").alias("next_ms"), F.col("t").cast("long"))
+    rows = marks.unionByName(asks)
     # at equal places a note comes before the question, so it is not "after"
+    if span_ms is not None:
+        back = rows.select("doc", (-F.col("at")).alias("_back"), F.col("t").isNull().alias("_mark"), "t", F.col("next_ms").alias("_ms"))
+        found = scanned(back, ["doc"], ["_back", "_mark"], by_number(F.col("_back"), span_ms), lasts={"next_ms": F.col("_ms")})
+        return found.where("t is not null").select("doc", "t", "next_ms")
     later = Window.partitionBy("doc").orderBy("at", F.col("t").asc_nulls_first()).rowsBetween(1, Window.unboundedFollowing)
-    return marks.unionByName(asks).withColumn("next_ms", F.first("next_ms", ignorenulls=True).over(later)).where("t is not null").select("doc", "t", "next_ms")
+    return rows.withColumn("next_ms", F.first("next_ms", ignorenulls=True).over(later)).where("t is not null").select("doc", "t", "next_ms")
 
 
 def measure_at(starts: DataFrame, probes: DataFrame) -> DataFrame:
@@ -73,9 +85,7 @@ def edges(notes: DataFrame, spans: DataFrame) -> DataFrame:
     starts: pitches with an onset in the span; stops: pitches sounding at from_ms that no note covers at to_ms.
     """
     probe = spans.select("doc", "from_ms", "to_ms")
-    on = notes.withColumn("_b", _bucket(F.col("start_ms"))).join(
-        probe.withColumn("_b", F.explode(F.sequence(_bucket(F.col("from_ms")), _bucket(F.col("to_ms"))))), ["doc", "_b"]
-    )
+    on = stabbed(probe, notes, ["doc"], F.col("from_ms"), F.col("to_ms"), F.col("start_ms"))
     on = on.where("start_ms >= from_ms and start_ms < to_ms").groupBy("doc", "from_ms", "to_ms").agg(F.sort_array(F.collect_set("pitch")).alias("starts"))
     held = sounding_at(notes, probe.select("doc", F.col("from_ms").alias("t")).distinct(), 0.0).select("doc", F.col("t").alias("from_ms"), "pitch").distinct()
     still = sounding_at(notes, probe.select("doc", F.col("to_ms").alias("t")).distinct(), 0.0).select("doc", F.col("t").alias("to_ms"), "pitch").distinct()
@@ -194,14 +204,19 @@ def next_lines(systems: DataFrame, places: DataFrame) -> DataFrame:
     return rows.join(following, ["doc", "system_index"]).select("doc", "measure_index", "next_system")
 
 
-def last_before(notes: DataFrame, probes: DataFrame) -> DataFrame:
+def last_before(notes: DataFrame, probes: DataFrame, span_ms: int | None = None) -> DataFrame:
     """(doc, t, staff, pitch): each staff's last note at or before t, its first note where there is none.
 
-    One sorted pass over the notes and probes of a (doc, staff); of notes at one time the later measure and place wins.
+    One sorted pass over the notes and probes of a (doc, staff); of notes at one time the later measure and place wins. With
+    ``span_ms``, ranges of as many milliseconds are sorted apart.
     """
     asks = probes.join(notes.select("doc", "staff").distinct(), "doc")
     own = notes.select("doc", "staff", F.col("start_ms").alias("at"), F.lit(False).alias("ask"), "measure_index", "note_seq", "pitch")
     asks = asks.select("doc", "staff", F.col("t").alias("at"), F.lit(True).alias("ask"), F.lit(None).cast("int").alias("measure_index"), F.lit(None).cast("int").alias("note_seq"), F.lit(None).cast("long").alias("pitch"))
+    if span_ms is not None:
+        firsts = notes.groupBy("doc", "staff").agg(F.min_by("pitch", F.struct("start_ms", "measure_index", "note_seq")).alias("first"))
+        rows = scanned(own.unionByName(asks), ["doc", "staff"], ["at", "ask", "measure_index", "note_seq"], by_number(F.col("at"), span_ms), lasts={"before": F.col("pitch")})
+        return rows.where("ask").join(firsts, ["doc", "staff"]).select("doc", F.col("at").alias("t"), "staff", F.coalesce("before", "first").alias("pitch"))
     order = Window.partitionBy("doc", "staff").orderBy("at", "ask", "measure_index", "note_seq")
     before = F.last("pitch", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     first = F.first("pitch", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

@@ -87,6 +87,19 @@ def q203_systems_of_long_scores(spark, d):
     return out.select("doc", "system_index", F.size("measures").cast("long").alias("n"), F.array_min("measures").cast("long").alias("first"), F.array_max("measures").cast("long").alias("last"), "width")
 
 
+MINUTE = 60_000
+
+
+@query(sp.SQL["q304_next_onset_over_whole_scores"])
+def q304_next_onset_by_ranges(spark, d):
+    return pb.next_onset(ad.timed(spark, d), ad.probes_to_the_end(spark, d), span_ms=MINUTE)
+
+
+@query(sp.SQL["q343_last_before_playhead_over_whole_scores"])
+def q343_last_before_playhead_by_ranges(spark, d):
+    return pb.last_before(ad.timed(spark, d), ad.probes_to_the_end(spark, d), MINUTE)
+
+
 # --- telemetry
 
 @query(

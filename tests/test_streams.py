@@ -236,3 +236,14 @@ def test_reading_takes_no_more_memory_for_longer_files():
         return found
 
     assert peak(3000) < 1.5 * peak(100) + 200_000
+
+
+def test_views_of_any_length(spark):
+    rng = random.Random(15)
+    notes = [(1, rng.randrange(128), 1, rng.randrange(0, 60_000), rng.choice([0, 1, 900, 50_000, 4_000_000])) for _ in range(120)]
+    probes = [(1, t) for t in sorted({rng.randrange(0, 200_000) for _ in range(40)} | {n[3] for n in notes[:20]} | {n[3] + n[4] for n in notes[:20]})]
+    frames = spark.createDataFrame(notes, "doc long, pitch long, staff int, start_ms long, duration_ms long"), spark.createDataFrame(probes, "doc long, t long")
+    got = sorted((r["t"], r["pitch"], r["start_ms"], r["duration_ms"]) for r in playback.in_view(*frames, 3000).collect())
+    assert got == sorted((t, p, s, d) for _, t in probes for _, p, _, s, d in notes if s + d >= t and s <= t + 3000)
+    nexts = {r["t"]: r["next_ms"] for r in playback.next_onset(*frames, span_ms=1000).collect()}
+    assert nexts == {t: min((n[3] for n in notes if n[3] > t + 1), default=None) for _, t in probes}
