@@ -4,16 +4,19 @@ Every text block belongs to the path of tags from the root to it; a block that i
 Text length and punctuation are averaged per path over the page, smoothed over similar paths and fused to one score with
 the share of text outside links and with the landmarks (``<article>``, ``<main>``). The scores of every page are cut at a
 threshold of the page's own spread; a landmark alone keeps nothing. Headings and plain lists, tables and quotations that
-stand beside chosen text follow it. Elements that never hold the article (menus, forms, scripts and the like) score 0.
-Class names and ids such as ``sidebar`` or ``header`` only lower the score of the paths below them, and not where the
-element holds the landmark or most of the page's text.
+stand beside chosen text follow it, with a class of their own or not. Elements that never hold the article (menus, scripts and
+the like) score 0. Forms, dialogs, roles such as ``search``, and class names and ids such as ``sidebar`` or ``header`` only lower
+the score of the paths below them, and not where the element holds the landmark or most of the page's text.
+
+A path holds its first and last ``ENDS`` labels, so that markup that opens thousands of elements and closes none costs no more a
+text than other markup does.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -23,10 +26,16 @@ from .common import map_arrow
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SKIP = frozenset("script style noscript template iframe object svg math head title select option textarea button canvas audio video".split())
-OUTSIDE = frozenset("nav footer aside form dialog menu".split())
+OUTSIDE = frozenset("nav footer aside menu".split())
+#: Lower the score of what they hold, as a telling name does.
+LOWERING = frozenset("form dialog".split())
+#: Labels that a path keeps at its beginning and at its end.
+ENDS = 24
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Without a class or id of their own, these follow the text they stand in.
+#: Parts of a text that a class or id does not set apart from it.
+TEXT = frozenset("p pre table thead tbody tfoot tr td th caption blockquote figure figcaption".split())
+#: Without a class or id of their own, these too follow the text they stand in.
 FLOW = frozenset("ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption p".split())
 #: What a path outside the landmarks of its page keeps of its score.
 OFF_LANDMARK = 0.5
@@ -82,6 +91,7 @@ class Reader(HTMLParser):
         self.root = Element("")
         self.elements: list[Element] = []
         self.stack: list[Element] = []
+        self.open: Counter = Counter()  # tags on the stack
         self.nodes: list[Node] = []
         self.block = 0
 
@@ -92,11 +102,11 @@ class Reader(HTMLParser):
             elif tag == "br" and self.nodes:
                 self._add(" ")
             return
-        if tag in CLOSES:
-            closed, limit = CLOSES[tag]
+        closed, limit = CLOSES.get(tag, ((), ()))
+        if any(self.open[t] for t in closed):
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k].tag in closed:
-                    del self.stack[k:]
+                    self._cut(k)
                     break
                 if self.stack[k].tag in limit or not limit and self.stack[k].tag not in INLINE:
                     break
@@ -104,25 +114,32 @@ class Reader(HTMLParser):
         at = self.stack[-1] if self.stack else self.root
         named = f"{marks.get('class', '')} {marks.get('id', '')}".lower().strip()
         main = at.main or tag in MAIN or marks.get("role", "").lower() == "main"
-        out = at.out or tag in OUTSIDE or tag == "header" and not main or marks.get("role", "").lower() in ROLES
-        name = ""
-        if named and tag not in ("html", "body") and tag not in MAIN:
+        out = at.out or tag in OUTSIDE or tag == "header" and not main
+        name = "!" if tag in LOWERING or marks.get("role", "").lower() in ROLES else ""
+        if not name and named and tag not in ("html", "body") and tag not in MAIN:
             name = "!" if NOT_CONTENT.search(named) else "^" if SELDOM_CONTENT.search(named) else ""
         skip = at.skip or tag in SKIP or "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "").lower()
         if tag not in INLINE:
             self.block += 1
         new = Element(tag, tag + ("." + named.split()[0] if named else ""), name, at, skip, out, main, at.link or tag == "a")
         self.stack.append(new)
+        self.open[tag] += 1
         self.elements.append(new)
 
+    def _cut(self, k):
+        for x in self.stack[k:]:
+            self.open[x.tag] -= 1
+        del self.stack[k:]
+
     def handle_endtag(self, tag):
-        if tag == "p" and not any(x.tag == "p" for x in self.stack):
-            self.block += 1
+        if not self.open[tag]:
+            self.block += tag == "p"
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k].tag == tag:
                 if tag not in INLINE:
                     self.block += 1
-                del self.stack[k:]
+                self._cut(k)
                 return
             if tag in INLINE and self.stack[k].tag not in INLINE:
                 return  # a stray end tag does not close the block around it
@@ -138,14 +155,13 @@ class Reader(HTMLParser):
     def close(self):
         super().close()
         self._weigh()
+        self.root.path = ()
+        for e in self.elements:  # parents come first
+            path = e.parent.path
+            if e.name or e.tag not in INLINE:
+                path = (*path[:ENDS], *path[ENDS + 1 :], e.label + e.name) if len(path) == 2 * ENDS else (*path, e.label + e.name)
+            e.path = path
         for x in self.nodes:
-            if x.at.path is None:
-                path, e = [], x.at
-                while e is not self.root:
-                    if e.name or e.tag not in INLINE:
-                        path.append(e.label + e.name)
-                    e = e.parent
-                x.at.path = tuple(reversed(path))
             x.path = x.at.path
 
     def _weigh(self):
@@ -258,12 +274,16 @@ def tag_of(label: str) -> str:
     return label.rstrip("^").split(".")[0]
 
 
+def flows(label: str) -> bool:
+    return label in FLOW or label[-1] not in NAMED and tag_of(label) in TEXT
+
+
 def container(path: tuple[str, ...]) -> tuple[str, ...]:
     """The path of what a heading, list, table, quotation or paragraph stands in; a heading stands beside its header."""
     n, heading = len(path), False
-    while n and (path[n - 1] in FLOW or path[n - 1][-1] != "!" and tag_of(path[n - 1]) in HEADINGS):
+    while n and (flows(path[n - 1]) or path[n - 1][-1] != "!" and tag_of(path[n - 1]) in HEADINGS):
         n -= 1
-        heading = heading or path[n] not in FLOW
+        heading = heading or not flows(path[n])
     while heading and n and (path[n - 1][-1] == "^" or tag_of(path[n - 1]) in ("header", "hgroup")):
         n -= 1
     return path[:n]
@@ -311,7 +331,7 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page; null, empty or broken markup gives what text it has. Repeated rows stay.
 
-    Pages of any length are read whole. Paths of equal score are chosen or left together, as the threshold is one number.
+    Pages of any length and depth are read whole. Paths of equal score are chosen or left together, as the threshold is one number.
     """
 
     def make():

@@ -64,6 +64,62 @@ def test_names_do_not_remove_parts_of_the_story():
         assert tag_paths.main_text(html).split("\n\n") == ["The headline", *STORY]
 
 
+@pytest.mark.parametrize("around", ["form id='page'", "div role='dialog'", "dialog", "form class='search'", "div role='search' class='popup'"])
+@pytest.mark.parametrize("inner", ["main", "article", "div"])
+def test_what_holds_the_story_is_no_form(around, inner):
+    body = "".join(f"<p>{p}</p>" for p in STORY)
+    tag = around.split()[0]
+    assert tag_paths.main_text(f"<body><{around}><div>Site</div><{inner}>{body}</{inner}><input></{tag}></body>").split("\n\n") == STORY
+    assert tag_paths.main_text(f"<body><article>{body}<{around}><p>Sign up, please, for all of our letters.</p></{tag}></article></body>").split("\n\n") == STORY
+
+
+def test_classed_parts_of_the_story_stay():
+    body = "".join(f"<p>{p}</p>" for p in STORY)
+    parts = "<pre class='code'>x = 1</pre><table class='data'><tr><td>one two</td></tr></table><figure class='fig'><figcaption>The caption</figcaption></figure>"
+    text = tag_paths.main_text(f"<body><article><p class='lead'>Short lead</p>{body}{parts}<p class='ad'>Buy</p></article></body>")
+    assert text.split("\n\n") == ["Short lead", *STORY, "x = 1", "one two", "The caption"]
+
+
+@pytest.mark.parametrize("unit", ["<div>x, y. ", "<div class=c{}><section>x, y. ", "<li>x, y. ", "<b>x, y. <p>", "<form><article>x. ", "<div></p></b></td>x. ", "<td>x. </ul>"])
+def test_deep_markup_takes_seconds(unit):
+    html = "".join(unit.replace("{}", str(k)) for k in range(10_000))
+    began = time.perf_counter()
+    assert tag_paths.main_text(html)
+    assert time.perf_counter() - began < 15  # on a machine that tests share; about 3 s on its own
+
+
+def test_scores_by_brute_force():
+    """Aggregation, smoothing over all pairs of paths, fusion and threshold, written out."""
+    rng = random.Random(12)
+    for _ in range(30):
+        parts = [f"<{t} class='{rng.choice(['', 'x', 'sidebar', 'share'])}'>" + "".join(f"<p>{'word, ' * rng.randrange(1, 30)}<a>{'link ' * rng.randrange(0, 6)}</a></p>" for _ in range(rng.randrange(1, 4))) + f"</{t}>" for t in rng.choices(["div", "main", "section", "form"], k=6)]
+        reader = tag_paths.Reader()
+        reader.feed(f"<html><body>{''.join(parts)}</body></html>")
+        reader.close()
+        tag_paths.split_links(reader.nodes)
+        nodes = [x for x in reader.nodes if x.text.strip() and not x.out]
+        paths = {x.path for x in nodes}
+
+        def of(p, f, nodes=nodes):
+            return sum(f(x) for x in nodes if x.path == p)
+
+        ratio = {}
+        for p in paths:
+            blocks = len({x.block for x in nodes if x.path == p})
+            ratio[p] = of(p, lambda x: len(x.text.strip())) / blocks, of(p, lambda x: x.text.count(",")) / blocks
+        found = tag_paths.scores(reader.nodes)
+        assert set(found) == paths
+        for p in paths:
+            weight = {q: tag_paths.kernel(next((i for i, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q))), len(p), len(q)) for q in paths}
+            text, marks = (sum(w * ratio[q][k] for q, w in weight.items()) / sum(weight.values()) for k in range(2))
+            chars = of(p, lambda x: len(x.text.strip()))
+            want = (ratio[p][0] * (1 + ratio[p][1]) * text * (1 + marks)) ** 0.25 * (1 - of(p, lambda x: x.link * len(x.text.strip())) / chars)
+            if any(x.main for x in nodes):
+                want *= 0.5 + 0.5 * of(p, lambda x: x.main * len(x.text.strip())) / chars
+            want *= min(0.2 if label.endswith("!") else 0.6 if label.endswith("^") else 1.0 for label in p)
+            assert found[p] == pytest.approx(want)
+
+
 def test_a_landmark_does_not_outweigh_the_text_beside_it():
     body = "".join(f"<p>{p}</p>" for p in STORY)
     html = f"<html><body><article>Teaser</article><div class='story'>{body}</div></body></html>"
