@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import uuid_v4
-from .ranges import by_number, with_previous
+from .ranges import by_number, scanned, with_previous
 
 NIL = -1
 
@@ -239,3 +239,23 @@ def decoded(payloads: DataFrame, fields: dict[str, str], text: str = "payload")
     is_object = F.schema_of_variant("_v").startswith("OBJECT<")
     bad = F.col(text).isNotNull() & ~F.coalesce(is_object, F.lit(False))
     return parsed.withColumns({"bad": bad, **{n: F.try_variant_get("_v", f"$.{n}", t) for n, t in fields.items()}}).drop("_v")
+
+
+def channels_in_turn(channels: DataFrame, seed: str, most: int) -> DataFrame:
+    """The first ``most`` channels in an order that the seed shuffles: another seed for each poll, the same at every run of it."""
+    return channels.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "channel").cast("binary")), "channel").limit(most)
+
+
+#: Least and greatest number of jobs that a worker runs at once.
+CONCURRENCY = (1, 16)
+
+
+def worker_rounds(claimed: DataFrame, concurrency: int) -> DataFrame:
+    """(id, round, slot) of claimed jobs (id) in order of ids: a worker starts a round of at most ``concurrency`` jobs at a time.
+
+    The number is taken within its bounds. Jobs are numbered range by range, so that no task sorts all of them.
+    """
+    width = max(CONCURRENCY[0], min(CONCURRENCY[1], concurrency))
+    rows = claimed.select("id", F.lit(0).alias("_all"))
+    numbered = scanned(rows, ["_all"], ["id"], by_number(F.col("id")), sums={"_n": F.lit(1)}, inclusive=False)
+    return numbered.select("id", F.floor(F.col("_n") / width).alias("round"), (F.col("_n") % width).cast("int").alias("slot"))

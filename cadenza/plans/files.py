@@ -19,8 +19,11 @@ def _tag(name: str, value, mark: str = ""):
     return F.concat(F.lit(f"<{name}{mark}>"), value.cast("string"), F.lit(f"</{name}>"))
 
 
-def files(spark, d):
-    """(doc, content): a customer's orders as the measures of one score, with changes, bad numbers, backups and a second part."""
+def files(spark, d, marked: bool = False):
+    """(doc, content): a customer's orders as the measures of one score, with changes, bad numbers, backups and a second part.
+
+    ``marked``: with a composer, and with numbers of staves and fifths in some measures.
+    """
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     lines = ad.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", F.row_number().over(order).alias("seq"))
     dur, p = F.col("l_quantity").cast("int"), F.col("l_partkey")
@@ -32,17 +35,19 @@ def files(spark, d):
 
     key = F.col("o_orderkey")
     divisions = F.when(key % 3 == 0, _tag("divisions", 1 + key % 4)).when(key % 3 == 1, "<divisions>abc</divisions>").otherwise("")
+    more = F.when(key % 7 == 0, F.concat(_tag("staves", key % 4), F.lit("<key>"), _tag("fifths", key % 9 - 4), F.lit("</key>"))).otherwise("") if marked else F.lit("")
     beats = F.when(key % 5 == 0, F.concat(F.lit("<time>"), _tag("beats", 2 + key % 3), F.lit("<beat-type>8</beat-type></time>"))).otherwise("")
     number = F.concat(F.lit('<clef number="'), (1 + key % 2).cast("string"), F.lit('">'))
     clef = F.when(key % 4 != 3, F.concat(number, _tag("sign", F.when(key % 3 == 0, "F").otherwise("G")), _tag("line", 2 + key % 3), F.lit("</clef>"))).otherwise("")
     second = F.when(key % 4 == 0, F.concat(number, F.lit("<sign>C</sign><line>3</line></clef>"))).otherwise("")
     tempo = F.when(key % 6 == 0, F.concat(F.lit("<direction><direction-type><metronome>"), _tag("per-minute", key % 4 * 30), F.lit("</metronome></direction-type></direction>"))).otherwise("")
-    head = F.concat(F.lit("<measure><attributes>"), divisions, beats, clef, second, F.lit("</attributes>"), tempo)
+    head = F.concat(F.lit("<measure><attributes>"), divisions, more, beats, clef, second, F.lit("</attributes>"), tempo)
     orders = ad.table(spark, d, "orders").join(notes, F.col("l_orderkey") == key, "left")
     measures = orders.select("o_custkey", F.struct("o_orderdate", "o_orderkey", F.concat(head, F.coalesce("notes", F.lit("")), F.lit("</measure>")).alias("x")).alias("m"))
     whole = measures.groupBy(F.col("o_custkey").alias("c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["x"]), "").alias("x"))
     other = "</part><part><measure><note><pitch><step>C</step><octave>4</octave></pitch><duration>9</duration></note></measure></part></score-partwise>"
-    text = F.concat(F.lit("<score-partwise><work><work-title> Score "), F.col("c").cast("string"), F.lit("</work-title><work-title> </work-title></work><part>"), "x", F.lit(other))
+    author = F.concat(F.lit('<identification><creator type="lyricist">No</creator><creator type="composer"> By '), F.col("c").cast("string"), F.lit("</creator></identification>")) if marked else F.lit("")
+    text = F.concat(F.lit("<score-partwise><work><work-title> Score "), F.col("c").cast("string"), F.lit("</work-title><work-title> </work-title></work>"), author, F.lit("<part>"), "x", F.lit(other))
     return whole.select(F.col("c").cast("string").alias("doc"), text.cast("binary").alias("content"))
 
 
@@ -50,6 +55,12 @@ M = "WITH RECURSIVE mm AS (SELECT o_orderkey k, o_custkey doc, row_number() OVER
 CLEFS = M + ", cl AS (SELECT doc, m, 1 + k % 2 staff, 1 s, CASE WHEN k % 3 = 0 THEN 'F' ELSE 'G' END sign, 2 + k % 3 line FROM mm WHERE k % 4 <> 3 UNION ALL SELECT doc, m, 1 + k % 2, 2, 'C', 3 FROM mm WHERE k % 4 = 0)"
 
 
+@query(M + " SELECT doc, 'By ' || doc composer, greatest(1, coalesce(arg_max(k % 4, m) FILTER (k % 7 = 0), 1)) staves, coalesce(arg_max(k % 9 - 4, m) FILTER (k % 7 = 0), 0) fifths FROM mm GROUP BY doc")
+def q112_composers_and_staves(spark, d):
+    docs = scores.documents(scores.parse_scores(files(spark, d, marked=True)))
+    return docs.select(F.col("doc").cast("long").alias("doc"), "composer", "staves", "fifths")
+
+
 @query(CLEFS + " SELECT doc, staff, arg_min(sign, m * 10 + s) sign, arg_min(line, m * 10 + s) line FROM cl GROUP BY doc, staff")
 def q110_first_clefs(spark, d):
     return scores.first_clefs(scores.parse_scores(files(spark, d))).withColumn("doc", F.col("doc").cast("long"))

@@ -298,3 +298,16 @@ def q457_durations_of_all_units(spark, d):
     k = F.col("s_suppkey")
     text = F.replace(F.element_at(F.array(*map(F.lit, DURATIONS)), (1 + k % len(DURATIONS)).cast("int")), F.lit("{}"), k.cast("string"))
     return ad.table(spark, d, "supplier").select("s_suppkey", tx.duration_seconds(text).alias("seconds"))
+
+
+# --- channels and workers
+
+@query(ad.QUEUE_SQL + f", act AS (SELECT DISTINCT channel FROM msgs WHERE {qq.READY}) SELECT channel FROM act ORDER BY md5('poll 7:' || channel), channel LIMIT 3")
+def q353_channels_by_seed(spark, d):
+    return qo.channels_in_turn(qo.active_channels(ad.messages(spark, d), qq.now()), "poll 7", 3)
+
+
+@query("SELECT id, CAST(n // 16 AS BIGINT) round, CAST(n % 16 AS INT) slot FROM (SELECT o_orderkey id, row_number() OVER (ORDER BY o_orderkey) - 1 n FROM orders)")
+def q511_worker_rounds(spark, d):
+    """All orders as claimed jobs of a worker that is told to run twenty at once."""
+    return qo.worker_rounds(ad.table(spark, d, "orders").select(order_key().alias("id")), 20)

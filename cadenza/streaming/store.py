@@ -81,6 +81,23 @@ class _Limit(_Expiring):
         return pd.DataFrame({"key": [key[0]] * len(rows), "seq": rows["seq"].tolist(), "allowed": allowed})
 
 
+class _Lockout(_Limit):
+    def answered(self, key, rows: pd.DataFrame, at: list[int]) -> pd.DataFrame:
+        outcomes = []
+        for now, success in zip(at, rows["success"]):
+            alive = self._alive(now)
+            if alive and alive[0] >= self._most:
+                outcomes.append("locked")
+            elif success:
+                self._state.clear()
+                outcomes.append("ok")
+            else:
+                n, end = alive or (0, now + self._ttl)
+                self._keep(n + 1, end)
+                outcomes.append("failed")
+        return pd.DataFrame({"key": [key[0]] * len(rows), "seq": rows["seq"].tolist(), "outcome": outcomes})
+
+
 class _Values(_Expiring):
     def answered(self, key, rows: pd.DataFrame, at: list[int]) -> pd.DataFrame:
         found = []
@@ -107,6 +124,14 @@ def rate_limit(hits: DataFrame, most: int, ttl_s: int) -> DataFrame:
     return _by_key(hits).transformWithStateInPandas(_Limit(most, ttl_s), "key long, seq long, allowed boolean", "append", "eventTime")
 
 
+def lockouts(attempts: DataFrame, most: int, ttl_s: int) -> DataFrame:
+    """(key, seq, outcome) of each sign-in attempt (key, seq, ts, success): append mode.
+
+    A key with ``most`` failures is locked until its counter ends, a lifetime after the first of them; success clears it.
+    """
+    return _by_key(attempts).transformWithStateInPandas(_Lockout(most, ttl_s), "key long, seq long, outcome string", "append", "eventTime")
+
+
 def keyed_values(calls: DataFrame) -> DataFrame:
     """(key, seq, found) of each call (key, seq, ts, op, value, ttl_s): append mode; the rules are those of the batch fold.
 

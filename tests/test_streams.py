@@ -60,6 +60,23 @@ def test_limit_expires(spark, stream):
     assert max(held) >= 10 and held[-1] <= 3  # all but the last key are gone
 
 
+def test_lockout_expires(spark, stream):
+    rng, batches, seq = random.Random(21), [], 0
+    for batch in range(3):
+        rows = []
+        for second in sorted(rng.sample(range(batch * 100, batch * 100 + 90), 60)):
+            rows.append((rng.randrange(5), seq, at(second), rng.random() < 0.2))
+            seq += 1
+        batches.append(rows)
+    batches += [[(99, seq, at(5000), True)], [(99, seq + 1, at(6000), True)]]
+    schema = "key long, seq long, ts timestamp, success boolean"
+    table, held = stream(batches, schema, lambda s: store.lockouts(s, 3, 50))
+    tries = spark.createDataFrame([r for b in batches for r in b], schema).select("key", "seq", F.unix_timestamp("ts").alias("second"), "success")
+    want = {(r["key"], r["seq"]): r["outcome"] for r in accounts.lockouts(tries, 3, 50).collect()}
+    assert {(r["key"], r["seq"]): r["outcome"] for r in table.collect()} == want and set(want.values()) == {"ok", "failed", "locked"}
+    assert max(held) > 0 and held[-1] == 0
+
+
 def test_values_expire(spark, stream):
     rng, batches, seq = random.Random(4), [], 0
     for batch in range(3):
