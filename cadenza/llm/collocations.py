@@ -29,7 +29,9 @@ LEAST, LONGEST = 30, 4
 COVERED = 80
 TOP = 2000
 UNKNOWN = "und"
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
+#: Phrases whose list lengths a task adds up over its blocks before it sends them.
+COMBINED = 1 << 20
 #: Hashed phrases that a task holds before it packs and sends them.
 CHUNK = 1 << 22
 #: Ranges of buckets, buckets of each, and neighbouring buckets that share a bit of the bitmap.
@@ -216,28 +218,37 @@ class _Lists:
 
 
 def _mined(few, many, parts: int):
-    """Rows (part, keys, f): the lists' lengths of a block, those of one range of hashes in a row. A key is language, tab, phrase."""
+    """Rows (part, keys, f): list lengths, added up over a task's blocks, those of one range of hashes in a row.
+
+    A key is language, tab, phrase.
+    """
 
     def run(batches):
         vacate()
         words, lists, size = WordHash(), {}, 0
+        place, f, hashes = {}, [], []  # of each key: where its number is, the numbers, the phrases' hashes
 
-        def sent():
-            keys, f, h = [], [], []
+        def mine():
             for x in lists.values():
                 lang = x.lang.encode("utf-8", "surrogatepass") + b"\t"
-                for phrases, lengths, hashes in x.mined(words, few.value, many.value):
-                    keys += [(lang + p).decode("utf-8", "replace") for p in phrases]
-                    f.append(lengths)
-                    h.append(hashes)
-            if not keys:
-                return
-            part = np.concatenate(h) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
+                for phrases, lengths, h in x.mined(words, few.value, many.value):
+                    for p, n, g in zip(phrases, lengths.tolist(), h.tolist()):
+                        at = place.setdefault(lang + p, len(f))
+                        if at == len(f):
+                            f.append(n)
+                            hashes.append(g)
+                        else:
+                            f[at] += n
+
+        def sent():
+            part = np.array(hashes, dtype=np.uint64) % np.uint64(parts)
+            order, keys = np.argsort(part, kind="stable"), list(place)
             full, n = np.unique(part, return_counts=True)
             ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
-            columns = [pa.array(full.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array([keys[i] for i in order.tolist()], pa.string())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(f)[order], pa.int64()))]
+            columns = [pa.array(full.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array([keys[i] for i in order.tolist()], pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(np.array(f, dtype=np.int64)[order]))]
             whole = pa.RecordBatch.from_arrays(columns, names=["part", "keys", "f"])
+            for held in (place, f, hashes):
+                held.clear()
             yield from (whole.slice(k, 64) for k in range(0, len(full), 64))
 
         for batch in batches:
@@ -248,9 +259,13 @@ def _mined(few, many, parts: int):
                 lists[lang].add(own)
                 size += len(own)
                 if size >= BLOCK_WORDS:
-                    yield from sent()
+                    mine()
                     lists, size = {}, 0
-        yield from sent()
+                    if len(f) >= COMBINED:
+                        yield from sent()
+        mine()
+        if f:
+            yield from sent()
 
     return run
 
