@@ -22,7 +22,7 @@ SMOOTHING = 0.5
 SLICE = 1 << 18
 #: N-grams of evidence that a score may rest on; longer texts do not become surer than that.
 EVIDENCE = 40
-#: Bounds what a task and the driver hold; there are fewer than 200 two-letter language codes.
+#: Default of what a task and the driver hold; there are fewer than 200 two-letter language codes.
 MAX_LANGUAGES = 256
 #: Counts of a batch of sparse rows.
 CELLS = 1 << 20
@@ -34,31 +34,47 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def buckets_of(text: str | None):
-    """Yield arrays of hashed n-grams of the lower-cased letters, words set apart by one space; slice after slice."""
+def buckets_of(text: str | None, size: int = SLICE):
+    """Yield arrays of hashed n-grams of the lower-cased letters, words set apart by one space; slice after slice.
+
+    A slice begins with the end of the one before it and yields the n-grams that end in it, so slices of any ``size`` give
+    the n-grams of the whole text.
+    """
     if not text:
         return
-    letters = _letters()
+    letters, low = _letters(), text.lower()
     odd = [np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)]
-    for at in range(0, len(text), SLICE):
-        chars = np.frombuffer(text[at : at + SLICE].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    space = np.array([32], dtype=np.uint32)
+    tail, inside = None, False  # the end of what was yielded; whether the last character was a letter
+    for at in range(0, len(low) + 1, size):
+        chars = np.frombuffer(low[at : at + size].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         is_letter = letters[chars]
-        if not is_letter.any():
-            continue
-        chars = np.where(is_letter, chars, np.uint32(32))
         keep = is_letter.copy()
-        keep[1:] |= is_letter[:-1]
-        chars = np.concatenate((np.array([32], dtype=np.uint32), chars[keep], np.array([32], dtype=np.uint32)))
+        if len(chars):
+            keep[0] |= inside
+            keep[1:] |= is_letter[:-1]
+            inside = bool(is_letter[-1])
+        chars = np.where(is_letter, chars, np.uint32(32))[keep]
+        if tail is None and not len(chars):
+            continue
+        parts = [chars] if at + size <= len(low) else [chars, space]
+        fresh = np.concatenate(parts if tail is not None else [space, *parts])
+        tail = fresh[:0] if tail is None else tail
+        chars, old = np.concatenate((tail, fresh)), len(tail)
         out = []
         for n in ORDERS:
-            if len(chars) < n:
+            first = max(0, old - n + 1)
+            count = len(chars) - n + 1 - first
+            if count < 1:
                 break
-            h = np.full(len(chars) - n + 1, n * 40503, dtype=np.uint32)
+            h = np.full(count, n * 40503, dtype=np.uint32)
             for k in range(n):
-                h = (h ^ chars[k : len(chars) - n + 1 + k]) * odd[k % 3]
+                h = (h ^ chars[first + k : first + k + count]) * odd[k % 3]
                 h ^= h >> np.uint32(15)
             out.append(h & np.uint32(BUCKETS - 1))
-        yield np.concatenate(out)
+        tail = chars[len(chars) - min(len(chars), ORDERS[-1] - 1) :]
+        if out:
+            yield np.concatenate(out)
 
 
 def _count_partition(batches):
@@ -81,15 +97,16 @@ def _count_partition(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "bucket", "n"])
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", most: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log probabilities of BUCKETS rows with one column per language, log priors), from all labelled rows.
 
-    Null labels and null texts are left out; texts of any length count whole, repeated rows count each time. Raises
-    ValueError where there are more than MAX_LANGUAGES labels, before anything is gathered.
+    Null labels and null texts are left out; texts of any length count whole, repeated rows count each time. The
+    driver holds ``BUCKETS`` numbers a label: with more than ``most`` labels, a ValueError is raised before anything is gathered,
+    and a caller with the memory for more of them sets ``most`` higher.
     """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col), F.col(label_col))
-    if (many := rows.select(label_col).distinct().limit(MAX_LANGUAGES + 1).count()) > MAX_LANGUAGES:
-        raise ValueError(f"at least {many} languages; at most {MAX_LANGUAGES} are handled")
+    if (many := rows.select(label_col).distinct().limit(most + 1).count()) > most:
+        raise ValueError(f"at least {many} languages, where the caller allows for {most}")
     sums = rows.mapInArrow(_count_partition, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sums.groupBy("bucket").agg(F.collect_list(F.struct("lang", "n")).alias("by")).toPandas()
     langs = sorted({x["lang"] for by in found["by"] for x in by})
@@ -166,12 +183,12 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep
     return map_arrow(df, [text_col], make, "lang_pred string, score double", keep=tuple(keep))
 
 
-def told(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+def told(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MAX_LANGUAGES) -> DataFrame:
     """The rows of ``docs`` whose language is told with a score of ``least`` or more, with all their columns of any name.
 
     Trained on the given rows' labels outside the held-out fold. Rows with a null text or without letters go.
     """
-    model = train(docs.where((fold(id_col) != 2) & F.col(id_col).isNotNull()), text_col, label_col)
+    model = train(docs.where((fold(id_col) != 2) & F.col(id_col).isNotNull()), text_col, label_col, most)
     rows = carried(docs, text=F.col(text_col))
     scored = predict(rows, model, ["_row"])
     return restored(scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs)
@@ -181,11 +198,11 @@ def fold(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MAX_LANGUAGES) -> DataFrame:
     """(id, held_out, lang_pred, score) of every document; rows whose fold is 2 are held out of training.
 
     A null id belongs to no fold: it is scored, not held out and not trained on.
     """
     held = F.coalesce(fold(id_col) == 2, F.lit(False))
-    model = train(docs.where(~held & F.col(id_col).isNotNull()), text_col, label_col)
+    model = train(docs.where(~held & F.col(id_col).isNotNull()), text_col, label_col, most)
     return predict(docs.select(F.col(id_col), F.col(text_col), held.alias("held_out")), model, [id_col, "held_out"], text_col)

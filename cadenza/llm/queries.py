@@ -9,42 +9,52 @@ from .common import table
 
 
 def op1_tag_path_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return tag_paths.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the encoded and decoded text of every document."""
     return piece_codec.digest_texts(table(spark, sf_dir, "documents"))
 
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that lie in a repeated span."""
     return sentence_spans.dedup_spans(table(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, and whether they pass 1024."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier line, or nearly."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies of every document."""
     return ngram_join.near_groups(table(spark, sf_dir, "documents"))
 
 
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the base rules and the verdict of the outlier test."""
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labels outside the held-out fold."""
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 def op9_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document, equal texts together."""
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that every document holds."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
