@@ -1,9 +1,9 @@
 """Quality rules: base counts of a text, and robust multivariate outliers per language and source.
 
 Location and scatter of each (language, source) are minimum-covariance-determinant estimates. Each of ``STARTS`` starts
-(median and median deviation, and random elemental subsets of one row more than there are features) takes concentration
-steps, which keep the ``KEEP`` share of the group's rows nearest to the present estimate and take their mean and
-covariance, until the determinant stops falling; the least determinant of all starts is kept. A step is one pass that
+(median and median deviation, and random elemental subsets of one distinct row more than there are features) takes two
+concentration steps, which keep the ``KEEP`` share of the group's rows nearest to the present estimate and take their mean and
+covariance. The ``FINAL`` starts of least determinant go on until their determinants stop falling; the least is kept. A step is one pass that
 adds up moments by group, start and distance bin, so it needs neither a sample nor a group's rows in one place; of the
 bin that holds the last row kept, a share counts.
 
@@ -28,9 +28,12 @@ from .common import map_arrow, release, stored
 MIN_WORDS = 20
 WINDOW = 8
 KEEP = 0.75
-STARTS = 5
-#: A determinant that falls by less than this share has stopped falling.
-STILL = 1e-2
+STARTS = 7
+FINAL = 2
+#: A log determinant that falls by less has stopped falling: rows of one distance bin change places at this size.
+STILL = 1e-3
+#: Rows of a group, in expectation, that the rows of an elemental subset are taken from.
+DRAWN = 64
 #: Rows of the next wider group that a group's own rows are weighed against.
 WEIGHT = 30
 #: Share of clean rows that the cut-off leaves in, were they normal.
@@ -91,7 +94,10 @@ def features(text: str | None, n_words: int, chars: int, symbols: int) -> tuple[
 
 
 def base_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """(id, _group, counts, base_failed, features) of every row."""
+    """(id, _group, counts, base_failed, features) of every row.
+
+    A null text has zeros everywhere and fails the base rules; a null in a group column is a value of its own. Repeated rows stay.
+    """
     group = F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in group_cols])) if group_cols else F.lit("[]")
 
     def make():
@@ -201,22 +207,36 @@ def _distance(rows: DataFrame, fit: DataFrame, on: list[str], how: str = "left")
 
 
 def determinant_fits(fitted: DataFrame) -> DataFrame:
-    """The estimate of least determinant of each _key among ``fitted`` (_key, features). The driver learns counts only."""
+    """The estimate of least determinant of each _key among ``fitted`` (_key, features, without nulls).
+
+    Equal determinants go to the first start. A group of a single distinct row has the least variances. The driver learns only
+    whether any start still moves.
+    """
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.round(F.col(c) * GRID).cast("int").alias("cell")) for i, c in enumerate(FEATURES)])).alias("x")
     grid = fitted.select("_key", cells).groupBy("_key", "x.f", "x.cell").agg(F.count(F.lit(1)).alias("n"))
-    drawn = fitted.withColumn("start", F.explode(F.array(*map(F.lit, range(1, STARTS))))).withColumn("by", F.xxhash64("start", *FEATURES))
+    sizes = fitted.groupBy("_key").agg(F.count(F.lit(1)).alias("of"))
+    # about DRAWN rows of each group and start, whatever its size; equal rows count once, however many there are
+    drawn = fitted.join(sizes, "_key").withColumn("start", F.explode(F.array(*map(F.lit, range(1, STARTS)))))
+    drawn = drawn.withColumn("by", F.xxhash64("start", *FEATURES)).where(F.pmod("by", F.lit(1 << 30)) * F.col("of") < DRAWN << 30)
+    drawn = drawn.drop("of").dropDuplicates(["_key", "start", "by"])
     drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("_key", "start").orderBy("by"))).where(f"k <= {P + 1}")
     sums = [F.sum(FEATURES[i]).alias(f"s{i}") for i in range(P)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in _TRIANGLE]
     subsets = drawn.groupBy("_key", "start").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).cast("double").alias("h"), *sums).mapInPandas(_estimates, _FIT)
     moving = stored(grid.groupBy("_key").applyInPandas(_median_start, _FIT).union(subsets.withColumn("h", F.lit(0.0))))  # no step taken
-    tables, settled = [moving], []
+    tables, settled, steps = [moving], [], 0
     while True:
         # 16 bins for each doubling, the bins of all rows behind 2^16 together
         near = _distance(fitted, moving, ["start"], "inner").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(16 * F.log2(1 + F.col("_d2")))).cast("int"))
-        after = _concentrated(near.groupBy("_key", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *sums))
-        was = moving.select("_key", "start", F.when(F.col("h") > 0, F.col("det")).alias("before"))
-        falls = F.col("before").isNull() | (F.col("det") < F.col("before") - STILL)
-        after = stored(after.join(was, ["_key", "start"]).select(*_NAMES, falls.alias("falls")))
+        after, steps = _concentrated(near.groupBy("_key", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)), steps + 1
+        if steps <= 2:
+            if steps == 2:
+                place = F.row_number().over(Window.partitionBy("_key").orderBy("det", "start"))
+                after = after.withColumn("_place", place).where(F.col("_place") <= FINAL).select(*_NAMES)
+            moving = stored(after)
+            tables.append(moving)
+            continue
+        was = moving.select("_key", "start", F.col("det").alias("before"))
+        after = stored(after.join(was, ["_key", "start"]).select(*_NAMES, (F.col("det") < F.col("before") - STILL).alias("falls")))
         tables.append(after)
         settled.append(after.where("not falls").select(*_NAMES))
         moving = after.where("falls").select(*_NAMES)
