@@ -121,6 +121,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     order = key is not None, key, t, pos
                     row = [key, t, h1, h2, pos, n, False]
                     had = first.get((h1, h2))
+                    if had is not None and had[0] == order:
+                        continue  # the same document again
                     if had is None:
                         first[h1, h2] = order, row
                     else:
@@ -135,7 +137,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["id"].dataType.simpleString()
     found = map_arrow(docs, ["id", "t", "text"], make, f"id {kind}, t long, h1 long, h2 long, pos int, n int, known boolean", TOGETHER)
-    order = F.row_number().over(Window.partitionBy("h1", "h2", "known").orderBy("id", "t", "pos"))
+    # rows that repeat both id and text are one document: they have one rank
+    order = F.rank().over(Window.partitionBy("h1", "h2", "known").orderBy("id", "t", "pos"))
     return found.withColumn("order", order).where("known or order > 1").select("id", "t", "pos", "n")
 
 
@@ -148,7 +151,7 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(7), id_col, text_col).alias("t"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    covered = repeated_spans(docs.dropDuplicates(["id", "t"]) if _repeats(docs) else docs)
+    covered = repeated_spans(docs)
     places = covered.groupBy(F.col("id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("pos", "n")).alias("places"))
     rows = docs.join(places, F.col("id").eqNullSafe(F.col("_id")) & F.col("t").eqNullSafe(F.col("_t")), "left")
 
@@ -162,7 +165,7 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 drop = {k for x in at or () for k in range(x["pos"], x["pos"] + x["n"])}
                 n.append(len(parts))
                 gone.append(len(drop))
-                out.append(text if not drop else "".join(p for k, p in enumerate(parts) if k not in drop).rstrip())
+                out.append(text if not drop else "".join(p for k, p in enumerate(parts) if k not in drop))
             return ids, n, gone, out
 
         return batch
@@ -170,7 +173,3 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     out = map_arrow(rows, ["id", "text", "places"], make, f"id {kind}, n_sentences long, n_removed long, text string")
     return out.withColumnRenamed("id", id_col)
 
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether any row repeats both id and text: such rows count as one document."""
-    return not docs.groupBy("id", "t").count().where("count > 1").isEmpty()

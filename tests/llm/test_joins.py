@@ -170,7 +170,7 @@ def brute_spans(rows):
                     gone |= set(range(a, b)) if key in seen else set()
                     seen.add(key)
                     break
-        out.append((i, len(parts), len(gone), t if not gone else "".join(p for k, p in enumerate(parts) if k not in gone).rstrip()))
+        out.append((i, len(parts), len(gone), t if not gone else "".join(p for k, p in enumerate(parts) if k not in gone)))
     return sorted(out, key=str)
 
 
