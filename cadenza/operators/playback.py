@@ -1,7 +1,7 @@
 """Playback analytics: what sounds, starts or comes next, edges, beats and the playback state machine.
 
 A timed-notes table has (doc, pitch, staff, start_ms, duration_ms); probes are (doc, t) in milliseconds. Which notes and
-measures hold a time is asked over dyadic covers; range joins meet on time buckets, so that all stay equi-joins.
+measures hold a time is asked over nested nodes of time; range joins meet on time buckets, so that all stay equi-joins.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import music
-from .intervals import stabbed
+from .intervals import met_on, stabbed
 from .ranges import by_number, scanned
 
 BUCKET_MS = 4000
@@ -21,29 +21,24 @@ def _bucket(t: Column, width: int = BUCKET_MS) -> Column:
     return F.floor(t / width)
 
 
-def sounding_at(notes: DataFrame, probes: DataFrame, lag: float = 1.0) -> DataFrame:
+def sounding_at(notes: DataFrame, probes: DataFrame, lag: float = 1.0, tasks: int | None = None) -> DataFrame:
     """Probe rows joined with each note that sounds at t: start <= t + lag and t < start + duration."""
     end = F.col("start_ms") + F.col("duration_ms")
-    met = stabbed(notes.where("duration_ms > 0"), probes, ["doc"], F.col("start_ms") - lag, end, F.col("t"))
+    met = stabbed(notes.where("duration_ms > 0"), probes, ["doc"], F.col("start_ms") - lag, end, F.col("t"), tasks=tasks)
     return met.where((F.col("start_ms") <= F.col("t") + lag) & (F.col("t") < end))
 
 
-def in_view(notes: DataFrame, probes: DataFrame, ahead: int) -> DataFrame:
-    """Probe rows joined with each note that ends at or after t and starts no later than ``ahead`` milliseconds behind it.
-
-    A note either holds t, or begins behind it: the first meet over a dyadic cover, the others by the bucket of the start.
-    """
+def in_view(notes: DataFrame, probes: DataFrame, ahead: int, tasks: int | None = None) -> DataFrame:
+    """Probe rows joined with each note that ends at or after t and starts no later than ``ahead`` milliseconds behind it."""
     end = F.col("start_ms") + F.col("duration_ms")
-    held = stabbed(notes, probes, ["doc"], F.col("start_ms"), end + 1, F.col("t")).where((F.col("start_ms") <= F.col("t")) & (end >= F.col("t")))
-    asked = probes.withColumn("_b", F.explode(F.sequence(_bucket(F.col("t")), _bucket(F.col("t") + ahead))))
-    later = asked.join(notes.withColumn("_b", _bucket(F.col("start_ms"))), ["doc", "_b"]).drop("_b")
-    return held.unionByName(later.where((F.col("start_ms") > F.col("t")) & (F.col("start_ms") <= F.col("t") + ahead) & (end >= F.col("t"))))
+    met = stabbed(notes, probes, ["doc"], F.col("start_ms") - ahead, end + 1, F.col("t"), tasks=tasks)
+    return met.where((F.col("start_ms") <= F.col("t") + ahead) & (end >= F.col("t")))
 
 
-def onsets_at(notes: DataFrame, probes: DataFrame, tolerance: float = 1.0) -> DataFrame:
+def onsets_at(notes: DataFrame, probes: DataFrame, tolerance: float = 1.0, tasks: int | None = None) -> DataFrame:
     """Probe rows joined with each note that starts within the tolerance of t."""
     near = probes.withColumn("_b", F.explode(F.array_distinct(F.array(_bucket(F.col("t") - tolerance), _bucket(F.col("t") + tolerance)))))
-    met = near.join(notes.withColumn("_b", _bucket(F.col("start_ms"))), ["doc", "_b"])
+    met = met_on(near, notes.withColumn("_b", _bucket(F.col("start_ms"))), ["doc", "_b"], tasks)
     return met.where(F.abs(F.col("start_ms") - F.col("t")) <= tolerance).drop("_b")
 
 
@@ -53,14 +48,16 @@ def pitch_sets(met: DataFrame, probes: DataFrame, name: str) -> DataFrame:
     return probes.join(sets, ["doc", "t"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
 
 
-def next_onset(notes: DataFrame, probes: DataFrame, tolerance: float = 1.0, span_ms: int | None = None) -> DataFrame:
+def next_onset(notes: DataFrame, probes: DataFrame, tolerance: float = 1.0, span_ms: int | None = None, tasks: int | None = None) -> DataFrame:
     """Every probe with next_ms, the first start after t + tolerance (null where none): one sorted pass per document.
 
-    With ``span_ms``, ranges of as many milliseconds are sorted apart.
+    With ``span_ms``, ranges of as many milliseconds are sorted apart. ``tasks``: documents are dealt out into as many.
     """
-    marks = notes.select("doc", F.col("start_ms").cast("double").alias("at"), F.col("start_ms").alias("next_ms"), F.lit(None).cast("long").alias("t")).distinct()
+    marks = notes.select("doc", F.col("start_ms").cast("double").alias("at"), F.col("start_ms").alias("next_ms"), F.lit(None).cast("long").alias("t"))
     asks = probes.select("doc", (F.col("t") + tolerance).alias("at"), F.lit(None).cast("long").alias("next_ms"), F.col("t").cast("long"))
     rows = marks.unionByName(asks)
+    if tasks is not None:
+        rows = rows.repartition(tasks, "doc")
     # at equal places a note comes before the question, so it is not "after"
     if span_ms is not None:
         back = rows.select("doc", (-F.col("at")).alias("_back"), F.col("t").isNull().alias("_mark"), "t", F.col("next_ms").alias("_ms"))
@@ -79,21 +76,28 @@ def measure_at(starts: DataFrame, probes: DataFrame) -> DataFrame:
     return met.select("doc", "t", "measure_index", F.least(F.lit(1.0), F.greatest(F.lit(0.0), part)).alias("fraction"))
 
 
-def edges(notes: DataFrame, spans: DataFrame) -> DataFrame:
+def edges(notes: DataFrame, spans: DataFrame, tasks: int | None = None) -> DataFrame:
     """(doc, from_ms, to_ms, starts, stops) of spans [from_ms, to_ms).
 
-    starts: pitches with an onset in the span; stops: pitches sounding at from_ms that no note covers at to_ms.
+    starts: pitches with an onset in the span; stops: pitches sounding at from_ms that no note covers at to_ms. What sounds at
+    either end is asked in one join.
     """
-    probe = spans.select("doc", "from_ms", "to_ms")
-    on = stabbed(probe, notes, ["doc"], F.col("from_ms"), F.col("to_ms"), F.col("start_ms"))
-    on = on.where("start_ms >= from_ms and start_ms < to_ms").groupBy("doc", "from_ms", "to_ms").agg(F.sort_array(F.collect_set("pitch")).alias("starts"))
-    held = sounding_at(notes, probe.select("doc", F.col("from_ms").alias("t")).distinct(), 0.0).select("doc", F.col("t").alias("from_ms"), "pitch").distinct()
-    still = sounding_at(notes, probe.select("doc", F.col("to_ms").alias("t")).distinct(), 0.0).select("doc", F.col("t").alias("to_ms"), "pitch").distinct()
-    off = probe.join(held, ["doc", "from_ms"]).join(still, ["doc", "to_ms", "pitch"], "left_anti")
-    off = off.groupBy("doc", "from_ms", "to_ms").agg(F.sort_array(F.collect_set("pitch")).alias("stops"))
+    span = ["doc", "from_ms", "to_ms"]
+    notes, probe = notes.select("doc", "pitch", "start_ms", "duration_ms"), spans.select(*span)
+    asked = probe.distinct()
+    on = stabbed(asked, notes.select("doc", "pitch", "start_ms"), ["doc"], F.col("from_ms"), F.col("to_ms"), F.col("start_ms"), tasks=tasks)
+    on = on.where("start_ms >= from_ms and start_ms < to_ms").select(*span, "pitch", F.lit("starts").alias("kind"))
+    ends = F.array(F.struct(F.lit("held").alias("kind"), F.col("from_ms").alias("t")), F.struct(F.lit("still").alias("kind"), F.col("to_ms").alias("t")))
+    held = sounding_at(notes, asked.select(*span, F.inline(ends)), 0.0, tasks).select(*span, "pitch", "kind")
+
+    def any_of(kind: str) -> Column:
+        return F.max(F.col("kind") == kind).alias(kind)
+
+    pitches = on.unionByName(held).groupBy(*span, "pitch").agg(any_of("starts"), any_of("held"), any_of("still"))
+    stops = F.when(F.col("held") & ~F.col("still"), F.col("pitch"))
+    found = pitches.groupBy(*span).agg(F.sort_array(F.collect_set(F.when(F.col("starts"), F.col("pitch")))).alias("starts"), F.sort_array(F.collect_set(stops)).alias("stops"))
     none = F.array().cast("array<bigint>")
-    out = probe.join(on, ["doc", "from_ms", "to_ms"], "left").join(off, ["doc", "from_ms", "to_ms"], "left")
-    return out.select("doc", "from_ms", "to_ms", F.coalesce("starts", none).alias("starts"), F.coalesce("stops", none).alias("stops"))
+    return probe.join(found, span, "left").select(*span, F.coalesce("starts", none).alias("starts"), F.coalesce("stops", none).alias("stops"))
 
 
 def beats(starts: DataFrame, beats_a_measure: int) -> DataFrame:
@@ -204,13 +208,13 @@ def next_lines(systems: DataFrame, places: DataFrame) -> DataFrame:
     return rows.join(following, ["doc", "system_index"]).select("doc", "measure_index", "next_system")
 
 
-def last_before(notes: DataFrame, probes: DataFrame, span_ms: int | None = None) -> DataFrame:
+def last_before(notes: DataFrame, probes: DataFrame, span_ms: int | None = None, tasks: int | None = None) -> DataFrame:
     """(doc, t, staff, pitch): each staff's last note at or before t, its first note where there is none.
 
     One sorted pass over the notes and probes of a (doc, staff); of notes at one time the later measure and place wins. With
     ``span_ms``, ranges of as many milliseconds are sorted apart.
     """
-    asks = probes.join(notes.select("doc", "staff").distinct(), "doc")
+    asks = met_on(probes, notes.select("doc", "staff").distinct(), ["doc"])
     own = notes.select("doc", "staff", F.col("start_ms").alias("at"), F.lit(False).alias("ask"), "measure_index", "note_seq", "pitch")
     asks = asks.select("doc", "staff", F.col("t").alias("at"), F.lit(True).alias("ask"), F.lit(None).cast("int").alias("measure_index"), F.lit(None).cast("int").alias("note_seq"), F.lit(None).cast("long").alias("pitch"))
     if span_ms is not None:
@@ -220,5 +224,6 @@ def last_before(notes: DataFrame, probes: DataFrame, span_ms: int | None = None)
     order = Window.partitionBy("doc", "staff").orderBy("at", "ask", "measure_index", "note_seq")
     before = F.last("pitch", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     first = F.first("pitch", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = own.unionByName(asks).withColumn("found", F.coalesce(before, first)).where("ask")
+    rows = own.unionByName(asks)
+    rows = (rows if tasks is None else rows.repartition(tasks, "doc", "staff")).withColumn("found", F.coalesce(before, first)).where("ask")
     return rows.select("doc", F.col("at").alias("t"), "staff", F.col("found").alias("pitch"))

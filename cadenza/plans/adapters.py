@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines that one task sorts by document, order or place.
+LINES = 400_000
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Into how many tasks lines are dealt out: no task grows with the table, whatever the session's number is."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // LINES))
+
+
 DIVISIONS, BEATS, BEAT_TYPE = 4, 4, 4
 
 
@@ -25,7 +34,8 @@ def bpm():
 
 def note_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as measures of a customer's score, their lines as notes, without positions."""
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    n = tasks(spark, sf_dir)
+    orders, lines = table(spark, sf_dir, "orders").repartition(n, "o_custkey"), table(spark, sf_dir, "lineitem").repartition(n, "l_orderkey")
     measures = orders.select(
         "o_orderkey",
         F.col("o_custkey").alias("doc"),
@@ -33,7 +43,7 @@ def note_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     lines = lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", F.row_number().over(order).alias("note_seq"))
-    return lines.join(measures, lines["l_orderkey"] == measures["o_orderkey"]).select(
+    return lines.join(measures.hint("merge"), lines["l_orderkey"] == measures["o_orderkey"]).select(
         "doc", "measure_index", "note_seq",
         (1 + F.col("l_suppkey") % 2).cast("int").alias("staff"),
         F.col("l_quantity").cast("int").alias("dur"),
@@ -54,7 +64,8 @@ def notes(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     cursor = F.coalesce(F.sum(moves).over(before), F.lit(0))
     back = F.when(F.col("is_chord"), F.last(moves, ignorenulls=True).over(until)).otherwise(0)
     events = note_events(spark, sf_dir)
-    return (events.repartition("doc") if dealt else events).withColumn("pos", (cursor - back).cast("long"))
+    events = events.repartition(tasks(spark, sf_dir), *(["doc"] if dealt else ["doc", "measure_index"]))
+    return events.withColumn("pos", (cursor - back).cast("long"))
 
 
 NOTES_SQL = """WITH mm AS (SELECT o_orderkey, o_custkey doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 measure_index FROM orders),
@@ -107,7 +118,7 @@ starts AS (SELECT doc, measure_index, CAST(round(start_div * ((60000.0::DOUBLE /
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine questions per document with a sounding note, every 7.5 seconds; needs neither positions nor times."""
     lines = table(spark, sf_dir, "lineitem").where("not (l_linestatus = 'F' and l_partkey % 7 = 0)").select("l_orderkey")
-    docs = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_custkey").alias("doc")).distinct()
+    docs = table(spark, sf_dir, "orders").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_custkey").alias("doc")).distinct()
     return docs.withColumn("t", F.explode(F.expr("sequence(0L, 60000L, 7500L)")))
 
 

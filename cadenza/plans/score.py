@@ -26,13 +26,13 @@ def joined(c):
 def q301_sounding_at(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
     p = probes(spark, d)
-    return pb.pitch_sets(pb.sounding_at(n, p), p, "x").select("doc", "t", joined("x").alias("pitches"))
+    return pb.pitch_sets(pb.sounding_at(n, p, tasks=ad.tasks(spark, d)), p, "x").select("doc", "t", joined("x").alias("pitches"))
 
 
 @query(T + " SELECT p.doc, t, staff = 1 right_hand, array_to_string(list_sort(list(DISTINCT pitch)), ',') pitches FROM probes p JOIN timed n ON n.doc = p.doc AND start_ms <= t + 1 AND t < start_ms + duration_ms GROUP BY ALL")
 def q302_expected_by_hand(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
-    met = pb.sounding_at(n, probes(spark, d)).withColumn("right_hand", F.col("staff") == 1)
+    met = pb.sounding_at(n, probes(spark, d), tasks=ad.tasks(spark, d)).withColumn("right_hand", F.col("staff") == 1)
     return met.groupBy("doc", "t", "right_hand").agg(joined(F.sort_array(F.collect_set("pitch"))).alias("pitches"))
 
 
@@ -45,7 +45,7 @@ def q303_onsets_at(spark, d):
 @query(T + " SELECT p.doc, t, min(start_ms) FILTER (start_ms > t + 1) next_ms FROM probes p JOIN timed n USING (doc) GROUP BY ALL")
 def q304_next_onset(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
-    return pb.next_onset(n, probes(spark, d))
+    return pb.next_onset(n, probes(spark, d), tasks=ad.tasks(spark, d))
 
 
 @query(T + ", sx AS (SELECT *, coalesce(lead(start_ms) OVER (PARTITION BY doc ORDER BY measure_index), song_end) e FROM starts) SELECT p.doc, t, measure_index, round((t - start_ms) / (e - start_ms), 6) fraction FROM probes p JOIN sx ON sx.doc = p.doc AND t >= start_ms AND t < e")
@@ -85,7 +85,7 @@ WIDTHS = N + ", col AS (SELECT doc, measure_index, pos, min(dur) dd FROM a_notes
 
 
 def widths(spark, d):
-    return sc.min_widths(ad.notes(spark, d, dealt=False), F.lit(ad.DIVISIONS)).withColumn("width", F.round("width", 6))
+    return sc.min_widths(ad.notes(spark, d), F.lit(ad.DIVISIONS)).withColumn("width", F.round("width", 6))
 
 
 @query(WIDTHS + " SELECT doc, measure_index, round(width, 3) width FROM wd")
@@ -212,7 +212,7 @@ def q342_measure_intervals(spark, d):
 
 @query(T + " SELECT p.doc, t, s staff, coalesce(max_by(n.pitch, struct_pack(a := n.start_ms, b := n.measure_index, c := n.note_seq)) FILTER (n.start_ms <= t), min_by(n.pitch, struct_pack(a := n.start_ms, b := n.measure_index, c := n.note_seq))) pitch FROM probes p, (VALUES (1), (2)) v(s), timed n WHERE n.doc = p.doc AND n.staff = s GROUP BY ALL")
 def q343_last_before_playhead(spark, d, probes=ad.probes):
-    return pb.last_before(ad.timed(spark, d), probes(spark, d))
+    return pb.last_before(ad.timed(spark, d), probes(spark, d), tasks=ad.tasks(spark, d))
 
 
 @query(N + ", tp AS (SELECT * FROM a_notes), marks AS (SELECT doc, staff, pitch, row_number() OVER (PARTITION BY doc, staff, pitch ORDER BY measure_index, note_seq) seq, dur % 3 = 0 is_start, dur % 3 = 1 is_stop FROM tp WHERE NOT is_rest), o AS (SELECT *, last_value(CASE WHEN is_start OR is_stop THEN CASE WHEN is_start THEN seq ELSE -1 END END IGNORE NULLS) OVER (PARTITION BY doc, staff, pitch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) open FROM marks) SELECT doc, staff, pitch, open start_seq, seq stop_seq FROM o WHERE is_stop AND open > 0")
@@ -259,7 +259,7 @@ def q350_sorted_notes(spark, d):
 def q503_note_edges(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
     s = probes(spark, d).select("doc", F.col("t").alias("from_ms"), (F.col("t") + 500).alias("to_ms"))
-    return pb.edges(n, s).withColumns({"starts": joined("starts"), "stops": joined("stops")})
+    return pb.edges(n, s, ad.tasks(spark, d)).withColumns({"starts": joined("starts"), "stops": joined("stops")})
 
 
 @query(T + ", sx AS (SELECT *, (coalesce(lead(start_ms) OVER (PARTITION BY doc ORDER BY measure_index), song_end) - start_ms) / 4 step FROM starts) SELECT doc, count(*) beats, count(*) FILTER (k = 0) accents, round(sum(start_ms + k * step), 2) total_ms FROM sx, range(0, 4) r(k) WHERE step > 0 AND start_ms + k * step >= 1000 AND start_ms + k * step < 30000 GROUP BY doc")
@@ -278,9 +278,9 @@ def q504_beats_of_whole_scores(spark, d):
 def q317_expected_keys(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
     p = probes(spark, d)
-    now = pb.onsets_at(n, p).groupBy("doc", "t").agg(F.sort_array(F.collect_set("pitch")).alias("now"))
-    ahead = pb.next_onset(n, p).where("next_ms is not null").select("doc", F.col("t").alias("asked"), F.col("next_ms").alias("t"))
-    ahead = pb.onsets_at(n, ahead).groupBy("doc", F.col("asked").alias("t")).agg(F.sort_array(F.collect_set("pitch")).alias("ahead"))
+    now = pb.onsets_at(n, p, tasks=ad.tasks(spark, d)).groupBy("doc", "t").agg(F.sort_array(F.collect_set("pitch")).alias("now"))
+    ahead = pb.next_onset(n, p, tasks=ad.tasks(spark, d)).where("next_ms is not null").select("doc", F.col("t").alias("asked"), F.col("next_ms").alias("t"))
+    ahead = pb.onsets_at(n, ahead, tasks=ad.tasks(spark, d)).groupBy("doc", F.col("asked").alias("t")).agg(F.sort_array(F.collect_set("pitch")).alias("ahead"))
     out = p.join(now, ["doc", "t"], "left").join(ahead, ["doc", "t"], "left")
     return out.select("doc", "t", F.coalesce(joined("now"), joined("ahead"), F.lit("")).alias("pitches"))
 
@@ -297,7 +297,7 @@ def q213_key_feedback(spark, d):
 @query(T + " SELECT p.doc, t, count(*) FILTER (start_ms <= t + 3000) waterfall, count(*) FILTER (start_ms <= t + 4000) staff_view FROM probes p JOIN timed n ON n.doc = p.doc AND start_ms + duration_ms >= t AND start_ms <= t + 4000 GROUP BY ALL")
 def q210_viewport(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
-    met = pb.in_view(n, probes(spark, d), 4000)
+    met = pb.in_view(n, probes(spark, d), 4000, ad.tasks(spark, d))
     return met.groupBy("doc", "t").agg(F.count_if(F.expr("start_ms <= t + 3000")).alias("waterfall"), F.count(F.lit(1)).alias("staff_view"))
 
 

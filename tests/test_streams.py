@@ -264,3 +264,25 @@ def test_views_of_any_length(spark):
     assert got == sorted((t, p, s, d) for _, t in probes for _, p, _, s, d in notes if s + d >= t and s <= t + 3000)
     nexts = {r["t"]: r["next_ms"] for r in playback.next_onset(*frames, span_ms=1000).collect()}
     assert nexts == {t: min((n[3] for n in notes if n[3] > t + 1), default=None) for _, t in probes}
+
+
+def test_nodes_of_sixteen(spark):
+    """Every grain of an interval lies in one of its nodes, no other does, and its path meets that node alone."""
+    rng = random.Random(16)
+    spans = [(a, a + n) for a, n in ((rng.randrange(-5000, 5000), rng.choice([0, 1, 2, 15, 16, 17, 18, 40, 300, 9000])) for _ in range(60))]
+    rows = spark.createDataFrame(spans, "a long, b long").select("a", "b", intervals.nodes(F.col("a"), F.col("b")).alias("c")).collect()
+    for r in rows:
+        sizes = [16 ** (n % 4) for n in r["c"]]
+        assert sorted(g for n, w in zip(r["c"], sizes) for g in range(n // 4 * w, n // 4 * w + w)) == list(range(r["a"], r["b"]))
+    assert max(len(r["c"]) for r in rows) <= 93
+    grains = spark.createDataFrame([(g,) for g in (-70000, -1, 0, 5, 70000)], "g long").select("g", intervals.path(F.col("g")).alias("p")).collect()
+    assert all(r["p"] == [r["g"] // 16**k * 4 + k for k in range(4)] for r in grains)
+
+
+def test_questions_do_not_go_through_the_driver(spark):
+    """Probes are small by Spark's estimate and many once they are taken apart: no join of notes and times broadcasts them."""
+    notes = spark.range(10).selectExpr("id doc", "60L pitch", "1 staff", "id * 100 start_ms", "50L duration_ms", "0 measure_index", "1 note_seq")
+    probes = spark.range(10).selectExpr("id doc", "explode(sequence(0L, 60000L, 7500L)) t")
+    for met in (playback.in_view(notes, probes, 4000), playback.sounding_at(notes, probes), playback.onsets_at(notes, probes), playback.last_before(notes, probes)):
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
