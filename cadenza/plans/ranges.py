@@ -123,8 +123,8 @@ def q316_correlated_within_the_hour(spark, d):
 def q316_one_trace(spark, d):
     """All events as one trace: what happens within an hour of each error."""
     rows = tq.calls(spark, d).withColumn("trace", F.lit(1))
-    met = tm.correlate(rows.where("status = 'error'"), rows.where("method = 'click'"), 1)
-    return met.groupBy(F.col("l.event_id").alias("log_id")).agg(F.count(F.lit(1)).alias("n"), F.min("s.event_id").alias("first"), F.max("s.event_id").alias("last"))
+    met = tm.counted_near(rows.where("status = 'error'"), rows.where("method = 'click'"), 1)
+    return met.select(F.col("event_id").alias("log_id"), "n", "first", "last")
 
 
 # --- values with lifetimes, ids and payloads

@@ -286,3 +286,15 @@ def test_questions_do_not_go_through_the_driver(spark):
     for met in (playback.in_view(notes, probes, 4000), playback.sounding_at(notes, probes), playback.onsets_at(notes, probes), playback.last_before(notes, probes)):
         plan = met._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_spans_near_a_log_are_counted_without_pairs(spark):
+    rng = random.Random(8)
+    rows = [(t, i, datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(0, 60_000) if rng.random() < 0.9 else 7201 * rng.randrange(8) + 3600 * rng.randrange(3))) for t in (1, 2) for i in range(150)]
+    rows += [(t, 1000 + i, at) for t, i, at in rows[::3]]  # several in a second
+    df = spark.createDataFrame(rows, "trace int, event_id long, ts timestamp_ntz")
+    logs, spans = df.where("event_id % 2 = 0"), df.where("event_id % 3 = 0")
+    got = telemetry.counted_near(logs, spans)
+    pairs = telemetry.correlate(logs, spans, 1).groupBy("l.trace", F.col("l.event_id").alias("log")).agg(F.count("*"), F.min("s.event_id"), F.max("s.event_id"))
+    assert sorted(map(tuple, got.select("trace", "event_id", "n", "first", "last").collect())) == sorted(map(tuple, pairs.collect()))
+    assert "s.event_id" not in got._jdf.queryExecution().toString() and telemetry.counted_near(logs, spans.where("false")).isEmpty()
