@@ -52,22 +52,32 @@ def is_uuid(text: Column) -> Column:
     return F.coalesce(F.rlike(text, F.lit(UUID)), F.lit(False))
 
 
-def duration_nanos(text: Column) -> Column:
-    """Nanoseconds of a duration such as ``1h 30m`` or ``2 weeks``; null where the text is none or does not fit a long."""
+def _duration(text: Column, kind: str) -> Column:
+    """Nanoseconds of a duration such as ``1h 30m`` or ``2 weeks`` in numbers of ``kind``; null where it is none or does not fit."""
     parts = F.regexp_extract_all(text, F.lit(r"(\d+)\s*[A-Za-z]+"), F.lit(1))
     units = F.regexp_extract_all(text, F.lit(r"\d+\s*([A-Za-z]+)"), F.lit(1))
 
     def of(n: Column, u: Column) -> Column:
         unit = reduce(lambda c, kv: c.when(u.isin(*kv[0]), F.lit(kv[1]).cast("long")), UNITS.items(), F.when(F.lit(False), F.lit(0).cast("long")))
-        return F.try_multiply(n.try_cast("long"), unit)
+        return F.try_multiply(n.try_cast("long"), unit) if kind == "long" else F.try_multiply(n.try_cast("decimal(19,0)"), unit.cast("decimal(18,0)")).cast(kind)
 
-    total = F.aggregate(F.zip_with(parts, units, of), F.lit(0).cast("long"), F.try_add)
+    total = F.aggregate(F.zip_with(parts, units, of), F.lit(0).cast(kind), lambda a, x: F.try_add(a, x).cast(kind))
     return F.when(F.rlike(text, F.lit(r"^\s*(\d+\s*[A-Za-z]+\s*)+$")), total)
 
 
+def duration_nanos(text: Column) -> Column:
+    """Nanoseconds of a duration such as ``1h 30m`` or ``2 weeks``; null where the text is none or does not fit a long."""
+    return _duration(text, "long")
+
+
 def duration_seconds(text: Column) -> Column:
-    """Whole seconds of a duration; null where the text is none."""
-    return F.floor(duration_nanos(text) / F.lit(10**9).cast("decimal(10,0)")).cast("long")
+    """Whole seconds of a duration; null where the text is none or its seconds do not fit a long.
+
+    Nanoseconds are added up in decimals: as a long they end at 292 years, or some 3,500 months.
+    """
+    nanos = _duration(text, "decimal(38,0)")
+    second = F.lit(10**9).cast("decimal(10,0)")
+    return ((nanos - nanos % second) / second).try_cast("long")
 
 
 def rate_limit(text: Column) -> tuple[Column, Column]:

@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.functions import text
 from cadenza.operators import accounts, events, playback, queue, ranges, schedule, score
 from cadenza.sources import scores
 from cadenza.streaming import notes as stream_notes
@@ -194,3 +195,8 @@ def test_streams(spark, tmp_path):
     query = stream_notes.held_notes(source).writeStream.outputMode("update").format("memory").queryName("held").trigger(availableNow=True).start()
     query.awaitTermination(30)
     assert [tuple(r["held"]) for r in spark.table("held").collect()][-1] == (64, 67)
+
+
+def test_durations_beyond_nanoseconds_of_a_long(spark):
+    rows = spark.createDataFrame([("3600M",), ("60000 weeks",), ("1999999999 ns",), ("99999999999999999999 y",), ("5 parsecs",)], "x string")
+    assert [r[0] for r in rows.select(text.duration_seconds(F.col("x"))).collect()] == [3600 * 2630016, 60000 * 604800, 1, None, None]
