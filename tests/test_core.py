@@ -200,3 +200,12 @@ def test_streams(spark, tmp_path):
 def test_durations_beyond_nanoseconds_of_a_long(spark):
     rows = spark.createDataFrame([("3600M",), ("60000 weeks",), ("1999999999 ns",), ("99999999999999999999 y",), ("5 parsecs",)], "x string")
     assert [r[0] for r in rows.select(text.duration_seconds(F.col("x"))).collect()] == [3600 * 2630016, 60000 * 604800, 1, None, None]
+
+
+def test_due_of_many_times_and_of_changing_clocks(spark):
+    now = unix(2026, 3, 10)
+    rows = [("a", "* * * * *", "UTC", True, "catch_up", now - 86400 * 9), ("b", "30 2 * * *", "America/New_York", True, "catch_up", unix(2026, 3, 6)), ("c", "* * * * *", "UTC", True, "skip", now - 600), ("d", "* * * * *", "Nowhere", True, "skip", 0), ("e", "* * * * *", "UTC", True, "skip", None)]
+    df = schedule.due(spark.createDataFrame(rows, "name string, cron string, zone string, enabled boolean, policy string, last_at long"), now)
+    found = {r["name"]: sorted(r["at"]) for r in df.groupBy("name").agg(F.collect_list("due_at").alias("at")).collect()}
+    assert found == {"a": list(range(now - 86400 * 9 + 60, now - 86400 * 9 + 60 * 10_000 + 1, 60)), "b": [unix(2026, 3, 6, 7, 30), unix(2026, 3, 7, 7, 30), unix(2026, 3, 9, 6, 30)], "c": [now]}
+    assert "Exchange" in df._jdf.queryExecution().executedPlan().toString()  # a small table's schedules are dealt out
