@@ -25,7 +25,8 @@ def files(spark, d, marked: bool = False):
     ``marked``: with a composer, and with numbers of staves and fifths in some measures.
     """
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    lines = ad.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", F.row_number().over(order).alias("seq"))
+    n = ad.tasks(spark, d)
+    lines = ad.table(spark, d, "lineitem").repartition(n, "l_orderkey").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", F.row_number().over(order).alias("seq"))
     dur, p = F.col("l_quantity").cast("int"), F.col("l_partkey")
     chord = F.when((F.col("l_returnflag") == "A") & (F.col("seq") > 1), "<chord/>").otherwise("")
     pitch = F.when(p % 7 == 0, "<rest/>").otherwise(F.concat(F.lit("<pitch>"), _tag("step", F.substring(F.lit("CDEFGAB"), (p % 7 + 1).cast("int"), F.lit(1))), _tag("octave", 2 + p % 5), F.lit("</pitch>")))
@@ -44,7 +45,7 @@ def files(spark, d, marked: bool = False):
     head = F.concat(F.lit("<measure><attributes>"), divisions, more, beats, clef, second, F.lit("</attributes>"), tempo)
     orders = ad.table(spark, d, "orders").join(notes, F.col("l_orderkey") == key, "left")
     measures = orders.select("o_custkey", F.struct("o_orderdate", "o_orderkey", F.concat(head, F.coalesce("notes", F.lit("")), F.lit("</measure>")).alias("x")).alias("m"))
-    whole = measures.groupBy(F.col("o_custkey").alias("c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["x"]), "").alias("x"))
+    whole = measures.repartition(n, "o_custkey").groupBy(F.col("o_custkey").alias("c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["x"]), "").alias("x"))
     other = "</part><part><measure><note><pitch><step>C</step><octave>4</octave></pitch><duration>9</duration></note></measure></part></score-partwise>"
     author = F.concat(F.lit('<identification><creator type="lyricist">No</creator><creator type="composer"> By '), F.col("c").cast("string"), F.lit("</creator></identification>")) if marked else F.lit("")
     text = F.concat(F.lit("<score-partwise><work><work-title> Score "), F.col("c").cast("string"), F.lit("</work-title><work-title> </work-title></work>"), author, F.lit("<part>"), "x", F.lit(other))
@@ -57,18 +58,18 @@ CLEFS = M + ", cl AS (SELECT doc, m, 1 + k % 2 staff, 1 s, CASE WHEN k % 3 = 0 T
 
 @query(M + " SELECT doc, 'By ' || doc composer, greatest(1, coalesce(arg_max(k % 4, m) FILTER (k % 7 = 0), 1)) staves, coalesce(arg_max(k % 9 - 4, m) FILTER (k % 7 = 0), 0) fifths FROM mm GROUP BY doc")
 def q112_composers_and_staves(spark, d):
-    docs = scores.documents(scores.parse_scores(files(spark, d, marked=True)))
+    docs = scores.documents(scores.parse_scores(files(spark, d, marked=True), scores.DOCUMENT))
     return docs.select(F.col("doc").cast("long").alias("doc"), "composer", "staves", "fifths")
 
 
 @query(CLEFS + " SELECT doc, staff, arg_min(sign, m * 10 + s) sign, arg_min(line, m * 10 + s) line FROM cl GROUP BY doc, staff")
 def q110_first_clefs(spark, d):
-    return scores.first_clefs(scores.parse_scores(files(spark, d))).withColumn("doc", F.col("doc").cast("long"))
+    return scores.first_clefs(scores.parse_scores(files(spark, d), ("clef",))).withColumn("doc", F.col("doc").cast("long"))
 
 
 @query(CLEFS + " SELECT doc, m measure_index, staff, arg_max(sign, s) sign, arg_max(line, s) line FROM cl GROUP BY doc, m, staff")
 def q110_measure_clefs(spark, d):
-    return scores.measure_clefs(scores.parse_scores(files(spark, d))).withColumn("doc", F.col("doc").cast("long"))
+    return scores.measure_clefs(scores.parse_scores(files(spark, d), ("clef",))).withColumn("doc", F.col("doc").cast("long"))
 
 
 @query(
@@ -76,7 +77,7 @@ def q110_measure_clefs(spark, d):
     " coalesce(arg_min(k % 4 * 30, m) FILTER (k % 6 = 0 AND k % 4 > 0), 90) bpm, count(*) measures FROM mm GROUP BY doc"
 )
 def q112_score_documents(spark, d):
-    out = scores.documents(scores.parse_scores(files(spark, d)))
+    out = scores.documents(scores.parse_scores(files(spark, d), scores.DOCUMENT))
     return out.select(F.col("doc").cast("long").alias("doc"), "title", "divisions", "beats", "beat_type", "bpm", "measures")
 
 
@@ -90,7 +91,7 @@ SELECT doc, m measure_index, q note_seq, pos FROM f"""
 )
 def q109_cursor_of_files(spark, d):
     """Positions of the notes of files with chords, forwards and backups that reach behind the measure's start."""
-    moves = scores.parse_scores(files(spark, d)).where("kind in ('note', 'chord', 'backup', 'forward')").select("doc", "measure_index", "note_seq", "kind", "dur")
+    moves = scores.parse_scores(files(spark, d), ("note", "chord", "backup", "forward"), ["doc", "measure_index", "note_seq", "kind", "dur"]).where("kind <> 'error'")
     pos = sc.cursor_positions(moves)
     place = F.row_number().over(Window.partitionBy("doc", "measure_index").orderBy("note_seq"))
     return pos.select(F.col("doc").cast("long").alias("doc"), "measure_index", place.alias("note_seq"), "pos")

@@ -209,3 +209,28 @@ def test_due_of_many_times_and_of_changing_clocks(spark):
     found = {r["name"]: sorted(r["at"]) for r in df.groupBy("name").agg(F.collect_list("due_at").alias("at")).collect()}
     assert found == {"a": list(range(now - 86400 * 9 + 60, now - 86400 * 9 + 60 * 10_000 + 1, 60)), "b": [unix(2026, 3, 6, 7, 30), unix(2026, 3, 7, 7, 30), unix(2026, 3, 9, 6, 30)], "c": [now]}
     assert "Exchange" in df._jdf.queryExecution().executedPlan().toString()  # a small table's schedules are dealt out
+
+
+ODD = b"""<score-partwise><work><work-title> </work-title></work><part><measure><attributes><divisions>4</divisions><clef number="x"><sign>F</sign></clef></attributes>
+<note><pitch><octave>x</octave></pitch><duration> 7 </duration><duration>8</duration><type/><dot/><dot/><tie type="start"/><tie type="stop"/></note>
+<note><rest/><notations><slur type="start"/></notations><lyric><text>la</text></lyric><time-modification><actual-notes>3</actual-notes></time-modification></note>
+<note><duration>1<attributes><divisions>9</divisions></attributes></duration><staff>b</staff></note><note/><note><grace/><chord/></note>
+<direction><direction-type><words> a </words></direction-type></direction></measure><forward><duration>2</duration></forward></part>
+<part><measure><attributes><divisions>5</divisions></attributes><note><duration>1</duration></note></measure></part></score-partwise>"""
+
+
+@pytest.mark.parametrize("content", [XML, ODD, b"<a><b></a>", b"", b"<html/>"])
+def test_trees_and_streams_make_the_same_rows(content, monkeypatch):
+    got = list(scores.parse("a", content))
+    some = list(scores.parse("a", content, frozenset(["clef", "divisions"])))
+    notes = list(scores.parse("a", content, frozenset(["note"])))
+    monkeypatch.setattr(scores, "SMALL", -1)
+    whole = list(scores.parse("a", content))
+    assert [dict(sorted(r.items())) for r in got] == [dict(sorted(r.items())) for r in whole]
+    assert some == [r for r in whole if r["kind"] in ("clef", "divisions", "error")] and notes == [r for r in whole if r["kind"] in ("note", "error")]
+
+
+def test_rows_of_files_by_kind_and_column(spark):
+    files = spark.createDataFrame([("a", XML), ("c", b"<a><b></a>")], "doc string, content binary")
+    rows = scores.parse_scores(files, ("backup",), ["doc", "kind", "dur"])
+    assert sorted(map(tuple, rows.collect())) == [("a", "backup", 99), ("c", "error", None)]
