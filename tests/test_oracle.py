@@ -59,3 +59,12 @@ def test_whole_jobs(spark):
     assert sum(r["beats"] for r in score.QUERIES["q504_beats_of_whole_scores"](spark, DATA).collect()) == score.pb.beats(ad.starts(spark, DATA), 4).count()
     outside = notes.join(score.QUERIES["q324_keyboard_range_of_all_notes"](spark, DATA), "doc").where("pitch < low or pitch > high")
     assert outside.isEmpty()
+
+
+def test_tasks_grow_with_the_lines(spark, monkeypatch):
+    """No task sorts more lines the larger the table is, whatever the session's number of partitions."""
+    monkeypatch.setattr(score.ad, "LINES", 100)
+    n = score.ad.tasks(spark, DATA)
+    assert n >= score.ad.table(spark, DATA, "lineitem").count() / 100 > 8
+    for name in ("q344_beam_groups", "q304_next_onset", "q343_last_before_playhead", "q320_min_width"):
+        assert "hashpartitioning(doc#" in (plan := score.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()) and f", {n})" in plan
