@@ -6,7 +6,11 @@ measures hold a time is asked over nested nodes of time; range joins meet on tim
 
 from __future__ import annotations
 
-import pandas as pd
+from array import array
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,46 +124,75 @@ def steady_bars(scores: DataFrame) -> DataFrame:
     return rows.select("doc", "measure", F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("song_end") + F.col("measure")) / F.col("measure")))).alias("k")).select("doc", (F.col("k") * F.col("measure")).alias("at_ms"))
 
 
-def _play(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One session: ticks of its steps against its notes and presses; see ``play``."""
-    notes = pdf[pdf["kind"] == "note"].sort_values("at")
-    onset_ms, onset_pitch = notes["at"].to_numpy(), notes["pitch"].to_numpy()
-    end = float((notes["at"] + notes["value"]).max()) if len(notes) else 0.0
-    now, latched, out = 0.0, set(), []
-    for row in pdf[pdf["kind"] != "note"].sort_values(["at", "seq"]).itertuples():
-        low, high = onset_ms.searchsorted(now - 1.0, "left"), onset_ms.searchsorted(now + 1.0, "right")
-        due = set(onset_pitch[low:high].tolist())
-        if row.kind == "press":
-            if row.pitch in due:
-                latched.add(row.pitch)
-            continue
-        if not len(notes):
-            continue
+def _session(onsets: array, pitches: array, end: float) -> Callable[[bool, float, int], tuple[float, bool] | None]:
+    """A session's inputs one by one -> (elapsed, blocked) for a tick, None for a press; see ``play``. Onsets are sorted."""
+    now, latched, high = 0.0, set(), bisect_right(onsets, 1.0)
+    due = set(pitches[bisect_left(onsets, -1.0) : high])
+
+    def step(tick: bool, value: float, pitch: int) -> tuple[float, bool] | None:
+        nonlocal now, latched, due, high
+        if not tick:
+            if pitch in due:
+                latched.add(pitch)
+            return None
         if due and not due <= latched:
-            out.append((row.doc, int(row.seq), now, True))
-            continue
-        step = now + row.value
-        if high < len(onset_ms):
-            step = min(step, float(onset_ms[high]))
-        loop = end > 0 and step >= end
-        step = 0.0 if loop else step
-        if loop or due and step != now:
+            return now, True
+        to = now + value
+        if high < len(onsets):
+            to = min(to, onsets[high])
+        loop = end > 0 and to >= end
+        to = 0.0 if loop else to
+        if loop or due and to != now:
             latched = set()
-        now = step
-        out.append((row.doc, int(row.seq), now, False))
-    return pd.DataFrame(out, columns=["doc", "seq", "elapsed_ms", "blocked"])
-
-
-def play(notes: DataFrame, inputs: DataFrame) -> DataFrame:
+        if to != now:
+            now, high = to, bisect_right(onsets, to + 1.0)
+            due = set(pitches[bisect_left(onsets, to - 1.0) : high])
+        return now, False
+
+    return step
+
+
+def _play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (doc, at, seq, tick, value, pitch) of whole sessions, each with its notes (at is set) before its inputs."""
+    key, onsets, pitches, end, step = object(), array("d"), array("q"), 0.0, None
+    for batch in batches:
+        docs, ats, *rest = batch.columns
+        noted = ats.is_valid().to_numpy(zero_copy_only=False).tolist()
+        docs = docs.to_pylist() if docs.null_count else docs.to_numpy().tolist()
+        out = []
+        for doc, note, at, seq, tick, value, pitch in zip(docs, noted, *((c.fill_null(0) if c.null_count else c).to_numpy(zero_copy_only=False).tolist() for c in (ats, *rest))):
+            if doc != key:
+                key, onsets, pitches, end, step = doc, array("d"), array("q"), 0.0, None
+            if note:
+                onsets.append(at)
+                pitches.append(pitch)
+                end = max(end, at + value)
+            elif onsets:
+                step = step or _session(onsets, pitches, end)
+                if (found := step(tick, value, pitch)) is not None:
+                    out.append((doc, seq, *found))
+        columns = zip(*out) if out else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PLAYED.types)], schema=PLAYED)
+
+
+PLAYED = pa.schema([("doc", pa.int64()), ("seq", pa.int64()), ("elapsed_ms", pa.float64()), ("blocked", pa.bool_())])
+
+
+def play(notes: DataFrame, inputs: DataFrame, tasks: int | None = None) -> DataFrame:
     """(doc, seq, elapsed_ms, blocked) after every tick of wait-mode playback.
 
     ``inputs``: (doc, seq, kind, value, pitch) in order of seq; kind is tick (value: milliseconds, speed applied) or press.
     The playhead stays while an onset's pitches are not all pressed, goes no further than the next onset, and starts
-    again at the end. A session is one task's group: bounded by one performance.
+    again at the end. Notes without a time or pitch are left out. Sessions are sorted by Spark, which may spill, and stream
+    through in Arrow batches: a task holds one session's onsets and pitches, 16 bytes a note, and one batch of rows.
+    ``tasks``: sessions are dealt out into as many.
     """
-    rows = notes.select("doc", F.lit(0).cast("long").alias("seq"), F.lit("note").alias("kind"), F.col("start_ms").cast("double").alias("at"), F.col("duration_ms").cast("double").alias("value"), "pitch")
-    asks = inputs.select("doc", F.col("seq").cast("long"), "kind", F.col("seq").cast("double").alias("at"), F.col("value").cast("double"), F.col("pitch").cast("long"))
-    return rows.unionByName(asks).groupBy("doc").applyInPandas(_play, "doc long, seq long, elapsed_ms double, blocked boolean")
+    given = notes.where("start_ms is not null and pitch is not null")
+    rows = given.select(F.col("doc").cast("long"), F.col("start_ms").cast("double").alias("at"), F.lit(0).cast("long").alias("seq"), F.lit(False).alias("tick"), F.coalesce(F.col("duration_ms").cast("double"), F.lit(0.0)).alias("value"), F.col("pitch").cast("long"))
+    asks = inputs.select(F.col("doc").cast("long"), F.lit(None).cast("double").alias("at"), F.col("seq").cast("long"), (~F.col("kind").eqNullSafe("press")).alias("tick"), F.col("value").cast("double"), F.coalesce(F.col("pitch").cast("long"), F.lit(-(1 << 62))).alias("pitch"))
+    every = rows.unionByName(asks)
+    dealt = every.repartition("doc") if tasks is None else every.repartition(tasks, "doc")
+    return dealt.sortWithinPartitions("doc", F.col("at").asc_nulls_last(), "seq").mapInArrow(_play, "doc long, seq long, elapsed_ms double, blocked boolean")
 
 
 def key_feedback(required: DataFrame, active: DataFrame, on: list[str] = ["doc", "pitch"]) -> DataFrame:  # noqa: B006

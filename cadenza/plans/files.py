@@ -124,9 +124,8 @@ def q469_click_samples(spark, d):
 def q508_playback(spark, d):
     """Wait-mode playback of every score: 30 ticks of 400 ms; each of its pitches is pressed before every third to seventh tick."""
     notes = ad.timed(spark, d).select("doc", "pitch", "start_ms", "duration_ms")
-    k = F.explode(F.expr("sequence(1L, 30L)"))
-    ticks = notes.select("doc").distinct().withColumn("k", k)
+    ticks = notes.select("doc").distinct().withColumn("k", F.explode(F.expr("sequence(1L, 30L)")))
     ticks = ticks.select("doc", (F.col("k") * 1000).alias("seq"), F.lit("tick").alias("kind"), F.lit(400.0).alias("value"), F.lit(None).cast("long").alias("pitch"))
-    press = notes.select("doc", "pitch").distinct().withColumn("k", k).where("k % (3 + pitch % 5) = 0")
+    press = notes.select("doc", "pitch").distinct().withColumn("k", F.explode(F.expr("sequence(3 + pitch % 5, 30L, 3 + pitch % 5)")))
     press = press.select("doc", (F.col("k") * 1000 - 1 - F.col("pitch")).cast("long").alias("seq"), F.lit("press").alias("kind"), F.lit(None).cast("double").alias("value"), "pitch")
-    return pb.play(notes, ticks.unionByName(press))
+    return pb.play(notes, ticks.unionByName(press), ad.tasks(spark, d))

@@ -96,6 +96,39 @@ def test_play(spark):
     assert [(r["seq"], r["elapsed_ms"], r["blocked"]) for r in out] == [(1, 0.0, True), (3, 30.0, False), (4, 100.0, False), (5, 100.0, True), (7, 199.0, False), (8, 0.0, False)]
 
 
+def test_play_streams_sessions_and_equals_plain_rules(spark):
+    rng, notes, inputs, expected = random.Random(5), [], [], {}
+    for doc in range(40):
+        own = [(doc, rng.randrange(60, 64), rng.randrange(8) * 50, rng.randrange(80)) for _ in range(rng.randrange(9))]
+        asks = [(doc, k, "tick", rng.choice([0.0, 20.0, 50.0, 120.0]), None) if rng.random() < 0.4 else (doc, k, "press", None, rng.choice([60, 61, 62, 63, None])) for k in range(60)]
+        notes, inputs = notes + own, inputs + asks
+        now, latched, end = 0.0, set(), max([s + n for _, _, s, n in own], default=0)
+        for _, k, kind, value, pitch in asks if own else []:
+            due = {p for _, p, s, _ in own if now - 1 <= s <= now + 1}
+            if kind == "press":
+                latched |= {pitch} & due
+                continue
+            blocked = not due <= latched
+            if not blocked:
+                to = min([now + value, *(s for _, _, s, _ in own if s > now + 1)])
+                to, loop = (0.0, True) if end > 0 and to >= end else (to, False)
+                latched = set() if loop or due and to != now else latched
+                now = to
+            expected[doc, k] = now, blocked
+    rng.shuffle(inputs)
+    frames = spark.createDataFrame(notes, "doc long, pitch long, start_ms long, duration_ms long"), spark.createDataFrame(inputs, "doc long, seq long, kind string, value double, pitch long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = playback.play(*frames, tasks=5)
+        got = {(r["doc"], r["seq"]): (r["elapsed_ms"], r["blocked"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == expected
+    # no frame of a whole session, and tasks are the caller's
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.rdd.getNumPartitions() == 5
+
+
 def test_decode(spark):
     raw = [(1, 1, 0x90, 0x3C, 0x64), (1, 2, 0x95, 0x40, 0x50), (1, 3, 0x80, 0x3C, 0x40), (1, 4, 0x90, 0x40, 0), (1, 5, 0xB0, 7, 0x7F)]
     df = events.decode(spark.createDataFrame(raw, "stream long, seq long, status int, data1 int, data2 int"))
