@@ -97,13 +97,14 @@ def _count_partition(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "bucket", "n"])
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", most: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", most: int | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log probabilities of BUCKETS rows with one column per language, log priors), from all labelled rows.
 
     Null labels and null texts are left out; texts of any length count whole, repeated rows count each time. The
-    driver holds ``BUCKETS`` numbers a label: with more than ``most`` labels, a ValueError is raised before anything is gathered,
-    and a caller with the memory for more of them sets ``most`` higher.
+    driver holds ``BUCKETS`` numbers a label: with more than ``most`` labels (null: MAX_LANGUAGES), a ValueError is raised before
+    anything is gathered, and a caller with the memory for more of them sets ``most`` higher.
     """
+    most = MAX_LANGUAGES if most is None else most
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col), F.col(label_col))
     if (many := rows.select(label_col).distinct().limit(most + 1).count()) > most:
         raise ValueError(f"at least {many} languages, where the caller allows for {most}")
@@ -183,7 +184,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep
     return map_arrow(df, [text_col], make, "lang_pred string, score double", keep=tuple(keep))
 
 
-def told(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MAX_LANGUAGES) -> DataFrame:
+def told(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is told with a score of ``least`` or more, with all their columns of any name.
 
     Trained on the given rows' labels outside the held-out fold. Rows with a null text or without letters go.
@@ -198,7 +199,7 @@ def fold(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = MAX_LANGUAGES) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int | None = None) -> DataFrame:
     """(id, held_out, lang_pred, score) of every document; rows whose fold is 2 are held out of training.
 
     A null id belongs to no fold: it is scored, not held out and not trained on.
