@@ -55,18 +55,18 @@ def pitch_sets(met: DataFrame, probes: DataFrame, name: str) -> DataFrame:
 def next_onset(notes: DataFrame, probes: DataFrame, tolerance: float = 1.0, span_ms: int | None = None, tasks: int | None = None) -> DataFrame:
     """Every probe with next_ms, the first start after t + tolerance (null where none): one sorted pass per document.
 
-    With ``span_ms``, ranges of as many milliseconds are sorted apart. ``tasks``: documents are dealt out into as many.
+    With ``span_ms``, ranges of as many milliseconds are sorted apart. ``tasks``: documents or ranges are dealt out into as many.
     """
     marks = notes.select("doc", F.col("start_ms").cast("double").alias("at"), F.col("start_ms").alias("next_ms"), F.lit(None).cast("long").alias("t"))
     asks = probes.select("doc", (F.col("t") + tolerance).alias("at"), F.lit(None).cast("long").alias("next_ms"), F.col("t").cast("long"))
     rows = marks.unionByName(asks)
-    if tasks is not None:
-        rows = rows.repartition(tasks, "doc")
     # at equal places a note comes before the question, so it is not "after"
     if span_ms is not None:
         back = rows.select("doc", (-F.col("at")).alias("_back"), F.col("t").isNull().alias("_mark"), "t", F.col("next_ms").alias("_ms"))
-        found = scanned(back, ["doc"], ["_back", "_mark"], by_number(F.col("_back"), span_ms), lasts={"next_ms": F.col("_ms")})
+        found = scanned(back, ["doc"], ["_back", "_mark"], by_number(F.col("_back"), span_ms), lasts={"next_ms": F.col("_ms")}, tasks=tasks)
         return found.where("t is not null").select("doc", "t", "next_ms")
+    if tasks is not None:
+        rows = rows.repartition(tasks, "doc")
     later = Window.partitionBy("doc").orderBy("at", F.col("t").asc_nulls_first()).rowsBetween(1, Window.unboundedFollowing)
     return rows.withColumn("next_ms", F.first("next_ms", ignorenulls=True).over(later)).where("t is not null").select("doc", "t", "next_ms")
 
@@ -252,7 +252,7 @@ def last_before(notes: DataFrame, probes: DataFrame, span_ms: int | None = None,
     asks = asks.select("doc", "staff", F.col("t").alias("at"), F.lit(True).alias("ask"), F.lit(None).cast("int").alias("measure_index"), F.lit(None).cast("int").alias("note_seq"), F.lit(None).cast("long").alias("pitch"))
     if span_ms is not None:
         firsts = notes.groupBy("doc", "staff").agg(F.min_by("pitch", F.struct("start_ms", "measure_index", "note_seq")).alias("first"))
-        rows = scanned(own.unionByName(asks), ["doc", "staff"], ["at", "ask", "measure_index", "note_seq"], by_number(F.col("at"), span_ms), lasts={"before": F.col("pitch")})
+        rows = scanned(own.unionByName(asks), ["doc", "staff"], ["at", "ask", "measure_index", "note_seq"], by_number(F.col("at"), span_ms), lasts={"before": F.col("pitch")}, tasks=tasks)
         return rows.where("ask").join(firsts, ["doc", "staff"]).select("doc", F.col("at").alias("t"), "staff", F.coalesce("before", "first").alias("pitch"))
     order = Window.partitionBy("doc", "staff").orderBy("at", "ask", "measure_index", "note_seq")
     before = F.last("pitch", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))

@@ -19,12 +19,13 @@ def by_number(order: Column, rows: int = RANGE) -> Column:
     return F.floor(order / rows)
 
 
-def scanned(rows: DataFrame, keys: list[str], order: list[str], span: Column, sums: dict[str, Column] = {}, lasts: dict[str, Column] = {}, inclusive: bool = True) -> DataFrame:  # noqa: B006
+def scanned(rows: DataFrame, keys: list[str], order: list[str], span: Column, sums: dict[str, Column] = {}, lasts: dict[str, Column] = {}, inclusive: bool = True, tasks: int | None = None) -> DataFrame:  # noqa: B006
     """``rows`` with running sums and last known values of their key, in the given order, new columns by name.
 
     A sum counts nulls as nothing and starts from 0; a last value is the latest that is not null, null before the first. With
     ``inclusive`` the row itself counts. Both are what one window over the key would give, for exact types; sums of doubles are
-    added up range by range. Rows with a null key are of no key: their new columns are null, and they do not meet.
+    added up range by range. Rows with a null key are of no key: their new columns are null, and they do not meet. ``tasks``: ranges,
+    and the borders of keys, are dealt out into as many.
     """
     given = [F.col(k).isNotNull() for k in keys]
     keyed = given[0]
@@ -32,10 +33,14 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], span: Column, su
         keyed = keyed & x
     cut = rows.where(keyed).withColumns({"_span": span, **{f"_x_{n}": x for n, x in (sums | lasts).items()}})
     on = [*keys, "_span"]
+    if tasks is not None:
+        cut = cut.repartition(tasks, *on)
     totals = cut.groupBy(*on).agg(
         *[F.sum(f"_x_{n}").alias(f"_c_{n}") for n in sums],
         *[F.max_by(f"_x_{n}", F.when(F.col(f"_x_{n}").isNotNull(), F.struct(*order))).alias(f"_c_{n}") for n in lasts],
     )
+    if tasks is not None:
+        totals = totals.repartition(tasks, *keys)
     earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*on, *[F.sum(f"_c_{n}").over(earlier).alias(f"_b_{n}") for n in sums], *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in lasts])
     near = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)

@@ -31,7 +31,7 @@ def order_key():
 @query(sp.SQL["q341_measure_starts"])
 def q341_measure_starts_by_ranges(spark, d):
     """Measure starts of every score, eight measures a range."""
-    s = sc.measure_spans(ad.notes(spark, d, dealt=False), F.lit(ad.DIVISIONS * ad.BEATS * 4 // ad.BEAT_TYPE), rg.by_number(F.col("measure_index"), 8))
+    s = sc.measure_spans(ad.notes(spark, d, dealt=False), F.lit(ad.DIVISIONS * ad.BEATS * 4 // ad.BEAT_TYPE), rg.by_number(F.col("measure_index"), 8), ad.tasks(spark, d))
     return s.select("doc", "measure_index", F.col("span").cast("long").alias("span"), F.col("start_div").cast("long").alias("start_div"))
 
 
@@ -48,25 +48,25 @@ def one_score(spark, d):
 def q341_starts_of_one_score(spark, d):
     """One score as long as the table: no task sees more of it than one range."""
     s = one_score(spark, d)
-    return rg.scanned(s, ["doc"], ["measure"], rg.by_number(F.col("measure")), sums={"start_div": F.col("span")}, inclusive=False).select("measure", "span", "start_div")
+    return rg.scanned(s, ["doc"], ["measure"], rg.by_number(F.col("measure")), sums={"start_div": F.col("span")}, inclusive=False, tasks=ad.tasks(spark, d)).select("measure", "span", "start_div")
 
 
 @query(ONE + ", g AS (SELECT *, coalesce(sum(CASE WHEN final THEN 1 ELSE 0 END) OVER (ORDER BY measure ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) g FROM n) SELECT CAST(g AS BIGINT) group_no, count(*) n, min(measure) first, max(measure) last FROM g GROUP BY g")
 def q344_groups_of_one_score(spark, d):
-    rows = sc.end_mark_groups(one_score(spark, d), ["doc"], ["measure"], F.col("final"), rg.by_number(F.col("measure")))
+    rows = sc.end_mark_groups(one_score(spark, d), ["doc"], ["measure"], F.col("final"), rg.by_number(F.col("measure")), ad.tasks(spark, d))
     return rows.groupBy(F.col("group_no").cast("long").alias("group_no")).agg(F.count(F.lit(1)).alias("n"), F.min("measure").alias("first"), F.max("measure").alias("last"))
 
 
 @query(sp.SQL["q344_beam_groups"])
 def q344_beam_groups_by_ranges(spark, d):
-    rows = sc.end_mark_groups(sp.flagged(spark, d), ["doc", "staff"], ["start_ms", "measure_index", "note_seq"], F.col("flags") == 0, rg.by_number(F.col("start_ms"), 60_000))
+    rows = sc.end_mark_groups(sp.flagged(spark, d), ["doc", "staff"], ["start_ms", "measure_index", "note_seq"], F.col("flags") == 0, rg.by_number(F.col("start_ms"), 60_000), ad.tasks(spark, d))
     return rows.groupBy("doc", "staff", "group_no").agg(F.count(F.lit(1)).alias("n"), F.min("start_ms").alias("first_ms"), F.max("start_ms").alias("last_ms"))
 
 
 @query(sp.SQL["q206_running_clef"])
 def q206_running_clef_by_ranges(spark, d):
     measures, changes = sp.clef_changes(spark, d)
-    return sc.running_clefs(measures, changes, rg.by_number(F.col("measure_index"), 8))
+    return sc.running_clefs(measures, changes, rg.by_number(F.col("measure_index"), 8), ad.tasks(spark, d))
 
 
 @query(sp.SQL["q203_systems"])
@@ -82,7 +82,7 @@ def q203_systems_of_long_scores(spark, d):
     """Eight scores of an eighth of all orders each, up to nine measures a line, 256 measures a range."""
     o = ad.table(spark, d, "orders").select((F.col("o_custkey") % 8).alias("doc"), order_key().alias("key"), (60 + order_key() % 397).cast("double").alias("width"))
     # the number of a measure by ranges of keys, so that no score is sorted in one task
-    o = rg.scanned(o, ["doc"], ["key"], rg.by_number(F.col("key")), sums={"measure_index": F.lit(1)}, inclusive=False)
+    o = rg.scanned(o, ["doc"], ["key"], rg.by_number(F.col("key")), sums={"measure_index": F.lit(1)}, inclusive=False, tasks=ad.tasks(spark, d))
     out = sc.pack_in_ranges(o.select("doc", "measure_index", "width"), 1000.0, 9, 256)
     return out.select("doc", "system_index", F.size("measures").cast("long").alias("n"), F.array_min("measures").cast("long").alias("first"), F.array_max("measures").cast("long").alias("last"), "width")
 
@@ -92,12 +92,12 @@ MINUTE = 60_000
 
 @query(sp.SQL["q304_next_onset_over_whole_scores"])
 def q304_next_onset_by_ranges(spark, d):
-    return pb.next_onset(ad.timed(spark, d), ad.probes_to_the_end(spark, d), span_ms=MINUTE)
+    return pb.next_onset(ad.timed(spark, d), ad.probes_to_the_end(spark, d), span_ms=MINUTE, tasks=ad.tasks(spark, d))
 
 
 @query(sp.SQL["q343_last_before_playhead_over_whole_scores"])
 def q343_last_before_playhead_by_ranges(spark, d):
-    return pb.last_before(ad.timed(spark, d), ad.probes_to_the_end(spark, d), MINUTE)
+    return pb.last_before(ad.timed(spark, d), ad.probes_to_the_end(spark, d), MINUTE, ad.tasks(spark, d))
 
 
 # --- telemetry

@@ -298,3 +298,15 @@ def test_spans_near_a_log_are_counted_without_pairs(spark):
     pairs = telemetry.correlate(logs, spans, 1).groupBy("l.trace", F.col("l.event_id").alias("log")).agg(F.count("*"), F.min("s.event_id"), F.max("s.event_id"))
     assert sorted(map(tuple, got.select("trace", "event_id", "n", "first", "last").collect())) == sorted(map(tuple, pairs.collect()))
     assert "s.event_id" not in got._jdf.queryExecution().toString() and telemetry.counted_near(logs, spans.where("false")).isEmpty()
+
+
+def test_ranges_are_dealt_out_by_the_caller(spark):
+    rows = spark.range(300).selectExpr("id % 3 doc", "id at", "if(id % 7 = 0, id, null) mark")
+    for tasks in (None, 5):
+        out = ranges.scanned(rows, ["doc"], ["at"], ranges.by_number(F.col("at"), 16), sums={"n": F.lit(1)}, lasts={"last": F.col("mark")}, tasks=tasks)
+        assert {(r["doc"], r["at"]): (r["n"], r["last"]) for r in out.collect()} == {(i % 3, i): (i // 3 + 1, max((k for k in range(i % 3, i + 1, 3) if k % 7 == 0), default=None)) for i in range(300)}
+    notes = spark.range(10).selectExpr("id doc", "60L pitch", "1 staff", "id * 100 start_ms", "50L duration_ms", "0 measure_index", "1 note_seq")
+    probes = spark.range(10).selectExpr("id doc", "explode(sequence(0L, 60000L, 7500L)) t")
+    for met in (playback.next_onset(notes, probes, span_ms=1000, tasks=5), playback.last_before(notes, probes, 1000, 5)):
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert any("_span" in line and ", 5), REPARTITION_BY_NUM" in line for line in plan.splitlines())
