@@ -13,8 +13,6 @@ punctuation and wherever it begins.
 from __future__ import annotations
 
 import re
-from hashlib import blake2b
-from struct import unpack
 
 import numpy as np
 import xxhash
@@ -64,40 +62,92 @@ def boundaries(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def cut(text: str, marks: Marks) -> tuple[np.ndarray, np.ndarray]:
+    """The marks of the text's words, and how many words lie before the end of each sentence or piece of one."""
+    words, lines = [], []
+    for line in text.lower().split("\n"):
+        words += line.split()
+        lines.append(len(words))
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = np.fromiter(map(marks.__getitem__, words), np.uint64, len(words))
+    ends = (found & np.uint64(1)).astype(bool)
+    closed = np.array(lines[:-1], np.int64)
+    ends[closed[closed > 0] - 1] = True
+    out = boundaries(found, ends)
+    out[-1] = True
+    return found, np.flatnonzero(out) + 1
+
+
 def sentences(text: str | None, marks: Marks | None = None) -> list[str]:
     """The text in order as sentences and pieces of them with the white space after each; they join to the text."""
     text = text or ""
     parts = _WORD.findall(text)
     if not parts:
         return [text] if text else []
-    found = np.array([*map((Marks() if marks is None else marks).__getitem__, text.lower().split())], np.uint64)
-    ends = (found & np.uint64(1)).astype(bool)
-    if "\n" in text:
-        ends |= np.array(["\n" in p for p in parts])
-    bounds = (np.flatnonzero(boundaries(found, ends)) + 1).tolist()
-    if not bounds or bounds[-1] != len(parts):
-        bounds.append(len(parts))
+    bounds = cut(text, Marks() if marks is None else marks)[1].tolist()
     parts[0] = text[: len(text) - sum(map(len, parts))] + parts[0]
     return ["".join(parts[a:b]) for a, b in zip([0, *bounds], bounds)]
 
 
+_BASES = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Powers:
+    """The powers of both bases and of their inverses, modulo 2**64; a longer text than ``LIMIT`` words has tables of its own."""
+
+    LIMIT = 1 << 16
+
+    def __init__(self):
+        self.known = self._made(1 << 12)
+
+    @staticmethod
+    def _made(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(_powers(b, n), _powers(pow(b, -1, 1 << 64), n)) for b in _BASES.tolist()]
+
+    def of(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if n <= len(self.known[0][0]):
+            return self.known
+        if n > self.LIMIT:
+            return self._made(n)
+        self.known = self._made(self.LIMIT)
+        return self.known
+
+
+def hashed(found: np.ndarray, bounds: np.ndarray, powers: Powers, run: int = RUN, least: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h1, h2, sentences) of the span from each sentence on that has one: two polynomials over the marks of its words.
+
+    A sentence's last word has another mark than the same word elsewhere, so that sentences count.
+    """
+    starts = np.concatenate([[0], bounds[:-1]])
+    after = np.maximum(np.arange(len(bounds)) + run, np.searchsorted(bounds, starts + least) + 1)
+    after = after[: np.searchsorted(after, len(bounds), "right")]
+    low, high, hashes = starts[: len(after)], bounds[after - 1], []
+    marks = found.copy()
+    marks[bounds - 1] ^= np.uint64(0x5851F42D4C957F2D)
+    for up, down in powers.of(len(found)):
+        total = np.zeros(len(found) + 1, np.uint64)
+        np.cumsum(marks * up[: len(found)], out=total[1:])
+        hashes.append(((total[high] - total[low]) * down[low]).view(np.int64))
+        marks = (marks ^ marks >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return *hashes, after - np.arange(len(after))
+
+
 def spans(parts: list[str], run: int = RUN, least: int = WORDS) -> list[tuple[int, int, int, int]]:
     """(h1, h2, first sentence, sentences) of every span; cases and the width of white space do not count."""
-    words = [p.lower().split() for p in parts]
-    plain = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
-    size = [len(w) for w in words]
-    out, end, held = [], 0, 0
-    for i in range(len(parts)):
-        if i:
-            held -= size[i - 1]
-        while end < len(parts) and (end - i < run or held < least):
-            held += size[end]
-            end += 1
-        if end - i < run or held < least:
-            break
-        h1, h2 = unpack("<qq", blake2b(b"\n".join(plain[i:end]), digest_size=16).digest())
-        out.append((h1, h2, i, end - i))
-    return out
+    words = [w for p in parts if (w := p.lower().split())]
+    if not words:
+        return []
+    marks = Marks()
+    found = np.array([marks[w] for part in words for w in part], np.uint64)
+    h1, h2, n = hashed(found, np.cumsum([len(part) for part in words]), Powers(), run, least)
+    return list(zip(h1.tolist(), h2.tolist(), range(len(n)), n.tolist()))
 
 
 #: Documents whose spans are compared before they are dealt out.
@@ -112,26 +162,32 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
 
     def make():
-        marks = Marks()
+        marks, powers = Marks(), Powers()
 
         def batch(ids, ts, texts):
-            rows, first = [], {}
-            for key, t, text in zip(ids, ts, texts):
-                for h1, h2, pos, n in spans(sentences(text, marks)):
-                    order = key is not None, key, t, pos
-                    row = [key, t, h1, h2, pos, n, False]
-                    had = first.get((h1, h2))
-                    if had is not None and had[0] == order:
-                        continue  # the same document again
-                    if had is None:
-                        first[h1, h2] = order, row
-                    else:
-                        later = row if had[0] < order else had[1]
-                        if later is had[1]:
-                            first[h1, h2] = order, row
-                        later[2], later[3], later[6] = hash((t, pos)), pos, True
-                    rows.append(row)
-            return list(zip(*rows)) if rows else [[] for _ in range(7)]
+            order = [(key is not None, key, t) for key, t in zip(ids, ts)]
+            rank = {x: k for k, x in enumerate(sorted(set(order)))}
+            docs, made = sorted(range(len(ids)), key=lambda k: rank[order[k]]), []
+            for k in docs:
+                found, bounds = cut(texts[k] or "", marks)
+                made.append(hashed(found, bounds, powers) if len(bounds) >= RUN else (np.zeros(0, np.int64),) * 3)
+            if not made:
+                return [[] for _ in range(7)]
+            h1, h2, n = map(np.concatenate, zip(*made))
+            size = [len(x) for _, _, x in made]
+            doc, place = np.repeat(docs, size), np.concatenate([np.arange(x) for x in size])
+            same = np.repeat([rank[order[k]] for k in docs], size)
+            # rows are in order of documents and places, so a span's first row in ``by`` is its first occurrence
+            by = np.argsort(h1, kind="stable")
+            new = np.ones(len(by), bool)
+            new[1:] = (h1[by[1:]] != h1[by[:-1]]) | (h2[by[1:]] != h2[by[:-1]])
+            first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+            again = (same[by] == same[first]) & (place[by] == place[first])  # the same document again
+            by, known = by[new | ~again], ~new[new | ~again]
+            doc, place = doc[by], place[by]
+            t = np.array(ts, np.int64)[doc]
+            h1, h2 = np.where(known, t * 0x1E3779B97F4A7C15 ^ place, h1[by]), np.where(known, place, h2[by])
+            return [ids[k] for k in doc.tolist()], t, h1, h2, place.astype(np.int32), n[by].astype(np.int32), known
 
         return batch
 
@@ -161,11 +217,16 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         def batch(ids, texts, places):
             n, gone, out = [], [], []
             for text, at in zip(texts, places):
+                if not at:  # nothing goes, so the number of sentences is enough
+                    n.append(len(cut(text, marks)[1]) or 1 if text else 0)
+                    gone.append(0)
+                    out.append(text)
+                    continue
                 parts = sentences(text, marks)
-                drop = {k for x in at or () for k in range(x["pos"], x["pos"] + x["n"])}
+                drop = {k for x in at for k in range(x["pos"], x["pos"] + x["n"])}
                 n.append(len(parts))
                 gone.append(len(drop))
-                out.append(text if not drop else "".join(p for k, p in enumerate(parts) if k not in drop))
+                out.append("".join(p for k, p in enumerate(parts) if k not in drop))
             return ids, n, gone, out
 
         return batch

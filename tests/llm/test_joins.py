@@ -226,3 +226,27 @@ def test_passages_in_the_middle_of_sentences_are_removed(spark):
 def test_sentences_join_to_the_text():
     for text in ["", "a. b! c?\n\nd", "1.5 is no end. Yes", "x " * 100, "...", " lead. Then", "no end\n \n\tthen"]:
         assert "".join(sentence_spans.sentences(text)) == text
+
+
+def test_spans_are_hashed_by_their_words_and_sentences():
+    """Equal hashes exactly where the sentences' words are equal, for texts beyond the tables of powers too."""
+    rng, marks, powers, seen, back = random.Random(12), sentence_spans.Marks(), sentence_spans.Powers(), {}, {}
+    texts = ["".join(rng.choice(["a ", "b ", "B  ", "c. ", "d\n", "e! ", "ΑΣ "]) for _ in range(rng.randrange(200))) for _ in range(150)]
+    texts += ["a b. " * 40, " \n", "\n x. y", "a b c d e f g h i j k l m. " * 400]
+    for text in texts:
+        parts = sentence_spans.sentences(text)
+        found, bounds = sentence_spans.cut(text, marks)
+        assert len(bounds) == len(parts) or not text.split()
+        if not len(bounds):
+            continue
+        words = [tuple(p.lower().split()) for p in parts]
+        h1, h2, n = sentence_spans.hashed(found, bounds, powers)
+        expected = []
+        for i in range(len(parts)):
+            k = next((k for k in range(sentence_spans.RUN, len(parts) - i + 1) if sum(map(len, words[i : i + k])) >= sentence_spans.WORDS), None)
+            if k:
+                expected.append(k)
+        assert n.tolist() == expected
+        for i, (x, y, k) in enumerate(zip(h1.tolist(), h2.tolist(), n.tolist())):
+            span = tuple(words[i : i + k])
+            assert seen.setdefault((x, y), span) == span and back.setdefault(span, (x, y)) == (x, y)
