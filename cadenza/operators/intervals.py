@@ -47,14 +47,24 @@ def _run(low: Column, end: Column, level: int) -> Column:
 
 
 def nodes(first: Column, end: Column) -> Column:
-    """The nodes of 16 of the grains (longs) from ``first`` on and before ``end``: sequences alone, one where there are few grains."""
+    """The nodes of 16 of the grains (longs) from ``first`` on and before ``end``: one sequence where there are few grains.
+
+    The form for many grains stands in a lambda: as generated code it is too long for the JVM to compile, and rows that do not
+    take it would pay for it.
+    """
+    pair = F.array(F.struct(first.alias("first"), end.alias("end")))
+    many = F.flatten(F.transform(pair, lambda x: _runs(x["first"], x["end"])))
+    return F.when(end - first <= 16, _run(first, end, 0)).otherwise(many)
+
+
+def _runs(first: Column, end: Column) -> Column:
+    """The nodes of grains on every level, at most 30 a level below the highest."""
     runs = []
     for k in range(HIGHEST):
         low, high = _shifted(first, 4 * k, True), _shifted(end, 4 * k)
         left, right = _shifted(first, 4 * k + 4, True) * 16, _shifted(end, 4 * k + 4) * 16
         runs += [_run(low, F.when(left < right, left).otherwise(high), k), _run(F.when(left < right, right).otherwise(high), high, k)]
-    long = F.concat(*runs, _run(_shifted(first, 4 * HIGHEST, True), _shifted(end, 4 * HIGHEST), HIGHEST))
-    return F.when(end - first <= 16, _run(first, end, 0)).otherwise(long)
+    return F.concat(*runs, _run(_shifted(first, 4 * HIGHEST, True), _shifted(end, 4 * HIGHEST), HIGHEST))
 
 
 def path(grain: Column) -> Column:
@@ -62,22 +72,27 @@ def path(grain: Column) -> Column:
     return F.array(*[_shifted(grain.cast("long"), 4 * k) * (HIGHEST + 1) + k for k in range(HIGHEST + 1)])
 
 
-def met_on(left: DataFrame, right: DataFrame, on: list[str], tasks: int | None = None) -> DataFrame:
-    """An inner join over a shuffle: Spark's estimate does not see what an explosion makes and would send it through the driver.
+def met_on(left: DataFrame, right: DataFrame, on: list[str], tasks: int | None = None, how: str = "inner") -> DataFrame:
+    """A join over a shuffle: Spark's estimate does not see what an explosion makes and would send it through the driver.
 
     With ``tasks`` both sides are dealt out into as many.
     """
     if tasks is not None:
         left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
-    return left.join(right.hint("merge"), on)
+    return left.join(right.hint("merge"), on, how)
 
 
-def stabbed(intervals: DataFrame, points: DataFrame, on: list[str], first: Column, end: Column, at: Column, grain: int = GRAIN, tasks: int | None = None) -> DataFrame:
+def stabbed(intervals: DataFrame, points: DataFrame, on: list[str], first: Column, end: Column, at: Column, grain: int = GRAIN, tasks: int | None = None, every: bool = False) -> DataFrame:
     """``points`` joined with each row of ``intervals`` of equal ``on`` whose grains hold that of ``at``, each pair once.
 
-    An interval takes every grain that [first, end) touches: callers compare exact times of the pairs that come back.
+    An interval takes every grain that [first, end) touches: callers compare exact times of the pairs that come back. With
+    ``every``, each point also comes by itself, with nulls for an interval.
     """
     grains = {"_f": F.floor(first / grain).cast("long"), "_e": F.ceil(end / grain).cast("long")}
     covered = intervals.withColumns(grains).withColumn("_n", F.explode(nodes(F.col("_f"), F.col("_e")))).drop("_f", "_e")
-    asked = points.withColumn("_n", F.explode(path(F.floor(at / grain))))
-    return met_on(asked, covered, [*on, "_n"], tasks).drop("_n")
+    held = path(F.floor(at / grain))
+    if not every:
+        return met_on(points.withColumn("_n", F.explode(held)), covered, [*on, "_n"], tasks).drop("_n")
+    asked = points.withColumn("_n", F.explode(F.concat(held, F.array(F.lit(None).cast("long")))))
+    met = met_on(asked, covered.withColumn("_met", F.lit(True)), [*on, "_n"], tasks, "left")
+    return met.where("_n is null or _met").drop("_n", "_met")

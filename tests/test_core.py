@@ -89,6 +89,19 @@ def test_edges_and_beats(spark):
     assert [b["time_ms"] for b in beats] == [0, 300, 600, 900, 1500, 2100, 2700, 3300, 3900] and [b["time_ms"] for b in beats if b["accent"]] == [0, 900, 2700]
 
 
+def test_nodes_are_compiled(spark):
+    """The JVM compiles no method of 8,000 bytes or more: exploding nodes would be interpreted for every row."""
+    notes = spark.range(9).select((F.col("id") * 1).alias("doc"), F.lit(1).alias("pitch"), (F.col("id") * 7).alias("start_ms"), F.col("id").alias("duration_ms"))
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = playback.sounding_at(notes, spark.range(3).select(F.col("id").alias("doc"), F.col("id").alias("t")))._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    codes = debug.codegenStringSeq(plan)
+    assert codes.size() and all(codes.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(codes.size()))
+
+
 def test_play(spark):
     notes = spark.createDataFrame([(1, 60, 0, 100), (1, 62, 100, 100)], "doc long, pitch long, start_ms long, duration_ms long")
     inputs = [(1, 1, "tick", 30.0, None), (1, 2, "press", None, 60), (1, 3, "tick", 30.0, None), (1, 4, "tick", 90.0, None), (1, 5, "tick", 30.0, None), (1, 6, "press", None, 62), (1, 7, "tick", 99.0, None), (1, 8, "tick", 9.0, None)]
