@@ -80,28 +80,33 @@ def measure_at(starts: DataFrame, probes: DataFrame) -> DataFrame:
     return met.select("doc", "t", "measure_index", F.least(F.lit(1.0), F.greatest(F.lit(0.0), part)).alias("fraction"))
 
 
-def edges(notes: DataFrame, spans: DataFrame, tasks: int | None = None) -> DataFrame:
+def edges(notes: DataFrame, spans: DataFrame, tasks: int | None = None, piece: int = BUCKET_MS) -> DataFrame:
     """(doc, from_ms, to_ms, starts, stops) of spans [from_ms, to_ms).
 
-    starts: pitches with an onset in the span; stops: pitches sounding at from_ms that no note covers at to_ms. What sounds at
-    either end is asked in one join.
+    starts: pitches with an onset in the span; stops: pitches sounding at from_ms that no note covers at to_ms. Notes reach
+    ``piece`` milliseconds back, so one question for each piece of a span meets all notes that sound or start from its one end
+    to its other: one join, after which spans are dealt out once. Give the length of the spans where it is known.
     """
     span = ["doc", "from_ms", "to_ms"]
-    notes, probe = notes.select("doc", "pitch", "start_ms", "duration_ms"), spans.select(*span)
-    asked = probe.distinct()
-    on = stabbed(asked, notes.select("doc", "pitch", "start_ms"), ["doc"], F.col("from_ms"), F.col("to_ms"), F.col("start_ms"), tasks=tasks)
-    on = on.where("start_ms >= from_ms and start_ms < to_ms").select(*span, "pitch", F.lit("starts").alias("kind"))
-    ends = F.array(F.struct(F.lit("held").alias("kind"), F.col("from_ms").alias("t")), F.struct(F.lit("still").alias("kind"), F.col("to_ms").alias("t")))
-    held = sounding_at(notes, asked.select(*span, F.inline(ends)), 0.0, tasks).select(*span, "pitch", "kind")
-
-    def any_of(kind: str) -> Column:
-        return F.max(F.col("kind") == kind).alias(kind)
-
-    pitches = on.unionByName(held).groupBy(*span, "pitch").agg(any_of("starts"), any_of("held"), any_of("still"))
-    stops = F.when(F.col("held") & ~F.col("still"), F.col("pitch"))
-    found = pitches.groupBy(*span).agg(F.sort_array(F.collect_set(F.when(F.col("starts"), F.col("pitch")))).alias("starts"), F.sort_array(F.collect_set(stops)).alias("stops"))
-    none = F.array().cast("array<bigint>")
-    return probe.join(found, span, "left").select(*span, F.coalesce("starts", none).alias("starts"), F.coalesce("stops", none).alias("stops"))
+    end = F.col("start_ms") + F.col("duration_ms")
+    notes = notes.select("doc", F.col("pitch").cast("long").alias("pitch"), "start_ms", "duration_ms").where("start_ms is not null")
+    asked = spans.groupBy(*span).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    pieces = F.sequence(F.floor(F.least("from_ms", "to_ms")), F.ceil(F.greatest("from_ms", "to_ms")), F.lit(piece).cast("long"))
+    asked = asked.withColumn("_p", F.explode_outer(pieces))
+    met = stabbed(notes, asked, ["doc"], F.col("start_ms") - piece, F.greatest(end, F.col("start_ms") + 1), F.col("_p"), tasks=tasks, every=True)
+    flags = {
+        "_starts": (F.col("start_ms") >= F.col("from_ms")) & (F.col("start_ms") < F.col("to_ms")),
+        "_held": (F.col("start_ms") <= F.col("from_ms")) & (F.col("from_ms") < end),
+        "_still": (F.col("start_ms") <= F.col("to_ms")) & (F.col("to_ms") < end),
+    }
+    met = met.withColumns(flags).where("start_ms is null or _starts or _held or _still").select(*span, "_times", "pitch", *flags)
+    if tasks is not None:
+        met = met.repartition(tasks, *span)
+    pitches = met.groupBy(*span, "_times", "pitch").agg(*[F.max(f).alias(f) for f in flags])
+    stops = F.when(F.col("_held") & F.coalesce(~F.col("_still"), F.lit(True)), F.col("pitch"))
+    found = pitches.groupBy(*span, "_times").agg(F.sort_array(F.collect_set(F.when(F.col("_starts"), F.col("pitch")))).alias("starts"), F.sort_array(F.collect_set(stops)).alias("stops"))
+    # a span that was asked several times comes as often
+    return found.select(*span, "starts", "stops", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).drop("col")
 
 
 def beats(starts: DataFrame, beats_a_measure: int) -> DataFrame:

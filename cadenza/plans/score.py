@@ -259,7 +259,7 @@ def q350_sorted_notes(spark, d):
 def q503_note_edges(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
     s = probes(spark, d).select("doc", F.col("t").alias("from_ms"), (F.col("t") + 500).alias("to_ms"))
-    return pb.edges(n, s, ad.tasks(spark, d)).withColumns({"starts": joined("starts"), "stops": joined("stops")})
+    return pb.edges(n, s, ad.tasks(spark, d), 500).withColumns({"starts": joined("starts"), "stops": joined("stops")})
 
 
 @query(T + ", sx AS (SELECT *, (coalesce(lead(start_ms) OVER (PARTITION BY doc ORDER BY measure_index), song_end) - start_ms) / 4 step FROM starts) SELECT doc, count(*) beats, count(*) FILTER (k = 0) accents, round(sum(start_ms + k * step), 2) total_ms FROM sx, range(0, 4) r(k) WHERE step > 0 AND start_ms + k * step >= 1000 AND start_ms + k * step < 30000 GROUP BY doc")

@@ -89,6 +89,26 @@ def test_edges_and_beats(spark):
     assert [b["time_ms"] for b in beats] == [0, 300, 600, 900, 1500, 2100, 2700, 3300, 3900] and [b["time_ms"] for b in beats if b["accent"]] == [0, 900, 2700]
 
 
+def test_edges_of_any_spans(spark):
+    """Spans of any length, empty, turned round, repeated or without a score, by pieces of any length, against plain loops."""
+    rng = random.Random(5)
+    notes = [(rng.randrange(2), rng.randrange(5), rng.randrange(-9000, 60000), rng.choice([0, 40, 3000, 90000])) for _ in range(120)]
+    spans = [(rng.randrange(3), a, a + rng.choice([-7000, 0, 1, 500, 20000])) for a in (rng.randrange(-500, 60000) for _ in range(60))] + [(None, 5, 505)]
+    spans += spans[:3] + spans[-1:]
+    dealt = spark.createDataFrame(notes, "doc long, pitch long, start_ms long, duration_ms long"), spark.createDataFrame(spans, "doc long, from_ms long, to_ms long")
+
+    def plain(doc, a, b):
+        own = [(p, s, s + n) for d, p, s, n in notes if d == doc]
+        held, still = ({p for p, s, e in own if s <= t < e} for t in (a, b))
+        return sorted({p for p, s, _ in own if a <= s < b}), sorted(held - still)
+
+    expected = sorted((str(x), *plain(*x)) for x in spans)
+    for tasks, piece in ((None, 4000), (7, 500)):
+        out = playback.edges(*dealt, tasks, piece)
+        assert sorted((str((r["doc"], r["from_ms"], r["to_ms"])), r["starts"], r["stops"]) for r in out.collect()) == expected
+    assert out._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 1  # notes are dealt out once
+
+
 def test_nodes_are_compiled(spark):
     """The JVM compiles no method of 8,000 bytes or more: exploding nodes would be interpreted for every row."""
     notes = spark.range(9).select((F.col("id") * 1).alias("doc"), F.lit(1).alias("pitch"), (F.col("id") * 7).alias("start_ms"), F.col("id").alias("duration_ms"))
