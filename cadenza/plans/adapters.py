@@ -117,8 +117,9 @@ starts AS (SELECT doc, measure_index, CAST(round(start_div * ((60000.0::DOUBLE /
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine questions per document with a sounding note, every 7.5 seconds; needs neither positions nor times."""
-    lines = table(spark, sf_dir, "lineitem").where("not (l_linestatus = 'F' and l_partkey % 7 = 0)").select("l_orderkey")
-    docs = table(spark, sf_dir, "orders").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_custkey").alias("doc")).distinct()
+    n = tasks(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").where("not (l_linestatus = 'F' and l_partkey % 7 = 0)").select("l_orderkey").repartition(n, "l_orderkey")
+    docs = table(spark, sf_dir, "orders").repartition(n, "o_orderkey").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_custkey").alias("doc")).distinct()
     return docs.withColumn("t", F.explode(F.expr("sequence(0L, 60000L, 7500L)")))
 
 

@@ -68,3 +68,15 @@ def test_tasks_grow_with_the_lines(spark, monkeypatch):
     assert n >= score.ad.table(spark, DATA, "lineitem").count() / 100 > 8
     for name in ("q344_beam_groups", "q304_next_onset", "q343_last_before_playhead", "q320_min_width"):
         assert "hashpartitioning(doc#" in (plan := score.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()) and f", {n})" in plan
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line or "MapInArrow" in line]
+
+
+def test_probes_are_dealt_out_by_size(spark, monkeypatch):
+    """Questions sort the lines in as many tasks as the notes do."""
+    monkeypatch.setattr(score.ad, "LINES", 100)
+    n = score.ad.tasks(spark, DATA)
+    lines = [x for x in exchanges(score.ad.probes(spark, DATA)) if "orderkey#" in x]
+    assert len(lines) == 2 and all(f", {n})" in x for x in lines)
