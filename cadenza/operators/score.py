@@ -88,8 +88,11 @@ def min_widths(notes: DataFrame, divisions: Column) -> DataFrame:
     return columns.groupBy("doc", "measure_index").agg(F.greatest(F.lit(60.0), 20 + total).alias("width"))
 
 
-def pack_systems(widths: DataFrame, available: float, most: int = 4) -> DataFrame:
-    """(doc, system_index, measures, width): greedy packing of measures in order into lines; one pass over a document."""
+def pack_systems(widths: DataFrame, available: float, most: int = 4, tasks: int | None = None) -> DataFrame:
+    """(doc, system_index, measures, width): greedy packing of measures in order into lines; one pass over a document.
+
+    ``tasks``: documents, and then systems, are dealt out into as many.
+    """
 
     def put(state: list, measure: int, width: float) -> tuple:
         number, filled, n = state
@@ -99,22 +102,23 @@ def pack_systems(widths: DataFrame, available: float, most: int = 4) -> DataFram
             state[:] = number + 1, width, 1
         return state[0], width
 
-    return _systems(ordered_fold(widths, "doc", "measure_index", ["width"], lambda: [-1, 0.0, 0], put, "system_index int, width double"))
+    return _systems(ordered_fold(widths, "doc", "measure_index", ["width"], lambda: [-1, 0.0, 0], put, "system_index int, width double", tasks), tasks)
 
 
-def _systems(placed: DataFrame) -> DataFrame:
+def _systems(placed: DataFrame, tasks: int | None = None) -> DataFrame:
     """(doc, system_index, measures, width) from the system of each measure."""
+    placed = placed if tasks is None else placed.repartition(tasks, "doc", "system_index")
     rows = placed.groupBy("doc", "system_index").agg(F.array_sort(F.collect_list(F.struct("measure_index", "width"))).alias("m"))
     return rows.select("doc", "system_index", F.transform("m.measure_index", lambda x: x.cast("int")).alias("measures"), F.aggregate("m.width", F.lit(0.0), lambda a, w: a + w).alias("width"))
 
 
-def pack_in_ranges(widths: DataFrame, available: float, most: int = 4, rows: int = RANGE) -> DataFrame:
+def pack_in_ranges(widths: DataFrame, available: float, most: int = 4, rows: int = RANGE, tasks: int | None = None) -> DataFrame:
     """The same as ``pack_systems``, in ranges of measures, so that one document of any length is packed in many tasks.
 
     What happens before a range decides only which of its first ``most`` measures begins its first system. So each range is
     packed from all of these entries at once: for each, how many systems begin, and what the last one holds. A document's
     ranges are then followed from entry to entry, one row a range, and each measure takes its number from the entry that was met.
-    Measures are numbered from 0 without large gaps.
+    Measures are numbered from 0 without large gaps. ``tasks``: ranges, documents and systems are dealt out into as many.
     """
     cut = widths.withColumn("_span", by_number(F.col("measure_index"), rows))
 
@@ -128,7 +132,7 @@ def pack_in_ranges(widths: DataFrame, available: float, most: int = 4, rows: int
         state[0] += 1
         return width, seen, [w[0] for w in walkers], [w[1] for w in walkers], [w[2] for w in walkers]
 
-    packed = ordered_fold(cut, ["doc", "_span"], "measure_index", ["width"], lambda: [0, [[0, 0.0, 0] for _ in range(most)]], put, "width double, at int, numbers array<int>, filled array<double>, n array<int>")
+    packed = ordered_fold(cut, ["doc", "_span"], "measure_index", ["width"], lambda: [0, [[0, 0.0, 0] for _ in range(most)]], put, "width double, at int, numbers array<int>, filled array<double>, n array<int>", tasks)
     heads = F.array_sort(F.collect_list(F.when(F.col("at") < most - 1, F.struct("at", "width"))))
     borders = packed.groupBy("doc", "_span").agg(F.transform(heads, lambda h: h["width"]).alias("heads"), F.max_by(F.struct(F.col("at") + 1, "numbers", "filled", "n"), "at").alias("last"))
     borders = borders.select("doc", "_span", "heads", F.col("last").getItem("col1").alias("rows"), "last.numbers", "last.filled", "last.n")
@@ -141,10 +145,10 @@ def pack_in_ranges(widths: DataFrame, available: float, most: int = 4, rows: int
         state[:] = (before, held, count) if entry >= size else (before + numbers[entry], filled[entry], n[entry])
         return entry, before
 
-    entered = ordered_fold(borders, "doc", "_span", ["heads", "rows", "numbers", "filled", "n"], lambda: [0, 0.0, 0], enter, "entry int, before int")
+    entered = ordered_fold(borders, "doc", "_span", ["heads", "rows", "numbers", "filled", "n"], lambda: [0, 0.0, 0], enter, "entry int, before int", tasks)
     met = packed.join(entered, ["doc", "_span"])
     number = F.col("before") - 1 + F.coalesce(F.try_element_at("numbers", F.col("entry") + 1), F.lit(0))
-    return _systems(met.select("doc", "measure_index", number.cast("int").alias("system_index"), "width"))
+    return _systems(met.select("doc", "measure_index", number.cast("int").alias("system_index"), "width"), tasks)
 
 
 def justify(widths: DataFrame, systems: DataFrame, usable: float) -> DataFrame:

@@ -170,7 +170,7 @@ def q504_steady_beats(spark, d):
 
 @query(sq.SYSTEMS + ", sz AS (SELECT doc, system_index, count(*) n FROM sys GROUP BY ALL), po AS (SELECT doc, system_index, measure_index, row_number() OVER (PARTITION BY doc, system_index ORDER BY measure_index) - 1 k FROM sys) SELECT p.doc, p.measure_index, p.system_index + 1 next_system FROM po p JOIN sz s ON s.doc = p.doc AND s.system_index = p.system_index JOIN sz x ON x.doc = p.doc AND x.system_index = p.system_index + 1 WHERE (k + 0.25) / s.n >= 0.5")
 def q515_next_lines(spark, d):
-    systems = sc.pack_systems(sq.dense_widths(spark, d), 1000.0).select("doc", "system_index", "measures")
+    systems = sc.pack_systems(sq.dense_widths(spark, d), 1000.0, tasks=ad.tasks(spark, d)).select("doc", "system_index", "measures")
     places = systems.select("doc", F.explode("measures").alias("measure_index"), F.lit(0.25).alias("fraction"))
     return pb.next_lines(systems, places)
 

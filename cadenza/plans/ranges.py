@@ -71,7 +71,7 @@ def q206_running_clef_by_ranges(spark, d):
 
 @query(sp.SQL["q203_systems"])
 def q203_systems_by_ranges(spark, d):
-    return sc.pack_in_ranges(sp.dense_widths(spark, d), 1000.0, rows=8).select("doc", "system_index", sp.joined("measures").alias("measures"))
+    return sc.pack_in_ranges(sp.dense_widths(spark, d), 1000.0, rows=8, tasks=ad.tasks(spark, d)).select("doc", "system_index", sp.joined("measures").alias("measures"))
 
 
 LONG = "wd AS (SELECT o_custkey % 8 doc, row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY o_orderkey) - 1 measure_index, CAST(60 + o_orderkey % 397 AS DOUBLE) width FROM orders)"

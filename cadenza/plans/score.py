@@ -107,13 +107,13 @@ SYSTEMS = SYSTEMS.replace("wd AS (SELECT doc, measure_index, round", "wd0 AS (SE
 
 @query(SYSTEMS + " SELECT doc, system_index, array_to_string(list(measure_index ORDER BY measure_index), ',') measures FROM sys GROUP BY ALL")
 def q203_systems(spark, d):
-    return sc.pack_systems(dense_widths(spark, d), 1000.0).select("doc", "system_index", joined("measures").alias("measures"))
+    return sc.pack_systems(dense_widths(spark, d), 1000.0, tasks=ad.tasks(spark, d)).select("doc", "system_index", joined("measures").alias("measures"))
 
 
 @query(SYSTEMS + " SELECT doc, system_index, measure_index, round(coalesce(sum(w * (900 / s)) OVER (PARTITION BY doc, system_index ORDER BY measure_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) x, round(w * (900 / s), 2) width FROM (SELECT *, sum(w) OVER (PARTITION BY doc, system_index) s FROM sys)")
 def q334_justified_measures(spark, d):
     w = dense_widths(spark, d)
-    out = sc.justify(w, sc.pack_systems(w, 1000.0), 900.0)
+    out = sc.justify(w, sc.pack_systems(w, 1000.0, tasks=ad.tasks(spark, d)), 900.0)
     return out.withColumns({"x": F.round("x", 2), "width": F.round("width", 2)})
 
 

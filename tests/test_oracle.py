@@ -80,3 +80,13 @@ def test_probes_are_dealt_out_by_size(spark, monkeypatch):
     n = score.ad.tasks(spark, DATA)
     lines = [x for x in exchanges(score.ad.probes(spark, DATA)) if "orderkey#" in x]
     assert len(lines) == 2 and all(f", {n})" in x for x in lines)
+
+
+def test_folds_of_measures_are_dealt_out_by_size(spark, monkeypatch):
+    """Measures are packed in as many tasks as the notes are sorted in."""
+    monkeypatch.setattr(score.ad, "LINES", 100)
+    n = score.ad.tasks(spark, DATA)
+    for module, name in ((score, "q203_systems"), (score, "q334_justified_measures"), (ranges, "q203_systems_by_ranges"), (keyboard, "q515_next_lines")):
+        found = exchanges(module.QUERIES[name](spark, DATA))
+        below = [b for a, b in zip(found, found[1:]) if "MapInArrow" in a]
+        assert below and all(f", {n})" in x for x in below)
