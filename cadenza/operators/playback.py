@@ -46,8 +46,10 @@ def onsets_at(notes: DataFrame, probes: DataFrame, tolerance: float = 1.0, tasks
     return met.where(F.abs(F.col("start_ms") - F.col("t")) <= tolerance).drop("_b")
 
 
-def pitch_sets(met: DataFrame, probes: DataFrame, name: str) -> DataFrame:
-    """Every probe with its sorted distinct pitches (empty where none)."""
+def pitch_sets(met: DataFrame, probes: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """Every probe with its sorted distinct pitches (empty where none). ``tasks``: probes are dealt out into as many."""
+    if tasks is not None:
+        met, probes = met.repartition(tasks, "doc", "t"), probes.repartition(tasks, "doc", "t")
     sets = met.groupBy("doc", "t").agg(F.sort_array(F.collect_set("pitch")).alias(name))
     return probes.join(sets, ["doc", "t"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
 

@@ -26,7 +26,8 @@ def joined(c):
 def q301_sounding_at(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
     p = probes(spark, d)
-    return pb.pitch_sets(pb.sounding_at(n, p, tasks=ad.tasks(spark, d)), p, "x").select("doc", "t", joined("x").alias("pitches"))
+    tasks = ad.tasks(spark, d)
+    return pb.pitch_sets(pb.sounding_at(n, p, tasks=tasks), p, "x", tasks).select("doc", "t", joined("x").alias("pitches"))
 
 
 @query(T + " SELECT p.doc, t, staff = 1 right_hand, array_to_string(list_sort(list(DISTINCT pitch)), ',') pitches FROM probes p JOIN timed n ON n.doc = p.doc AND start_ms <= t + 1 AND t < start_ms + duration_ms GROUP BY ALL")
@@ -277,11 +278,12 @@ def q504_beats_of_whole_scores(spark, d):
 @query(T + ", ons AS (SELECT p.doc, p.t, list_sort(list(DISTINCT pitch)) x FROM probes p JOIN timed n ON n.doc = p.doc AND abs(start_ms - t) <= 1 GROUP BY ALL), nx AS (SELECT p.doc, p.t, min(start_ms) FILTER (start_ms > t + 1) nt FROM probes p JOIN timed n USING (doc) GROUP BY ALL), nxs AS (SELECT nx.doc, nx.t, list_sort(list(DISTINCT pitch)) x FROM nx JOIN timed n ON n.doc = nx.doc AND abs(start_ms - nt) <= 1 GROUP BY ALL) SELECT p.doc, p.t, coalesce(array_to_string(ons.x, ','), array_to_string(nxs.x, ','), '') pitches FROM probes p LEFT JOIN ons ON ons.doc = p.doc AND ons.t = p.t LEFT JOIN nxs ON nxs.doc = p.doc AND nxs.t = p.t")
 def q317_expected_keys(spark, d, probes=ad.probes):
     n = ad.timed(spark, d)
+    tasks = ad.tasks(spark, d)
     p = probes(spark, d)
-    now = pb.onsets_at(n, p, tasks=ad.tasks(spark, d)).groupBy("doc", "t").agg(F.sort_array(F.collect_set("pitch")).alias("now"))
-    ahead = pb.next_onset(n, p, tasks=ad.tasks(spark, d)).where("next_ms is not null").select("doc", F.col("t").alias("asked"), F.col("next_ms").alias("t"))
-    ahead = pb.onsets_at(n, ahead, tasks=ad.tasks(spark, d)).groupBy("doc", F.col("asked").alias("t")).agg(F.sort_array(F.collect_set("pitch")).alias("ahead"))
-    out = p.join(now, ["doc", "t"], "left").join(ahead, ["doc", "t"], "left")
+    now = pb.onsets_at(n, p, tasks=tasks).repartition(tasks, "doc", "t").groupBy("doc", "t").agg(F.sort_array(F.collect_set("pitch")).alias("now"))
+    ahead = pb.next_onset(n, p, tasks=tasks).where("next_ms is not null").select("doc", F.col("t").alias("asked"), F.col("next_ms").alias("t"))
+    ahead = pb.onsets_at(n, ahead, tasks=tasks).repartition(tasks, "doc", "asked").groupBy("doc", F.col("asked").alias("t")).agg(F.sort_array(F.collect_set("pitch")).alias("ahead"))
+    out = p.repartition(tasks, "doc", "t").join(now, ["doc", "t"], "left").join(ahead, ["doc", "t"], "left")
     return out.select("doc", "t", F.coalesce(joined("now"), joined("ahead"), F.lit("")).alias("pitches"))
 
 
