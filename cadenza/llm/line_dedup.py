@@ -5,13 +5,15 @@ Classes are joined on the rarest tokens of their sets (prefix filter) under leng
 candidates are verified by their whole sets, and a class with an earlier class of Jaccard similarity ``percent`` / 100 or
 more goes altogether. "Earlier" is by document id, then by the document's text where ids repeat, then by line.
 
-Lines are cut into words once; the numbers of their words are written to the shared folder and read for the counts and
-for the classes. Only lines of candidate pairs are cut again, when their sets are verified. Rarity is the rank of a token's bucket among ``BUCKETS`` buckets, counted over all lines. The rank replaces
-the bucket's bits in the token's hash, so that sorting the numbers sorts by rarity and nothing is lost.
+Lines are cut into words for the counts and again for the classes, which costs less than writing and reading the words'
+numbers; lines of candidate pairs are cut once more, when their sets are verified. Rarity is the rank of a token's bucket among
+``BUCKETS`` buckets, counted over the words of all lines. The rank replaces the bucket's bits in the token's hash, so that sorting
+the numbers sorts by rarity and nothing is lost.
 
 Every class first meets the earliest class of each of its prefix tokens; only classes that this did not settle meet the
 others, so a large group of near copies does not meet in all its pairs. One sorted pass over the prefix entries finds the
-earliest class of each token, and only the entries of tokens that three classes or more share are kept for the others.
+earliest class of each token, and only the entries of tokens that three classes or more share are kept for the others. The
+entries are exchanged in ``PASSES`` passes over the tokens, so that the disk holds one pass's shuffle at a time.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ BUCKETS = 1 << BITS
 BROADCAST_ROWS = 500_000
 #: Sets of more tokens have two parities of 64 bits, as a single one tells little about them.
 LONG = 64
+#: Passes over the tokens, by the lowest bits of their numbers.
+PASSES = 2
 
 
 def _plain(text: Column) -> Column:
@@ -47,10 +51,11 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _ranks(lines: DataFrame) -> Column:
-    """The rank of each bucket by how many lines have a token in it, as one array of BUCKETS numbers."""
-    often = lines.select(F.explode("w").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    every = lines.sparkSession.range(BUCKETS).withColumnRenamed("id", "b").join(often, "b", "left")
+def _ranks(docs: DataFrame) -> Column:
+    """The rank of each bucket by how many words of all lines are in it, as one array of BUCKETS numbers."""
+    words = _split(docs).select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
+    often = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "b").join(often, "b", "left")
     # BUCKETS rows whatever the input, so that one task may number them
     rank = F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "b")) - 1 - BUCKETS // 2
     row = every.select("b", rank.alias("rank")).agg(F.sort_array(F.collect_list(F.struct("b", "rank"))).alias("x"))
@@ -63,7 +68,8 @@ def _by_rarity(w: Column, ranks: Column) -> Column:
 
     def packed(h: Column) -> Column:
         rank = F.element_at(ranks, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")).cast("long")
-        return F.shiftleft(rank, 64 - BITS).bitwiseOR(F.shiftrightunsigned(h, BITS))
+        # never null, which Spark can't see: arrays without nulls are sorted as plain numbers
+        return F.coalesce(F.shiftleft(rank, 64 - BITS).bitwiseOR(F.shiftrightunsigned(h, BITS)), h)
 
     return F.sort_array(F.transform(w, packed))
 
@@ -107,11 +113,13 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     return out
 
 
-def _classes(lines: DataFrame, ranks: Column, percent: int) -> DataFrame:
+def _classes(docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
     """(c, id, t, pos, n, par, half, prefix): one row per distinct token set, with its first occurrence and rarest tokens.
 
     The prefix is null where a set is so small that no other can be similar.
     """
+    # not by the size of w: as a filter it would be evaluated beside the column, so that lines are cut twice
+    lines = _split(docs).where(F.trim("line") != "").select("id", "t", "pos", _tokens(F.col("line")).alias("w"))
     w = F.col("w")
     half = F.when(F.size(w) > LONG, _parity(F.filter(w, lambda h: h < 0)))
     sets = lines.select("id", "t", "pos", _by_rarity(w, ranks).alias("s"), _parity(w).alias("par"), half.alias("half"))
@@ -124,26 +132,41 @@ def _classes(lines: DataFrame, ranks: Column, percent: int) -> DataFrame:
     return stored(first.select(F.monotonically_increasing_id().alias("c"), "at.*", "set.*"))
 
 
-def _gone(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(c) of the classes that an earlier similar class removes."""
+def _entries(classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The prefix entries of pass ``k`` that meet another class: (s, o, c, n, i, par, half, more, a), dealt out and sorted by token.
+
+    ``a`` is the earliest class of the token where it may be similar; ``more`` tells entries that other classes may ask for.
+    """
     own = ["c", "n", "i", "par", "half"]
-    entries = classes.select(F.col("id").alias("o"), "c", "n", "par", "half", F.posexplode("prefix").alias("i", "s"))
+    entries = classes.select(F.col("id").alias("o"), "c", "n", "par", "half", F.posexplode("prefix").alias("i", "s")).where(F.col("s") % PASSES == k)
     token = Window.partitionBy("s").orderBy(F.col("o").asc_nulls_first(), "c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     entries = entries.withColumn("lead", F.first(F.struct(*own)).over(token)).withColumn("many", F.count(F.lit(1)).over(token)).where("many > 1")
     entries = entries.withColumns({"a": F.col("lead.c")} | {f"{x}2": F.col(f"lead.{x}") for x in own[1:]})
     pair = (F.col("c") != F.col("a")) & _possible(percent)
     # kept dealt out and sorted by token, so that the second round needs no exchange
     entries = entries.select("s", "o", *own, ((F.col("many") > 2) & (F.col("c") != F.col("a"))).alias("more"), F.when(pair, F.col("a")).alias("a"))
-    entries = bucketed(entries.where("more or a is not null"), "s")
-    pairs = stored(entries.where("a is not null").select("a", F.col("c").alias("b")).distinct())
-    settled = _verified(docs, classes, pairs, percent)
+    return bucketed(entries.where("more or a is not null"), "s")
+
+
+def _others(entries: DataFrame, settled: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the classes b that are not settled with each earlier class of their tokens that may be similar."""
+    own = ["c", "n", "i", "par", "half"]
     asks = entries.where("more").select("s", "o", *own)
     other = asks.select("s", F.col("o").alias("o2"), F.col("c").alias("a"), *[F.col(x).alias(f"{x}2") for x in own[1:]])
-    asks = asks.join(F.broadcast(settled) if settled.count() <= 4 * BROADCAST_ROWS else settled, "c", "left_anti")
+    asks = asks.join(settled, "c", "left_anti")
     before = (F.col("a") != F.col("c")) & (F.coalesce(F.col("o2") <= F.col("o"), F.col("o2").isNull()))
-    more = asks.hint("merge").join(other, "s").where(before & _possible(percent)).select("a", F.col("c").alias("b")).distinct()
+    return asks.hint("merge").join(other, "s").where(before & _possible(percent)).select("a", F.col("c").alias("b")).distinct()
+
+
+def _gone(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(c) of the classes that an earlier similar class removes."""
+    passes = [_entries(classes, k, percent) for k in range(PASSES)]
+    pairs = stored(reduce(DataFrame.union, [e.where("a is not null").select("a", F.col("c").alias("b")) for e in passes]).distinct())
+    settled = _verified(docs, classes, pairs, percent)
+    near = F.broadcast(settled) if settled.count() <= 4 * BROADCAST_ROWS else settled
+    more = reduce(DataFrame.union, [_others(e, near, percent) for e in passes]).distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"))
-    release(entries)
+    release(*passes)
     out = stored(settled.union(_verified(docs, classes, more, percent)).distinct())
     release(pairs, settled, more)
     return out
@@ -159,10 +182,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     collide count as one.
     """
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(7), id_col, text_col).alias("t"), F.col(text_col).alias("text"))
-    lines = _split(docs).select("id", "t", "pos", _tokens(F.col("line")).alias("w")).where(F.size("w") > 0)
-    lines = stored(lines, **{"parquet.dictionary.page.size": 8 << 20})
-    classes = _classes(lines, _ranks(lines), percent)
-    release(lines)
+    classes = _classes(docs, _ranks(docs), percent)
     gone = _gone(docs, classes, percent)
     kept = classes.join(gone, "c", "left_anti").groupBy(F.col("id").alias("k_id"), F.col("t").alias("k_t")).agg(F.collect_list("pos").alias("kept"))
     kept = stored(kept)

@@ -142,6 +142,29 @@ def test_long_lines(spark):
     assert sorted(map(tuple, out.select("doc_id", "n_lines", "n_removed", "text").collect()), key=str) == brute_lines(rows, 80)
 
 
+def test_lines_are_cut_once_a_step_and_tokens_exchanged_in_passes(spark, monkeypatch):
+    """No step cuts its lines into words for a filter and again for a column; no two exchanges of entries hold one token."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnop") for _ in range(12))) for i in range(80)]
+    plans, tokens, stored, bucketed = [], [], line_dedup.stored, line_dedup.bucketed
+
+    def kept(df, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, **options)
+
+    def dealt(df, *keys):
+        out = bucketed(df, *keys)
+        tokens.append({r["s"] for r in out.select("s").collect()})
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", kept)
+    monkeypatch.setattr(line_dedup, "bucketed", dealt)
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.select("doc_id", "n_lines", "n_removed", "text").collect()), key=str) == brute_lines(rows, 80)
+    assert max(p.count("transform(split(") for p in plans) == 1
+    assert len(tokens) > 1 and all(tokens) and not set.intersection(*tokens)
+
+
 def test_lines_beside_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x", 1, 2, 3), (2, "a b c d e f", "y", 4, 5, 6)], "doc_id long, text string, _row string, k_id int, at int, `a.b` int")
     out = line_dedup.dedup_lines(df)
