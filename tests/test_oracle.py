@@ -86,7 +86,7 @@ def test_key_sets_are_dealt_out_by_size(spark, monkeypatch):
     """The keys of all questions are gathered and joined in as many tasks as the notes are sorted in."""
     monkeypatch.setattr(score.ad, "LINES", 100)
     n = score.ad.tasks(spark, DATA)
-    for name in ("q317_expected_keys_over_whole_scores", "q301_sounding_at_over_whole_scores", "q304_next_onset_over_whole_scores", "q344_beam_groups"):
+    for name in ("q317_expected_keys_over_whole_scores", "q301_sounding_at_over_whole_scores", "q320_min_width", "q304_next_onset_over_whole_scores", "q344_beam_groups"):
         found = exchanges(score.QUERIES[name](spark, DATA))
         assert found and all(f", {n})" in x for x in found)
 
